@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import exact_dedup, simhash
+from fleetscope.llm import decontam, exact_dedup, packing, quality, simhash
 from fleetscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,28 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find(docs, table(spark, sf_dir, "benchmark")).withColumn("n_hit", decontam.hit_words("hits"))
+    return found.select("doc_id", F.col("hits.n_words").alias("n_words"), "n_hit", F.size("hits.items").cast("long").alias("n_items"), F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
+    return quality.classify(table(spark, sf_dir, "documents"), trusted).drop("text_hash")
+
+
+QUERIES: dict[str, Query] = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_simhash": op2_simhash,
+    "op4_packing": op4_packing,
+    "op8_decontamination": op8_decontamination,
+    "op9_quality": op9_quality,
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
