@@ -13,7 +13,7 @@ come back to the block, where the documents take them up. What is moved is a blo
 distinct n-grams, not its tokens. Log-probabilities per symbol give the perplexity.
 Per language, the trusted documents' quantiles, widened by a margin, are the bounds
 of what is accepted: both what the model finds too surprising and what it finds too
-predictable go.
+predictable go. Languages with few trusted documents share the bounds of all.
 
 Edge cases: a text without symbols has no perplexity (null) and is accepted if
 ``accept_empty``; a null or rare language is judged by the bounds of all; without
@@ -38,14 +38,15 @@ ORDER = 4
 REPEAT = 1
 DOCS_PER_BLOCK = 4000
 FLUSH = 1 << 22
-LOW, HIGH, MARGIN = 0.001, 0.999, 0.05
+LOW, HIGH, MARGIN = 0.001, 0.999, 0.15
+PRIOR = 30
 LEAST_TRUSTED = 50
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts end to end, each text with one space before it, and their offsets."""
+def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all texts end to end, each text with one space before it; their offsets; and for each word that repeats the one before it the place of the last symbol of the word it repeats. Repeats themselves are left out."""
     data, offsets = flat([b" " + x for x in texts])
     space = _SPACE[data]
     start = np.flatnonzero(~space & np.r_[True, space[:-1]])
@@ -54,24 +55,29 @@ def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = ~(space[1:] & space[:-1])
     keep[offsets[:-1]] = True
     out = np.where(space, np.uint8(32), data)
+    last = np.zeros(0, dtype=np.int64)
     if len(start) > 1:
         long = end - start
-        same = np.flatnonzero((long[1:] == long[:-1]) & (data[start[1:]] == data[start[:-1]]) & (data[end[1:] - 1] == data[end[:-1] - 1])) + 1
-        raw = data.tobytes()
-        same = same[[raw[a:b] == raw[c:d] for a, b, c, d in zip(start[same], end[same], start[same - 1], end[same - 1])]] if len(same) else same
+        same = (long[1:] == long[:-1]) & (data[start[1:]] == data[start[:-1]]) & (data[end[1:] - 1] == data[end[:-1] - 1])
         text_of = np.searchsorted(offsets, start, side="right")
-        same = same[text_of[same] == text_of[same - 1]]
-        out[start[same]] = REPEAT
+        same = np.flatnonzero(same & (text_of[1:] == text_of[:-1])) + 1
+        raw = data.tobytes()
+        equal = [raw[a:b] == raw[c:d] for a, b, c, d in zip(start[same].tolist(), end[same].tolist(), start[same - 1].tolist(), end[same - 1].tolist())]
+        same = same[np.array(equal, dtype=bool)]
+        repeats = np.zeros(len(start), dtype=bool)
+        repeats[same] = True
+        base = np.maximum.accumulate(np.where(repeats, 0, np.arange(len(start))))
+        last = end[base[same]] - 1
         drop = np.zeros(len(data) + 1, dtype=np.int32)
-        drop[start[same] + 1] += 1
+        drop[end[same - 1]] += 1
         drop[end[same]] -= 1
         keep &= np.cumsum(drop[:-1]) == 0
     before = np.r_[0, np.cumsum(keep)]
-    return out[keep], before[offsets]
+    return out[keep], before[offsets], before[last]
 
 
-def grams(codes: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each symbol (packed, last symbol lowest) and its text; a text's first ones are filled up with spaces."""
+def grams(codes: np.ndarray, offsets: np.ndarray, repeated: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram that ends at each symbol (packed, last symbol lowest) and its text; a text's first ones are filled up with spaces. A repeat is a symbol after the word and a space."""
     n = len(codes)
     packed = np.zeros(n, dtype=np.uint32)
     text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -82,7 +88,8 @@ def grams(codes: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[n
         symbol[place < back] = 32
         packed |= symbol << np.uint32(8 * back)
     inner = place > 0
-    return packed[inner], text_of[inner]
+    again = ((packed[repeated] << np.uint32(16)) | np.uint32(32 << 8 | REPEAT)) & np.uint32((1 << 8 * order) - 1)
+    return np.r_[packed[inner], again], np.r_[text_of[inner], text_of[repeated]]
 
 
 def _counted(packed: list[np.ndarray]) -> pa.RecordBatch:
@@ -97,8 +104,7 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
         waiting, size = [], 0
         for batch in batches:
             for part in slices(batch):
-                codes, offsets = symbols(text_bytes(part.column("text")))
-                waiting.append(grams(codes, offsets, order)[0])
+                waiting.append(grams(*symbols(text_bytes(part.column("text"))), order)[0])
                 size += len(waiting[-1])
                 if size > FLUSH:
                     yield _counted(waiting)
@@ -180,9 +186,8 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text
             of = batch.column("block").to_numpy()
             for block in np.unique(of):
                 for part in slices(batch.filter(pa.array(of == block))):
-                    codes, offsets = symbols(text_bytes(part.column("text")))
                     known = waiting.setdefault(int(block), [])
-                    known.append(np.unique(grams(codes, offsets, order)[0]))
+                    known.append(np.unique(grams(*symbols(text_bytes(part.column("text"))), order)[0]))
                     if len(known) > 16:
                         waiting[int(block)] = [np.unique(np.concatenate(known))]
         for block, known in waiting.items():
@@ -199,8 +204,7 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text
         out = []
         for a in range(0, len(texts), 256):
             part = [x.encode() for x in texts["text"].iloc[a : a + 256]]
-            codes, offsets = symbols(part)
-            packed, text_of = grams(codes, offsets, order)
+            packed, text_of = grams(*symbols(part), order)
             n = np.bincount(text_of, minlength=len(part))
             total = np.bincount(text_of, weights=logp[np.searchsorted(g, packed)], minlength=len(part)) if len(packed) else np.zeros(len(part))
             out.append(pd.DataFrame({"n_symbols": n, "perplexity": np.where(n > 0, np.exp(-total / np.maximum(n, 1)), np.nan)}))
@@ -214,18 +218,30 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text
 
 
 def bounds(scores: DataFrame, low: float = LOW, high: float = HIGH, margin: float = MARGIN) -> DataFrame:
-    """``lang, low, high``: bounds of log-perplexity from the trusted rows of ``scores``; the row with a null language holds for all others."""
-    trusted = scores.where("trusted AND perplexity IS NOT NULL").select("lang", F.log("perplexity").alias("x"))
+    """``lang, middle, low, high`` from the trusted rows of ``scores``; the row with a null language holds for all others.
+
+    What is bounded is the log-perplexity's distance from the language's median. A
+    short text's distance varies much, so it counts as if ``PRIOR`` symbols at the
+    median belonged to the text.
+    """
+    trusted = scores.where("trusted AND perplexity IS NOT NULL").select("lang", F.log("perplexity").alias("x"), "n_symbols")
+
+    def quantiles(rows: DataFrame, least: int) -> DataFrame:
+        middle = rows.groupBy("lang").agg(F.percentile_approx("x", 0.5, 20_000).alias("middle"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("n")
+        rows = rows.join(middle, "lang").withColumn("away", away(F.col("x"), F.col("middle"), F.col("n_symbols")))
+        found = rows.groupBy("lang", "middle").agg(F.percentile_approx("away", [low, high], 20_000).alias("q"))
+        return found.select("lang", "middle", (F.col("q")[0] - margin).alias("low"), (F.col("q")[1] + margin).alias("high"))
+
+    whole = quantiles(trusted.withColumn("lang", F.lit("")), 1)
+    return quantiles(trusted.where("lang IS NOT NULL"), LEAST_TRUSTED).unionByName(whole.withColumn("lang", F.lit(None).cast("string")))
 
-    def quantiles(rows: DataFrame, by: list[str]) -> DataFrame:
-        found = rows.groupBy(*by).agg(F.percentile_approx("x", [low, high], 20_000).alias("q"), F.count(F.lit(1)).alias("n"))
-        return found.where(F.col("n") >= (LEAST_TRUSTED if by else 1)).select(*by, (F.col("q")[0] - margin).alias("low"), (F.col("q")[1] + margin).alias("high"))
 
-    return quantiles(trusted.where("lang IS NOT NULL"), ["lang"]).unionByName(quantiles(trusted, []).withColumn("lang", F.lit(None).cast("string")))
+def away(x: Column, middle: Column, n: Column) -> Column:
+    return (x - middle) * n / (n + F.lit(PRIOR))
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", accept_empty: bool = False) -> DataFrame:
-    """``doc_id, text_hash, lang, perplexity, low, high, accepted`` for each row of ``docs``.
+    """``doc_id, text_hash, lang, perplexity, away, low, high, accepted`` for each row of ``docs``.
 
     ``trusted_ids`` (column ``doc_id``) names the trusted documents: the model counts
     all of them, and the bounds are their quantiles.
@@ -241,9 +257,9 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     scores = scores.join(trusted, scores.doc_id == trusted["_trusted_id"], "left").withColumn("trusted", F.col("_trusted_id").isNotNull()).drop("_trusted_id")
     scores = checkpointed(scores)
     if not model.distinct:
-        return scores.select("doc_id", "text_hash", "lang", "perplexity", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(True).alias("accepted"))
-    found = {x["lang"]: (x["low"], x["high"]) for x in bounds(scores).collect()}
-    both = found.pop(None, (-math.inf, math.inf))
+        return scores.select("doc_id", "text_hash", "lang", "perplexity", F.lit(None).cast("double").alias("away"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(True).alias("accepted"))
+    found = {x["lang"]: (x["middle"], x["low"], x["high"]) for x in bounds(scores).collect()}
+    both = found.pop(None, (0.0, -math.inf, math.inf))
 
     def bound(k: int) -> Column:
         out = None
@@ -251,9 +267,9 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
             out = (F.when if out is None else out.when)(F.col("lang") == lang, F.lit(x[k]))
         return F.lit(both[k]) if out is None else out.otherwise(F.lit(both[k]))
 
-    scores = scores.withColumn("low", bound(0)).withColumn("high", bound(1))
-    accepted = F.coalesce(F.log("perplexity").between(F.col("low"), F.col("high")), F.lit(accept_empty))
-    return scores.select("doc_id", "text_hash", "lang", "perplexity", F.exp("low").alias("low"), F.exp("high").alias("high"), accepted.alias("accepted"))
+    scores = scores.withColumn("away", away(F.log("perplexity"), bound(0), F.col("n_symbols"))).withColumn("low", bound(1)).withColumn("high", bound(2))
+    accepted = F.coalesce(F.col("away").between(F.col("low"), F.col("high")), F.lit(accept_empty))
+    return scores.select("doc_id", "text_hash", "lang", "perplexity", "away", "low", "high", accepted.alias("accepted"))
 
 
 def keep_accepted(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
