@@ -173,47 +173,83 @@ class KneserNey:
         return out.select("g", F.log(F.coalesce("p", F.col("weight") / F.lit(256.0))).cast("float").alias("logp"))
 
 
+def text_blocks(docs: DataFrame, blocks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` spread over blocks, each row of the result holding some rows of one block, compressed: ``block, payload``."""
+    rows = id_text(docs, id_col, text_col)
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).alias("block"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            of = batch.column("block").to_numpy(zero_copy_only=False)
+            order = np.argsort(of, kind="stable")
+            found, first = np.unique(of[order], return_index=True)
+            payload = []
+            for rows in np.split(order, first[1:]):
+                sink = pa.BufferOutputStream()
+                own = batch.take(pa.array(rows)).select(["doc_id", "text_hash", "text"])
+                with pa.ipc.new_stream(sink, own.schema) as out:
+                    out.write_batch(own)
+                payload.append(press.compress(sink.getvalue()))
+            if payload:
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(payload, pa.binary())], ["block", "payload"])
+
+    return rows.mapInArrow(squeezed, "block long, payload binary").repartition(blocks, "block")
+
+
+def _opened(payload: bytes) -> pa.Table:
+    import zstandard
+
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all()
+
+
 def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text", docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
-    """``doc_id, text_hash, n_symbols, perplexity``, one row for each row of ``docs``."""
+    """``doc_id, text_hash, n_symbols, perplexity``, one row for each row of ``docs``.
+
+    The texts are moved to their blocks once; the look-ups and the scoring read that one shuffle.
+    """
     blocks = shards(docs.count(), docs_per_block, 24)
-    rows = id_text(docs, id_col, text_col)
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).alias("block"), "doc_id", "text").repartition(blocks, "block")
+    rows = text_blocks(docs, blocks, id_col, text_col)
     order = model.order
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            of = batch.column("block").to_numpy()
-            for block in np.unique(of):
-                for part in slices(batch.filter(pa.array(of == block))):
-                    known = waiting.setdefault(int(block), [])
-                    known.append(np.unique(grams(*symbols(text_bytes(part.column("text"))), order)[0]))
-                    if len(known) > 16:
-                        waiting[int(block)] = [np.unique(np.concatenate(known))]
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
+                known = waiting.setdefault(block, [])
+                for own in _opened(payload).to_batches():
+                    for part in slices(own):
+                        known.append(np.unique(grams(*symbols(text_bytes(part.column("text"))), order)[0]))
+                if len(known) > 16:
+                    waiting[block] = [np.unique(np.concatenate(known))]
         for block, known in waiting.items():
             found = np.unique(np.concatenate(known)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(found)], ["block", "g"])
 
-    wanted = checkpointed(rows.mapInArrow(distinct, "block long, g long"))
-    known = checkpointed(model.log_probability(wanted.select("g").distinct()))
+    wanted = rows.mapInArrow(distinct, "block long, g long")
+    known = model.log_probability(wanted.select("g").distinct())
     looked_up = wanted.join(known, "g").select("block", "g", "logp")
 
     def score(texts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("g")
         g, logp = table["g"].to_numpy().astype(np.uint32), table["logp"].to_numpy().astype(np.float64)
+        by_g = np.argsort(g)
+        g, logp = g[by_g], logp[by_g]
         out = []
-        for a in range(0, len(texts), 256):
-            part = [x.encode() for x in texts["text"].iloc[a : a + 256]]
-            packed, text_of = grams(*symbols(part), order)
-            n = np.bincount(text_of, minlength=len(part))
-            total = np.bincount(text_of, weights=logp[np.searchsorted(g, packed)], minlength=len(part)) if len(packed) else np.zeros(len(part))
-            out.append(pd.DataFrame({"n_symbols": n, "perplexity": np.where(n > 0, np.exp(-total / np.maximum(n, 1)), np.nan)}))
-        found = pd.concat(out, ignore_index=True) if out else pd.DataFrame({"n_symbols": np.zeros(0, np.int64), "perplexity": np.zeros(0)})
-        hashes = texts["text_hash"].to_numpy()
-        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "text_hash": hashes, "n_symbols": found["n_symbols"].to_numpy(), "perplexity": found["perplexity"].to_numpy()})
-
-    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
-    scored = hashed.groupBy("block").cogroup(looked_up.groupBy("block")).applyInPandas(score, "doc_id long, text_hash long, n_symbols long, perplexity double")
+        for payload in texts["payload"]:
+            own = _opened(payload)
+            for batch in own.to_batches():
+                for part in slices(batch):
+                    many = part.num_rows
+                    packed, text_of = grams(*symbols(text_bytes(part.column("text"))), order)
+                    n = np.bincount(text_of, minlength=many)
+                    total = np.bincount(text_of, weights=logp[np.searchsorted(g, packed)], minlength=many) if len(packed) else np.zeros(many)
+                    ids = part.column("doc_id").to_pandas(integer_object_nulls=True)
+                    out.append(pd.DataFrame({"doc_id": ids, "text_hash": part.column("text_hash").to_numpy(), "n_symbols": n, "perplexity": np.where(n > 0, np.exp(-total / np.maximum(n, 1)), np.nan)}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"doc_id": [], "text_hash": [], "n_symbols": [], "perplexity": []}).astype({"doc_id": "int64", "text_hash": "int64", "n_symbols": "int64"})
+
+    scored = rows.groupBy("block").cogroup(looked_up.groupBy("block")).applyInPandas(score, "doc_id long, text_hash long, n_symbols long, perplexity double")
     return scored.withColumn("perplexity", F.when(~F.isnan("perplexity"), F.col("perplexity")))
 
 
