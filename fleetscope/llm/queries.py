@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import decontam, exact_dedup, langid, packing, quality, simhash, toxicity, urlfilter
+from fleetscope.llm import decontam, exact_dedup, htmlmain, langid, licences, packing, quality, simhash, toxicity, urlfilter
 from fleetscope.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
@@ -40,6 +44,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.scan(docs, licences.train(docs))
+    sure = F.filter("findings", lambda x: x["confirmed"])
+    families = F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"])))
+    return found.select("doc_id", F.size(sure).cast("long").alias("n_confirmed"), (F.size("findings") - F.size(sure)).cast("long").alias("n_unconfirmed"), F.array_join(families, ",").alias("families"), F.coalesce(F.array_max(F.transform("findings", lambda x: x["probability"])), F.lit(0.0)).alias("probability"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find(docs, table(spark, sf_dir, "benchmark")).withColumn("n_hit", decontam.hit_words("hits"))
@@ -60,7 +72,9 @@ QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
     "op4_packing": op4_packing,
+    "op5_main_text": op5_main_text,
     "op6_toxicity": op6_toxicity,
+    "op7_licences": op7_licences,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_url_filter": op10_url_filter,

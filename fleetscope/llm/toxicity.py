@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from fleetscope.llm.common import id_text, slices, text_bytes
 from fleetscope.llm.ngrams import WORD_BYTES, hashed, laid_out
 
-SAMPLE = 6000
+SAMPLE = 10_000
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 16
 WIDTH = 8
