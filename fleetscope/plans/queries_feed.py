@@ -109,7 +109,7 @@ ips AS (SELECT CAST(split_part(destination_ip, '.', 1) AS BIGINT) * 16777216 + C
 SELECT '10.0.0.0/8' AS network, count(*) FILTER (ip // 16777216 = 10) AS n FROM ips UNION ALL
 SELECT '10.0.0.0/16', count(*) FILTER (ip // 65536 = 2560) FROM ips UNION ALL
 SELECT '10.0.3.0/24', count(*) FILTER (ip // 256 = 655363) FROM ips UNION ALL
-SELECT '10.0.3.7/32', count(*) FILTER (ip = 167773959) FROM ips UNION ALL
+SELECT '10.0.3.7/32', count(*) FILTER (ip = 167772935) FROM ips UNION ALL
 SELECT '203.0.0.0/20', count(*) FILTER (ip // 4096 = 831488) FROM ips UNION ALL
 SELECT '203.0.6.0/23', count(*) FILTER (ip // 512 = 6651907) FROM ips""")
 def cidr_match(spark: SparkSession, sf_dir: str) -> DataFrame:
