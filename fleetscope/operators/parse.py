@@ -441,7 +441,9 @@ BOOLEAN_WORDS = ("if", "else", "unless", "with", "without", "and", "or")
 
 def resolve_capabilities(packages: DataFrame, provides: DataFrame, field: str, user_installed: DataFrame | None = None) -> DataFrame:
     """A list of capabilities as the packages that provide them: by the whole name, else without what stands in parentheses; bare names stay, words of boolean dependencies go."""
-    raw = packages.select("host_id", "name", F.posexplode(F.split(F.regexp_replace(field, r"(^|\s)\(|\)(\s|$)", " "), r"[\s,]+")).alias("pos", "cap"))
+    raw = packages.select("host_id", "name", F.posexplode(F.split(field, r"[\s,]+")).alias("pos", "cap"))
+    inner = F.regexp_replace("cap", r"^\(+", "")
+    raw = raw.withColumn("cap", F.when(inner.contains("("), inner).otherwise(F.regexp_replace(inner, r"\)+$", "")))
     caps = raw.where((F.col("cap") != "") & ~F.col("cap").isin(list(BOOLEAN_WORDS)) & ~F.col("cap").rlike(r"^[<>=]+$|^\d"))
     table = provides.groupBy("host_id", F.col("capability").alias("cap")).agg(F.min("package").alias("_pkg"))
     short = caps.withColumn("_bare", F.regexp_replace("cap", r"\(.*$", ""))
