@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS_PER_FILE, LEAST_FILES = 100_000, 12
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -23,10 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, its lineage cut."""
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder, its lineage cut. With an estimate of its ``rows``, small tables are written in few files, so that the shuffles after them have few and larger blocks."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(shards(rows, ROWS_PER_FILE, LEAST_FILES))).checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` (narrow) rows; beyond that Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import checkpointed
+from fleetscope.llm.common import LEAST_FILES, ROWS_PER_FILE, checkpointed, shards
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,15 +18,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     edges = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct()
     edges = checkpointed(edges)
-    seen = None
+    n, seen = edges.count(), None
+    edges = edges.coalesce(shards(n, ROWS_PER_FILE, LEAST_FILES))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), 2 * n)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = checkpointed(large)
-        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = checkpointed(large, n)
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")), n)
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = checkpointed(small.select("e.u", "e.v").where("u <> v").distinct())
+        edges = checkpointed(small.select("e.u", "e.v").where("u <> v").distinct(), n)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

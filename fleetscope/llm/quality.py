@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import checkpointed, flat, id_text, shards, slices, text_bytes
+from fleetscope.llm.common import LEAST_FILES, ROWS_PER_FILE, broadcast_if_small, checkpointed, flat, id_text, shards, slices, text_bytes
 
 ORDER = 4
 REPEAT = 1
-DOCS_PER_BLOCK = 4000
+DOCS_PER_BLOCK = 8000
 FLUSH = 1 << 22
 LOW, HIGH, MARGIN = 0.001, 0.999, 0.15
 PRIOR = 30
@@ -129,9 +129,10 @@ class KneserNey:
     def __init__(self, counts: DataFrame, order: int = ORDER):
         self.order = order
         levels = {order: checkpointed(counts)}
+        n = self.distinct = levels[order].count()
+        levels[order] = levels[order].coalesce(shards(n, ROWS_PER_FILE, LEAST_FILES))
         for k in range(order - 1, 0, -1):
-            levels[k] = checkpointed(levels[k + 1].groupBy(_suffix("g", k).alias("g")).agg(F.count(F.lit(1)).alias("n")))
-        self.distinct = levels[order].count()
+            levels[k] = checkpointed(levels[k + 1].groupBy(_suffix("g", k).alias("g")).agg(F.count(F.lit(1)).alias("n")), n)
         self.p: dict[int, DataFrame] = {}
         self.backoff: dict[int, DataFrame] = {}
         lower = None
@@ -140,14 +141,14 @@ class KneserNey:
             cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
             rows = levels[k].select("g", _prefix("g").alias("context"), _suffix("g", k - 1).alias("suffix"), "n", cut.alias("cut"))
             total = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
-            self.backoff[k] = checkpointed(total.select("context", "total", (F.col("freed") / F.col("total")).alias("weight")))
+            self.backoff[k] = checkpointed(total.select("context", "total", (F.col("freed") / F.col("total")).alias("weight")), n)
             own = (F.col("n") - F.col("cut")) / F.col("total")
             joined = rows.join(self.backoff[k], "context")
             if lower is None:
-                self.p[k] = checkpointed(joined.select("g", (own + F.col("weight") / F.lit(256.0)).alias("p")))
+                self.p[k] = checkpointed(joined.select("g", (own + F.col("weight") / F.lit(256.0)).alias("p")), n)
             else:
                 below = lower.select(F.col("g").alias("suffix"), F.col("p").alias("below"))
-                self.p[k] = checkpointed(joined.join(below, "suffix").select("g", (own + F.col("weight") * F.col("below")).alias("p")))
+                self.p[k] = checkpointed(joined.join(below, "suffix").select("g", (own + F.col("weight") * F.col("below")).alias("p")), n)
             lower = self.p[k]
 
     @staticmethod
@@ -253,23 +254,33 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text
     return scored.withColumn("perplexity", F.when(~F.isnan("perplexity"), F.col("perplexity")))
 
 
-def bounds(scores: DataFrame, low: float = LOW, high: float = HIGH, margin: float = MARGIN) -> DataFrame:
-    """``lang, middle, low, high`` from the trusted rows of ``scores``; the row with a null language holds for all others.
+def bounds(scores: DataFrame, low: float = LOW, high: float = HIGH, margin: float = MARGIN) -> dict[str | None, tuple[float, float, float]]:
+    """Median and bounds for each language from the trusted rows of ``scores``; the entry None holds for all others.
 
     What is bounded is the log-perplexity's distance from the language's median. A
     short text's distance varies much, so it counts as if ``PRIOR`` symbols at the
     median belonged to the text.
     """
     trusted = scores.where("trusted AND perplexity IS NOT NULL").select("lang", F.log("perplexity").alias("x"), "n_symbols")
-
-    def quantiles(rows: DataFrame, least: int) -> DataFrame:
-        middle = rows.groupBy("lang").agg(F.percentile_approx("x", 0.5, 20_000).alias("middle"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("n")
-        rows = rows.join(middle, "lang").withColumn("away", away(F.col("x"), F.col("middle"), F.col("n_symbols")))
-        found = rows.groupBy("lang", "middle").agg(F.percentile_approx("away", [low, high], 20_000).alias("q"))
-        return found.select("lang", "middle", (F.col("q")[0] - margin).alias("low"), (F.col("q")[1] + margin).alias("high"))
-
-    whole = quantiles(trusted.withColumn("lang", F.lit("")), 1)
-    return quantiles(trusted.where("lang IS NOT NULL"), LEAST_TRUSTED).unionByName(whole.withColumn("lang", F.lit(None).cast("string")))
+    found: dict[str | None, tuple[float, float, float]] = {}
+    for by in (["lang"], []):
+        middles = trusted.groupBy(*by).agg(F.percentile_approx("x", 0.5, 20_000).alias("middle"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= (LEAST_TRUSTED if by else 1)).collect()
+        middle = {x["lang"] if by else None: x["middle"] for x in middles}
+        rows = trusted.withColumn("away", away(F.col("x"), by_language(middle, 0.0), F.col("n_symbols")))
+        for x in rows.groupBy(*by).agg(F.percentile_approx("away", [low, high], 20_000).alias("q")).collect():
+            lang = x["lang"] if by else None
+            if lang in middle and (not by or lang is not None):
+                found[lang] = (middle[lang], x["q"][0] - margin, x["q"][1] + margin)
+    return found
+
+
+def by_language(values: dict[str | None, float], other: float) -> Column:
+    """The value of the row's language, else that of null, else ``other``."""
+    out = F.lit(float(values.get(None, other)))
+    for lang, x in values.items():
+        if lang is not None:
+            out = F.when(F.col("lang") == lang, F.lit(float(x))).otherwise(out)
+    return out
 
 
 def away(x: Column, middle: Column, n: Column) -> Column:
@@ -282,7 +293,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     ``trusted_ids`` (column ``doc_id``) names the trusted documents: the model counts
     all of them, and the bounds are their quantiles.
     """
-    trusted = trusted_ids.select(F.col("doc_id").cast("long").alias("_trusted_id")).distinct()
+    trusted = broadcast_if_small(checkpointed(trusted_ids.select(F.col("doc_id").cast("long").alias("_trusted_id")).distinct()))
     texts = docs.join(trusted, docs[id_col].cast("long") == trusted["_trusted_id"], "left_semi")
     model = KneserNey(gram_counts(id_text(texts, id_col, text_col)))
     scores = perplexities(docs, model, id_col, text_col)
@@ -294,16 +305,9 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     scores = checkpointed(scores)
     if not model.distinct:
         return scores.select("doc_id", "text_hash", "lang", "perplexity", F.lit(None).cast("double").alias("away"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(True).alias("accepted"))
-    found = {x["lang"]: (x["middle"], x["low"], x["high"]) for x in bounds(scores).collect()}
-    both = found.pop(None, (0.0, -math.inf, math.inf))
-
-    def bound(k: int) -> Column:
-        out = None
-        for lang, x in found.items():
-            out = (F.when if out is None else out.when)(F.col("lang") == lang, F.lit(x[k]))
-        return F.lit(both[k]) if out is None else out.otherwise(F.lit(both[k]))
-
-    scores = scores.withColumn("away", away(F.log("perplexity"), bound(0), F.col("n_symbols"))).withColumn("low", bound(1)).withColumn("high", bound(2))
+    found = bounds(scores)
+    limit = lambda k, other: by_language({lang: x[k] for lang, x in found.items()}, other)
+    scores = scores.withColumn("away", away(F.log("perplexity"), limit(0, 0.0), F.col("n_symbols"))).withColumn("low", limit(1, -math.inf)).withColumn("high", limit(2, math.inf))
     accepted = F.coalesce(F.col("away").between(F.col("low"), F.col("high")), F.lit(accept_empty))
     return scores.select("doc_id", "text_hash", "lang", "perplexity", "away", "low", "high", accepted.alias("accepted"))
 
@@ -312,6 +316,7 @@ def keep_accepted(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id
     """The accepted rows of ``docs``, all columns."""
     own = docs.columns
     rejected = classify(docs, trusted_ids, id_col, text_col, lang_col).where("NOT accepted").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    rejected = broadcast_if_small(checkpointed(rejected))
     own_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     kept = docs.withColumn("_text_hash", own_hash).join(rejected, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti")
     return kept.select(*(F.col(f"`{c}`") for c in own))

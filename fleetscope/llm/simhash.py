@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import checkpointed, id_text, text_bytes
+from fleetscope.llm.common import LEAST_FILES, ROWS_PER_FILE, checkpointed, id_text, shards, text_bytes
 from fleetscope.llm.components import connected_components
 
 RADIUS = 4
@@ -291,9 +291,9 @@ def _search_large(rows: DataFrame, radius: int, limit: int) -> DataFrame:
     return chunked.select("chunk", "fp").join(sides, "chunk").groupBy("chunk1", "chunk2").applyInPandas(search, "a long, b long")
 
 
-def link_edges(distinct: DataFrame, radius: int = RADIUS, limit: int = GROUP_LIMIT) -> DataFrame:
-    """``a, b``: fingerprints (column ``fp``, each once) whose links have the components of all links within ``radius``."""
-    keys = [F.struct(F.lit(no).alias("no"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key")) for no, mask in band_keys(*scheme(distinct.count(), radius))]
+def link_edges(distinct: DataFrame, n: int, radius: int = RADIUS, limit: int = GROUP_LIMIT) -> DataFrame:
+    """``a, b``: the ``n`` fingerprints (column ``fp``, each once) whose links have the components of all links within ``radius``."""
+    keys = [F.struct(F.lit(no).alias("no"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key")) for no, mask in band_keys(*scheme(n, radius))]
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select(F.col("k.no").alias("no"), F.col("k.key").alias("key"), "fp")
     large = checkpointed(rows.groupBy("no", "key").count().where(F.col("count") > limit).select("no", "key"))
     if large.isEmpty():
@@ -312,10 +312,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     marked = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(link_edges(distinct, radius, limit))
-    rooted = checkpointed(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    known = checkpointed(rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
+    n = distinct.count()
+    distinct = distinct.coalesce(shards(n, ROWS_PER_FILE // 10, LEAST_FILES))
+    roots = connected_components(link_edges(distinct, n, radius, limit))
+    rooted = checkpointed(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), n)
+    least = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")), n)
+    known = checkpointed(rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), n)
     return marked.join(known, "fp").select("doc_id", "fp", "component_id", "root", "text_hash")
 
 
