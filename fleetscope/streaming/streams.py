@@ -91,8 +91,8 @@ def snapshot_events(snapshots: DataFrame, keys: Sequence[str], by: Sequence[str]
     return snapshots.groupBy(*by).applyInPandasWithState(fold, schema, "at bigint, known array<array<string>>", "append", GroupStateTimeout.NoTimeout)
 
 
-def chain_stream(events: DataFrame, by: Sequence[str] = ("host_id",), horizon_ms: int = 6 * 3_600_000) -> DataFrame:
-    """Chains over a stream of keyed events (``host_id`` and the fields that chains look at): a host's marks live until it is silent for the horizon."""
+def chain_stream(events: DataFrame, by: Sequence[str] = ("host_id",), horizon_ms: int = 6 * 3_600_000, late: str = "10 minutes") -> DataFrame:
+    """Chains over a stream of keyed events (``host_id`` and the fields that chains look at): a host's marks live until it is silent for the horizon of event time."""
 
     def fold(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -105,7 +105,8 @@ def chain_stream(events: DataFrame, by: Sequence[str] = ("host_id",), horizon_ms
         pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
         found = [chains.assign(*x) for x in zip(*(pdf[c] for c in CHAIN_FIELDS[2:]))]
         state.update(tuple(x for d in (chains.sockets, chains.objects, chains.users) for x in (list(d), list(d.values()))))
-        state.setTimeoutDuration(horizon_ms)
+        newest = int(pd.Timestamp(pdf["ts"].max()).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + horizon_ms)
         out = pdf[["event_id"]].astype(str)
         for c, v in zip(by, who):
             out[c] = v
@@ -114,4 +115,4 @@ def chain_stream(events: DataFrame, by: Sequence[str] = ("host_id",), horizon_ms
 
     marks = ", ".join(f"{n}_{s} array<string>" for n in ("sock", "obj", "user") for s in ("k", "v"))
     schema = ", ".join([*(f"{c} string" for c in by), "event_id string, chain_id string, how string"])
-    return events.groupBy(*by).applyInPandasWithState(fold, schema, marks, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", late).groupBy(*by).applyInPandasWithState(fold, schema, marks, "append", GroupStateTimeout.EventTimeTimeout)
