@@ -12,12 +12,17 @@ from fleetscope.plans.views import V_EV, V_TREE, read, v_edges, v_ev, v_tree
 from fleetscope.sources import lines as LN
 from fleetscope.sources import state as S
 
-HOST = F.lit("h0").alias("host_id")
-RUN = F.lit("r").alias("run_id")
+
+def _host() -> Column:
+    return F.lit("h0").alias("host_id")
+
+
+def _run() -> Column:
+    return F.lit("r").alias("run_id")
 
 
 def _lines(df: DataFrame, line: Column, no: str) -> DataFrame:
-    return df.select(HOST, RUN, F.col(no).alias("line_no"), line.alias("line"))
+    return df.select(_host(), _run(), F.col(no).alias("line_no"), line.alias("line"))
 
 
 def _text(c: str) -> Column:
@@ -55,8 +60,8 @@ CAST(CASE WHEN event_type = 'view' THEN 10 ELSE 20 END + CASE WHEN event_type =
 def audit_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     call = F.when(F.col("event_type") == "click", "42").when(F.col("event_type") == "view", "257").otherwise("59")
-    first = e.select(HOST, F.lit("b").alias("boot_id"), _text("event_id").alias("audit_id"), F.lit(1).alias("line_no"), F.create_map(F.lit("type"), F.lit("1300")).alias("fields"), F.concat(F.lit("syscall="), call, F.lit(" success="), F.when(F.col("event_type") == "error", "no").otherwise("yes"), F.lit(" pid="), _text("user_id"), F.lit(" uid="), F.when(F.col("user_id") % 10 == 0, "0").otherwise("1000")).alias("message"))
-    second = e.select(HOST, F.lit("b").alias("boot_id"), _text("event_id").alias("audit_id"), F.lit(2).alias("line_no"), F.create_map(F.lit("type"), F.lit("1327")).alias("fields"), F.concat(F.lit("syscall=1 msg='acct=\"u"), _text("user_id"), F.lit("\" exe=x'")).alias("message"))
+    first = e.select(_host(), F.lit("b").alias("boot_id"), _text("event_id").alias("audit_id"), F.lit(1).alias("line_no"), F.create_map(F.lit("type"), F.lit("1300")).alias("fields"), F.concat(F.lit("syscall="), call, F.lit(" success="), F.when(F.col("event_type") == "error", "no").otherwise("yes"), F.lit(" pid="), _text("user_id"), F.lit(" uid="), F.when(F.col("user_id") % 10 == 0, "0").otherwise("1000")).alias("message"))
+    second = e.select(_host(), F.lit("b").alias("boot_id"), _text("event_id").alias("audit_id"), F.lit(2).alias("line_no"), F.create_map(F.lit("type"), F.lit("1327")).alias("fields"), F.concat(F.lit("syscall=1 msg='acct=\"u"), _text("user_id"), F.lit("\" exe=x'")).alias("message"))
     found = parse.classify_audit(parse.audit_events(parse.audit_records(first.unionByName(second))))
     return found.select(F.col("audit_id").cast("long").alias("event_id"), "user_name", F.col("event_outcome").alias("outcome"), F.col("process_pid").alias("pid"), F.col("event_action").alias("action"), F.col("event_severity").alias("severity"))
 
@@ -69,7 +74,7 @@ def exec_log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     pid, at = _text("user_id"), F.concat(_text("event_id"), F.lit("000"))
     status = F.when(F.col("user_id") % 3 == 0, "0").when(F.col("user_id") % 3 == 1, "9").otherwise("256")
     line = F.when(F.col("event_type") == "click", tab(F.lit("N"), at, pid, F.lit("1000"), F.lit("fox"), F.lit("4"), F.lit("203.0.113.9"), F.lit("443"))).when(F.col("event_type") == "view", tab(F.lit("F"), at, pid, F.lit("1000"), F.lit("code"), F.lit("write"), F.lit("/tmp/x.db"))).when(F.col("event_type") == "error", tab(F.lit("X"), at, pid, status)).otherwise(tab(F.lit("E"), at, pid, F.lit("1"), F.lit("1000"), F.lit("ls"), F.lit("/bin/ls -l")))
-    boot = read(spark, sf_dir, "region").where("r_regionkey = 0").select(HOST, RUN, F.lit(-1).cast("long").alias("line_no"), F.lit("BTIME 1750000000").alias("line"))
+    boot = read(spark, sf_dir, "region").where("r_regionkey = 0").select(_host(), _run(), F.lit(-1).cast("long").alias("line_no"), F.lit("BTIME 1750000000").alias("line"))
     found = parse.exec_log(boot.unionByName(_lines(e, line, "event_id")))
     return found.select(F.col("line_no").alias("event_id"), F.col("process_pid").alias("pid"), F.col("event_action").alias("action"), F.col("event_outcome").alias("outcome"), F.col("process_exit_code").alias("code"))
 
@@ -87,8 +92,8 @@ def verify_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_partkey AS param, CAST(max(l_suppkey) FILTER (l_linenumber = 1) AS VARCHAR) AS declared FROM (SELECT l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_suppkey DESC) AS r FROM lineitem WHERE l_linenumber = 1) WHERE r = 1 GROUP BY 1""")
 def kernel_params_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    declared = rows.select(HOST, F.lit("/etc/sysctl.d/50.conf").alias("file"), F.lit(1).alias("priority"), (F.col("l_orderkey") * 100_000 + F.col("l_suppkey")).alias("line_no"), _text("l_partkey").alias("param"), _text("l_suppkey").alias("value"))
-    running = read(spark, sf_dir, "part").select(HOST, _text("p_partkey").alias("param"), F.lit("0").alias("value"))
+    declared = rows.select(_host(), F.lit("/etc/sysctl.d/50.conf").alias("file"), F.lit(1).alias("priority"), (F.col("l_orderkey") * 100_000 + F.col("l_suppkey")).alias("line_no"), _text("l_partkey").alias("param"), _text("l_suppkey").alias("value"))
+    running = read(spark, sf_dir, "part").select(_host(), _text("p_partkey").alias("param"), F.lit("0").alias("value"))
     return parse.kernel_params(declared, running).select(F.col("param").cast("long").alias("param"), "declared")
 
 
@@ -136,16 +141,16 @@ def elapsed_to_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'wheel' ELSE '' END AS admin_groups, CASE WHEN c_custkey = 0 OR c_nationkey % 2 = 0 THEN 'admin' WHEN c_mktsegment = 'BUILDING' THEN 'user' ELSE 'service' END AS privilege FROM customer""")
 def user_privileges(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
-    users = c.select(HOST, _text("c_custkey").alias("name"), _text("c_custkey").alias("uid"), F.when(F.col("c_nationkey") % 2 == 0, "users,wheel").otherwise("users").alias("groups"), F.col("c_mktsegment").alias("shell"))
-    admin = read(spark, sf_dir, "region").select(HOST, F.lit("wheel").alias("group"))
-    shells = c.where("c_mktsegment = 'BUILDING'").select(HOST, F.col("c_mktsegment").alias("shell"))
+    users = c.select(_host(), _text("c_custkey").alias("name"), _text("c_custkey").alias("uid"), F.when(F.col("c_nationkey") % 2 == 0, "users,wheel").otherwise("users").alias("groups"), F.col("c_mktsegment").alias("shell"))
+    admin = read(spark, sf_dir, "region").select(_host(), F.lit("wheel").alias("group"))
+    shells = c.where("c_mktsegment = 'BUILDING'").select(_host(), F.col("c_mktsegment").alias("shell"))
     return enrich.user_privileges(users, admin, shells).select(F.col("name").cast("long").alias("c_custkey"), "admin_groups", "privilege")
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1) THEN 'failed' ELSE 'ok' END AS health FROM supplier""")
 def unit_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = read(spark, sf_dir, "supplier").select(HOST, F.lit("system").alias("scope"), _text("s_suppkey").alias("unit"))
-    failed = read(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_linenumber = 1").select(HOST, F.lit("system").alias("scope"), _text("l_suppkey").alias("unit"))
+    units = read(spark, sf_dir, "supplier").select(_host(), F.lit("system").alias("scope"), _text("s_suppkey").alias("unit"))
+    failed = read(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_linenumber = 1").select(_host(), F.lit("system").alias("scope"), _text("l_suppkey").alias("unit"))
     return enrich.unit_health(units, failed).select(F.col("unit").cast("long").alias("s_suppkey"), "health")
 
 
@@ -160,9 +165,9 @@ def mount_exec_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey, coalesce(CAST(a.p AS VARCHAR), CAST(b.p AS VARCHAR), '') AS package FROM orders LEFT JOIN own a ON a.k = o_orderkey % 5000 AND o_orderkey % 3 <> 0 LEFT JOIN own b ON b.k = o_custkey""")
 def process_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = lambda c: F.concat(F.lit("/usr/bin/f"), c.cast("string"))
-    files = read(spark, sf_dir, "lineitem").select(HOST, path(F.col("l_partkey")).alias("path"), F.col("l_suppkey").alias("package")).groupBy("host_id", "path").agg(F.min("package").cast("string").alias("package"))
+    files = read(spark, sf_dir, "lineitem").select(_host(), path(F.col("l_partkey")).alias("path"), F.col("l_suppkey").alias("package")).groupBy("host_id", "path").agg(F.min("package").cast("string").alias("package"))
     exe = F.when(F.col("o_orderkey") % 3 == 0, "/usr/bin/python3").otherwise(path(F.col("o_orderkey") % 5000))
-    procs = read(spark, sf_dir, "orders").select(HOST, F.col("o_orderkey").alias("pid"), exe.alias("exe"), F.concat(exe, F.lit(" --run /bin/f"), _text("o_custkey")).alias("command"))
+    procs = read(spark, sf_dir, "orders").select(_host(), F.col("o_orderkey").alias("pid"), exe.alias("exe"), F.concat(exe, F.lit(" --run /bin/f"), _text("o_custkey")).alias("command"))
     return enrich.process_package(procs, files).select(F.col("pid").alias("o_orderkey"), "package")
 
 
@@ -170,8 +175,8 @@ def process_package(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey, concat_ws(', ', CASE WHEN o_custkey IN (SELECT p FROM k) THEN '/d/' || o_custkey END, CASE WHEN o_orderkey % 100 <> o_custkey AND o_orderkey % 100 IN (SELECT p FROM k) THEN '/d/' || (o_orderkey % 100) END) AS arg_files FROM orders""")
 def argument_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = lambda c: F.concat(F.lit("/d/"), c.cast("string"))
-    known = read(spark, sf_dir, "lineitem").where("l_quantity > 48").select(HOST, path(F.col("l_partkey")).alias("path"))
-    procs = read(spark, sf_dir, "orders").select(HOST, F.col("o_orderkey").alias("pid"), F.concat_ws(" ", F.lit("/d/run"), path(F.col("o_custkey")), F.lit("-v"), path(F.col("o_orderkey") % 100)).alias("command"))
+    known = read(spark, sf_dir, "lineitem").where("l_quantity > 48").select(_host(), path(F.col("l_partkey")).alias("path"))
+    procs = read(spark, sf_dir, "orders").select(_host(), F.col("o_orderkey").alias("pid"), F.concat_ws(" ", F.lit("/d/run"), path(F.col("o_custkey")), F.lit("-v"), path(F.col("o_orderkey") % 100)).alias("command"))
     return enrich.argument_files(procs, known).select(F.col("pid").alias("o_orderkey"), "arg_files")
 
 
@@ -181,7 +186,7 @@ CASE WHEN v_ev.event_type = 'view' THEN CASE WHEN process_pid IN (SELECT p_partk
 FROM v_ev LEFT JOIN (SELECT p_partkey, p_name FROM part) n ON n.p_partkey = v_ev.k LEFT JOIN c ON c.k = n.p_name""")
 def event_process_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
-    procs = part.select(HOST, _text("p_partkey").alias("pid"), F.regexp_replace("p_name", " ", "_").alias("command"), F.lit("u").alias("user"), F.lit("").alias("package"))
+    procs = part.select(_host(), _text("p_partkey").alias("pid"), F.regexp_replace("p_name", " ", "_").alias("command"), F.lit("u").alias("user"), F.lit("").alias("package"))
     names = part.select(F.col("p_partkey").alias("k"), F.regexp_replace("p_name", " ", "_").alias("process_name"))
     e = v_ev(spark, sf_dir).drop("process_name").join(names, "k", "left")
     e = e.select("host_id", "event_id", F.when(F.col("event_type") == "view", F.col("process_pid")).alias("process_pid"), F.lit("").alias("process_executable"), F.coalesce("process_name", F.lit("")).alias("process_name"), F.lit("").alias("object_name"), F.lit("").alias("destination_ip"), F.lit(None).cast("long").alias("destination_port"))
@@ -192,16 +197,16 @@ def event_process_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT page_id, CASE WHEN split_part(split_part(url, '://', 2), '/', 2) IN ('en', 'de') THEN split_part(split_part(url, '://', 2), '/', 2) WHEN contains(split_part(url, '://', 2), '/') THEN 'root' END AS owner FROM pages""")
 def under_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages").select(HOST, "page_id", F.concat(F.lit("/w/"), F.regexp_extract("url", r"://[^/]*/(.*)$", 1)).alias("path"))
-    dirs = read(spark, sf_dir, "documents").where("lang IN ('en', 'de')").select(HOST, F.concat(F.lit("/w/"), "lang").alias("dir"), F.col("lang").alias("owner")).distinct()
-    root = read(spark, sf_dir, "region").where("r_regionkey = 0").select(HOST, F.lit("/w").alias("dir"), F.lit("root").alias("owner"))
+    pages = read(spark, sf_dir, "pages").select(_host(), "page_id", F.concat(F.lit("/w/"), F.regexp_extract("url", r"://[^/]*/(.*)$", 1)).alias("path"))
+    dirs = read(spark, sf_dir, "documents").where("lang IN ('en', 'de')").select(_host(), F.concat(F.lit("/w/"), "lang").alias("dir"), F.col("lang").alias("owner")).distinct()
+    root = read(spark, sf_dir, "region").where("r_regionkey = 0").select(_host(), F.lit("/w").alias("dir"), F.lit("root").alias("owner"))
     return enrich.under_directories(pages, dirs.unionByName(root)).select("page_id", "owner")
 
 
 @query("""SELECT o_custkey AS pid, 'd' || (o_orderkey % 7) AS dir, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS n_deleted, array_to_string(list_sort(list_distinct(list('f' || (o_orderkey % 11))))[1:4], ', ') AS names FROM orders GROUP BY 1, 2""")
 def files_by_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
-    files = o.select(HOST, F.col("o_custkey").alias("pid"), F.concat(F.lit("d"), (F.col("o_orderkey") % 7).cast("string"), F.lit("/f"), (F.col("o_orderkey") % 11).cast("string")).alias("path"), F.when(F.col("o_orderstatus") == "F", "yes").otherwise("").alias("deleted"))
+    files = o.select(_host(), F.col("o_custkey").alias("pid"), F.concat(F.lit("d"), (F.col("o_orderkey") % 7).cast("string"), F.lit("/f"), (F.col("o_orderkey") % 11).cast("string")).alias("path"), F.when(F.col("o_orderstatus") == "F", "yes").otherwise("").alias("deleted"))
     return stats.files_by_directory(files).drop("host_id")
 
 
@@ -220,8 +225,8 @@ def advisory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, CAST(CASE WHEN p_size % 5 = 0 THEN 3 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) THEN 3 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS risk FROM part""")
 def process_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("p_size")
-    procs = read(spark, sf_dir, "part").select(HOST, F.col("p_partkey").alias("pid"), F.when(s % 5 == 0, "/tmp/x").otherwise("/usr/bin/x").alias("exe"), F.lit("x -v").alias("command"), F.when(s % 3 == 0, "").otherwise("p").alias("package"), F.when(s % 2 == 0, "root").otherwise("u").alias("user"))
-    socks = read(spark, sf_dir, "lineitem").where("l_quantity = 50").select(HOST, F.col("l_partkey").alias("pid"), F.lit("OPEN (exposed)").alias("exposure"), F.lit("no").alias("external"))
+    procs = read(spark, sf_dir, "part").select(_host(), F.col("p_partkey").alias("pid"), F.when(s % 5 == 0, "/tmp/x").otherwise("/usr/bin/x").alias("exe"), F.lit("x -v").alias("command"), F.when(s % 3 == 0, "").otherwise("p").alias("package"), F.when(s % 2 == 0, "root").otherwise("u").alias("user"))
+    socks = read(spark, sf_dir, "lineitem").where("l_quantity = 50").select(_host(), F.col("l_partkey").alias("pid"), F.lit("OPEN (exposed)").alias("exposure"), F.lit("no").alias("external"))
     return detect.process_risk(procs, socks).select(F.col("pid").alias("p_partkey"), F.col("risk").cast("long").alias("risk"))
 
 
@@ -229,9 +234,9 @@ def process_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE WHEN p_size % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 2 ELSE 0 END + 1 + CASE WHEN p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) THEN 1 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END >= 4 AS is_program FROM part""")
 def program_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
-    apps = part.select(HOST, F.lit("rpm").alias("kind"), F.concat(F.lit("p"), _text("p_partkey")).alias("name"), F.lit("/usr/bin/x").alias("path"))
-    of = lambda cond: part.where(cond).select(HOST, F.concat(F.lit("p"), _text("p_partkey")).alias("name"))
-    required = read(spark, sf_dir, "lineitem").where("l_quantity > 45").select(HOST, F.concat(F.lit("p"), _text("l_partkey")).alias("name"))
+    apps = part.select(_host(), F.lit("rpm").alias("kind"), F.concat(F.lit("p"), _text("p_partkey")).alias("name"), F.lit("/usr/bin/x").alias("path"))
+    of = lambda cond: part.where(cond).select(_host(), F.concat(F.lit("p"), _text("p_partkey")).alias("name"))
+    required = read(spark, sf_dir, "lineitem").where("l_quantity > 45").select(_host(), F.concat(F.lit("p"), _text("l_partkey")).alias("name"))
     found = entities.classify_programs(apps, of("p_size % 2 = 0"), of("false"), of("p_size % 5 = 0"), of("p_size % 3 = 0"), required)
     return found.select(F.substring("name", 2, 20).cast("long").alias("p_partkey"), F.col("score").cast("long").alias("score"), "is_program")
 
@@ -243,7 +248,7 @@ SELECT pid, coalesce(up.s, '') AS ancestors, least(coalesce(down.n, 0), 25) AS n
 def process_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetscope.operators import hierarchy
 
-    socks = read(spark, sf_dir, "orders").select(HOST, F.col("o_custkey").alias("pid"))
+    socks = read(spark, sf_dir, "orders").select(_host(), F.col("o_custkey").alias("pid"))
     closure = hierarchy.ancestors(v_edges(spark, sf_dir), 12)
     found = timeline.process_detail(v_tree(spark, sf_dir), closure, socks, socks.limit(0), v_ev(spark, sf_dir))
     return found.select("pid", "ancestors", "n_children", "n_sockets", "n_events")
@@ -266,9 +271,9 @@ strftime(coalesce((SELECT max(s) FROM l WHERE l.user_id = p.user_id AND s <= p.t
 def origin_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = v_ev(spark, sf_dir)
     week = F.date_trunc("week", "ts")
-    boots = e.select(HOST, week.alias("started")).distinct().withColumn("ended", F.col("started") + F.expr("INTERVAL 7 DAY"))
-    logins = e.where("event_type = 'signup'").select(HOST, F.col("user_id").alias("user"), F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 2 DAY")).alias("until"))
-    procs = e.where("event_type = 'purchase'").select(HOST, F.col("event_id").alias("pid"), F.col("user_id").alias("user"), F.col("ts").alias("start_ts"))
+    boots = e.select(_host(), week.alias("started")).distinct().withColumn("ended", F.col("started") + F.expr("INTERVAL 7 DAY"))
+    logins = e.where("event_type = 'signup'").select(_host(), F.col("user_id").alias("user"), F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 2 DAY")).alias("until"))
+    procs = e.where("event_type = 'purchase'").select(_host(), F.col("event_id").alias("pid"), F.col("user_id").alias("user"), F.col("ts").alias("start_ts"))
     found = graph.origin_spine(procs, logins, boots)
     return found.select("pid", stamp("boot_started").alias("boot_started"), stamp("login_start").alias("login_start"))
 
