@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is named."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetscope-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+from fleetscope.sources.checkpoints import checkpointed
 
 
 def ancestors(edges: DataFrame, max_hops: int = 12, by: Sequence[str] = ("host_id",), child: str = "child", parent: str = "parent") -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetscope.operators.hierarchy import checkpointed
+from fleetscope.sources.checkpoints import checkpointed
 
 
 def activity_history(events: DataFrame, cap: int = 500, by: Sequence[str] = ("host_id",), actor: str = "process_pid", parent: str = "parent_pid", order: Sequence[str] = ("ts", "event_id")) -> DataFrame:

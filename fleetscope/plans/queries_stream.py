@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.operators.hierarchy import shared_folder
 from fleetscope.plans.queries_model import BRUTE, _told
 from fleetscope.plans.registry import query
 from fleetscope.plans.views import V_EV, read
+from fleetscope.sources.checkpoints import shared_folder
 from fleetscope.streaming import streams
 
 
