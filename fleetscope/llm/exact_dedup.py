@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from fleetscope.llm.common import ASCII_UPPER, checkpointed, id_text, shards, text_bytes
+from fleetscope.llm.common import ASCII_UPPER, checkpointed, id_text, shards, slices, text_bytes
 
 SLOTS = 4
 MAX_EVICTIONS = 200
@@ -154,7 +154,8 @@ def keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([digest(x) for x in text_bytes(batch.column("text"))], pa.binary())], ["doc_id", "digest"])
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([digest(x) for x in text_bytes(part.column("text"))], pa.binary())], ["doc_id", "digest"])
 
     return id_text(docs, id_col, text_col).mapInArrow(hashed, "doc_id long, digest binary")
 
@@ -243,6 +244,8 @@ def lookup(index: DataFrame, members: DataFrame) -> DataFrame:
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, digest, keep_id, at_keep, group_size, kept``: a row for each row of ``docs``.
 
+    Rows that share text and largest id are all ``kept``; ``at_keep`` counts them.
+
     The join back is on the key; a hot key's side is split by Spark's skew join.
     """
     members = checkpointed(keys(docs, id_col, text_col))
@@ -262,8 +265,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([digest(x) for x in text_bytes(batch.column(text_col))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "_text_key"])
+            for part in slices(batch, text_col):
+                found = pa.array([digest(x) for x in text_bytes(part.column(text_col))], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, "_text_key"])
 
     schema = StructType([*docs.schema.fields, StructField("_text_key", BinaryType())])
     chosen = checkpointed(chosen.groupBy(F.col("digest").alias("_key"), F.col("doc_id").alias("_id")).agg(F.max("at_keep").alias("_rows")))

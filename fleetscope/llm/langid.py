@@ -4,7 +4,8 @@ A linear one-versus-rest layer predicts the language family first; inside a fami
 one-versus-one linear support vector machines vote for the language. Features are
 hashed byte n-grams of the lower-cased letters, as shares of all n-grams of their
 size, so every length of text is on one scale. The machines are trained by dual
-coordinate descent on a sample of at most ``SAMPLE`` rows a language.
+coordinate descent on a sample of at most ``SAMPLE`` rows a language and about
+``SAMPLE_IN_ALL`` rows in all.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; languages
 outside the family table are families of their own; with nothing to learn from all
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from fleetscope.llm.common import id_text, slices, text_bytes
 from fleetscope.llm.ngrams import LETTERS, hashed, laid_out
 
-SAMPLE = 500
+SAMPLE, SAMPLE_IN_ALL = 500, 6000
 SIZES = (2, 3, 4)
 BUCKETS = 2048
 SCALE = 40.0
@@ -165,6 +166,7 @@ def learn(docs: DataFrame, learn_from, sample: int = SAMPLE, id_col: str = "doc_
     counts = {x["lang"]: x["n"] for x in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
+    sample = max(20, min(sample, SAMPLE_IN_ALL // len(counts)))
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, 1.3 * sample / n))).otherwise(share)
