@@ -148,3 +148,10 @@ def test_url_filter_of_awkward_tables(spark):
     rows = U.judge(twice).collect()
     assert len(rows) == 3 and {(r.page_id, r.rule, r.verdict) for r in rows} == {(1, "net/", "block"), (None, None, "allow")}
     assert U.judge(twice.limit(0)).count() == 0
+
+
+def test_url_filter_is_native(spark):
+    import re
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    assert not re.search(r"Python|Pandas|Arrow", U.score_rows(pages)._jdf.queryExecution().executedPlan().toString())
