@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from fleetscope.llm.common import id_text
 
-SAMPLE = 4000
+SAMPLE = 1500
 BUCKETS = 1 << 14
 LEAST = 0.6
 CONFIRM = 0.8
-ROUNDS = 300
+ROUNDS = 200
 UNKNOWN = "unknown"
 
 #: Sentences that stand for the families; fixed values.
