@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import decontam, exact_dedup, packing, quality, simhash
+from fleetscope.llm import decontam, exact_dedup, nearcopies, packing, quality
 from fleetscope.llm.common import table
 from fleetscope.sources.checkpoints import shared_folder
 
@@ -27,8 +27,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document for each group of near copies: that with the least id."""
-    return simhash.deduplicate(docs)
+    """One document for each group of near copies, which share four fifths of their five-word shingles: that with the least id."""
+    return nearcopies.deduplicate(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
