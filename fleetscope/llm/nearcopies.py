@@ -5,11 +5,12 @@ only) have a Jaccard similarity of ``SIMILARITY`` or more; the links' connected
 components are the groups. No linked pair is missed: whatever the order of all
 shingles, linked texts share one of their first ``n - ceil(0.8 n) + 1``.
 
-Two such orders are used. By hash, over all texts, only these first shingles are
-counted; texts that share none of them are out. Among the others the order is by
-rarity, so what many texts have in common (a notice, a menu) comes last and joins
-nobody; pairs that cannot reach the similarity, by their sizes and the places of
-the shared shingle, are left out, and the rest is verified on the whole sets.
+The order is by hash, but what over ``OFTEN`` texts have in common (a notice, a
+menu) comes last, so that it joins nobody. Beyond ``MOST`` such shingles only the
+more frequent ones count as common, which changes the work and not the result.
+Pairs that cannot reach the similarity, by their sizes and the places of the shared
+shingle, are left out, and the rest is verified on the whole sets, which are made
+anew from the texts, as storing them would take more room than the texts.
 
 A large group is not compared pair by pair. For some rounds, the texts under one
 shingle are compared with one of them, and links are contracted; shingles have
@@ -30,13 +31,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import broadcast_if_small, checkpointed, text_bytes
+from fleetscope.llm.common import broadcast_if_small, checkpointed, slices, text_bytes
 from fleetscope.llm.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 4, 5
 SEED = 42
 STARS, LEADERS = 2, 16
+OFTEN, MOST = 16, 1_000_000
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -62,14 +64,38 @@ def _nodes(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
 
 
-def _by_hash(shingle: int):
-    """Each text's first shingles by hash, one a row."""
+def _each(shingle: int):
+    """Each text's shingles, one a row."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x[: first_ones(len(x))] for x in (shingles(t, shingle) for t in text_bytes(batch.column("text")))]
-            nodes = np.repeat(batch.column("node").to_numpy(), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], ["node", "h"])
+            for part in slices(batch):
+                found = [shingles(t, shingle) for t in text_bytes(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+    return emit
+
+
+def _first(shingle: int, common):
+    """Each text's first shingles and their places, the common ones last."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = common.value
+        for batch in batches:
+            for part in slices(batch):
+                found, sizes, many, places = [], [], [], []
+                for t in text_bytes(part.column("text")):
+                    own = shingles(t, shingle)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                        own = own[np.lexsort((own, np.where(known[at] == own, often[at], 0)))]
+                    n = first_ones(len(own))
+                    found.append(own[:n])
+                    sizes.append(len(own))
+                    many.append(n)
+                    places.append(np.arange(1, n + 1))
+                node = np.repeat(part.column("node").to_numpy(), many)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(np.array(sizes, np.int64), many)), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(places))], ["node", "n", "h", "place"])
 
     return emit
 
@@ -79,30 +105,27 @@ def _whole(shingle: int):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t, shingle).view(np.int64) for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "own"])
+            for part in slices(batch):
+                found = [shingles(t, shingle).view(np.int64) for t in text_bytes(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "own"])
 
     return emit
 
 
-def candidate_sets(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``node, own``: the sets of those texts that share one of their first shingles with another."""
-    texts = _nodes(docs, text_col)
-    first = texts.mapInArrow(_by_hash(shingle), "node long, h long")
+def first_shared(texts: DataFrame, shingle: int = SHINGLE, often: int = OFTEN, most: int = MOST) -> DataFrame:
+    """``node, n, h, place``: each text's size and its first shingles, of those that are first in other texts too."""
+    counts = texts.select("text").mapInArrow(_each(shingle), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("texts"))
+    counts = checkpointed(counts.where(F.col("texts") > often))
+    while counts.count() > most:
+        often *= 2
+        counts = counts.where(F.col("texts") > often)
+    rows = counts.toPandas().astype("int64")
+    known = rows["h"].to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    common = texts.sparkSession.sparkContext.broadcast((known[order], rows["texts"].to_numpy()[order]))
+    first = texts.mapInArrow(_first(shingle, common), "node long, n long, h long, place long")
     shared = checkpointed(first.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("h"))
-    found = checkpointed(first.join(broadcast_if_small(shared), "h").select("node").distinct())
-    return checkpointed(texts.join(broadcast_if_small(found), "node", "left_semi").mapInArrow(_whole(shingle), "node long, own array<long>").dropDuplicates(["node"]))
-
-
-def rare_first(sets: DataFrame) -> DataFrame:
-    """``node, n, h, place``: each text's first shingles by rarity, of those that are in other texts too."""
-    rows = sets.select("node", F.size("own").cast("long").alias("n"), F.explode("own").alias("h"))
-    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    ranked = rows.join(common, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "h"))).alias("s"))
-    over, under = SIMILARITY
-    ahead = F.col("n") - F.size("s")
-    many = F.greatest(F.col("n") - F.expr(f"({over} * n + {under - 1}) div {under}") + 1 - ahead, F.lit(0)).cast("int")
-    return checkpointed(ranked.select("node", "n", ahead.alias("ahead"), F.posexplode(F.slice("s", F.lit(1), many)).alias("k", "x")).select("node", "n", F.col("x.h").alias("h"), (F.col("ahead") + F.col("k") + 1).alias("place")))
+    return checkpointed(first.join(broadcast_if_small(shared), "h").select("node", "n", "h", "place"))
 
 
 def _similar(shared: Column, n: Column, m: Column) -> Column:
@@ -120,9 +143,12 @@ def _side(rows: DataFrame, no: int) -> DataFrame:
     return rows.select("h", *(F.col(c).alias(f"{c}{no}") for c in ("node", "n", "place", "root")))
 
 
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def links(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``a, b``: those pairs (``node1, node2``) whose whole sets are similar."""
-    pairs = pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+    pairs = checkpointed(pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct())
+    nodes = checkpointed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    own = texts.join(broadcast_if_small(nodes), "node", "left_semi").dropDuplicates(["node"])
+    sets = checkpointed(own.mapInArrow(_whole(shingle), "node long, own array<long>"))
     one, two = (sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b")
     return checkpointed(both.where(_similar(F.size(F.array_intersect("own_a", "own_b")), F.size("own_a"), F.size("own_b"))).select("a", "b"))
@@ -130,9 +156,9 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, stars: int = STARS) -> DataFrame:
     """``node, root`` of each text that may link to another: the least node of its component."""
-    sets = candidate_sets(docs, text_col, shingle)
-    first = rare_first(sets)
-    roots = checkpointed(sets.select("node", F.col("node").alias("root")))
+    texts = _nodes(docs, text_col)
+    first = first_shared(texts, shingle)
+    roots = checkpointed(first.select("node", F.col("node").alias("root")).distinct())
     for k in range(stars + 1):
         rows = first.join(roots, "node")
         leader = F.min_by(F.struct("node", "n", "place", "root"), F.xxhash64("node", F.pmod("h", F.lit(LEADERS)), F.lit(k))).alias("x")
@@ -143,7 +169,7 @@ def components(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE,
         if k == stars:
             outside = rows.join(leaders.select("h", F.col("root1").alias("main")), "h").where("root2 <> main").drop("main")
             leaders = outside.select("h", *(F.col(f"{c}2").alias(f"{c}1") for c in ("node", "n", "place", "root")))
-        found = links(leaders.join(rows, "h").where(_may_link()), sets)
+        found = links(leaders.join(rows, "h").where(_may_link()), texts, shingle)
         one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
         step = connected_components(found.join(one, "a").join(two, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
         step = step.select(F.col("node").alias("root"), F.col("root").alias("_to"))
