@@ -3,20 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where none is named (tests, a laptop) a temporary one is set."""
+    """The folder that ``spark.checkpoint.dir`` names, or the context's own checkpoint folder.
+
+    Only with a local master, in tests or on a laptop, a temporary one is made; on a
+    cluster, whose machines do not share those, a missing name is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fleetscope-checkpoint-"))
     return context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written as Parquet to the shared folder and read from there.
+
+    A plan that reads a file knows its size; Spark's estimates for a checkpointed join are
+    products, which become numbers of millions of digits when joins are iterated.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
