@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.sources.checkpoints import shared_folder
+from fleetscope.sources.checkpoints import checkpointed as written
 
 ROWS_PER_FILE, LEAST_FILES = 100_000, 12
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,8 +18,7 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder, its lineage cut. With an estimate of its ``rows``, small tables are written in few files, so that the shuffles after them have few and larger blocks."""
-    shared_folder(df.sparkSession)
-    return (df if rows is None else df.coalesce(shards(rows, ROWS_PER_FILE, LEAST_FILES))).checkpoint(eager=True)
+    return written(df if rows is None else df.coalesce(shards(rows, ROWS_PER_FILE, LEAST_FILES)))
 
 
 def broadcast_if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -67,3 +66,15 @@ def flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def shards(rows: int, per_shard: int, least: int = 1) -> int:
     """How many shards hold ``rows`` rows at ``per_shard`` each."""
     return max(least, -(-rows // per_shard))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until it is no column of ``df`` in any case."""
+    own = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in own:
+            name += "_"
+        own.add(name.lower())
+        found.append(name)
+    return found

@@ -3,14 +3,18 @@
 Words are runs of ASCII letters and digits and of all non-ASCII characters, after
 lower-casing A-Z. A window is ``size`` consecutive words of a benchmark item; an
 item of fewer words is one window. Every window of a document is hashed by a
-rolling hash and looked up in the set; a hit is verified word by word. The set is
-broadcast in blocks of at most ``block`` windows, and a larger benchmark is scanned
-block by block, so what is broadcast never grows beyond that size. Long documents
+rolling hash and looked up in the set; a hit is verified word by word. Long documents
 are scanned in segments that overlap by ``size - 1`` words.
 
+At most ``block`` windows are broadcast at a time. Of a larger benchmark only those
+windows are, whose hashes occur in the documents: the documents' window hashes that pass
+a bit map of fixed size are joined with the windows' by a shuffle. If even these are more
+than one block, blocks follow one another, each with its result written and its
+broadcast freed.
+
 Edge cases: a null text has no words; items without words have no window; an id may
 be null or repeat, each row is judged by itself; an empty table gives an empty
-result; further columns are ignored.
+result; further columns, of any name, stay as they are.
 """
 
 from __future__ import annotations
@@ -19,15 +23,17 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from fleetscope.llm.common import ASCII_UPPER, slices, text_bytes
+from fleetscope.llm.common import ASCII_UPPER, checkpointed, flat, slices, text_bytes, unused
 
 SIZE = 10
 BLOCK = 200_000
+MAP_BITS, PAGE_BITS = 27, 13
 SEGMENT = 1 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -55,9 +61,9 @@ class _Powers:
 _BYTES, _WORDS = _Powers(_BASE), _Powers(_STEP)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of lower-cased texts laid end to end: start, end, hash and text number of each word."""
-    inside = _IS_WORD[data]
+def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lower-cased texts laid end to end: start, end, hash and text number of each run of ``letters``."""
+    inside = letters[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -181,34 +187,67 @@ def scan(windows: WindowSet, texts: list[bytes], size: int) -> list[tuple[int, l
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item_id`` (string), ``window`` (words joined by spaces), each pair once."""
+    """``item_id`` (string), ``window`` (words joined by spaces), ``words``, ``hash``, each pair once."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
+            ids, out, many, marks = [], [], [], []
             for item, text in zip(batch.column("item_id").to_pylist(), text_bytes(batch.column("text"))):
-                own = split_words(text)
-                for k in range(max(1, len(own) - size + 1) if own else 0):
+                data = _LOWER[np.frombuffer(text, dtype=np.uint8)]
+                start, end, mark, _ = words(data, np.array([0, len(data)]))
+                long, low = min(size, len(start)), data.tobytes()
+                for k, h in enumerate(window_hashes(mark, long).tolist() if long else ()):
                     ids.append(item)
-                    out.append(b" ".join(own[k : k + size]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.binary())], ["item_id", "window"])
+                    out.append(b" ".join([low[a:b] for a, b in zip(start[k : k + long].tolist(), end[k : k + long].tolist())]))
+                    many.append(long)
+                    marks.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.binary()), pa.array(many, pa.int64()), pa.array(np.array(marks, np.uint64).view(np.int64))], ["item_id", "window", "words", "hash"])
 
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, "item_id string, window binary").distinct()
+    return rows.mapInArrow(cut, "item_id string, window binary, words long, hash long").distinct()
 
 
-def window_blocks(benchmark: DataFrame, size: int = SIZE, block: int = BLOCK) -> Iterator[WindowSet]:
-    """Window sets of about ``block`` windows at most, which together hold the whole benchmark."""
-    found = benchmark_windows(benchmark, size)
-    blocks = max(1, -(-found.count() // block))
-    for k in range(blocks):
-        part = found if blocks == 1 else found.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
-        yield WindowSet([(x.item_id, bytes(x.window)) for x in part.toLocalIterator()])
+def _bit_map(windows: DataFrame) -> np.ndarray:
+    """Which of the 2^27 leading hash bits some window has; pages of it are made in Spark."""
+    place = F.shiftrightunsigned("hash", 64 - MAP_BITS)
+
+    def page(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << PAGE_BITS, dtype=bool)
+        bits[pdf["place"].to_numpy() & ((1 << PAGE_BITS) - 1)] = True
+        return pd.DataFrame({"page": [pdf["page"].iat[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    pages = windows.select(place.alias("place")).distinct().withColumn("page", F.shiftright("place", PAGE_BITS)).groupBy("page").applyInPandas(page, "page long, bits binary")
+    out = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
+    width = 1 << (PAGE_BITS - 3)
+    for row in pages.toLocalIterator():
+        out[row["page"] * width : (row["page"] + 1) * width] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+    return out
 
 
-def _with_hits(docs: DataFrame, windows: WindowSet, text_col: str, size: int, name: str) -> DataFrame:
-    """``docs`` with a struct of the words, spans and items that one window set finds in each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
+def occurring(docs: DataFrame, windows: DataFrame, text_col: str = "text") -> DataFrame:
+    """Those of the windows whose hash some document's window has."""
+    sizes = [x["words"] for x in windows.select("words").distinct().collect()]
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_map(windows))
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                data, offsets = flat(text_bytes(part.column("text")))
+                _, _, mark, of = words(_LOWER[data], offsets)
+                for size in sizes:
+                    found = window_hashes(mark, size)
+                    found = np.unique(found[of[: len(found)] == of[size - 1 :]]) if len(found) else found
+                    place = found >> np.uint64(64 - MAP_BITS)
+                    found = found[(known[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1 > 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), size)), pa.array(found.view(np.int64))], ["words", "hash"])
+
+    hashes = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(seen, "words long, hash long").distinct()
+    return windows.join(hashes, ["words", "hash"], "left_semi")
+
+
+def _with_hits(docs: DataFrame, shared, text_col: str, size: int, name: str) -> DataFrame:
+    """``docs`` with a struct of the words, spans and items that one broadcast window set finds in each text."""
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,19 +260,32 @@ def _with_hits(docs: DataFrame, windows: WindowSet, text_col: str, size: int, na
     return docs.mapInArrow(look, StructType([*docs.schema.fields, StructField(name, _HITS)]))
 
 
+def _joined(one: Column, two: Column) -> Column:
+    """The hits of two window sets together."""
+    spans = F.array_sort(F.concat(one["spans"], two["spans"]))
+    merged = F.aggregate(spans, F.array().cast("array<struct<start:bigint,end:bigint>>"), lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))))
+    return F.struct(one["n_words"].alias("n_words"), merged.alias("spans"), F.array_sort(F.array_union(one["items"], two["items"])).alias("items"))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = SIZE, block: int = BLOCK, name: str = "hits") -> DataFrame:
     """``docs`` with column ``name``: struct of ``n_words``, ``spans`` (word numbers, end exclusive) and ``items``."""
-    out = docs
-    parts = []
-    for k, windows in enumerate(window_blocks(benchmark, size, block)):
-        out = _with_hits(out, windows, text_col, size, f"_{name}{k}")
-        parts.append(f"_{name}{k}")
-    if len(parts) == 1:
-        return out.withColumnRenamed(parts[0], name)
-    spans = F.array_sort(F.flatten(F.array(*(F.col(f"{p}.spans") for p in parts))))
-    joined = F.aggregate(spans, F.array().cast("array<struct<start:bigint,end:bigint>>"), lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(f"{p}.items") for p in parts)))))
-    return out.withColumn(name, F.struct(F.col(f"{parts[0]}.n_words").alias("n_words"), joined.alias("spans"), items.alias("items"))).drop(*parts)
+    windows = checkpointed(benchmark_windows(benchmark, size))
+    n = windows.count()
+    if n > block:
+        windows = checkpointed(occurring(docs, windows, text_col))
+        n = windows.count()
+    blocks = max(1, -(-n // block))
+    out, (more,) = docs, unused(docs, "more")
+    for k in range(blocks):
+        part = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
+        shared = docs.sparkSession.sparkContext.broadcast(WindowSet([(x.item_id, bytes(x.window)) for x in part.select("item_id", "window").toLocalIterator()]))
+        out = _with_hits(out, shared, text_col, size, more if k else name)
+        if k:
+            out = out.withColumn(name, _joined(F.col(name), F.col(more))).drop(more)
+        if blocks > 1:
+            out = checkpointed(out)
+            shared.destroy()
+    return out
 
 
 def hit_words(hits):
@@ -243,8 +295,8 @@ def hit_words(hits):
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = SIZE) -> DataFrame:
     """The rows of ``docs`` in which no window occurs."""
-    own = docs.columns
-    return find(docs, benchmark, text_col, size, name="_hits").where(F.size("_hits.spans") == 0).select(*(F.col(f"`{c}`") for c in own))
+    own, (hits,) = docs.columns, unused(docs, "hits")
+    return find(docs, benchmark, text_col, size, name=hits).where(F.size(F.col(hits)["spans"]) == 0).select(*(F.col(f"`{c}`") for c in own))
 
 
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -260,13 +312,14 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = SIZE) -> DataFrame:
     """All rows of ``docs``, with the hit words cut out of their texts."""
-    found = find(docs, benchmark, text_col, size, name="_hits")
+    (hits,) = unused(docs, "hits")
+    found = find(docs, benchmark, text_col, size, name=hits)
     schema = docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
-            for k, hit in enumerate(batch.column("_hits").to_pylist()):
+            for k, hit in enumerate(batch.column(hits).to_pylist()):
                 if hit["spans"]:
                     texts[k] = cut_spans(texts[k].encode(), [(x["start"], x["end"]) for x in hit["spans"]]).decode()
             columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in schema.names]

@@ -6,16 +6,19 @@ fingerprints (two candidate buckets of four slots) over a content store that is
 bucketed in the same way and holds the whole 256-bit keys with the text length:
 a filter miss proves a key new, a filter hit is verified against the content of
 its two buckets. An insertion that finds no slot within a bounded number of
-evictions doubles the filter and refills it from the stored keys. A key whose
-last row is deleted leaves filter and store.
+evictions doubles the filter and refills it from the stored keys. Beside the index stands
+a table of the live rows; a deletion takes its row from there, chooses the row that stays
+anew from what is left of the text, and removes a key without live rows from filter and
+store.
 
 Rows of one text can be a third of the table, so each task first passes its rows
 through a local index of the same kind and ships one row a distinct key; a
 shard then sees each key at most once a task. Texts never leave the first scan.
 
 Edge cases: a null text is the empty text; a null id ranks below every other;
-equal rows count each; an empty table gives an empty result; further columns are
-ignored.
+equal rows count each; deleting a row that is not live changes nothing; an empty table
+gives an empty result; further columns, of any name, are ignored, or kept by
+``deduplicate``.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from fleetscope.llm.common import ASCII_UPPER, checkpointed, id_text, shards, slices, text_bytes
+from fleetscope.llm.common import ASCII_UPPER, checkpointed, id_text, shards, slices, text_bytes, unused
 
 SLOTS = 4
 MAX_EVICTIONS = 200
@@ -197,48 +200,65 @@ def _merge_shards(partials: DataFrame, n_shards: int) -> DataFrame:
         out.insert(0, "shard", pdf["shard"].iat[0])
         return out
 
-    shard = F.pmod(F.xxhash64("digest"), F.lit(n_shards)).alias("shard")
-    return partials.select(shard, "digest", "keep_id", "at_keep", "group_size").groupBy("shard").applyInPandas(fold, "shard long, digest binary, keep_id long, at_keep long, group_size long")
+    return partials.select(_shard(n_shards), "digest", "keep_id", "at_keep", "group_size").groupBy("shard").applyInPandas(fold, "shard long, digest binary, keep_id long, at_keep long, group_size long")
 
 
-def update_index(index: DataFrame, n_shards: int, inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
-    """Inserts and deletes rows (``doc_id, digest``) of a built index, insertions first.
+def live_rows(members: DataFrame) -> DataFrame:
+    """``doc_id, digest, n``: how many live rows have this id and text."""
+    return members.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
 
-    A deletion lowers its key's count; the last one removes the key from filter
-    and store. The id that stays is kept while other rows of the text are live:
-    the index stores no list of them.
+
+def _shard(n_shards: int) -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(n_shards)).alias("shard")
+
+
+def update_index(index: DataFrame, live: DataFrame, n_shards: int, inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The index and its live rows after inserting, then deleting rows (``doc_id, digest``).
+
+    Only keys that a change touches are counted anew, and only in their shards.
     """
-    schema = "digest binary, keep_id long, at_keep long, group_size long"
-    changes = index.select("digest", "keep_id", "at_keep", "group_size", F.lit(0).alias("kind"))
-    if inserted is not None:
-        changes = changes.unionByName(inserted.select("doc_id", "digest").mapInArrow(_local, schema).withColumn("kind", F.lit(1)))
-    if deleted is not None:
-        gone = deleted.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
-        changes = changes.unionByName(gone.select("digest", F.lit(LOWEST).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("at_keep"), "group_size", F.lit(2).alias("kind")))
+    schema, nothing = "digest binary, keep_id long, at_keep long, group_size long", live.limit(0).select("doc_id", "digest")
+    changes = [(inserted if inserted is not None else nothing, 1, 0), (deleted if deleted is not None else nothing, 0, 1)]
+    rows = live.select("doc_id", "digest", F.col("n").alias("more"), F.lit(0).cast("long").alias("less"))
+    for table, more, less in changes:
+        rows = rows.unionByName(table.select("doc_id", "digest", F.lit(more).cast("long").alias("more"), F.lit(less).cast("long").alias("less")))
+    rows = rows.groupBy("doc_id", "digest").agg((F.sum("more") - F.sum("less")).alias("n"))
+    live = checkpointed(rows.where("n > 0"))
+    touched = checkpointed(changes[0][0].select("digest").unionByName(changes[1][0].select("digest")).distinct())
+    left = live.join(touched, "digest", "left_semi").groupBy("digest").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(LOWEST)).alias("id"), "n")).alias("x"), F.sum("n").alias("rows"))
+    state = touched.join(left, "digest", "left").select("digest", F.coalesce("x.id", F.lit(LOWEST)).alias("keep_id"), F.coalesce("x.n", F.lit(0)).cast("long").alias("at_keep"), F.coalesce("rows", F.lit(0)).cast("long").alias("group_size"), F.lit(1).alias("kind"))
+    changes = index.select("digest", "keep_id", "at_keep", "group_size", F.lit(0).alias("kind")).unionByName(state)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("kind", kind="stable")
-        state = CuckooIndex(len(pdf))
-        for key, keep_id, at_keep, rows, kind in zip(map(bytes, pdf["digest"]), pdf["keep_id"].tolist(), pdf["at_keep"].tolist(), pdf["group_size"].tolist(), pdf["kind"].tolist()):
-            if kind < 2:
-                state.merge(key, keep_id, at_keep, rows)
-            elif (entry := state.find(key)) is not None:
-                best, at_best, live = state.entries[entry][1]
-                if live <= rows:
-                    state.delete(key)
-                else:
-                    state.entries[entry][1] = (best, at_best, live - rows)
-        out = _packed(state).to_pandas()
+        own = CuckooIndex(len(pdf))
+        for key, value in zip(map(bytes, pdf["digest"]), zip(pdf["keep_id"].tolist(), pdf["at_keep"].tolist(), pdf["group_size"].tolist())):
+            entry = own.find(key)
+            if not value[2]:
+                own.delete(key)
+            elif entry is None:
+                own.insert(key, value)
+            else:
+                own.entries[entry][1] = value
+        out = _packed(own).to_pandas()
         out.insert(0, "shard", pdf["shard"].iat[0])
         return out
 
-    shard = F.pmod(F.xxhash64("digest"), F.lit(n_shards)).alias("shard")
-    return changes.select(shard, "*").groupBy("shard").applyInPandas(fold, "shard long, digest binary, keep_id long, at_keep long, group_size long")
+    return checkpointed(changes.select(_shard(n_shards), "*").groupBy("shard").applyInPandas(fold, f"shard long, {schema}")), live
+
+
+def lookup(index: DataFrame, members: DataFrame, n_shards: int) -> DataFrame:
+    """``doc_id, digest, live`` for rows that may be in the index: each shard's filter answers for the distinct keys, and hits are verified."""
 
+    def ask(live: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        own = CuckooIndex(len(live))
+        for key in live["digest"]:
+            own.insert(bytes(key), None)
+        return wanted[["digest"]].assign(live=[own.may_contain(key) and own.find(key) is not None for key in map(bytes, wanted["digest"])])
 
-def lookup(index: DataFrame, members: DataFrame) -> DataFrame:
-    """``doc_id, digest, live`` for rows that may be in the index."""
-    return members.join(index.select("digest", F.lit(True).alias("found")), "digest", "left").select("doc_id", "digest", F.coalesce("found", F.lit(False)).alias("live"))
+    wanted = members.select("digest").distinct().select(_shard(n_shards), "digest")
+    found = index.select(_shard(n_shards), "digest").groupBy("shard").cogroup(wanted.groupBy("shard")).applyInPandas(ask, "digest binary, live boolean")
+    return members.select("doc_id", "digest").join(found, "digest")
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,17 +281,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Where several rows share text and largest id, one of them stays.
     """
     chosen = decisions(docs, id_col, text_col).where("kept")
-    own = docs.columns
+    own, (text_key, key, id_, rows) = docs.columns, unused(docs, "text_key", "key", "id", "rows")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
                 found = pa.array([digest(x) for x in text_bytes(part.column(text_col))], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, "_text_key"])
+                yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, text_key])
 
-    schema = StructType([*docs.schema.fields, StructField("_text_key", BinaryType())])
-    chosen = checkpointed(chosen.groupBy(F.col("digest").alias("_key"), F.col("doc_id").alias("_id")).agg(F.max("at_keep").alias("_rows")))
-    kept = docs.mapInArrow(keyed, schema).join(chosen, (F.col("_text_key") == F.col("_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
-    single = kept.where("_rows = 1").select(*(F.col(f"`{c}`") for c in own))
-    several = kept.where("_rows > 1").dropDuplicates(["_key"]).select(*(F.col(f"`{c}`") for c in own))
+    schema = StructType([*docs.schema.fields, StructField(text_key, BinaryType())])
+    chosen = checkpointed(chosen.groupBy(F.col("digest").alias(key), F.col("doc_id").alias(id_)).agg(F.max("at_keep").alias(rows)))
+    kept = docs.mapInArrow(keyed, schema).join(chosen, (F.col(text_key) == F.col(key)) & F.col(id_col).cast("long").eqNullSafe(F.col(id_)))
+    single = kept.where(F.col(rows) == 1).select(*(F.col(f"`{c}`") for c in own))
+    several = kept.where(F.col(rows) > 1).dropDuplicates([key]).select(*(F.col(f"`{c}`") for c in own))
     return single.unionByName(several)

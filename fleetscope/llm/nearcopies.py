@@ -1,55 +1,76 @@
-"""Near copies by the exact similarity of their word shingles.
-
-Two texts link if their sets of shingles (XXH64 of five words, lower-casing A-Z
-only) have a Jaccard similarity of ``SIMILARITY`` or more; the links' connected
-components are the groups. No linked pair is missed: whatever the order of all
-shingles, linked texts share one of their first ``n - ceil(0.8 n) + 1``.
-
-The order is by hash, but what over ``OFTEN`` texts have in common (a notice, a
-menu) comes last, so that it joins nobody. Beyond ``MOST`` such shingles only the
-more frequent ones count as common, which changes the work and not the result.
-Pairs that cannot reach the similarity, by their sizes and the places of the shared
-shingle, are left out, and the rest is verified on the whole sets, which are made
-anew from the texts, as storing them would take more room than the texts.
-
-A large group is not compared pair by pair. For some rounds, the texts under one
-shingle are compared with one of them, and links are contracted; shingles have
-``LEADERS`` orders of choosing it, so a group has about as many such texts. Then only
-pairs of texts that still stand in different components are compared, all of them.
-
-Edge cases: a text of at most five words is one shingle; a null or blank text is
-one shingle too, so blank texts link; equal texts link; a null id ranks last.
+"""Near copies: SimHash groups first, then whatever else has similar shingles.
+
+Two texts link if their sets of word shingles (five words, lower-casing A-Z only) have a
+Jaccard similarity of ``SIMILARITY`` or more; the links' connected components are the
+groups. The first candidates are the SimHash components of ``simhash`` (Gray-order index,
+fingerprints of the same shingles): each text is held against the least of its component.
+Fingerprints of texts of that similarity differ in up to some 13 bits, which no lossless
+choice of bands can search, so the links that remain come from a prefix index, which
+misses none: whatever the order of all shingles, linked texts share one of their first
+``n - ceil(0.8 n) + 1``.
+
+The order is by hash, but what many texts have in common (a notice, a menu) comes last,
+so that it joins nobody. Shingles count as common if they stand in two texts of some
+part of a task's texts and in over ``OFTEN`` in all such parts; beyond ``MOST`` of them
+only the more frequent ones. The order changes the work and never the result. Pairs that
+cannot reach the similarity, by their sizes and the places of the shared shingle, are
+left out, and the rest is verified on the whole sets, which are made anew from the texts,
+as storing them would take more room than the texts.
+
+A large group is not compared pair by pair. For ``STARS`` rounds, the texts under one
+shingle are compared with one of them and take over its component. Then only pairs of
+texts that still stand in different components are compared, all of them.
+
+Edge cases: a text of under five words is one shingle; a null or blank text is one
+shingle too, so blank texts link; equal texts link; a null id ranks last; further
+columns, of any name, stay as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import broadcast_if_small, checkpointed, slices, text_bytes
+from fleetscope.llm import simhash
+from fleetscope.llm.common import broadcast_if_small, checkpointed, flat, slices, text_bytes, unused
 from fleetscope.llm.components import connected_components
+from fleetscope.llm.decontam import _LOWER, _WORDS, window_hashes, words
 
 SHINGLE = 5
 SIMILARITY = 4, 5
-SEED = 42
-STARS, LEADERS = 2, 16
-OFTEN, MOST = 16, 1_000_000
-
-
-def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Distinct hashes of the text's word shingles, in ascending order."""
-    words = text.lower().split()
-    line = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(line, SEED)], dtype=np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    of = xxhash.xxh64_intdigest
-    return np.unique(np.array([of(line[a:z], SEED) for a, z in zip([0, *ends[:-1].tolist()], (ends[shingle - 1 :] - 1).tolist())], dtype=np.uint64))
+STARS = 2
+OFTEN, MOST, FLUSH = 16, 1_000_000, 1 << 22
+BROADCAST_SHINGLES = 4_000_000
+_NOT_SPACE = np.ones(256, dtype=bool)
+_NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
+
+
+def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' distinct shingles, ascending in each text, and where each text's begin and end."""
+    data, offsets = flat(texts)
+    _, _, mark, of = words(_LOWER[data], offsets, _NOT_SPACE)
+    first = np.searchsorted(of, np.arange(len(texts) + 1))
+    many = np.diff(first)
+    at = np.arange(max(len(mark) - shingle + 1, 0))
+    at = at[of[at] == of[at + shingle - 1]]
+    # Of a text of too few words, all are one shingle.
+    short = np.flatnonzero(many < shingle)
+    up, down = _WORDS.upto(len(mark) + 1)
+    total = np.r_[np.uint64(0), np.cumsum(mark * up[: len(mark)], dtype=np.uint64)]
+    whole = (total[first[:-1][short] + many[short]] - total[first[:-1][short]]) * down[first[:-1][short]]
+    whole ^= (whole >> np.uint64(31)) ^ (many[short].astype(np.uint64) + np.uint64(1)) << np.uint64(50)
+    h = np.r_[window_hashes(mark, shingle)[at], whole]
+    who = np.r_[of[at], short]
+    order = np.lexsort((h, who))
+    h, who = h[order], who[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
+    return h[new], np.searchsorted(who[new], np.arange(len(texts) + 1))
 
 
 def first_ones(n):
@@ -58,20 +79,32 @@ def first_ones(n):
     return n - (over * n + under - 1) // under + 1
 
 
-def _nodes(docs: DataFrame, text_col: str) -> DataFrame:
+def text_nodes(docs: DataFrame, text_col: str) -> DataFrame:
     """``node, text``: the node of a text is its XXH64."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
 
 
-def _each(shingle: int):
-    """Each text's shingles, one a row."""
+def _often(waiting: list[np.ndarray]) -> pa.RecordBatch:
+    h, texts = np.unique(np.concatenate(waiting), return_counts=True)
+    several = texts > 1
+    return pa.RecordBatch.from_arrays([pa.array(h[several].view(np.int64)), pa.array(texts[several].astype(np.int64))], ["h", "texts"])
+
+
+def _repeated(shingle: int):
+    """Shingles that two texts of some million shingles have, with the number of such texts."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
         for batch in batches:
             for part in slices(batch):
-                found = [shingles(t, shingle) for t in text_bytes(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+                waiting.append(shingle_sets(text_bytes(part.column("text")), shingle)[0])
+                size += len(waiting[-1])
+                if size > FLUSH:
+                    yield _often(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield _often(waiting)
 
     return emit
 
@@ -83,38 +116,36 @@ def _first(shingle: int, common):
         known, often = common.value
         for batch in batches:
             for part in slices(batch):
-                found, sizes, many, places = [], [], [], []
-                for t in text_bytes(part.column("text")):
-                    own = shingles(t, shingle)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                        own = own[np.lexsort((own, np.where(known[at] == own, often[at], 0)))]
-                    n = first_ones(len(own))
-                    found.append(own[:n])
-                    sizes.append(len(own))
-                    many.append(n)
-                    places.append(np.arange(1, n + 1))
-                node = np.repeat(part.column("node").to_numpy(), many)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(np.array(sizes, np.int64), many)), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(places))], ["node", "n", "h", "place"])
+                h, edge = shingle_sets(text_bytes(part.column("text")), shingle)
+                n = np.diff(edge)
+                who = np.repeat(np.arange(len(n)), n)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.lexsort((h, np.where(known[at] == h, often[at], 0), who))]
+                place = np.arange(len(h)) - np.repeat(edge[:-1], n) + 1
+                stays = place <= np.repeat(first_ones(n), n)
+                node = np.asarray(part.column("node"))[who]
+                yield pa.RecordBatch.from_arrays([pa.array(node[stays]), pa.array(n[who][stays]), pa.array(h[stays].view(np.int64)), pa.array(place[stays])], ["node", "n", "h", "place"])
 
     return emit
 
 
-def _whole(shingle: int):
-    """Each text's whole set."""
+def _whole(shingle: int, names: list[str]):
+    """The rows' columns ``names`` and the text's whole set."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found = [shingles(t, shingle).view(np.int64) for t in text_bytes(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "own"])
+                h, edge = shingle_sets(text_bytes(part.column("text")), shingle)
+                own = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), own], [*names, "own"])
 
     return emit
 
 
 def first_shared(texts: DataFrame, shingle: int = SHINGLE, often: int = OFTEN, most: int = MOST) -> DataFrame:
     """``node, n, h, place``: each text's size and its first shingles, of those that are first in other texts too."""
-    counts = texts.select("text").mapInArrow(_each(shingle), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("texts"))
+    counts = texts.select("text").mapInArrow(_repeated(shingle), "h long, texts long").groupBy("h").agg(F.sum("texts").alias("texts"))
     counts = checkpointed(counts.where(F.col("texts") > often))
     while counts.count() > most:
         often *= 2
@@ -125,7 +156,7 @@ def first_shared(texts: DataFrame, shingle: int = SHINGLE, often: int = OFTEN, m
     common = texts.sparkSession.sparkContext.broadcast((known[order], rows["texts"].to_numpy()[order]))
     first = texts.mapInArrow(_first(shingle, common), "node long, n long, h long, place long")
     shared = checkpointed(first.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("h"))
-    return checkpointed(first.join(broadcast_if_small(shared), "h").select("node", "n", "h", "place"))
+    return checkpointed(first.join(broadcast_if_small(shared), "h").groupBy("node", "h").agg(F.first("n").alias("n"), F.first("place").alias("place")))
 
 
 def _similar(shared: Column, n: Column, m: Column) -> Column:
@@ -144,36 +175,72 @@ def _side(rows: DataFrame, no: int) -> DataFrame:
 
 
 def links(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``a, b``: those pairs (``node1, node2``) whose whole sets are similar."""
-    pairs = checkpointed(pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct())
-    nodes = checkpointed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    own = texts.join(broadcast_if_small(nodes), "node", "left_semi").dropDuplicates(["node"])
-    sets = checkpointed(own.mapInArrow(_whole(shingle), "node long, own array<long>"))
-    one, two = (sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in ("a", "b"))
-    both = pairs.join(one, "a").join(two, "b")
-    return checkpointed(both.where(_similar(F.size(F.array_intersect("own_a", "own_b")), F.size("own_a"), F.size("own_b"))).select("a", "b"))
+    """Those of the pairs of nodes ``a, b`` whose whole sets are similar.
+
+    The sets of ``a`` are broadcast if together they are small, and those of ``b`` are made where the texts are.
+    """
+    pairs = checkpointed(pairs.select("a", "b").distinct())
+    leaders = broadcast_if_small(pairs.select(F.col("a").alias("node")).distinct())
+    sets = texts.join(leaders, "node", "left_semi").mapInArrow(_whole(shingle, ["node"]), "node long, own array<long>")
+    sets = checkpointed(sets.groupBy(F.col("node").alias("a")).agg(F.first("own").alias("own_a")))
+    if (sets.agg(F.sum(F.size("own_a"))).first()[0] or 0) <= BROADCAST_SHINGLES:
+        sets = F.broadcast(sets)
+    both = texts.withColumnRenamed("node", "b").join(broadcast_if_small(pairs), "b").select("a", "b", "text")
+    both = both.mapInArrow(_whole(shingle, ["a", "b"]), "a long, b long, own array<long>").join(sets, "a")
+    return checkpointed(both.where(_similar(F.size(F.array_intersect("own_a", "own")), F.size("own_a"), F.size("own"))).select("a", "b").distinct())
+
 
+def _labelled(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``roots``, where each ``b`` of a link takes over an ``a``'s root if it is less. Who has a root, is connected to it."""
+    new = found.join(broadcast_if_small(roots.withColumnRenamed("node", "a")), "a").groupBy(F.col("b").alias("node")).agg(F.min("root").alias("to"))
+    return checkpointed(roots.join(broadcast_if_small(checkpointed(new)), "node", "left").select("node", F.least("root", "to").alias("root")))
 
-def components(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, stars: int = STARS) -> DataFrame:
+
+def _contracted(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``roots`` after all links."""
+    known = broadcast_if_small(checkpointed(connected_components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))).withColumnRenamed("root", "to"))
+    return checkpointed(roots.join(known, "node", "left").select("node", F.coalesce("to", "root").alias("root")))
+
+
+def simhash_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``a, b``: each text's node with the least node of its SimHash component, where they differ."""
+    found = simhash.components(docs, id_col, text_col, shingle)
+    found = checkpointed(found.select("root", F.col("text_hash").alias("b")).distinct())
+    leaders = found.groupBy("root").agg(F.min("b").alias("a"), F.max("b").alias("most")).where("a <> most").select("root", "a")
+    return found.join(broadcast_if_small(checkpointed(leaders)), "root").where("a <> b").select("a", "b")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, stars: int = STARS) -> DataFrame:
     """``node, root`` of each text that may link to another: the least node of its component."""
-    texts = _nodes(docs, text_col)
+    texts = text_nodes(docs, text_col)
     first = first_shared(texts, shingle)
     roots = checkpointed(first.select("node", F.col("node").alias("root")).distinct())
+    every = [links(simhash_pairs(docs, id_col, text_col, shingle), texts, shingle)]
+    roots = _labelled(roots, every[0])
     for k in range(stars + 1):
-        rows = first.join(roots, "node")
-        leader = F.min_by(F.struct("node", "n", "place", "root"), F.xxhash64("node", F.pmod("h", F.lit(LEADERS)), F.lit(k))).alias("x")
-        open_ones = rows.groupBy("h").agg(leader, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h", "x.*")
-        leaders, rows = checkpointed(_side(open_ones, 1)), checkpointed(_side(rows, 2).join(open_ones.select("h"), "h", "left_semi"))
-        if leaders.isEmpty():
+        if k == stars:
+            roots, every = _contracted(roots, reduce(DataFrame.unionByName, every)), []
+        rows = first.join(broadcast_if_small(roots), "node")
+        leader = F.min_by(F.struct("node", "n", "place", "root"), F.xxhash64("node", F.lit(k))).alias("x")
+        # Where two components meet.
+        heads = checkpointed(rows.groupBy("h").agg(leader, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h", "x.*"))
+        if heads.isEmpty():
             break
+        first = checkpointed(first.join(broadcast_if_small(heads.select("h")), "h", "left_semi"))
+        rows = _side(first.join(broadcast_if_small(roots), "node"), 2)
+        if k < stars:
+            met = rows.join(broadcast_if_small(_side(heads, 1)), "h")
+        else:
+            outside = rows.join(broadcast_if_small(heads.select("h", F.col("root").alias("main"))), "h").where("root2 <> main").select("h", *(F.col(f"{c}2").alias(f"{c}1") for c in ("node", "n", "place", "root")))
+            met = rows.join(outside, "h")
+        pairs = met.where(_may_link()).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
         if k == stars:
-            outside = rows.join(leaders.select("h", F.col("root1").alias("main")), "h").where("root2 <> main").drop("main")
-            leaders = outside.select("h", *(F.col(f"{c}2").alias(f"{c}1") for c in ("node", "n", "place", "root")))
-        found = links(leaders.join(rows, "h").where(_may_link()), texts, shingle)
-        one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
-        step = connected_components(found.join(one, "a").join(two, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-        step = step.select(F.col("node").alias("root"), F.col("root").alias("_to"))
-        roots = checkpointed(roots.join(step, "root", "left").select("node", F.coalesce("_to", "root").alias("root")))
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        every.append(links(pairs, texts, shingle))
+        if k < stars:
+            roots = _labelled(roots, every[-1])
+    if every and not every[-1].isEmpty():
+        roots = _contracted(roots, reduce(DataFrame.unionByName, every))
     return roots
 
 
@@ -182,21 +249,19 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows that share that id, one stays.
     """
-    own = docs.columns
-    roots = broadcast_if_small(components(docs, text_col, shingle))
-    keyed = docs.withColumn("_node", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn("_id", F.col(id_col).cast("long"))
-    rows = keyed.groupBy("_node", "_id").agg(F.count(F.lit(1)).alias("_rows")).join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left")
-    rows = checkpointed(rows.withColumn("root", F.coalesce("root", "_node")))
-    rank = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_node").alias("node"))
-    groups = checkpointed(rows.groupBy("root").agg(F.min(rank).alias("x"), F.sum("_rows").alias("many")).where("many > 1"))
-    rows = rows.join(broadcast_if_small(groups), "root").withColumn("_stays", F.col("_id").eqNullSafe(F.col("x.id")) & (F.col("_node") == F.col("x.node")))
+    own, (node, id_, n, i) = docs.columns, unused(docs, "node", "id", "n", "i")
+    roots = broadcast_if_small(components(docs, id_col, text_col, shingle))
+    keyed = docs.withColumn(node, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn(id_, F.col(id_col).cast("long"))
+    rows = keyed.groupBy(F.col(node).alias("node"), F.col(id_).alias("id")).agg(F.count(F.lit(1)).alias("rows"))
+    rows = checkpointed(rows.join(roots, "node", "left").select("node", "id", "rows", F.coalesce("root", "node").alias("root")))
+    rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("node").alias("node"))
+    groups = checkpointed(rows.groupBy("root").agg(F.min(rank).alias("x"), F.sum("rows").alias("many")).where("many > 1"))
+    rows = rows.join(broadcast_if_small(groups), "root").withColumn("stays", F.col("id").eqNullSafe(F.col("x.id")) & (F.col("node") == F.col("x.node")))
     # Rows that go, and those of which one of several equal ones stays.
-    special = checkpointed(rows.where("NOT _stays OR _rows > 1").select(F.col("_node").alias("_n"), F.col("_id").alias("_i"), "_stays"))
-    special = broadcast_if_small(special)
-    same = (F.col("_node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("_i"))
-    kept = keyed.join(special, same, "left_anti")
-    several = special.where("_stays")
-    kept = kept.select(*(F.col(f"`{c}`") for c in own))
+    special = checkpointed(rows.where("NOT stays OR rows > 1").select(F.col("node").alias(n), F.col("id").alias(i), "stays"))
+    same = (F.col(node) == F.col(n)) & F.col(id_).eqNullSafe(F.col(i))
+    kept = keyed.join(broadcast_if_small(special.select(n, i)), same, "left_anti").select(*(F.col(f"`{c}`") for c in own))
+    several = special.where("stays").select(n, i)
     if several.isEmpty():
         return kept
-    return kept.unionByName(keyed.join(several, same, "left_semi").dropDuplicates(["_node", "_id"]).select(*(F.col(f"`{c}`") for c in own)))
+    return kept.unionByName(keyed.join(broadcast_if_small(several), same, "left_semi").dropDuplicates([node, id_]).select(*(F.col(f"`{c}`") for c in own)))

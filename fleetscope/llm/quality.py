@@ -2,23 +2,30 @@
 
 Symbols are the bytes of the text; white space counts as one space, and a word that
 repeats the word before it is one symbol of its own, so that drumming one word does
-not pass for fluent text. The model has orders 1 to ``ORDER``. Its counts, and the
-continuation counts of the lower orders, are tables of n-grams aggregated in Spark
-over all trusted text, and each order's probabilities come from joins of those
-tables on context and suffix. Nothing of the model is broadcast.
-
-Scoring: documents are spread over blocks by a hash of their id. Each block's
-distinct n-grams are looked up by joins against the count tables, shard by shard, and
-come back to the block, where the documents take them up. What is moved is a block's
-distinct n-grams, not its tokens. Log-probabilities per symbol give the perplexity.
-Per language, the trusted documents' quantiles, widened by a margin, are the bounds
-of what is accepted: both what the model finds too surprising and what it finds too
-predictable go. Languages with few trusted documents share the bounds of all.
+not pass for fluent text. The model has orders 1 to ``ORDER``; contexts span words, and
+the tables of the upper orders grow with the corpus. Counts, and the continuation counts
+of the lower orders, are aggregated in Spark over the trusted text of four folds of
+five, and each order's probabilities come from joins of those tables on context and
+suffix. Nothing of the model is broadcast.
+
+Scoring: texts are dealt out, some at a time and in turn, to blocks of about
+``BLOCK_BYTES``, so that neither an id nor a text decides how much a block holds. Each
+block's distinct n-grams are looked up by joins against the count tables, shard by
+shard, and come back to the block, where the documents take them up. What is moved is a
+block's distinct n-grams, not its tokens. Log-probabilities per symbol give the perplexity.
+
+Per language, quantiles of trusted documents, widened by a margin, are the bounds of
+what is accepted: both what the model finds too surprising and what it finds too
+predictable go. Median and upper bound come from the fold that the model has not
+counted, the lower bound from all trusted documents, as the counted ones, and whatever
+repeats them, are the most predictable of clean texts. Languages with under
+``LEAST_TRUSTED`` such documents share the bounds of all.
 
 Edge cases: a text without symbols has no perplexity (null) and is accepted if
 ``accept_empty``; a null or rare language is judged by the bounds of all; without
-trusted text everything is accepted; rows that repeat are scored each; further
-columns are ignored.
+trusted text everything is accepted; with too little for a fold of its own, bounds come
+from what the model has counted; rows that repeat are scored each; further columns, of
+any name, are ignored.
 """
 
 from __future__ import annotations
@@ -32,11 +39,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import LEAST_FILES, ROWS_PER_FILE, broadcast_if_small, checkpointed, flat, id_text, shards, slices, text_bytes
+from fleetscope.llm.common import LEAST_FILES, ROWS_PER_FILE, broadcast_if_small, checkpointed, flat, id_text, shards, slices, text_bytes, unused
 
-ORDER = 4
+ORDER = 6
 REPEAT = 1
-DOCS_PER_BLOCK = 8000
+BLOCK_BYTES, LEAST_BLOCKS, DEALT_BYTES = 32 << 20, 12, 1 << 20
+FOLDS = 5
 FLUSH = 1 << 22
 LOW, HIGH, MARGIN = 0.001, 0.999, 0.15
 PRIOR = 30
@@ -79,16 +87,16 @@ def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def grams(codes: np.ndarray, offsets: np.ndarray, repeated: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram that ends at each symbol (packed, last symbol lowest) and its text; a text's first ones are filled up with spaces. A repeat is a symbol after the word and a space."""
     n = len(codes)
-    packed = np.zeros(n, dtype=np.uint32)
+    packed = np.zeros(n, dtype=np.uint64)
     text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     place = np.arange(n) - offsets[:-1][text_of]
     for back in range(order):
-        symbol = np.full(n, 32, dtype=np.uint32)
+        symbol = np.full(n, 32, dtype=np.uint64)
         symbol[back:] = codes[: n - back] if back else codes
         symbol[place < back] = 32
-        packed |= symbol << np.uint32(8 * back)
+        packed |= symbol << np.uint64(8 * back)
     inner = place > 0
-    again = ((packed[repeated] << np.uint32(16)) | np.uint32(32 << 8 | REPEAT)) & np.uint32((1 << 8 * order) - 1)
+    again = ((packed[repeated] << np.uint64(16)) | np.uint64(32 << 8 | REPEAT)) & np.uint64((1 << 8 * order) - 1)
     return np.r_[packed[inner], again], np.r_[text_of[inner], text_of[repeated]]
 
 
@@ -174,28 +182,22 @@ class KneserNey:
         return out.select("g", F.log(F.coalesce("p", F.col("weight") / F.lit(256.0))).cast("float").alias("logp"))
 
 
-def text_blocks(docs: DataFrame, blocks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` spread over blocks, each row of the result holding some rows of one block, compressed: ``block, payload``."""
-    rows = id_text(docs, id_col, text_col)
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).alias("block"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+def text_blocks(docs: DataFrame, blocks: int, id_col: str = "doc_id", text_col: str = "text", dealt: int = DEALT_BYTES) -> DataFrame:
+    """The rows of ``docs`` dealt out to blocks in turn, each row of the result holding consecutive rows of about ``dealt`` bytes, compressed: ``block, payload``."""
+    rows = id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
+        from pyspark import TaskContext
 
-        press = zstandard.ZstdCompressor(level=3)
+        press, turn = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() * 7
         for batch in batches:
-            of = batch.column("block").to_numpy(zero_copy_only=False)
-            order = np.argsort(of, kind="stable")
-            found, first = np.unique(of[order], return_index=True)
-            payload = []
-            for rows in np.split(order, first[1:]):
+            for part in slices(batch, limit=dealt):
                 sink = pa.BufferOutputStream()
-                own = batch.take(pa.array(rows)).select(["doc_id", "text_hash", "text"])
-                with pa.ipc.new_stream(sink, own.schema) as out:
-                    out.write_batch(own)
-                payload.append(press.compress(sink.getvalue()))
-            if payload:
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(payload, pa.binary())], ["block", "payload"])
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([turn % blocks], pa.int64()), pa.array([press.compress(sink.getvalue())], pa.binary())], ["block", "payload"])
+                turn += 1
 
     return rows.mapInArrow(squeezed, "block long, payload binary").repartition(blocks, "block")
 
@@ -206,12 +208,13 @@ def _opened(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all()
 
 
-def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text", docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
+def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, text_hash, n_symbols, perplexity``, one row for each row of ``docs``.
 
     The texts are moved to their blocks once; the look-ups and the scoring read that one shuffle.
     """
-    blocks = shards(docs.count(), docs_per_block, 24)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    blocks = shards(size, block_bytes, LEAST_BLOCKS)
     rows = text_blocks(docs, blocks, id_col, text_col)
     order = model.order
 
@@ -234,7 +237,7 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text
     looked_up = wanted.join(known, "g").select("block", "g", "logp")
 
     def score(texts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        g, logp = table["g"].to_numpy().astype(np.uint32), table["logp"].to_numpy().astype(np.float64)
+        g, logp = table["g"].to_numpy().astype(np.uint64), table["logp"].to_numpy().astype(np.float64)
         by_g = np.argsort(g)
         g, logp = g[by_g], logp[by_g]
         out = []
@@ -259,18 +262,23 @@ def bounds(scores: DataFrame, low: float = LOW, high: float = HIGH, margin: floa
 
     What is bounded is the log-perplexity's distance from the language's median. A
     short text's distance varies much, so it counts as if ``PRIOR`` symbols at the
-    median belonged to the text.
+    median belonged to the text. Median and upper bound are those of the rows with
+    ``held_back``, if there are enough, the lower bound that of all.
     """
-    trusted = scores.where("trusted AND perplexity IS NOT NULL").select("lang", F.log("perplexity").alias("x"), "n_symbols")
+    trusted = scores.where("trusted AND perplexity IS NOT NULL").select("lang", F.log("perplexity").alias("x"), "n_symbols", "held_back")
     found: dict[str | None, tuple[float, float, float]] = {}
     for by in (["lang"], []):
-        middles = trusted.groupBy(*by).agg(F.percentile_approx("x", 0.5, 20_000).alias("middle"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= (LEAST_TRUSTED if by else 1)).collect()
-        middle = {x["lang"] if by else None: x["middle"] for x in middles}
+        least = LEAST_TRUSTED if by else 1
+        middles = trusted.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if("held_back").alias("m"), F.percentile_approx("x", 0.5, 20_000).alias("all"), F.percentile_approx(F.when(F.col("held_back"), F.col("x")), 0.5, 20_000).alias("held"))
+        middles = {x["lang"] if by else None: x for x in middles.where(F.col("n") >= least).collect()}
+        middle = {lang: x["held"] if x["m"] >= least else x["all"] for lang, x in middles.items()}
         rows = trusted.withColumn("away", away(F.col("x"), by_language(middle, 0.0), F.col("n_symbols")))
-        for x in rows.groupBy(*by).agg(F.percentile_approx("away", [low, high], 20_000).alias("q")).collect():
+        quantiles = rows.groupBy(*by).agg(F.percentile_approx("away", [low, high], 20_000).alias("all"), F.percentile_approx(F.when(F.col("held_back"), F.col("away")), high, 20_000).alias("held"))
+        for x in quantiles.collect():
             lang = x["lang"] if by else None
             if lang in middle and (not by or lang is not None):
-                found[lang] = (middle[lang], x["q"][0] - margin, x["q"][1] + margin)
+                upper = x["held"] if middles[lang]["m"] >= least else x["all"][1]
+                found[lang] = (middle[lang], x["all"][0] - margin, upper + margin)
     return found
 
 
@@ -287,21 +295,28 @@ def away(x: Column, middle: Column, n: Column) -> Column:
     return (x - middle) * n / (n + F.lit(PRIOR))
 
 
+def _held_back(text: Column) -> Column:
+    """The fold that the model doesn't count, chosen by the text, so that its copies are in it too."""
+    return F.pmod(F.xxhash64(text, F.lit(2)), F.lit(FOLDS)) == 0
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", accept_empty: bool = False) -> DataFrame:
     """``doc_id, text_hash, lang, perplexity, away, low, high, accepted`` for each row of ``docs``.
 
-    ``trusted_ids`` (column ``doc_id``) names the trusted documents: the model counts
-    all of them, and the bounds are their quantiles.
+    ``trusted_ids`` (column ``doc_id``) names the trusted documents.
     """
-    trusted = broadcast_if_small(checkpointed(trusted_ids.select(F.col("doc_id").cast("long").alias("_trusted_id")).distinct()))
-    texts = docs.join(trusted, docs[id_col].cast("long") == trusted["_trusted_id"], "left_semi")
-    model = KneserNey(gram_counts(id_text(texts, id_col, text_col)))
-    scores = perplexities(docs, model, id_col, text_col)
-    langs = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_hash"), F.col(lang_col).cast("string").alias("lang"))
-    langs = langs.groupBy("_id", "_hash").agg(F.min("lang").alias("lang"))
-    scores = checkpointed(scores)
-    scores = scores.join(langs, scores.doc_id.eqNullSafe(langs._id) & (scores.text_hash == langs._hash), "left").drop("_id", "_hash")
-    scores = scores.join(trusted, scores.doc_id == trusted["_trusted_id"], "left").withColumn("trusted", F.col("_trusted_id").isNotNull()).drop("_trusted_id")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    trusted = broadcast_if_small(checkpointed(trusted_ids.select(F.col("doc_id").cast("long").alias("trusted_id")).where("trusted_id IS NOT NULL").distinct()))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    texts = texts.join(trusted, texts.doc_id == trusted.trusted_id, "left_semi")
+    model = KneserNey(gram_counts(texts.where(~_held_back(F.col("text")))))
+    if not model.distinct:
+        model = KneserNey(gram_counts(texts))
+    scores = checkpointed(perplexities(docs, model, id_col, text_col))
+    langs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(lang_col).cast("string").alias("lang"), _held_back(text).alias("held_back"))
+    langs = langs.groupBy("id", "hash").agg(F.min("lang").alias("lang"), F.first("held_back").alias("held_back"))
+    scores = scores.join(langs, scores.doc_id.eqNullSafe(langs.id) & (scores.text_hash == langs.hash), "left").drop("id", "hash")
+    scores = scores.join(trusted, scores.doc_id == trusted.trusted_id, "left").withColumn("trusted", F.col("trusted_id").isNotNull()).drop("trusted_id")
     scores = checkpointed(scores)
     if not model.distinct:
         return scores.select("doc_id", "text_hash", "lang", "perplexity", F.lit(None).cast("double").alias("away"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(True).alias("accepted"))
@@ -314,9 +329,9 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
 
 def keep_accepted(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The accepted rows of ``docs``, all columns."""
-    own = docs.columns
-    rejected = classify(docs, trusted_ids, id_col, text_col, lang_col).where("NOT accepted").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    own, (text_hash, id_, hash_) = docs.columns, unused(docs, "text_hash", "id", "hash")
+    rejected = classify(docs, trusted_ids, id_col, text_col, lang_col).where("NOT accepted").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
     rejected = broadcast_if_small(checkpointed(rejected))
-    own_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    kept = docs.withColumn("_text_hash", own_hash).join(rejected, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti")
+    kept = docs.withColumn(text_hash, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = kept.join(rejected, F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.col(text_hash) == F.col(hash_)), "left_anti")
     return kept.select(*(F.col(f"`{c}`") for c in own))

@@ -19,7 +19,8 @@ A group gives the edges of a spanning forest of its links, not all pairs.
 
 Edge cases: a null or empty text has the fingerprint zero, which links like any
 other; a null id never becomes a component's id unless all are null; equal rows
-each get a row; an empty table gives an empty result; further columns are ignored.
+each get a row; an empty table gives an empty result; further columns, of any name,
+are ignored, or kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import LEAST_FILES, ROWS_PER_FILE, checkpointed, id_text, shards, text_bytes
+from fleetscope.llm.common import LEAST_FILES, ROWS_PER_FILE, checkpointed, id_text, shards, slices, text_bytes, unused
 from fleetscope.llm.components import connected_components
 
 RADIUS = 4
@@ -73,9 +74,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column("text"))
-            found = np.array([[fingerprint(x, shingle), xxhash.xxh64_intdigest(x, SEED)] for x in texts], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found[:, 0]), pa.array(found[:, 1])], ["doc_id", "fp", "text_hash"])
+            for part in slices(batch):
+                texts = text_bytes(part.column("text"))
+                found = np.array([[fingerprint(x, shingle), xxhash.xxh64_intdigest(x, SEED)] for x in texts], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found[:, 0]), pa.array(found[:, 1])], ["doc_id", "fp", "text_hash"])
 
     return id_text(docs, id_col, text_col).mapInArrow(marked, "doc_id long, fp long, text_hash long")
 
@@ -331,14 +333,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows that share that id, one stays; null ids rank last.
     """
-    own = docs.columns
+    own, (text_hash, id_, hash_, rows, root) = docs.columns, unused(docs, "text_hash", "id", "hash", "rows", "root")
     first = components(docs, id_col, text_col, shingle, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = first.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
     stays = first.groupBy("root").agg(F.min(F.struct("text_hash", "doc_id", "rows")).alias("x"))
-    stays = checkpointed(stays.select("root", F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"), F.col("x.rows").alias("_rows")))
-    own_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    kept = docs.withColumn("_text_hash", own_hash).join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
-    single = kept.where("_rows = 1").select(*(F.col(f"`{c}`") for c in own))
-    if stays.where("_rows > 1").isEmpty():
+    stays = checkpointed(stays.select(F.col("root").alias(root), F.col("x.doc_id").alias(id_), F.col("x.text_hash").alias(hash_), F.col("x.rows").alias(rows)))
+    kept = docs.withColumn(text_hash, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = kept.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.col(text_hash) == F.col(hash_)))
+    single = kept.where(F.col(rows) == 1).select(*(F.col(f"`{c}`") for c in own))
+    if stays.where(F.col(rows) > 1).isEmpty():
         return single
-    return single.unionByName(kept.where("_rows > 1").dropDuplicates(["root"]).select(*(F.col(f"`{c}`") for c in own)))
+    return single.unionByName(kept.where(F.col(rows) > 1).dropDuplicates([root]).select(*(F.col(f"`{c}`") for c in own)))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fleetscope.llm import exact_dedup as X
 from fleetscope.llm import simhash as H
@@ -58,10 +59,30 @@ def test_exact_dedup_of_nothing(spark):
 
 
 def test_index_inserts_and_deletes(spark):
-    a = X.keys(spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], DOCS))
-    index = X.update_index(X.build_index(a, 4), 4, inserted=X.keys(spark.createDataFrame([(4, "c"), (5, "b")], DOCS)), deleted=X.keys(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], DOCS)))
-    live = {r.doc_id: r.live for r in X.lookup(index, X.keys(spark.createDataFrame([(1, "a"), (3, "B"), (4, "C")], DOCS))).collect()}
-    assert live == {1: False, 3: True, 4: True}
+    rng = random.Random(8)
+    key = lambda t: X.digest(t.encode())
+    rows = [(rng.randrange(30), rng.choice("abcdefgh")) for _ in range(60)]
+    members = X.keys(spark.createDataFrame(rows, DOCS))
+    index, live = X.build_index(members, 4), X.live_rows(members)
+    for _ in range(3):
+        more = [(rng.randrange(40), rng.choice("ABghij")) for _ in range(12)]
+        less = rng.sample(rows, 20) + [(99, "a"), (3, "never")] + [max(r for r in rows if r[1].lower() == t) for t in "cd" if any(r[1].lower() == t for r in rows)]
+        index, live = X.update_index(index, live, 4, inserted=X.keys(spark.createDataFrame(more, DOCS)), deleted=X.keys(spark.createDataFrame(less, DOCS)))
+        rows = rows + more
+        for d, t in less:
+            at = [k for k, r in enumerate(rows) if r[0] == d and r[1].lower() == t.lower()]
+            if at:
+                rows.pop(at[0])
+        want = defaultdict(list)
+        for d, t in rows:
+            want[key(t)].append(d)
+        got = {bytes(r.digest): (r.keep_id, r.at_keep, r.group_size) for r in index.collect()}
+        assert got == {k: (max(v), v.count(max(v)), len(v)) for k, v in want.items()}
+    asked = [(1, "a"), (3, "B"), (4, "never"), (5, "j"), (6, "a")]
+    found = {r.doc_id: r.live for r in X.lookup(index, X.keys(spark.createDataFrame(asked, DOCS)), 4).collect()}
+    assert found == {d: key(t) in want for d, t in asked}
+    gone, live = X.update_index(index, live, 4, deleted=live.select("doc_id", "digest", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")).select("doc_id", "digest"))
+    assert gone.count() == live.count() == 0
 
 
 def components_by_force(fps, ids, radius):
