@@ -19,6 +19,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct()
     edges = checkpointed(edges)
     n, seen = edges.count(), None
+    if not n:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     edges = edges.coalesce(shards(n, ROWS_PER_FILE, LEAST_FILES))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -2,24 +2,27 @@
 
 A page is read into blocks of text, each with the containers it stands in. Every
 container is scored by the text in it, less what is boilerplate or mostly links; the
-best one votes, with the generalised path of tags and classes that leads to it. Votes
+best one votes, with the key of the generalised path of tags and classes that leads to it. Votes
 are added up in Spark by host and path. Then each page is read again and its text
 taken from the containers at its host's winning path, or, where the page has none
 there or they hold no text, from its own best container.
 
 Boilerplate, wherever it stands, is left out: navigation, headers outside the
-article, footers, asides, forms, notices, adverts, share bars, reader comments,
-scripts, styles. White space inside a block becomes one space, blocks are joined by
+article, footers, asides, forms and their buttons, labels and choices, notices, adverts,
+share bars, reader comments, scripts, styles, inside a paragraph too. A page is read
+once, from left to right, and sums go from the inner nodes to the outer ones in one pass,
+so malformed and deeply nested pages take time in proportion to their length. White space inside a block becomes one space, blocks are joined by
 one line feed in page order.
 
 Edge cases: a null or empty page has an empty text; a page without tags is one block;
-ids may be null or repeat, each row is read by itself; a null url belongs to the host
+a tag that never ends is text; ids may be null or repeat, each row is read by itself; a null url belongs to the host
 "" with others of its kind; an empty table gives an empty result; further columns
 are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -37,7 +40,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Blocks that hold text but are no candidates.
 LEAF = frozenset("address blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 hr li option p pre summary".split())
-DROPPED = frozenset("aside button dialog fieldset footer form head iframe input label menu nav noscript object select svg template textarea title".split())
+DROPPED = frozenset("aside button datalist dialog fieldset footer form head iframe input label menu nav noscript object select svg template textarea title".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of class and id names.
 BAD = frozenset("ad ads adsbygoogle advert advertisement adverts advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus discussion footer form gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promos promotion recommended related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split())
@@ -48,18 +51,27 @@ RELATIVE = frozenset("has no with without".split())
 CLOSES_P = BLOCK - {"html", "body", "head", "option", "optgroup", "title"}
 SIBLINGS = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select"), "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
 SIBLINGS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in SIBLINGS.items()}
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S | re.I)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+RAW = frozenset("script style noscript template svg textarea iframe".split())
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>", re.S)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VARYING = re.compile(r"[0-9a-f]*[0-9][0-9a-f]*")
 
 
 class Node:
-    __slots__ = ("bad", "links", "parent", "path", "score", "tag", "text")
+    """A block element: its place in the tree, the key of its path, and the text and linked text in it, first its own, then all."""
 
-    def __init__(self, tag: str, parent: Node | None, path: str, bad: bool):
-        self.tag, self.parent, self.path, self.bad = tag, parent, path, bad
-        self.text = self.links = self.score = 0
+    __slots__ = ("article", "bad", "closed", "depth", "gain", "inside", "links", "parent", "path", "tag", "text")
+
+    def __init__(self, tag: str, parent: Node | None, label: str, bad: bool):
+        self.tag, self.parent, self.bad = tag, parent, bad
+        self.depth = parent.depth + 1 if parent else 0
+        self.path = hashlib.blake2b(f"{parent.path}/{label}".encode(), digest_size=8).hexdigest() if parent else ""
+        self.article = tag in ("article", "main") or bool(parent and parent.article)
+        self.text = self.links = self.gain = 0
+        self.closed = self.inside = False
 
 
 def _names_bad(names: str) -> bool:
@@ -74,11 +86,59 @@ def _names_bad(names: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[Node, str]]:
-    """The text blocks in page order, each with its innermost node."""
+def _strong_names(names: str) -> bool:
+    return any(STRONG & words and not RELATIVE & words for words in ({w.lower() for w in NAME_PART.findall(name)} for name in names.split()))
+
+
+def tokens(page: str) -> Iterator[tuple[str, str | None, bool, str]]:
+    """Text, then the tag after it (None at the end of the page), whether it closes, and its attributes. Comments and elements of raw text are left out."""
+    at = begin = 0
+    quoted, pieces = True, []
+    while True:
+        at = page.find("<", at)
+        if at < 0 or page.find(">", at) < 0 and not page.startswith("<!--", at):
+            break
+        if page.startswith("<!--", at):
+            end = page.find("-->", at)
+            pieces.append(page[begin:at])
+            begin = at = end + 3 if end >= 0 else len(page)
+            continue
+        if page[at + 1 : at + 2] in ("!", "?"):
+            pieces.append(page[begin:at])
+            begin = at = page.find(">", at) + 1
+            continue
+        if not (page[at + 1 : at + 2].isalpha() or page[at + 1 : at + 2] == "/"):
+            at += 1
+            continue
+        found = TAG.match(page, at) if quoted else None
+        if found is None:
+            # A quote that never ends; from here on, quotes mean nothing.
+            found = PLAIN_TAG.match(page, at)
+            quoted = quoted and page[at + 1 : at + 3].lstrip("/")[:1].isalpha() is False
+        if found is None:
+            at += 1
+            continue
+        pieces.append(page[begin:at])
+        begin = at = found.end()
+        tag = found[2].lower()
+        if tag in RAW:
+            if not found[1]:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                begin = at = end.end() if end else len(page)
+            continue
+        yield "".join(pieces), tag, bool(found[1]), found[3]
+        pieces = []
+    pieces.append(page[begin:])
+    yield "".join(pieces), None, False, ""
+
+
+def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
+    """All nodes, outer before inner, and the text blocks in page order, each with its innermost node."""
     root = Node("", None, "", False)
-    node, out, pieces, link = root, [], [], 0
-    linked = 0
+    node, nodes, out, pieces, link, linked = root, [root], [], [], False, 0
+    opened: dict[str, int] = {}
+    # The outermost inline element whose text is left out: its tag, how many of that name are open in it, its block.
+    muted: list | None = None
 
     def close() -> None:
         nonlocal linked
@@ -86,129 +146,123 @@ def blocks(page: str) -> list[tuple[Node, str]]:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
                 out.append((node, text))
-                if not node.bad:
-                    share = min(linked, len(text))
-                    up = node
-                    while up is not None:
-                        up.text += len(text)
-                        up.links += share
-                        up = up.parent
+                if node.bad:
+                    node.gain -= len(text)
+                else:
+                    node.text += len(text)
+                    node.links += min(linked, len(text))
             pieces.clear()
             linked = 0
 
-    at = 0
-    for token in TOKEN.finditer(page):
-        if token.start() > at:
-            piece = page[at : token.start()]
-            pieces.append(piece)
-            if link:
-                linked += len(piece)
-        at = token.end()
-        tag = token[3]
+    def leave(top: Node) -> Node:
+        """Closes the open nodes up to ``top``."""
+        up = node
+        while True:
+            up.closed = True
+            opened[up.tag] -= 1
+            if up is top:
+                return up.parent
+            up = up.parent
+
+    for text, tag, ends, attributes in tokens(page):
+        if text:
+            if muted is None:
+                pieces.append(text)
+                if link:
+                    linked += len(text)
+            elif not text.isspace():
+                node.gain -= len(text)
         if tag is None:
-            continue
-        tag = tag.lower()
-        if tag == "a":
-            link = 0 if token[2] else 1
-            continue
+            break
         if tag == "br":
             pieces.append("\n")
             continue
-        if tag not in BLOCK:
-            continue
-        close()
-        if token[2]:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
-            link = 0
-            continue
-        if tag in CLOSES_P and node.tag == "p":
-            node = node.parent
-        if tag in SIBLINGS:
-            same, stop = SIBLINGS[tag]
-            up = node
-            while up.parent is not None and up.tag not in same and up.tag not in stop:
-                up = up.parent
-            if up.tag in same:
-                node = up.parent
-        if tag in VOID:
+        if muted is not None and tag == muted[0]:
+            muted[1] += -1 if ends else 1
+            if not muted[1]:
+                muted = None
             continue
-        bad, classes = node.bad or tag in DROPPED, ""
-        if tag == "header":
-            up = node
-            while up is not None and up.tag not in ("article", "main"):
-                up = up.parent
-            bad = bad or up is None
-        if token[4] and not token[4].isspace():
-            for name, value in ATTRIBUTE.findall(token[4]):
+        if tag == "a":
+            link = not ends
+        names, bad, classes = [], tag in DROPPED, ""
+        if not ends and attributes and not attributes.isspace():
+            for name, value in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
                 if name == "class":
                     classes = value
-                if tag not in ("html", "body", "main"):
-                    bad = bad or name == "hidden" or name == "role" and value.lower() in ROLES or name in ("class", "id") and _names_bad(value)
+                if name in ("class", "id"):
+                    names.append(value)
+                elif tag not in ("html", "body", "main"):
+                    bad = bad or name == "hidden" or name == "role" and value.lower() in ROLES or name == "style" and bool(UNSEEN.search(value))
+        if tag not in BLOCK:
+            if muted is None and not ends and tag not in VOID and (bad or any(map(_strong_names, names))):
+                muted = [tag, 1, node]
+            continue
+        close()
+        link = False
+        if ends:
+            if opened.get(tag):
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = leave(up)
+        else:
+            if tag in CLOSES_P and node.tag == "p":
+                node = leave(node)
+            if tag in SIBLINGS and any(opened.get(t) for t in SIBLINGS[tag][0]):
+                same, stop = SIBLINGS[tag]
+                up = node
+                while up.parent is not None and up.tag not in same and up.tag not in stop:
+                    up = up.parent
+                if up.tag in same:
+                    node = leave(up)
+        if muted is not None and muted[2].closed:
+            muted = None
+        if ends or tag in VOID:
+            continue
+        bad = bad or node.bad or muted is not None or tag == "header" and not node.article or tag not in ("html", "body", "main") and any(map(_names_bad, names))
         kind = "." + ".".join(sorted(VARYING.sub("#", c.lower()) for c in classes.split())) if classes.strip() else ""
-        node = Node(tag, node, f"{node.path}/{tag}{kind}", bad)
-        link = 0
-    if at < len(page):
-        pieces.append(page[at:])
+        node = Node(tag, node, tag + kind, bad)
+        nodes.append(node)
+        opened[tag] = opened.get(tag, 0) + 1
     close()
-    return out
+    return nodes, out
 
 
-def containers(found: list[tuple[Node, str]]) -> list[Node]:
-    """Candidates with their scores: the text in them that is not mostly links, less the boilerplate in them."""
-    nodes: dict[int, Node] = {}
-    for node, text in found:
-        gain = -len(text) if node.bad else 0
-        up = node
-        while up is not None:
-            if id(up) not in nodes:
-                nodes[id(up)] = up
-            up.score += gain
-            up = up.parent
-    out = []
-    for node in nodes.values():
-        if node.bad or node.tag in LEAF or not node.text:
-            continue
-        node.score += node.text - 2 * node.links
-        node.score *= 1.2 if node.score > 0 and node.tag in ("article", "main") else 1
-        out.append(node)
-    return out
+def best_container(nodes: list[Node]) -> Node | None:
+    """The container with the largest score, the text in it that is not mostly links, less the boilerplate in it; of equals the innermost."""
+    for node in reversed(nodes):
+        if node.parent is not None:
+            up = node.parent
+            up.text, up.links, up.gain = up.text + node.text, up.links + node.links, up.gain + node.gain
 
+    def score(node: Node) -> float:
+        own = node.gain + node.text - 2 * node.links
+        return own * 1.2 if own > 0 and node.tag in ("article", "main") else own
 
-def best_container(found: list[tuple[Node, str]]) -> Node | None:
-    """The container with the largest score; of equals the innermost."""
-    return max(containers(found), key=lambda x: (x.score, x.path.count("/")), default=None)
+    return max((x for x in nodes if x.text and not x.bad and x.tag not in LEAF), key=lambda x: (score(x), x.depth), default=None)
 
 
 def text_of(page: str, path: str | None) -> str:
     """Text at ``path``, else in the page's best container."""
-    found = blocks(page)
-    chosen = []
-    if path is not None:
-        chosen = [text for node, text in found if not node.bad and (node.path == path or node.path.startswith(path + "/"))]
-    if not chosen:
-        best = best_container(found)
-        if best is not None:
-            chosen = [text for node, text in found if not node.bad and _within(node, best)]
+    nodes, found = blocks(page)
+    chosen: list[str] = []
+    for best in (path, None):
+        best = best_container(nodes) if best is None else best
+        for node in nodes:
+            node.inside = node is best or node.path == best or bool(node.parent and node.parent.inside)
+        chosen = [text for node, text in found if node.inside and not node.bad]
+        if chosen:
+            break
     return "\n".join(chosen)
 
 
-def _within(node: Node | None, top: Node) -> bool:
-    while node is not None and node is not top:
-        node = node.parent
-    return node is top
-
-
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, path``: the path with most votes of a host's pages; of equals that with most text, then the first by name."""
+    """``host, path``: the key of the path with most votes of a host's pages; of equals that with most text, then the least key."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = [best_container(blocks(x)) if x else None for x in batch.column("html").to_pylist()]
+            best = [best_container(blocks(x)[0]) if x else None for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([b.path if b else None for b in best], pa.string()), pa.array([b.text if b else 0 for b in best], pa.int64())], ["host", "path", "chars"])
 
     rows = pages.select(parts(F.col(url_col))[0].alias("host"), F.col(html_col).cast("string").alias("html"))

@@ -5,7 +5,8 @@ one-versus-one linear support vector machines vote for the language. Features ar
 hashed byte n-grams of the lower-cased letters, as shares of all n-grams of their
 size, so every length of text is on one scale. The machines are trained by dual
 coordinate descent on a sample of at most ``SAMPLE`` rows a language and about
-``SAMPLE_IN_ALL`` rows in all.
+``SAMPLE_IN_ALL`` rows in all, those with the least hashes, of the ``LANGS`` languages
+with most rows.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; languages
 outside the family table are families of their own; with nothing to learn from all
@@ -15,19 +16,19 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.llm.common import id_text, slices, text_bytes
 from fleetscope.llm.ngrams import LETTERS, hashed, laid_out
 
-SAMPLE, SAMPLE_IN_ALL = 500, 6000
+SAMPLE, SAMPLE_IN_ALL, LANGS = 500, 6000, 200
 SIZES = (2, 3, 4)
 BUCKETS = 2048
 SCALE = 40.0
@@ -42,7 +43,7 @@ FAMILIES = {
     "semitic": "ar he mt am",
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def features(texts: list[bytes]) -> np.ndarray:
@@ -163,28 +164,29 @@ class Hierarchy:
 def learn(docs: DataFrame, learn_from, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy | None:
     """The hierarchy from rows where ``learn_from`` holds; some ``sample`` rows a language, chosen by a hash of the id."""
     rows = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {x["lang"]: x["n"] for x in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
+    counts = {x["lang"]: x["n"] for x in counts.collect()}
     if not counts:
         return None
     sample = max(20, min(sample, SAMPLE_IN_ALL // len(counts)))
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, 1.3 * sample / n))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 20)) < share * (1 << 20))
-    chosen = chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rank = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(3))
+    chosen = rows.where(F.pmod(rank, F.lit(1 << 20)) < share * (1 << 20))
+    chosen = chosen.select(F.col(lang_col).cast("string").alias("lang"), F.pmod(rank, F.lit(1 << 20)).alias("rank"), F.col(text_col).cast("string").alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=1 << 18):
-                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([v.tobytes() for v in features(text_bytes(part.column("text"))).astype(np.float16)], pa.binary())], ["lang", "v"])
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("rank"), pa.array([v.tobytes() for v in features(text_bytes(part.column("text"))).astype(np.float16)], pa.binary())], ["lang", "rank", "v"])
 
-    found: dict[str, list[bytes]] = {}
-    for row in chosen.mapInArrow(vectors, "lang string, v binary").toLocalIterator():
-        own = found.setdefault(row["lang"], [])
-        if len(own) < sample:
-            own.append(bytes(row["v"]))
+    found: dict[str, list[tuple[int, bytes]]] = {}
+    for row in chosen.mapInArrow(vectors, "lang string, rank long, v binary").toLocalIterator():
+        found.setdefault(row["lang"], []).append((row["rank"], bytes(row["v"])))
+    found = {lang: sorted(own)[:sample] for lang, own in found.items()}
     langs = [lang for lang in sorted(found) for _ in found[lang]]
-    x = np.stack([np.frombuffer(v, dtype=np.float16) for lang in sorted(found) for v in sorted(found[lang])]).astype(np.float32)
+    x = np.stack([np.frombuffer(v, dtype=np.float16) for lang in sorted(found) for _, v in found[lang]]).astype(np.float32)
     return Hierarchy(x, langs)
 
 

@@ -2,8 +2,8 @@
 
 Two texts link if their sets of word shingles (five words, lower-casing A-Z only) have a
 Jaccard similarity of ``SIMILARITY`` or more; the links' connected components are the
-groups. The first candidates are the SimHash components of ``simhash`` (Gray-order index,
-fingerprints of the same shingles): each text is held against the least of its component.
+groups. The first candidates are the links of ``simhash`` (Gray-order index, fingerprints
+of the same shingles).
 Fingerprints of texts of that similarity differ in up to some 13 bits, which no lossless
 choice of bands can search, so the links that remain come from a prefix index, which
 misses none: whatever the order of all shingles, linked texts share one of their first
@@ -37,13 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.llm import simhash
-from fleetscope.llm.common import broadcast_if_small, checkpointed, flat, slices, text_bytes, unused
+from fleetscope.llm.common import LEAST_FILES, ROWS_PER_FILE, broadcast_if_small, checkpointed, flat, shards, slices, text_bytes, unused
 from fleetscope.llm.components import connected_components
 from fleetscope.llm.decontam import _LOWER, _WORDS, window_hashes, words
 
 SHINGLE = 5
 SIMILARITY = 4, 5
-STARS = 2
+STARS = 1
 OFTEN, MOST, FLUSH = 16, 1_000_000, 1 << 22
 BROADCAST_SHINGLES = 4_000_000
 _NOT_SPACE = np.ones(256, dtype=bool)
@@ -180,6 +180,8 @@ def links(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFra
     The sets of ``a`` are broadcast if together they are small, and those of ``b`` are made where the texts are.
     """
     pairs = checkpointed(pairs.select("a", "b").distinct())
+    if pairs.isEmpty():
+        return pairs
     leaders = broadcast_if_small(pairs.select(F.col("a").alias("node")).distinct())
     sets = texts.join(leaders, "node", "left_semi").mapInArrow(_whole(shingle, ["node"]), "node long, own array<long>")
     sets = checkpointed(sets.groupBy(F.col("node").alias("a")).agg(F.first("own").alias("own_a")))
@@ -203,11 +205,14 @@ def _contracted(roots: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def simhash_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``a, b``: each text's node with the least node of its SimHash component, where they differ."""
-    found = simhash.components(docs, id_col, text_col, shingle)
-    found = checkpointed(found.select("root", F.col("text_hash").alias("b")).distinct())
-    leaders = found.groupBy("root").agg(F.min("b").alias("a"), F.max("b").alias("most")).where("a <> most").select("root", "a")
-    return found.join(broadcast_if_small(checkpointed(leaders)), "root").where("a <> b").select("a", "b")
+    """``a, b``: texts (nodes) whose SimHash fingerprints are equal or linked, a spanning forest of these links."""
+    marked = checkpointed(simhash.fingerprints(docs, id_col, text_col, shingle).select("fp", F.col("text_hash").alias("node")))
+    heads = checkpointed(marked.groupBy("fp").agg(F.min("node").alias("a"), F.max("node").alias("most")))
+    n = heads.count()
+    edges = simhash.link_edges(heads.select("fp").coalesce(shards(n, ROWS_PER_FILE // 10, LEAST_FILES)), n).select(F.col("a").alias("one"), F.col("b").alias("two"))
+    one, two = (heads.select(F.col("fp").alias(fp), F.col("a").alias(name)) for fp, name in (("one", "b"), ("two", "a")))
+    equal = marked.join(broadcast_if_small(heads.where("a <> most").select("fp", "a")), "fp").where("a <> node").select("a", F.col("node").alias("b"))
+    return edges.join(broadcast_if_small(one), "one").join(broadcast_if_small(two), "two").select("a", "b").unionByName(equal)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, stars: int = STARS) -> DataFrame:

@@ -6,7 +6,8 @@ not pass for fluent text. The model has orders 1 to ``ORDER``; contexts span wor
 the tables of the upper orders grow with the corpus. Counts, and the continuation counts
 of the lower orders, are aggregated in Spark over the trusted text of four folds of
 five, and each order's probabilities come from joins of those tables on context and
-suffix. Nothing of the model is broadcast.
+suffix. Of the model only the orders up to ``LOCAL`` are broadcast, which have at most 2^24
+n-grams whatever the corpus.
 
 Scoring: texts are dealt out, some at a time and in turn, to blocks of about
 ``BLOCK_BYTES``, so that neither an id nor a text decides how much a block holds. Each
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.llm.common import LEAST_FILES, ROWS_PER_FILE, broadcast_if_small, checkpointed, flat, id_text, shards, slices, text_bytes, unused
 
-ORDER = 6
+ORDER, LOCAL = 6, 3
 REPEAT = 1
 BLOCK_BYTES, LEAST_BLOCKS, DEALT_BYTES = 32 << 20, 12, 1 << 20
 FOLDS = 5
@@ -131,47 +132,90 @@ def _prefix(g: str) -> Column:
     return F.shiftright(F.col(g), 8)
 
 
+def _discounts(n: dict[int, int]) -> tuple[float, float, float]:
+    """Chen and Goodman's three discounts from the counts of counts; 0.5, 1, 1.5 where these are too few."""
+    if not all(n.get(k) for k in (1, 2, 3, 4)):
+        return 0.5, 1.0, 1.5
+    y = n[1] / (n[1] + 2 * n[2])
+    return tuple(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05 * k), 0.95 * k) for k in (1, 2, 3))
+
+
+class LowerOrders:
+    """Probabilities of the orders up to ``LOCAL`` from the counts of the highest of them: at most 2^24 n-grams, whatever the corpus."""
+
+    def __init__(self, g: np.ndarray, n: np.ndarray, order: int):
+        levels = {order: (g, n)}
+        for k in range(order - 1, 0, -1):
+            levels[k] = np.unique(levels[k + 1][0] & ((1 << 8 * k) - 1), return_counts=True)
+        self.order, self.known, self.p, self.weight = order, {}, {}, {}
+        for k in range(1, order + 1):
+            g, n = levels[k]
+            cut = np.array(_discounts({c: int((n == c).sum()) for c in (1, 2, 3, 4)}))[np.minimum(n, 3) - 1]
+            context, of = np.unique(g >> 8, return_inverse=True)
+            total, freed = np.bincount(of, weights=n, minlength=len(context)), np.bincount(of, weights=cut, minlength=len(context))
+            self.weight[k] = np.ones(1 << 8 * (k - 1))
+            self.weight[k][context] = freed / np.maximum(total, 1)
+            self.p[k] = (n - cut) / total[of] + self.weight[k][g >> 8] * self.look_up(g, k - 1)
+            self.known[k] = g
+
+    def look_up(self, g: np.ndarray, order: int | None = None) -> np.ndarray:
+        """The probability of each n-gram's last ``order`` symbols."""
+        order = self.order if order is None else order
+        if not order:
+            return np.full(len(g), 1 / 256)
+        g = g & ((1 << 8 * order) - 1)
+        out = self.weight[order][g >> 8] * self.look_up(g, order - 1)
+        known = self.known[order]
+        if len(known):
+            at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+            out = np.where(known[at] == g, self.p[order][at], out)
+        return out
+
+
 class KneserNey:
-    """Tables ``p[k]`` (n-gram, probability) and ``backoff[k]`` (context, weight) for orders 1 to ``order``."""
+    """Tables ``p[k]`` (n-gram, probability) and ``backoff[k]`` (context, weight) of the orders over ``LOCAL``, and the ``lower`` ones."""
 
     def __init__(self, counts: DataFrame, order: int = ORDER):
-        self.order = order
+        self.order, self.local = order, min(LOCAL, order)
         levels = {order: checkpointed(counts)}
         n = self.distinct = levels[order].count()
         levels[order] = levels[order].coalesce(shards(n, ROWS_PER_FILE, LEAST_FILES))
-        for k in range(order - 1, 0, -1):
-            levels[k] = checkpointed(levels[k + 1].groupBy(_suffix("g", k).alias("g")).agg(F.count(F.lit(1)).alias("n")), n)
+        for k in range(order - 1, self.local - 1, -1):
+            levels[k] = levels[k + 1].groupBy(_suffix("g", k).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+            if k > self.local:
+                levels[k] = checkpointed(levels[k], n)
+        rows = levels[self.local].toPandas().sort_values("g")
+        self.lower = counts.sparkSession.sparkContext.broadcast(LowerOrders(rows["g"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), self.local))
         self.p: dict[int, DataFrame] = {}
         self.backoff: dict[int, DataFrame] = {}
-        lower = None
-        for k in range(1, order + 1):
-            d1, d2, d3 = self._discounts(levels[k])
+        for k in range(self.local + 1, order + 1):
+            d1, d2, d3 = _discounts({x["n"]: x["m"] for x in levels[k].where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()})
             cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
             rows = levels[k].select("g", _prefix("g").alias("context"), _suffix("g", k - 1).alias("suffix"), "n", cut.alias("cut"))
             total = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
             self.backoff[k] = checkpointed(total.select("context", "total", (F.col("freed") / F.col("total")).alias("weight")), n)
-            own = (F.col("n") - F.col("cut")) / F.col("total")
-            joined = rows.join(self.backoff[k], "context")
-            if lower is None:
-                self.p[k] = checkpointed(joined.select("g", (own + F.col("weight") / F.lit(256.0)).alias("p")), n)
+            own = ((F.col("n") - F.col("cut")) / F.col("total")).alias("own")
+            joined = rows.join(self.backoff[k], "context").select("g", "suffix", own, "weight")
+            if k == self.local + 1:
+                below = joined.mapInArrow(self._lower("suffix", "below"), "g long, suffix long, own double, weight double, below double")
             else:
-                below = lower.select(F.col("g").alias("suffix"), F.col("p").alias("below"))
-                self.p[k] = checkpointed(joined.join(below, "suffix").select("g", (own + F.col("weight") * F.col("below")).alias("p")), n)
-            lower = self.p[k]
-
-    @staticmethod
-    def _discounts(level: DataFrame) -> tuple[float, float, float]:
-        """Chen and Goodman's three discounts from the counts of counts; 0.5, 1, 1.5 where these are too few."""
-        n = {x["n"]: x["m"] for x in level.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()}
-        if not all(n.get(k) for k in (1, 2, 3, 4)):
-            return 0.5, 1.0, 1.5
-        y = n[1] / (n[1] + 2 * n[2])
-        return tuple(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05 * k), 0.95 * k) for k in (1, 2, 3))
+                below = joined.join(self.p[k - 1].select(F.col("g").alias("suffix"), F.col("p").alias("below")), "suffix")
+            self.p[k] = checkpointed(below.select("g", (F.col("own") + F.col("weight") * F.col("below")).alias("p")), n)
+
+    def _lower(self, of: str, name: str):
+        """Adds the lower orders' probability of the n-grams in column ``of``."""
+        lower = self.lower
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lower.value.look_up(batch.column(of).to_numpy()))], [*batch.schema.names, name])
+
+        return look
 
     def log_probability(self, wanted: DataFrame) -> DataFrame:
         """``g, logp`` for distinct n-grams ``g``: the longest known suffix's probability, times the back-off weights of the longer contexts."""
         out = wanted.select("g", F.lit(1.0).alias("weight"), F.lit(None).cast("double").alias("p"))
-        for k in range(self.order, 0, -1):
+        for k in range(self.order, self.local, -1):
             here = self.p[k].select(F.col("g").alias("known"), F.col("p").alias("found"))
             back = self.backoff[k].select("context", F.col("weight").alias("back"))
             out = out.withColumn("own", _suffix("g", k)).withColumn("context", F.shiftright("own", 8))
@@ -179,7 +223,8 @@ class KneserNey:
             settled = F.coalesce("p", F.col("found") * F.col("weight"))
             weight = F.when(settled.isNull(), F.col("weight") * F.coalesce("back", F.lit(1.0))).otherwise(F.col("weight"))
             out = out.select("g", weight.alias("weight"), settled.alias("p"))
-        return out.select("g", F.log(F.coalesce("p", F.col("weight") / F.lit(256.0))).cast("float").alias("logp"))
+        out = out.mapInArrow(self._lower("g", "below"), "g long, weight double, p double, below double")
+        return out.select("g", F.log(F.coalesce("p", F.col("weight") * F.col("below"))).cast("float").alias("logp"))
 
 
 def text_blocks(docs: DataFrame, blocks: int, id_col: str = "doc_id", text_col: str = "text", dealt: int = DEALT_BYTES) -> DataFrame:

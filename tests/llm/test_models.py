@@ -76,10 +76,25 @@ def test_main_text(spark):
     assert [got[k] for k in range(3)] == [want] * 3
     assert got[10] == "short" and got[11] == "" and got[12] == "" and got[13] == "just text" and got[None] == "a\nb"
     paths = {r.host: r.path for r in M.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert paths["a.example"] == "/html/body/main/article.post-#"
+    assert paths["a.example"] == next(x.path for x in M.blocks(PAGE)[0] if x.tag == "article")
     assert M.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_without_inline_boilerplate():
+    page = '<body><nav>menu</nav><article><p>First <b>bold</b> text, long enough.</p><button>Buy</button><label>Name <b>x</b></label><select><option>One</select><p>More <span class="ad">AD <span>x</span></span> text <i hidden>no</i> here.<p>Last <em>one</em></article><form>f</form>'
+    assert M.text_of(page, None) == "First bold text, long enough.\nMore text here.\nLast one"
+    assert M.text_of("<article><p>kept <button>gone</p><p>after the block</article>", None) == "kept\nafter the block"
+
+
+def test_malformed_pages_take_linear_time():
+    from time import perf_counter
+
+    for page in ("<a " * 350_000, "<div>word " * 100_000, "<a '" * 100_001 + ">", "<div>" * 50_000 + "<tr></tr>" * 50_000, "<div>" * 50_000 + "x</span></b>" * 50_000, "<p class='" * 100_000, "< " * 300_000 + ">"):
+        began = perf_counter()
+        M.text_of(page, None)
+        assert perf_counter() - began < 10
+
+
 def judge_by_force(urls):
     from math import log
 
