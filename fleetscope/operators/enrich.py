@@ -311,20 +311,25 @@ def config_owner_services(configs: DataFrame, processes: DataFrame) -> DataFrame
     return configs.where("path LIKE '/etc/%/%' AND user_owned = 'yes'").withColumn("service", F.split("path", "/")[2]).join(roots, ["host_id", "service"])
 
 
-def nearest_name(wanted: DataFrame, names: DataFrame, key: str, name: str, block: int = 3, apart: int = 4) -> DataFrame:
-    """``key, match``: the equal name, else one of which either is the other's beginning, at most ``apart`` characters apart; the nearest, then the first."""
-    left = wanted.select(F.col(key)).where(~blank(F.col(key))).distinct().withColumn("_block", F.substring(key, 1, block))
-    right = names.select(F.col(name).alias("match")).where(~blank(F.col("match"))).distinct().withColumn("_block", F.substring("match", 1, block))
+def nearest_name(wanted: DataFrame, names: DataFrame, key: str, name: str, apart: int = 4) -> DataFrame:
+    """``key, match``: the equal name, else one of which either is the other's beginning, at most ``apart`` characters apart; the nearest, then the first.
+
+    Beginnings of up to ``apart`` characters less are joined by equality with the other side's whole names.
+    """
+    left = wanted.select(F.col(key)).where(~blank(F.col(key))).distinct()
+    right = names.select(F.col(name).alias("match")).where(~blank(F.col("match"))).distinct()
+    begins = lambda c: F.explode(F.transform(F.sequence(F.greatest(F.length(c) - apart, F.lit(1)), F.length(c)), lambda n: F.left(F.col(c), n))).alias("_begin")
+    shorter = left.select(key, begins(key)).join(right.withColumn("_begin", F.col("match")), "_begin")
+    longer = right.select("match", begins("match")).join(left.withColumn("_begin", F.col(key)), "_begin")
+    hits = shorter.select(key, "match").unionByName(longer.select(key, "match"))
     gap = F.abs(F.length(key) - F.length("match"))
-    near = F.col(key).startswith(F.col("match")) | F.col("match").startswith(F.col(key))
-    hits = left.join(right, "_block").where(near & (gap <= apart))
     return hits.groupBy(key).agg(F.min(F.struct(gap.alias("gap"), "match")).alias("b")).select(key, F.col("b.match").alias("match"))
 
 
-def under_directories(rows: DataFrame, dirs: DataFrame, path: str = "path", by: Sequence[str] = ("host_id",), most: int = 24) -> DataFrame:
+def under_directories(rows: DataFrame, dirs: DataFrame, path: str = "path", by: Sequence[str] = ("host_id",)) -> DataFrame:
     """Rows with the deepest directory of ``dirs`` (``dir, owner``) above their path: paths' ancestors are exploded into an equi-join."""
     parts = F.split(path, "/")
-    ups = F.transform(F.sequence(F.lit(1), F.least(F.size(parts) - 1, F.lit(most))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    ups = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     hits = rows.select(*by, path, F.explode(F.array_distinct(ups)).alias("dir")).where("dir <> ''").join(dirs.select(*by, "dir", "owner").distinct(), [*by, "dir"])
     best = hits.groupBy(*by, path).agg(F.max_by("owner", F.struct(F.length("dir"), "owner")).alias("owner"))
     return rows.join(best, [*by, path], "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,25 +50,28 @@ def descendants(edges: DataFrame, depth: int = 2, fanout: int = 12, by: Sequence
     return out
 
 
-def forest(nodes: DataFrame, sort: Column, by: Sequence[str] = ("host_id",), node: str = "pid", parent: str = "ppid", max_depth: int = 24) -> DataFrame:
+def forest(nodes: DataFrame, sort: Column, by: Sequence[str] = ("host_id",), node: str = "pid", parent: str = "ppid") -> DataFrame:
     """``depth`` and ``path`` of each node from its root; ordering by ``path`` is a depth-first walk, siblings by ``sort``.
 
-    A node is a root if its parent is absent or itself; those on a cycle hang from none and come as roots too.
+    A node is a root if its parent is absent or itself; those on a cycle, or below one, are never reached and come as roots
+    too. Levels are walked until one is empty.
     """
-    own = nodes.select("*", F.concat(sort, F.lit(" "), F.lpad(F.col(node).cast("string"), 12, "0")).alias("_key"))
+    text = F.col(node).cast("string")
+    padded = F.when(F.length(text) < 12, F.lpad(text, 12, "0")).otherwise(text)
+    own = nodes.select("*", F.concat(sort, F.lit(" "), padded).alias("_key"))
     present = nodes.select(*by, F.col(node).alias(parent)).distinct()
     orphan = own.join(present, [*by, parent], "left_anti").unionByName(own.where(F.col(node) == F.col(parent)))
     level = checkpointed(orphan.select(*by, F.col(node).alias("_id"), F.array("_key").alias("path"), F.lit(0).alias("depth")))
     keyed = checkpointed(own.where(F.col(node) != F.col(parent)).select(*by, F.col(parent).alias("_up"), F.col(node).alias("_id"), "_key"))
     seen = level
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = keyed.join(level.select(*by, F.col("_id").alias("_up"), "path"), [*by, "_up"])
         level = checkpointed(step.select(*by, "_id", F.concat("path", F.array("_key")).alias("path"), F.lit(depth).alias("depth")))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
     out = nodes.join(seen.withColumnRenamed("_id", node), [*by, node], "left")
-    alone = F.array(F.concat(sort, F.lit(" "), F.lpad(F.col(node).cast("string"), 12, "0")))
+    alone = F.array(F.concat(sort, F.lit(" "), padded))
     return out.withColumn("depth", F.coalesce("depth", F.lit(0))).withColumn("path", F.array_join(F.coalesce("path", alone), "/"))
 
 

@@ -60,10 +60,11 @@ def hourly(events: DataFrame, ts: str = "ts", external: Column | None = None, bu
     return rows.orderBy("hour") if buckets is None else rows.orderBy(F.desc("hour")).limit(buckets).orderBy("hour")
 
 
-def top_counts(df: DataFrame, field: str, limit: int, blank: str = "") -> DataFrame:
-    """``value, n`` of a field's most frequent values; null and empty are called ``blank``."""
+def top_counts(df: DataFrame, field: str, limit: int | None, blank: str = "") -> DataFrame:
+    """``value, n`` of a field's ``limit`` most frequent values, or of all; null and empty are called ``blank``."""
     value = F.coalesce(F.nullif(F.col(field).cast("string"), F.lit("")), F.lit(blank))
-    return df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(limit)
+    rows = df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value")
+    return rows if limit is None else rows.limit(limit)
 
 
 def file_activity(events: DataFrame) -> dict[str, DataFrame]:
@@ -71,7 +72,7 @@ def file_activity(events: DataFrame) -> dict[str, DataFrame]:
     files = events.where("event_category = 'file'")
     by_package = files.groupBy(F.coalesce("package_name", F.lit("(no package)")).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(12)
     return {
-        "by_action": top_counts(files, "event_action", 1000),
+        "by_action": top_counts(files, "event_action", None),
         "by_dir": top_counts(files.withColumn("_dir", dirname(F.col("file_path"))), "_dir", 15),
         "by_package": by_package,
         "by_who": top_counts(files, "subject_name", 12, "(unknown)"),

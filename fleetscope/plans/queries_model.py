@@ -208,13 +208,14 @@ def like_join_to_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.config_owner_services(configs, procs).select("page_id", "service")
 
 
-@query("""WITH w AS (SELECT n_name || CASE WHEN n_nationkey % 3 = 0 THEN 'x' ELSE '' END AS wanted FROM nation),
-h AS (SELECT wanted, n_name AS match, abs(length(wanted) - length(n_name)) AS gap FROM w, nation WHERE (starts_with(wanted, n_name) OR starts_with(n_name, wanted)) AND abs(length(wanted) - length(n_name)) <= 4)
-SELECT wanted, min_by(match, (gap, match)) AS match FROM h GROUP BY 1""")
+@query("""WITH w AS (SELECT DISTINCT p_type || p_partkey AS wanted FROM part), n AS (SELECT DISTINCT p_type || (p_partkey // 7) AS match FROM part),
+    h AS (SELECT wanted, match, abs(length(wanted) - length(match)) AS gap FROM w JOIN n ON (starts_with(wanted, match) OR starts_with(match, wanted)) AND abs(length(wanted) - length(match)) <= 4)
+    SELECT wanted, match FROM (SELECT wanted, match, row_number() OVER (PARTITION BY wanted ORDER BY gap, match) AS r FROM h) WHERE r = 1""")
 def nearest_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read(spark, sf_dir, "nation")
-    wanted = n.select(F.concat("n_name", F.when(F.col("n_nationkey") % 3 == 0, "x").otherwise("")).alias("wanted"))
-    return enrich.nearest_name(wanted, n, "wanted", "n_name")
+    p = read(spark, sf_dir, "part")
+    wanted = p.select(F.concat("p_type", F.col("p_partkey").cast("string")).alias("wanted"))
+    names = p.select(F.concat("p_type", F.expr("p_partkey div 7").cast("string")).alias("name"))
+    return enrich.nearest_name(wanted, names, "wanted", "name")
 
 
 @query(f"""WITH {V_EV} SELECT event_id, CASE WHEN destination_ip LIKE '10.%' THEN 'local-only' WHEN destination_port BETWEEN 50 AND 60 OR destination_port BETWEEN 400 AND 450 THEN 'OPEN (exposed)' ELSE 'filtered (firewall)' END AS exposure FROM v_ev""")

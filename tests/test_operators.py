@@ -174,3 +174,25 @@ def test_predicates_on_nulls_and_addresses(spark):
 def test_page_reports_what_follows(spark):
     rows, total = stats.page(spark.range(10), F.col("id") > 1, [F.asc("id")], 3, 2)
     assert [r.id for r in rows.collect()] == [4, 5, 6] and tuple(total.first()) == (8, True)
+
+
+def test_forest_walks_chains_of_any_depth(spark):
+    rows = [(f"h{h}", k, k - 1) for h in (1, 2) for k in range(30)] + [("h1", 100, 101), ("h1", 101, 100), ("h1", 1_234_567_890_123, 29), ("h1", 1_234_567_890_124, 29)]
+    got = {(r.host_id, r.pid): r for r in hierarchy.forest(spark.createDataFrame(rows, "host_id string, pid long, ppid long"), F.lit("")).collect()}
+    assert all(got[f"h{h}", k].depth == k for h in (1, 2) for k in range(30))
+    assert got["h1", 100].depth == got["h1", 101].depth == 0
+    assert got["h1", 1_234_567_890_123].path != got["h1", 1_234_567_890_124].path
+
+
+def test_deepest_directory_of_a_long_path(spark):
+    path = "/" + "/".join(f"d{k}" for k in range(30)) + "/file"
+    dirs = [("h", "/d0", "shallow"), ("h", path.rsplit("/", 1)[0], "deep")]
+    rows = spark.createDataFrame([("h", path), ("h", "plain"), ("h", "/d0/x")], "host_id string, path string")
+    got = {r.path: r.owner for r in enrich.under_directories(rows, spark.createDataFrame(dirs, "host_id string, dir string, owner string")).collect()}
+    assert got == {path: "deep", "plain": None, "/d0/x": "shallow"}
+
+
+def test_nearest_name_of_one_letter(spark):
+    wanted, names = ["vi", "go", "X", "bash", "none"], ["vim", "vi-long-name", "golang", "Xorg", "bash", "bas"]
+    got = enrich.nearest_name(spark.createDataFrame([(x,) for x in wanted], "w string"), spark.createDataFrame([(x,) for x in names], "n string"), "w", "n").collect()
+    assert {r.w: r.match for r in got} == {"vi": "vim", "go": "golang", "X": "Xorg", "bash": "bash"}
