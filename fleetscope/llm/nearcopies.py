@@ -17,9 +17,10 @@ cannot reach the similarity, by their sizes and the places of the shared shingle
 left out, and the rest is verified on the whole sets, which are made anew from the texts,
 as storing them would take more room than the texts.
 
-A large group is not compared pair by pair. For ``STARS`` rounds, the texts under one
-shingle are compared with one of them and take over its component. Then only pairs of
-texts that still stand in different components are compared, all of them.
+A large group is not compared pair by pair. For ``STARS`` rounds, each text goes to one of
+its shingles, and the texts under a shingle are compared with one of them and take over
+its component. Then only pairs of texts that still stand in different components are
+compared, all of them.
 
 Edge cases: a text of under five words is one shingle; a null or blank text is one
 shingle too, so blank texts link; equal texts link; a null id ranks last; further
@@ -43,7 +44,7 @@ from fleetscope.llm.decontam import _LOWER, _WORDS, window_hashes, words
 
 SHINGLE = 5
 SIMILARITY = 4, 5
-STARS = 1
+STARS = 2
 OFTEN, MOST, FLUSH = 16, 1_000_000, 1 << 22
 BROADCAST_SHINGLES = 4_000_000
 _NOT_SPACE = np.ones(256, dtype=bool)
@@ -222,31 +223,28 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = checkpointed(first.select("node", F.col("node").alias("root")).distinct())
     every = [links(simhash_pairs(docs, id_col, text_col, shingle), texts, shingle)]
     roots = _labelled(roots, every[0])
-    for k in range(stars + 1):
-        if k == stars:
-            roots, every = _contracted(roots, reduce(DataFrame.unionByName, every)), []
-        rows = first.join(broadcast_if_small(roots), "node")
-        leader = F.min_by(F.struct("node", "n", "place", "root"), F.xxhash64("node", F.lit(k))).alias("x")
-        # Where two components meet.
-        heads = checkpointed(rows.groupBy("h").agg(leader, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h", "x.*"))
-        if heads.isEmpty():
-            break
-        first = checkpointed(first.join(broadcast_if_small(heads.select("h")), "h", "left_semi"))
-        rows = _side(first.join(broadcast_if_small(roots), "node"), 2)
-        if k < stars:
-            met = rows.join(broadcast_if_small(_side(heads, 1)), "h")
-        else:
-            outside = rows.join(broadcast_if_small(heads.select("h", F.col("root").alias("main"))), "h").where("root2 <> main").select("h", *(F.col(f"{c}2").alias(f"{c}1") for c in ("node", "n", "place", "root")))
-            met = rows.join(outside, "h")
-        pairs = met.where(_may_link()).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
-        if k == stars:
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        every.append(links(pairs, texts, shingle))
-        if k < stars:
-            roots = _labelled(roots, every[-1])
-    if every and not every[-1].isEmpty():
-        roots = _contracted(roots, reduce(DataFrame.unionByName, every))
-    return roots
+    leader = lambda k: F.min_by(F.struct("node", "n", "place", "root"), F.xxhash64("node", F.lit(k))).alias("x")
+    meet = [F.min("root").alias("low"), F.max("root").alias("high")]
+    for k in range(stars):
+        # One shingle a text, the same one in most texts that share most.
+        pick = F.min_by(F.struct("h", "n", "place", "root"), F.xxhash64("h", F.lit(k))).alias("x")
+        picks = checkpointed(first.join(broadcast_if_small(roots), "node").groupBy("node").agg(pick).select("node", "x.*"))
+        heads = checkpointed(picks.groupBy("h").agg(leader(k), *meet).where("low <> high").select("h", "x.*"))
+        met = _side(picks, 2).join(broadcast_if_small(_side(heads, 1)), "h").where(_may_link())
+        every.append(links(met.select(F.col("node1").alias("a"), F.col("node2").alias("b")), texts, shingle))
+        roots = _labelled(roots, every[-1])
+    roots = _contracted(roots, reduce(DataFrame.unionByName, every))
+    # Wherever two components still meet: whatever is outside the one of a leader, with all others.
+    heads = first.join(broadcast_if_small(roots), "node").groupBy("h").agg(leader(stars), *meet)
+    heads = checkpointed(heads.where("low <> high").select("h", F.col("x.root").alias("main")))
+    if heads.isEmpty():
+        return roots
+    heads = broadcast_if_small(heads)
+    rows = checkpointed(first.join(heads, "h").join(broadcast_if_small(roots), "node"))
+    outside = _side(rows.where("root <> main"), 1)
+    met = _side(rows, 2).join(outside, "h").where(_may_link()).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+    found = links(met, texts, shingle)
+    return roots if found.isEmpty() else _contracted(roots, found)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

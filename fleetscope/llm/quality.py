@@ -42,9 +42,9 @@ from pyspark.sql import functions as F
 
 from fleetscope.llm.common import LEAST_FILES, ROWS_PER_FILE, broadcast_if_small, checkpointed, flat, id_text, shards, slices, text_bytes, unused
 
-ORDER, LOCAL = 6, 3
+ORDER, LOCAL = 5, 3
 REPEAT = 1
-BLOCK_BYTES, LEAST_BLOCKS, DEALT_BYTES = 32 << 20, 12, 1 << 20
+BLOCK_BYTES, LEAST_BLOCKS, DEALT_BYTES = 64 << 20, 12, 1 << 20
 FOLDS = 5
 FLUSH = 1 << 22
 LOW, HIGH, MARGIN = 0.001, 0.999, 0.15

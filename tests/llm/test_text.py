@@ -195,7 +195,7 @@ def test_perplexities_match_brute_force(spark):
 def test_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(1, "the an the on an the re"), (2, "an on the")], DOCS)
     model = Q.KneserNey(Q.gram_counts(df))
-    context = int(Q.grams(*Q.symbols([b"the a"]), 4)[0][-1]) >> 8
+    context = int(Q.grams(*Q.symbols([b"the a"]))[0][-1]) >> 8
     wanted = spark.createDataFrame([(context << 8 | b,) for b in range(256)], "g long")
     assert abs(sum(np.exp(r.logp) for r in model.log_probability(wanted).collect()) - 1) < 1e-3
 
