@@ -17,9 +17,9 @@ cannot reach the similarity, by their sizes and the places of the shared shingle
 left out, and the rest is verified on the whole sets, which are made anew from the texts,
 as storing them would take more room than the texts.
 
-A large group is not compared pair by pair. For ``STARS`` rounds, each text goes to one of
-its shingles, and the texts under a shingle are compared with one of them and take over
-its component. Then only pairs of texts that still stand in different components are
+A large group is not compared pair by pair. In each round of ``STARS``, each text goes to
+one of its shingles, and the texts under a shingle are compared with that many of them, first the least changed one, if
+they are not in one component yet, and take over a component. Then only pairs of texts that still stand in different components are
 compared, all of them.
 
 Edge cases: a text of under five words is one shingle; a null or blank text is one
@@ -44,7 +44,7 @@ from fleetscope.llm.decontam import _LOWER, _WORDS, window_hashes, words
 
 SHINGLE = 5
 SIMILARITY = 4, 5
-STARS = 2
+STARS = 1, 16
 OFTEN, MOST, FLUSH = 16, 1_000_000, 1 << 22
 BROADCAST_SHINGLES = 4_000_000
 _NOT_SPACE = np.ones(256, dtype=bool)
@@ -77,7 +77,7 @@ def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray
 def first_ones(n):
     """How many shingles of ``n``, in any order common to all texts, hold one of each similar text's."""
     over, under = SIMILARITY
-    return n - (over * n + under - 1) // under + 1
+    return n - (over * n + under - 1 - (over * n + under - 1) % under) / under + 1 if isinstance(n, Column) else n - (over * n + under - 1) // under + 1
 
 
 def text_nodes(docs: DataFrame, text_col: str) -> DataFrame:
@@ -216,27 +216,31 @@ def simhash_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return edges.join(broadcast_if_small(one), "one").join(broadcast_if_small(two), "two").select("a", "b").unionByName(equal)
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, stars: int = STARS) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, stars: tuple[int, ...] = STARS) -> DataFrame:
     """``node, root`` of each text that may link to another: the least node of its component."""
     texts = text_nodes(docs, text_col)
     first = first_shared(texts, shingle)
+    # Of copies with changes of their own, the least changed has most of its first shingles in common with others.
+    shares = first.groupBy("node").agg((F.count(F.lit(1)) / first_ones(F.first("n"))).alias("share"))
+    first = checkpointed(first.join(broadcast_if_small(checkpointed(shares)), "node"))
     roots = checkpointed(first.select("node", F.col("node").alias("root")).distinct())
     every = [links(simhash_pairs(docs, id_col, text_col, shingle), texts, shingle)]
     roots = _labelled(roots, every[0])
-    leader = lambda k: F.min_by(F.struct("node", "n", "place", "root"), F.xxhash64("node", F.lit(k))).alias("x")
+    leader = lambda k: F.min_by(F.struct("node", "n", "place", "root"), F.struct(F.lit(0) if k % 100 else -F.col("share"), F.xxhash64("node", F.lit(k))))
     meet = [F.min("root").alias("low"), F.max("root").alias("high")]
-    for k in range(stars):
+    for k, many in enumerate(stars):
         # One shingle a text, the same one in most texts that share most.
-        pick = F.min_by(F.struct("h", "n", "place", "root"), F.xxhash64("h", F.lit(k))).alias("x")
+        pick = F.min_by(F.struct("h", "n", "place", "root", "share"), F.xxhash64("h", F.lit(k))).alias("x")
         picks = checkpointed(first.join(broadcast_if_small(roots), "node").groupBy("node").agg(pick).select("node", "x.*"))
-        heads = checkpointed(picks.groupBy("h").agg(leader(k), *meet).where("low <> high").select("h", "x.*"))
+        heads = picks.groupBy("h").agg(F.array(*(leader(100 * k + i) for i in range(many))).alias("x"), *meet).where("low <> high")
+        heads = checkpointed(heads.select("h", F.explode(F.array_distinct("x")).alias("x")).select("h", "x.*"))
         met = _side(picks, 2).join(broadcast_if_small(_side(heads, 1)), "h").where(_may_link())
         every.append(links(met.select(F.col("node1").alias("a"), F.col("node2").alias("b")), texts, shingle))
         roots = _labelled(roots, every[-1])
     roots = _contracted(roots, reduce(DataFrame.unionByName, every))
-    # Wherever two components still meet: whatever is outside the one of a leader, with all others.
-    heads = first.join(broadcast_if_small(roots), "node").groupBy("h").agg(leader(stars), *meet)
-    heads = checkpointed(heads.where("low <> high").select("h", F.col("x.root").alias("main")))
+    # Wherever two components still meet: whatever is outside the largest, with all others.
+    heads = first.join(broadcast_if_small(roots), "node").groupBy("h").agg(F.mode("root").alias("main"), *meet)
+    heads = checkpointed(heads.where("low <> high").select("h", "main"))
     if heads.isEmpty():
         return roots
     heads = broadcast_if_small(heads)
