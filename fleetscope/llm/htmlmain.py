@@ -180,6 +180,12 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if muted is not None and tag == muted[0]:
             muted[1] += -1 if ends else 1
             if not muted[1]:
+                if node is not muted[2]:
+                    close()
+                    up = node
+                    while up.parent is not muted[2]:
+                        up = up.parent
+                    node = leave(up)
                 muted = None
             continue
         if tag == "a":
