@@ -18,9 +18,12 @@ left out, and the rest is verified on the whole sets, which are made anew from t
 as storing them would take more room than the texts.
 
 A large group is not compared pair by pair. In each round of ``STARS``, each text goes to
-one of its shingles, and the texts under a shingle are compared with that many of them, first the least changed one, if
+one of its shingles, and the texts under a shingle are compared with that many of them, first the least changed one, then by turns any one and one of the least changed, if
 they are not in one component yet, and take over a component. Then only pairs of texts that still stand in different components are
-compared, all of them.
+compared, all of them. Under a shingle of over ``HOT`` texts, these carry a bit map of their shingles' hashes: a bit that only one of
+two texts has stands for one shingle at least that the other lacks, which bounds what they share from above, so most pairs that aren't
+similar never leave the join, and none that is similar is lost. The maps have ``BITS`` bits a shingle or more, up to ``LONGEST`` longs;
+on texts of many more shingles they leave out less.
 
 Edge cases: a text of under five words is one shingle; a null or blank text is one
 shingle too, so blank texts link; equal texts link; a null id ranks last; further
@@ -45,6 +48,7 @@ from fleetscope.llm.decontam import _LOWER, _WORDS, window_hashes, words
 SHINGLE = 5
 SIMILARITY = 4, 5
 STARS = 1, 16
+HOT, BITS, LONGEST = 8, 4, 64
 OFTEN, MOST, FLUSH = 16, 1_000_000, 1 << 22
 BROADCAST_SHINGLES = 4_000_000
 _NOT_SPACE = np.ones(256, dtype=bool)
@@ -144,8 +148,26 @@ def _whole(shingle: int, names: list[str]):
     return emit
 
 
+def _maps(shingle: int):
+    """Each text's bit map; its number of longs is a power of two, and a map of half the size is that of both halves' common bits set."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                h, edge = shingle_sets(text_bytes(part.column("text")), shingle)
+                n = np.diff(edge)
+                longs = np.minimum(1 << np.ceil(np.log2(np.maximum(BITS * n / 64, 1))).astype(np.int64), LONGEST)
+                start = np.r_[0, np.cumsum(longs)]
+                place = (((h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) & np.repeat(longs * 64 - 1, n).astype(np.uint64)
+                bits = np.zeros(start[-1], dtype=np.uint64)
+                np.bitwise_or.at(bits, np.repeat(start[:-1], n) + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(bits.view(np.int64)))], ["node", "map"])
+
+    return emit
+
+
 def first_shared(texts: DataFrame, shingle: int = SHINGLE, often: int = OFTEN, most: int = MOST) -> DataFrame:
-    """``node, n, h, place``: each text's size and its first shingles, of those that are first in other texts too."""
+    """``node, n, h, place, many``: each text's size and its first shingles, of those that are first in other texts too, and in how many rows they are."""
     counts = texts.select("text").mapInArrow(_repeated(shingle), "h long, texts long").groupBy("h").agg(F.sum("texts").alias("texts"))
     counts = checkpointed(counts.where(F.col("texts") > often))
     while counts.count() > most:
@@ -156,8 +178,8 @@ def first_shared(texts: DataFrame, shingle: int = SHINGLE, often: int = OFTEN, m
     order = np.argsort(known)
     common = texts.sparkSession.sparkContext.broadcast((known[order], rows["texts"].to_numpy()[order]))
     first = texts.mapInArrow(_first(shingle, common), "node long, n long, h long, place long")
-    shared = checkpointed(first.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("h"))
-    return checkpointed(first.join(broadcast_if_small(shared), "h").groupBy("node", "h").agg(F.first("n").alias("n"), F.first("place").alias("place")))
+    shared = checkpointed(first.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("many")).where("a <> b").select("h", "many"))
+    return checkpointed(first.join(broadcast_if_small(shared), "h").groupBy("node", "h").agg(*(F.first(c).alias(c) for c in ("n", "place", "many"))))
 
 
 def _similar(shared: Column, n: Column, m: Column) -> Column:
@@ -171,8 +193,18 @@ def _may_link() -> Column:
     return (F.col("root1") != F.col("root2")) & _similar(rest, F.col("n1"), F.col("n2"))
 
 
-def _side(rows: DataFrame, no: int) -> DataFrame:
-    return rows.select("h", *(F.col(c).alias(f"{c}{no}") for c in ("node", "n", "place", "root")))
+def _may_share() -> Column:
+    """Whether the bit maps, if both are there, leave enough shingles that both may have."""
+    size = F.least(F.size("map1"), F.size("map2"))
+    # Sizes of texts that may link differ by one halving at most.
+    one, two = (F.when(F.size(m) > size, F.zip_with(F.slice(m, 1, size), F.slice(m, size + 1, size), lambda x, y: x.bitwiseOR(y))).otherwise(F.col(m)) for m in ("map1", "map2"))
+    only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda total, k: total + k)
+    most = F.least(F.col("n1") - only(one, two), F.col("n2") - only(two, one))
+    return F.col("map1").isNull() | F.col("map2").isNull() | _similar(most, F.col("n1"), F.col("n2"))
+
+
+def _side(rows: DataFrame, no: int, *more: str) -> DataFrame:
+    return rows.select("h", *(F.col(c).alias(f"{c}{no}") for c in ("node", "n", "place", "root", *more)))
 
 
 def links(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -226,11 +258,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = checkpointed(first.select("node", F.col("node").alias("root")).distinct())
     every = [links(simhash_pairs(docs, id_col, text_col, shingle), texts, shingle)]
     roots = _labelled(roots, every[0])
-    leader = lambda k: F.min_by(F.struct("node", "n", "place", "root"), F.struct(F.lit(0) if k % 100 else -F.col("share"), F.xxhash64("node", F.lit(k))))
+    leader = lambda k: F.min_by(F.struct("node", "n", "place", "root"), F.struct(F.lit(0) if k % 2 else -F.round("share", 1 if k % 100 else 9), F.xxhash64("node", F.lit(k))))
     meet = [F.min("root").alias("low"), F.max("root").alias("high")]
     for k, many in enumerate(stars):
-        # One shingle a text, the same one in most texts that share most.
-        pick = F.min_by(F.struct("h", "n", "place", "root", "share"), F.xxhash64("h", F.lit(k))).alias("x")
+        # One shingle a text: any, but the same one in most texts that share most; then that of the most texts.
+        pick = F.min_by(F.struct("h", "n", "place", "root", "share"), F.struct(-F.col("many") if k else F.lit(0), F.xxhash64("h", F.lit(k)))).alias("x")
         picks = checkpointed(first.join(broadcast_if_small(roots), "node").groupBy("node").agg(pick).select("node", "x.*"))
         heads = picks.groupBy("h").agg(F.array(*(leader(100 * k + i) for i in range(many))).alias("x"), *meet).where("low <> high")
         heads = checkpointed(heads.select("h", F.explode(F.array_distinct("x")).alias("x")).select("h", "x.*"))
@@ -239,14 +271,19 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         roots = _labelled(roots, every[-1])
     roots = _contracted(roots, reduce(DataFrame.unionByName, every))
     # Wherever two components still meet: whatever is outside the largest, with all others.
-    heads = first.join(broadcast_if_small(roots), "node").groupBy("h").agg(F.mode("root").alias("main"), *meet)
-    heads = checkpointed(heads.where("low <> high").select("h", "main"))
+    heads = first.join(broadcast_if_small(roots), "node").groupBy("h").agg(F.mode("root").alias("main"), (F.count(F.lit(1)) > HOT).alias("hot"), *meet)
+    heads = checkpointed(heads.where("low <> high").select("h", "main", "hot"))
     if heads.isEmpty():
         return roots
     heads = broadcast_if_small(heads)
     rows = checkpointed(first.join(heads, "h").join(broadcast_if_small(roots), "node"))
-    outside = _side(rows.where("root <> main"), 1)
-    met = _side(rows, 2).join(outside, "h").where(_may_link()).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+    hot = checkpointed(rows.where("hot").select("node").distinct())
+    maps = texts.join(broadcast_if_small(hot), "node", "left_semi").mapInArrow(_maps(shingle), "node long, map array<long>")
+    maps = checkpointed(maps.groupBy("node").agg(F.first("map").alias("map")))
+    rows = rows.where("hot").join(maps, "node").unionByName(rows.where("NOT hot").withColumn("map", F.lit(None).cast("array<long>")))
+    rows = checkpointed(rows)
+    outside = _side(rows.where("root <> main"), 1, "map")
+    met = _side(rows, 2, "map").join(outside, "h").where(_may_link() & _may_share()).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
     found = links(met, texts, shingle)
     return roots if found.isEmpty() else _contracted(roots, found)
 

@@ -72,3 +72,20 @@ def test_awkward_rows(spark):
     got = N.deduplicate(spark.createDataFrame(rows, DOCS))
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "x"), (2, "a b c d e f"), (4, "")]
     assert N.deduplicate(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_bit_maps_leave_out_no_link(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 1)
+    monkeypatch.setattr(N, "STARS", (1,))
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdef", k=4))
+    rows = []
+    for size in (8, 35, 70, 300, 1500):
+        base = [word() for _ in range(size)]
+        for _ in range(24):
+            own = base[: len(base) - rng.randrange(1 + size // 6)]
+            for _ in range(rng.choice([0, 1, 1, 2, 3]) * max(1, size // 150)):
+                own[rng.randrange(len(own))] = word()
+            rows.append((len(rows), " ".join(own)))
+    got = N.deduplicate(spark.createDataFrame(rows, DOCS))
+    assert sorted(r.doc_id for r in got.collect()) == kept_by_force(rows)
