@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,32 +104,66 @@ class ChainState:
         return chain, how
 
 
-def build_chains(events: DataFrame, roots: DataFrame, by: Sequence[str] = ("host_id",), split: Sequence[str] = ()) -> DataFrame:
-    """``by…, event_id, ts, chain_id, how`` of each event, in order of time.
+def _last_mark(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` (``keys``, ``at``, ``day``, ``event_id``, ``writes``) with ``last``: the latest earlier event of the same keys that writes.
+
+    Rows of one key and day are ordered together; what earlier days leave is one row a key and day.
+    """
+    inside = Window.partitionBy(*keys, "day").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    mark = F.when(F.col("writes"), F.col("event_id"))
+    days = rows.groupBy(*keys, "day").agg(F.max_by(mark, F.when(F.col("writes"), F.col("at"))).alias("_end"))
+    days = days.select(*keys, "day", F.last("_end", ignorenulls=True).over(across).alias("_before"))
+    found = rows.withColumn("_here", F.last(mark, ignorenulls=True).over(inside)).join(days, [*keys, "day"])
+    return found.withColumn("last", F.coalesce("_here", "_before")).drop("_here", "_before")
+
+
+def build_chains(events: DataFrame, roots: DataFrame, by: Sequence[str] = ("host_id",)) -> DataFrame:
+    """``by…, event_id, ts, chain_id, how`` of each event.
 
     Roots come from the process tree by a join. What has no process follows the latest
-    event with the same socket, object or user, which is an ordered fold of a host's
-    events; ``split`` (a boot, a day) bounds how many of them one fold takes.
+    earlier event with the same socket, else object, else user; an object is also known
+    by the first command line that had it as a word. Which event that is depends on keys
+    and times only, so windows by key and day find it, and each event then climbs to the
+    first of its chain, twice as far in each round. Order is ``ts``, null last, then
+    ``event_id``, which is unique and not null in ``by``.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in events.columns else F.lit("")
     keyed = events.join(roots.select(*by, F.col("id").alias("process_pid"), F.col("root").cast("string").alias("_root")), [*by, "process_pid"], "left")
     user = F.when(text("subject_name") != "", F.trim(text("subject_name"))).otherwise(F.trim(text("user_name")))
     socket = F.when(text("destination_ip") != "", F.concat_ws(":", text("destination_ip"), text("destination_port"))).otherwise("")
     thing = F.when(text("file_path") != "", text("file_path")).when(text("object_name") != "", text("object_name")).otherwise(text("package_name"))
-    rows = keyed.select(*by, *split, "event_id", "ts", F.coalesce("_root", text("process_pid")).alias("root"), socket.alias("socket"), thing.alias("object"), text("process_command_line").alias("command"), user.alias("user"), text("event_module").alias("module"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-        state = ChainState()
-        found = [state.assign(*x) for x in zip(*(pdf[c] for c in CHAIN_FIELDS[2:]))]
-        out = pdf[[*by, "event_id", "ts"]].copy()
-        out["chain_id"] = [c for c, _ in found]
-        out["how"] = [h for _, h in found]
-        return out
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in (*by, "event_id", "ts")), "chain_id string", "how string"])
-    return rows.groupBy(*by, *split).applyInPandas(fold, schema)
+    at = F.struct(F.col("ts").isNull().alias("none"), F.col("ts").alias("ts"), F.col("event_id").alias("id"))
+    day = F.coalesce(F.to_date("ts"), F.lit("9999-12-31").cast("date"))
+    own = checkpointed(keyed.select(*by, "event_id", "ts", at.alias("at"), day.alias("day"), F.coalesce("_root", text("process_pid")).alias("root"), socket.alias("socket"), thing.alias("object"), text("process_command_line").alias("command"), user.alias("user"), text("event_module").alias("module")))
+    ids = [*by, "event_id"]
+    loose = checkpointed(own.where("root = ''").select(*ids))
+
+    def latest(key: str, name: str) -> DataFrame:
+        """``name`` for events without a process: the latest earlier one with the same key."""
+        rows = own.where(F.col(key) != "").select(*ids, "at", "day", key, F.lit(True).alias("writes"))
+        return _last_mark(rows, [*by, key]).where("last IS NOT NULL").select(*ids, F.col("last").alias(name))
+
+    words = F.transform(F.split("command", r"\s+"), lambda w: F.regexp_replace(w, "^[\"'`]+|[\"'`]+$", ""))
+    words = F.filter(words, lambda w: (F.length(w) > 3) & ~w.startswith("-") & ~w.contains("/") & ~w.isin(list(TOKENS_LEFT_OUT)))
+    said = own.where("command <> ''").select(*by, "event_id", "at", F.explode(words).alias("object")).groupBy(*by, "object").agg(F.min("at").alias("_since"), F.min_by("event_id", "at").alias("_said"))
+    things = own.where("root = '' AND object <> ''").select(*ids, "object", "at").join(said, [*by, "object"]).where("_since < at").select(*ids, "_said")
+    found = own.select(*ids, "ts", "root", "user", "module")
+    for side in (latest("socket", "_socket"), latest("object", "_object"), things, latest("user", "_user")):
+        found = found.join(side.join(loose, ids, "left_semi"), ids, "left")
+    how = F.when(F.col("root") != "", "ancestry").when(F.col("_socket").isNotNull(), "socket").when(F.coalesce("_object", "_said").isNotNull(), "object").otherwise("time")
+    first = F.when(F.col("root") != "", F.concat(F.lit("proc:"), "root")).when(F.coalesce("_socket", "_object", "_said", "_user").isNotNull(), None)
+    first = first.when(F.col("user") != "", F.concat(F.lit("user:"), "user")).otherwise(F.concat(F.lit("mod:"), F.when(F.col("module") != "", F.col("module")).otherwise("?")))
+    chains = checkpointed(found.select(*ids, "ts", how.alias("how"), first.alias("chain_id"), F.coalesce("_socket", "_object", "_said", "_user").alias("_next")))
+    done, left = chains.where("chain_id IS NOT NULL"), chains.where("chain_id IS NULL")
+    out, known = done.drop("_next"), chains.select(*by, F.col("event_id").alias("_next"), F.col("chain_id").alias("_chain"), F.col("_next").alias("_far"))
+    while not left.isEmpty():
+        moved = checkpointed(left.drop("chain_id").join(known, [*by, "_next"]).select(*ids, "ts", "how", F.col("_chain").alias("chain_id"), F.col("_far").alias("_next")))
+        done, left = moved.where("chain_id IS NOT NULL"), moved.where("chain_id IS NULL")
+        out = out.unionByName(done.drop("_next"))
+        # Whoever is known now, and how far each of the rest has come.
+        known = out.select(*by, F.col("event_id").alias("_next"), F.col("chain_id").alias("_chain"), F.lit(None).cast(chains.schema["_next"].dataType).alias("_far")).unionByName(left.select(*by, F.col("event_id").alias("_next"), F.col("chain_id").alias("_chain"), F.col("_next").alias("_far")))
+    return out.select(*ids, "ts", "chain_id", "how")
 
 
 def chain_summary(chains: DataFrame, events: DataFrame, by: Sequence[str] = ("host_id",), min_len: int = 2, top: int = 4) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -140,6 +141,22 @@ def test_chains_follow_socket_object_and_user(spark):
     assert got == {"1": ("proc:10", "ancestry"), "2": ("proc:10", "socket"), "3": ("proc:10", "object"), "4": ("proc:10", "time"), "5": ("user:eve", "time"), "6": ("mod:fim", "time")}
 
 
+def test_chains_equal_a_fold_in_order_of_time(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(400):
+        command = " ".join(rng.choices(["run", "'alpha'", "/usr/bin/x", "--flag", "beta1", "gamma", "install"], k=rng.randrange(4)))
+        rows.append(("h", f"{k:03}", T(rng.randrange(4 * 86400)) if k % 50 else None, rng.choice([None, None, None, 20, 21]), rng.choice(["", "10.0.0.1", "10.0.0.2", "10.0.0.3"]) if k % 3 == 0 else "", 22, rng.choice(["", "", "alpha", "beta1", "delta"]), command, rng.choice(["", "", "bob", "eve"]), rng.choice(["m", ""])))
+    names = "host_id string, event_id string, ts timestamp, process_pid long, destination_ip string, destination_port long, package_name string, process_command_line string, user_name string, event_module string"
+    roots = spark.createDataFrame([("h", 20, 10)], "host_id string, id long, root long")
+    state, expected = timeline.ChainState(), {}
+    for _, event, _, pid, ip, port, thing, command, user, module in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[1])):
+        expected[event] = state.assign({20: "10", 21: "21"}.get(pid, ""), f"{ip}:{port}" if ip else "", thing, command, user, module)
+    got = {r.event_id: (r.chain_id, r.how) for r in timeline.build_chains(spark.createDataFrame(rows, names), roots).collect()}
+    assert got == expected
+    assert {how for _, how in expected.values()} == {"ancestry", "socket", "object", "time"}
+
+
 def test_shipped_detections_run(spark):
     ev = spark.createDataFrame([(str(k), T(k / 10), "authentication", "failure", "bob", "", "", "", "", "", "") for k in range(6)], "event_id string, ts timestamp, event_category string, event_outcome string, subject_name string, event_action string, process_executable string, object_name string, network_direction string, destination_ip string, event_module string")
     counts = {r.name: detect.detect_tumbling(ev, r).count() for r in rules.DETECTIONS}
