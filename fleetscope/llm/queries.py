@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import decontam, exact_dedup, fim, htmlmain, langid, lexsearch, licences, packing, quality, simhash, toxicity, urlfilter
+from fleetscope.llm import ctw, decontam, exact_dedup, fim, htmlmain, langid, lexsearch, licences, packing, quality, simhash, toxicity, urlfilter
 from fleetscope.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False))
+    found = ctw.scores(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_url_filter": op10_url_filter,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_context_tree": op12_context_tree,
     "op13_lexical_search": op13_lexical_search,
 }
 
