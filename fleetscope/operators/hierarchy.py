@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetscope.operators.pointers import follow, parents
 from fleetscope.sources.checkpoints import checkpointed
 
 
@@ -15,7 +17,7 @@ def ancestors(edges: DataFrame, max_hops: int = 12, by: Sequence[str] = ("host_i
     """``by…, id, ancestor, depth``: every ancestor up to ``max_hops``; a node that is met again ends the walk.
 
     A join a level with the parents, as deep as the forest is; the distances that have
-    been walked are kept as the path, so cycles end. Levels are written every fourth time.
+    been walked are kept as the path, so cycles end. Each level is written.
     """
     up = edges.where(F.col(child) != F.col(parent)).groupBy(*by, F.col(child).alias("_c")).agg(F.min(parent).alias("_p"))
     level = edges.where(F.col(child) != F.col(parent)).groupBy(*by, F.col(child).alias("id")).agg(F.min(parent).alias("ancestor"))
@@ -75,12 +77,39 @@ def forest(nodes: DataFrame, sort: Column, by: Sequence[str] = ("host_id",), nod
     return out.withColumn("depth", F.coalesce("depth", F.lit(0))).withColumn("path", F.array_join(F.coalesce("path", alone), "/"))
 
 
-def subtree_sum(metrics: DataFrame, closure: DataFrame, sums: Sequence[str], by: Sequence[str] = ("host_id",), node: str = "id") -> DataFrame:
-    """``by…, id, n`` and the sums over each node's subtree, itself included."""
-    up = closure.select(*by, F.col("id").alias(node), F.col("ancestor").alias("_top"))
-    own = metrics.select(*by, node, *sums)
-    spread = own.join(up, [*by, node]).select(*by, "_top", *sums).unionByName(own.select(*by, F.col(node).alias("_top"), *sums))
-    return spread.groupBy(*by, F.col("_top").alias(node)).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in sums))
+def subtree_sum(metrics: DataFrame, edges: DataFrame, sums: Sequence[str], by: Sequence[str] = ("host_id",), node: str = "id", child: str = "child", parent: str = "parent") -> DataFrame:
+    """``by…, id, n`` and the sums over each node's subtree, itself included. A member of a cycle sums all that leads to the cycle.
+
+    No closure is written: a node knows the sum of its descendants nearer than 2^k and its ancestor 2^k steps up; a round adds the
+    sums to those ancestors and doubles the step, so rounds are the logarithm of the depth, and each moves every node once.
+    """
+    up = parents(edges, by, child, parent, node, "_up")
+    own = metrics.select(*by, node, F.lit(1).cast("long").alias("n"), *sums).groupBy(*by, node).agg(*(F.sum(c).alias(c) for c in ("n", *sums)))
+    placed = up.join(own.select(*by, F.col(node).alias("_up")), [*by, "_up"], "left_semi")
+    rows = checkpointed(own.join(placed, [*by, node], "left"))
+    climbing = rows.where("_up IS NOT NULL").count()
+    add = [F.sum(c).alias(c) for c in ("n", *sums)]
+    while climbing:
+        given = rows.where("_up IS NOT NULL").select(*by, F.col("_up").alias(node), "n", *sums)
+        total = rows.select(*by, node, "n", *sums).unionByName(given).groupBy(*by, node).agg(*add)
+        far = rows.select(*by, F.col(node).alias("_up"), F.col("_up").alias("_further"))
+        onward = rows.where("_up IS NOT NULL").select(*by, node, "_up").join(far, [*by, "_up"]).select(*by, node, F.col("_further").alias("_up"))
+        rows = checkpointed(total.join(onward, [*by, node], "left"))
+        before, climbing = climbing, rows.where("_up IS NOT NULL").count()
+        if climbing == before:
+            break
+    done = rows.where("_up IS NULL").select(*by, node, "n", *sums)
+    if not climbing:
+        return done
+    # Who still climbs leads to a cycle: its members are roots of what hangs on them, and each has the sum of all members.
+    left = checkpointed(rows.where("_up IS NOT NULL").select(*by, node))
+    walks = checkpointed(follow(placed.join(left, [*by, node], "left_semi"), by, node, "_up"))
+    members = walks.where(F.col("entry") == F.col(node)).select(*by, node, "cycle")
+    hanging = placed.join(left, [*by, node], "left_semi").join(members, [*by, node], "left_anti").select(*by, F.col(node).alias(child), F.col("_up").alias(parent))
+    trees = subtree_sum(metrics.join(left, [*by, node], "left_semi"), hanging, sums, by, node, child, parent)
+    rings = trees.join(members, [*by, node]).groupBy(*by, "cycle").agg(*add)
+    rings = members.join(rings, [*by, "cycle"]).select(*done.columns)
+    return done.unionByName(trees.join(members, [*by, node], "left_anti").select(*done.columns)).unionByName(rings)
 
 
 def top_with_ancestors(nodes: DataFrame, closure: DataFrame, metric: str, n: int = 18, node: str = "id", by: Sequence[str] = ("host_id",)) -> DataFrame:
@@ -91,41 +120,37 @@ def top_with_ancestors(nodes: DataFrame, closure: DataFrame, metric: str, n: int
     return kept.groupBy(*by, node).agg(F.max("top").alias("top")).join(depth, [*by, node], "left").fillna(0, ["depth"])
 
 
-def nearest_ancestor(nodes: DataFrame, closure: DataFrame, qualifies: Column, value: str, by: Sequence[str] = ("host_id",), node: str = "id") -> DataFrame:
-    """``value`` of each node that doesn't qualify itself, from its nearest ancestor that does; ``from_depth`` is 0 for its own, null for none."""
-    good = nodes.where(qualifies).select(*by, F.col(node).alias("ancestor"), F.col(value).alias("_v"))
-    best = closure.join(good, [*by, "ancestor"]).groupBy(*by, node).agg(F.min(F.struct("depth", "_v")).alias("_b"))
-    out = nodes.join(best, [*by, node], "left")
+def nearest_ancestor(nodes: DataFrame, edges: DataFrame, qualifies: Column, value: str, by: Sequence[str] = ("host_id",), node: str = "id", child: str = "child", parent: str = "parent") -> DataFrame:
+    """``value`` of each node that doesn't qualify itself, from its nearest ancestor that does; ``from_depth`` is 0 for its own, null for none.
+
+    Walks end at nodes that qualify, so what is written is one row a node, not one an ancestor.
+    """
+    good = nodes.where(qualifies).select(*by, F.col(node).alias("end"), F.col(value).alias("_v"))
+    steps = parents(edges, by, child, parent, node, "_up").join(good.select(*by, F.col("end").alias(node)), [*by, node], "left_anti")
+    best = follow(steps, by, node, "_up").join(good, [*by, "end"]).select(*by, node, "steps", "_v")
     mine = F.coalesce(qualifies, F.lit(False))
-    return out.withColumn("from_depth", F.when(mine, 0).otherwise(F.col("_b.depth"))).withColumn(value, F.when(mine, F.col(value)).otherwise(F.coalesce("_b._v", F.lit("")))).drop("_b")
+    out = nodes.join(best, [*by, node], "left")
+    return out.withColumn("from_depth", F.when(mine, 0).otherwise(F.col("steps"))).withColumn(value, F.when(mine, F.col(value)).otherwise(F.coalesce("_v", F.lit("")))).drop("steps", "_v")
 
 
 def nearest_owner(requires: DataFrame, programs: DataFrame, max_levels: int = 64, by: Sequence[str] = ("host_id",), child: str = "child", parent: str = "parent", node: str = "id") -> DataFrame:
     """``by…, id, owner, dist``: the nearest program that needs a node, over any number of steps; at equal distance the first by name.
 
-    ``requires`` leads from who needs (``child``) to what is needed (``parent``). Only nodes
-    that gained a better owner go on; each level is written and its lineage cut.
+    ``requires`` leads from who needs (``child``) to what is needed (``parent``). Every step is one long, so a node is settled when it
+    is first reached: a level moves its new nodes only and writes them once; nothing known before is written again. The edges of
+    a node that needs a third of all are split by adaptive joins; what many nodes offer to one is reduced in each task first.
     """
-    edges = checkpointed(requires.select(*by, F.col(child).alias("_from"), F.col(parent).alias("_to")).distinct())
-    best = checkpointed(programs.select(*by, F.col(node), F.struct(F.lit(0).alias("dist"), F.col(node).alias("owner")).alias("b")))
-    frontier = best
+    edges = checkpointed(requires.select(*by, F.col(child).alias(node), F.col(parent).alias("_to")).distinct())
+    frontier = checkpointed(programs.select(*by, node, F.col(node).alias("owner")).distinct())
+    settled = [frontier.withColumn("dist", F.lit(0))]
     for level in range(1, max_levels + 1):
-        offers = frontier.join(edges, (frontier[node] == edges["_from"]) & _same(frontier, edges, by)).select(*(edges[c] for c in by), F.col("_to").alias(node), F.struct(F.lit(level).alias("dist"), F.col("b.owner").alias("owner")).alias("b"))
-        offers = offers.groupBy(*by, node).agg(F.min("b").alias("b"))
-        merged = best.select(*by, node, F.col("b").alias("_old")).join(offers.withColumnRenamed("b", "_new"), [*by, node], "full_outer")
-        merged = checkpointed(merged.select(*by, node, F.least("_old", "_new").alias("b"), (F.col("_old").isNull() | (F.col("_new") < F.col("_old"))).alias("_better")))
-        frontier = merged.where("_better").drop("_better")
-        best = merged.drop("_better")
+        offers = frontier.join(edges, [*by, node]).groupBy(*by, F.col("_to").alias(node)).agg(F.min("owner").alias("owner"))
+        known = reduce(DataFrame.unionByName, (x.select(*by, node) for x in settled))
+        frontier = checkpointed(offers.join(known, [*by, node], "left_anti"))
         if frontier.isEmpty():
             break
-    return best.select(*by, node, F.col("b.owner").alias("owner"), F.col("b.dist").alias("dist"))
-
-
-def _same(a: DataFrame, b: DataFrame, by: Sequence[str]) -> Column:
-    out = F.lit(True)
-    for c in by:
-        out = out & (a[c] == b[c])
-    return out
+        settled.append(frontier.withColumn("dist", F.lit(level)))
+    return reduce(DataFrame.unionByName, settled).select(*by, node, "owner", "dist")
 
 
 def component_names(rollup: DataFrame, by: Sequence[str] = ("host_id",), node: str = "id", names: int = 12) -> DataFrame:

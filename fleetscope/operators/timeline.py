@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetscope.operators.pointers import follow, parents
 from fleetscope.sources.checkpoints import checkpointed
 
 
@@ -46,26 +47,23 @@ def process_detail(processes: DataFrame, closure: DataFrame, sockets: DataFrame,
 SHELLS = ("bash", "zsh", "fish", "sh", "dash", "ksh", "tcsh")
 
 
-def chain_roots(edges: DataFrame, names: DataFrame, shells: Sequence[str] = SHELLS, by: Sequence[str] = ("host_id",), max_hops: int = 24) -> DataFrame:
+def chain_roots(edges: DataFrame, names: DataFrame, shells: Sequence[str] = SHELLS, by: Sequence[str] = ("host_id",)) -> DataFrame:
     """``by…, id, root``: each process's chain begins below an interactive shell, or below the last ancestor that is known.
 
-    ``edges`` has ``child, parent``, ``names`` has ``id, name``. A process whose parent is a
-    shell, or whose grandparent isn't known, is its own root; the rest climb one step a
-    round until none moves. Cycles end after ``max_hops``.
+    ``edges`` has ``child, parent``, ``names`` has ``id, name``. A process whose parent is a shell, or whose grandparent isn't known,
+    is its own root; the others have their parent's. Depth has no bound. A walk that would go round in a cycle ends before it meets
+    a process for the second time: its root is the member whose parent is the first member that it came to.
     """
-    up = edges.where("child <> parent").groupBy(*by, F.col("child").alias("id")).agg(F.min("parent").alias("up"))
-    shell = names.where(F.substring_index("name", "/", -1).isin(list(shells))).select(*by, F.col("id").alias("up"), F.lit(True).alias("_shell")).distinct()
-    grand = up.select(*by, F.col("id").alias("up"), F.lit(True).alias("_known"))
-    step = up.join(shell, [*by, "up"], "left").join(grand, [*by, "up"], "left")
-    step = checkpointed(step.where("_shell IS NULL AND _known").select(*by, F.col("id").alias("root"), F.col("up").alias("_next")))
-    roots = checkpointed(up.select(*by, "id", F.col("id").alias("root")))
-    for _ in range(max_hops):
-        moved = roots.join(step, [*by, "root"], "left")
-        roots = checkpointed(moved.select(*by, "id", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")))
-        if roots.where("_moved").isEmpty():
-            break
-        roots = roots.drop("_moved")
-    return roots.select(*by, "id", "root")
+    up = checkpointed(parents(edges, by))
+    shell = names.where(F.substring_index("name", "/", -1).isin(list(shells))).select(*by, F.col("id").alias("to")).distinct()
+    steps = up.join(shell, [*by, "to"], "left_anti").join(up.select(*by, F.col("id").alias("to")), [*by, "to"], "left_semi")
+    steps = checkpointed(steps.select(*by, "id", "to"))
+    walks = checkpointed(follow(steps, by))
+    members = walks.where("entry = id").select(*by, "id")
+    before = steps.join(members, [*by, "id"], "left_semi").select(*by, F.col("to").alias("entry"), F.col("id").alias("_before"))
+    roots = walks.where("entry IS NULL").select(*by, "id", F.col("end").alias("_end"))
+    roots = roots.unionByName(walks.where("entry IS NOT NULL").join(before, [*by, "entry"]).select(*by, "id", F.col("_before").alias("_end")))
+    return up.select(*by, "id").join(roots, [*by, "id"], "left").select(*by, "id", F.coalesce("_end", "id").alias("root"))
 
 
 TOKENS_LEFT_OUT = ("sudo", "install", "remove", "update")
@@ -104,18 +102,17 @@ class ChainState:
         return chain, how
 
 
-def _last_mark(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``rows`` (``keys``, ``at``, ``day``, ``event_id``, ``writes``) with ``last``: the latest earlier event of the same keys that writes.
+def _previous(rows: DataFrame, keys: Sequence[str], order: str = "at", value: str = "event_id") -> DataFrame:
+    """``rows`` with ``last``: the ``value`` of the row before it among those with the same ``keys``.
 
-    Rows of one key and day are ordered together; what earlier days leave is one row a key and day.
+    The rows are cut into ranges of about equal number by key and order, so that a key with a third of them stands in many;
+    rows are ordered inside a range, and a table of one row a key and range carries over what stands before it.
     """
-    inside = Window.partitionBy(*keys, "day").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.when(F.col("writes"), F.col("event_id"))
-    days = rows.groupBy(*keys, "day").agg(F.max_by(mark, F.when(F.col("writes"), F.col("at"))).alias("_end"))
-    days = days.select(*keys, "day", F.last("_end", ignorenulls=True).over(across).alias("_before"))
-    found = rows.withColumn("_here", F.last(mark, ignorenulls=True).over(inside)).join(days, [*keys, "day"])
-    return found.withColumn("last", F.coalesce("_here", "_before")).drop("_here", "_before")
+    ranged = checkpointed(rows.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()))
+    ends = ranged.groupBy(*keys, "_range").agg(F.max_by(value, order).alias("_end"))
+    ends = ends.withColumn("_carried", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_range"))).drop("_end")
+    inside = F.lag(value).over(Window.partitionBy(*keys, "_range").orderBy(order))
+    return ranged.withColumn("_here", inside).join(ends, [*keys, "_range"]).withColumn("last", F.coalesce("_here", "_carried")).drop("_here", "_carried", "_range")
 
 
 def build_chains(events: DataFrame, roots: DataFrame, by: Sequence[str] = ("host_id",)) -> DataFrame:
@@ -124,8 +121,8 @@ def build_chains(events: DataFrame, roots: DataFrame, by: Sequence[str] = ("host
     Roots come from the process tree by a join. What has no process follows the latest
     earlier event with the same socket, else object, else user; an object is also known
     by the first command line that had it as a word. Which event that is depends on keys
-    and times only, so windows by key and day find it, and each event then climbs to the
-    first of its chain, twice as far in each round. Order is ``ts``, null last, then
+    and times only: a scan of all keys' events in order finds it, and ``follow`` leads each
+    event to the first of its chain. Order is ``ts``, null last, then
     ``event_id``, which is unique and not null in ``by``.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in events.columns else F.lit("")
@@ -134,50 +131,81 @@ def build_chains(events: DataFrame, roots: DataFrame, by: Sequence[str] = ("host
     socket = F.when(text("destination_ip") != "", F.concat_ws(":", text("destination_ip"), text("destination_port"))).otherwise("")
     thing = F.when(text("file_path") != "", text("file_path")).when(text("object_name") != "", text("object_name")).otherwise(text("package_name"))
     at = F.struct(F.col("ts").isNull().alias("none"), F.col("ts").alias("ts"), F.col("event_id").alias("id"))
-    day = F.coalesce(F.to_date("ts"), F.lit("9999-12-31").cast("date"))
-    own = checkpointed(keyed.select(*by, "event_id", "ts", at.alias("at"), day.alias("day"), F.coalesce("_root", text("process_pid")).alias("root"), socket.alias("socket"), thing.alias("object"), text("process_command_line").alias("command"), user.alias("user"), text("event_module").alias("module")))
+    own = checkpointed(keyed.select(*by, "event_id", "ts", at.alias("at"), F.coalesce("_root", text("process_pid")).alias("root"), socket.alias("socket"), thing.alias("object"), text("process_command_line").alias("command"), user.alias("user"), text("event_module").alias("module")))
     ids = [*by, "event_id"]
-    loose = checkpointed(own.where("root = ''").select(*ids))
-
-    def latest(key: str, name: str) -> DataFrame:
-        """``name`` for events without a process: the latest earlier one with the same key."""
-        rows = own.where(F.col(key) != "").select(*ids, "at", "day", key, F.lit(True).alias("writes"))
-        return _last_mark(rows, [*by, key]).where("last IS NOT NULL").select(*ids, F.col("last").alias(name))
-
+    marks = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in ("socket", "object", "user")))
+    marked = own.select(*ids, "at", (F.col("root") == "").alias("loose"), F.explode(F.filter(marks, lambda x: x["key"] != "")).alias("x")).select(*ids, "at", "loose", "x.*")
+    # Keys that no loose event has, lead nobody.
+    asked = marked.where("loose").select(*by, "kind", "key").distinct()
+    found = _previous(marked.join(asked, [*by, "kind", "key"], "left_semi"), [*by, "kind", "key"]).where("loose AND last IS NOT NULL").select(*ids, "kind", "last")
     words = F.transform(F.split("command", r"\s+"), lambda w: F.regexp_replace(w, "^[\"'`]+|[\"'`]+$", ""))
     words = F.filter(words, lambda w: (F.length(w) > 3) & ~w.startswith("-") & ~w.contains("/") & ~w.isin(list(TOKENS_LEFT_OUT)))
     said = own.where("command <> ''").select(*by, "event_id", "at", F.explode(words).alias("object")).groupBy(*by, "object").agg(F.min("at").alias("_since"), F.min_by("event_id", "at").alias("_said"))
-    things = own.where("root = '' AND object <> ''").select(*ids, "object", "at").join(said, [*by, "object"]).where("_since < at").select(*ids, "_said")
-    found = own.select(*ids, "ts", "root", "user", "module")
-    for side in (latest("socket", "_socket"), latest("object", "_object"), things, latest("user", "_user")):
-        found = found.join(side.join(loose, ids, "left_semi"), ids, "left")
+    things = own.where("root = '' AND object <> ''").select(*ids, "object", "at").join(said, [*by, "object"]).where("_since < at").select(*ids, F.lit("said").alias("kind"), F.col("_said").alias("last"))
+    found = found.unionByName(things).groupBy(*ids).agg(*(F.max(F.when(F.col("kind") == k, F.col("last"))).alias(f"_{k}") for k in ("socket", "object", "said", "user")))
+    found = own.select(*ids, "ts", "root", "user", "module").join(found, ids, "left")
     how = F.when(F.col("root") != "", "ancestry").when(F.col("_socket").isNotNull(), "socket").when(F.coalesce("_object", "_said").isNotNull(), "object").otherwise("time")
-    first = F.when(F.col("root") != "", F.concat(F.lit("proc:"), "root")).when(F.coalesce("_socket", "_object", "_said", "_user").isNotNull(), None)
-    first = first.when(F.col("user") != "", F.concat(F.lit("user:"), "user")).otherwise(F.concat(F.lit("mod:"), F.when(F.col("module") != "", F.col("module")).otherwise("?")))
-    chains = checkpointed(found.select(*ids, "ts", how.alias("how"), first.alias("chain_id"), F.coalesce("_socket", "_object", "_said", "_user").alias("_next")))
-    done, left = chains.where("chain_id IS NOT NULL"), chains.where("chain_id IS NULL")
-    out, known = done.drop("_next"), chains.select(*by, F.col("event_id").alias("_next"), F.col("chain_id").alias("_chain"), F.col("_next").alias("_far"))
-    while not left.isEmpty():
-        moved = checkpointed(left.drop("chain_id").join(known, [*by, "_next"]).select(*ids, "ts", "how", F.col("_chain").alias("chain_id"), F.col("_far").alias("_next")))
-        done, left = moved.where("chain_id IS NOT NULL"), moved.where("chain_id IS NULL")
-        out = out.unionByName(done.drop("_next"))
-        # Whoever is known now, and how far each of the rest has come.
-        known = out.select(*by, F.col("event_id").alias("_next"), F.col("chain_id").alias("_chain"), F.lit(None).cast(chains.schema["_next"].dataType).alias("_far")).unionByName(left.select(*by, F.col("event_id").alias("_next"), F.col("chain_id").alias("_chain"), F.col("_next").alias("_far")))
-    return out.select(*ids, "ts", "chain_id", "how")
-
-
-def chain_summary(chains: DataFrame, events: DataFrame, by: Sequence[str] = ("host_id",), min_len: int = 2, top: int = 4) -> DataFrame:
-    """One row a chain of at least ``min_len`` events: times, counts, users of each kind of link, the most frequent actions, the largest severity; longest first."""
-    rows = chains.select(*by, "event_id", "chain_id", "how").join(events.drop("how"), [*by, "event_id"])
-    keys = [*by, "chain_id"]
-    main = rows.groupBy(*keys).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n"), F.countDistinct("process_pid").alias("n_pids"), F.max("event_severity").alias("severity"), *(F.count_if(F.col("how") == h).alias(f"n_{h}") for h in ("ancestry", "socket", "object", "time"))).where(F.col("n") >= min_len)
-    counts = rows.groupBy(*keys, "event_action").agg(F.count(F.lit(1)).alias("k"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("k"), "event_action"))
-    actions = counts.withColumn("_r", rank).where(F.col("_r") <= top).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "event_action"))), lambda x: x["event_action"]), ", ").alias("actions"))
-    out = main.join(actions, keys, "left").withColumn("span_s", F.unix_timestamp("end") - F.unix_timestamp("start"))
-    return out.orderBy(F.desc("span_s"), F.desc("severity"), F.desc("n"), "chain_id")
+    to = F.when(F.col("root") == "", F.coalesce("_socket", "_object", "_said", "_user"))
+    first = F.when(F.col("root") != "", F.concat(F.lit("proc:"), "root")).when(F.col("user") != "", F.concat(F.lit("user:"), "user")).otherwise(F.concat(F.lit("mod:"), F.when(F.col("module") != "", F.col("module")).otherwise("?")))
+    chains = checkpointed(found.select(*ids, "ts", how.alias("how"), first.alias("chain_id"), to.alias("_next")))
+    ends = follow(chains.where("_next IS NOT NULL").select(*ids, "_next"), by, "event_id", "_next").select(*ids, "end")
+    firsts = chains.where("_next IS NULL").select(*by, F.col("event_id").alias("end"), "chain_id")
+    led = chains.where("_next IS NOT NULL").drop("chain_id").join(ends, ids).join(firsts, [*by, "end"])
+    return chains.where("_next IS NULL").select(*ids, "ts", "chain_id", "how").unionByName(led.select(*ids, "ts", "chain_id", "how"))
+
+
+#: Fixed order in which a chain's categories are named; others follow by name.
+CATEGORY_ORDER = ("process", "authentication", "file", "network", "package", "iam", "intrusion_detection")
+#: How far each kind of link can be trusted.
+LINK_STRENGTH = {"ancestry": "strong", "socket": "strong", "object": "medium", "time": "weak"}
 
 
-def chain_coverage(summary: DataFrame, total: int) -> DataFrame:
-    """Percent of all events that stand in a chain of the summary."""
-    return summary.agg(F.round(F.sum("n") * 100.0 / F.lit(max(total, 1)), 1).alias("coverage_pct"))
+def chain_summary(chains: DataFrame, events: DataFrame, names: DataFrame | None = None, by: Sequence[str] = ("host_id",), min_len: int = 2, top: int = 4, users: int = 3) -> DataFrame:
+    """One row a chain of at least ``min_len`` events: title, times, counts by category and kind of link, what it did most, where it went, who took part.
+
+    ``span`` is the number of categories; chains of many, then the severe, then the long come first. The title is the root process's
+    name (``names``: ``id, name``), else the command or process of the first event. Values of equal count stand in order of appearance.
+    """
+    keys = [*by, "chain_id"]
+    text = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) if c in events.columns else F.lit("")
+    seen = events.select(
+        *by, "event_id", text("process_pid").alias("pid"), text("event_category").alias("category"), text("event_action").alias("action"), text("destination_ip").alias("destination"),
+        F.when(text("subject_name") != "", text("subject_name")).otherwise(text("user_name")).alias("user"), F.coalesce(F.col("event_severity").cast("long"), F.lit(0)).alias("severity"),
+        F.element_at(F.split(F.split_part(text("process_command_line"), F.lit(" "), F.lit(1)), "/"), -1).alias("command"), text("process_name").alias("name"),
+    )
+    at = F.struct(F.col("ts").isNull().alias("none"), F.col("ts").alias("ts"), F.col("event_id").alias("id"))
+    rows = checkpointed(chains.select(*by, "event_id", "chain_id", "how", "ts", at.alias("at")).join(seen, [*by, "event_id"]))
+    first = F.min_by(F.struct("how", "command", "name"), "at").alias("_first")
+    main = rows.groupBy(*keys).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n"), F.max("severity").alias("severity"), first, *(F.count_if(F.col("how") == h).alias(f"n_{h}") for h in LINK_STRENGTH)).where(F.col("n") >= min_len)
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("pid", "category", "action", "destination", "user")))
+    counts = rows.select(*keys, "at", F.explode(F.filter(kinds, lambda x: x["value"] != "")).alias("x")).groupBy(*keys, "x.kind", "x.value").agg(F.count(F.lit(1)).alias("k"), F.min("at").alias("first"))
+    counts = checkpointed(counts)
+    sizes = counts.groupBy(*keys).agg(F.count_if(F.col("kind") == "pid").alias("n_pids"), F.count_if(F.col("kind") == "category").alias("span"))
+    order = F.when(F.col("kind") == "user", F.lit(0)).otherwise(-F.col("k"))
+    place = F.row_number().over(Window.partitionBy(*keys, "kind").orderBy(order, "first", "value"))
+    shown = counts.where("kind <> 'pid' AND kind <> 'category'").withColumn("_r", place).where(F.col("_r") <= F.when(F.col("kind") == "user", users).otherwise(top))
+    known = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, CATEGORY_ORDER)), F.col("value")), F.lit(0)), F.lit(100)).cast("int")
+    shown = shown.unionByName(counts.where("kind = 'category'").withColumn("_r", known))
+    listed = lambda kind, f: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("_r", "value", "k")))), f), ", ")
+    counted = lambda x: F.concat_ws(":", x["value"], x["k"].cast("string"))
+    shown = shown.groupBy(*keys).agg(listed("category", lambda x: x["value"]).alias("categories"), listed("category", counted).alias("cat_counts"), listed("action", counted).alias("actions"), listed("destination", counted).alias("destinations"), listed("user", lambda x: x["value"]).alias("users"))
+    rest = F.substring_index("chain_id", ":", -1)
+    out = main.join(sizes, keys, "left").join(shown, keys, "left").withColumn("root_pid", F.when(F.col("chain_id").startswith("proc:"), rest).otherwise(""))
+    own = F.coalesce(F.nullif("_first.command", F.lit("")), F.nullif("_first.name", F.lit("")), F.expr("substr(chain_id, instr(chain_id, ':') + 1)"))
+    if names is None:
+        out = out.withColumn("title", own)
+    else:
+        named = names.where("name <> ''").groupBy(*by, F.col("id").cast("string").alias("root_pid")).agg(F.min("name").alias("_name"))
+        out = out.join(named, [*by, "root_pid"], "left").withColumn("title", F.coalesce("_name", own)).drop("_name")
+    texts, numbers = ["categories", "cat_counts", "actions", "destinations", "users"], ["n_pids", "span"]
+    out = out.withColumn("how", F.col("_first.how")).drop("_first").fillna("", texts).fillna(0, numbers)
+    return out.orderBy(F.desc("span"), F.desc("severity"), F.desc("n"), "chain_id")
+
+
+def chain_coverage(chains: DataFrame) -> DataFrame:
+    """One row: how many events there are, how each kind of link led to them, and the whole per cent that strong links and all links cover."""
+    counts = chains.agg(F.count(F.lit(1)).alias("events"), *(F.count_if(F.col("how") == h).alias(f"n_{h}") for h in LINK_STRENGTH))
+    strong = sum((F.col(f"n_{h}") for h, x in LINK_STRENGTH.items() if x == "strong"), F.lit(0))
+    every = sum((F.col(f"n_{h}") for h in LINK_STRENGTH), F.lit(0))
+    share = lambda x: F.floor(x * 100 / F.greatest("events", F.lit(1)))
+    return counts.withColumn("strong_pct", share(strong)).withColumn("covered_pct", share(every))

@@ -338,7 +338,7 @@ def forest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT ancestor AS id, count(*) AS n, CAST(sum(rss) AS DOUBLE) AS rss FROM up JOIN v_tree ON pid = id GROUP BY 1""")
 def subtree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = v_tree(spark, sf_dir).select("host_id", F.col("pid").alias("id"), "rss")
-    return hierarchy.subtree_sum(metrics, _closure(spark, sf_dir), ["rss"]).select("id", "n", F.col("rss").cast("double").alias("rss"))
+    return hierarchy.subtree_sum(metrics, v_edges(spark, sf_dir), ["rss"]).select("id", "n", F.col("rss").cast("double").alias("rss"))
 
 
 @query(TREE + """, top AS (SELECT pid FROM v_tree ORDER BY rss DESC, pid LIMIT 18),
@@ -355,7 +355,7 @@ def top_with_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT pid AS id, CASE WHEN v_tree.pkg <> '' THEN v_tree.pkg ELSE coalesce(g.pkg, '') END AS pkg, CAST(CASE WHEN v_tree.pkg <> '' THEN 0 ELSE d END AS BIGINT) AS from_depth FROM v_tree LEFT JOIN g ON g.id = pid""")
 def nearest_packaged_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = v_tree(spark, sf_dir).select("host_id", F.col("pid").alias("id"), "pkg")
-    found = hierarchy.nearest_ancestor(nodes, _closure(spark, sf_dir), F.col("pkg") != "", "pkg")
+    found = hierarchy.nearest_ancestor(nodes, v_edges(spark, sf_dir), F.col("pkg") != "", "pkg")
     return found.select("id", "pkg", F.col("from_depth").cast("long").alias("from_depth"))
 
 
@@ -429,35 +429,84 @@ def activity_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.by_day(history).select("pid", F.col("day").cast("string").alias("day"), "n", stamp("first_ts").alias("first_ts"), stamp("last_ts").alias("last_ts"))
 
 
-def _chain_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _chain_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    item = F.concat(F.lit("item-"), F.col("k").cast("string"))
     e = v_ev(spark, sf_dir).withColumn("process_pid", F.when(F.col("process_name") != "", F.col("process_pid"))).withColumn("event_action", F.col("event_type")).withColumn("event_module", F.lit("m"))
-    edges = v_edges(spark, sf_dir)
+    e = e.withColumn("object_name", F.when(F.col("event_type") == "view", item).otherwise("")).withColumn("process_command_line", F.when(F.col("event_type") == "signup", F.concat(F.lit("/usr/bin/start '"), item, F.lit("' --now"))).otherwise(""))
     names = v_tree(spark, sf_dir).select("host_id", F.col("pid").alias("id"), F.when(F.col("pid") % 10 == 0, "/bin/bash").otherwise("app").alias("name"))
-    return e, timeline.chain_roots(edges, names)
+    return e, timeline.chain_roots(v_edges(spark, sf_dir), names), names
 
 
-@query("""WITH RECURSIVE t AS (SELECT p_partkey AS pid, p_partkey // 8 AS ppid FROM part WHERE p_partkey // 8 IN (SELECT p_partkey FROM part) AND p_partkey // 8 <> p_partkey),
+ROOTS = """t AS (SELECT p_partkey AS pid, p_partkey // 8 AS ppid FROM part WHERE p_partkey // 8 IN (SELECT p_partkey FROM part) AND p_partkey // 8 <> p_partkey),
 w AS (SELECT pid AS id, pid AS root, 0 AS n FROM t UNION ALL
-  SELECT w.id, t.ppid, n + 1 FROM w JOIN t ON t.pid = w.root WHERE t.ppid % 10 <> 0 AND t.ppid IN (SELECT pid FROM t))
-SELECT id, max_by(root, n) AS root FROM w GROUP BY 1""")
+  SELECT w.id, t.ppid, n + 1 FROM w JOIN t ON t.pid = w.root WHERE t.ppid % 10 <> 0 AND t.ppid IN (SELECT pid FROM t)),
+roots AS (SELECT id, max_by(root, n) AS root FROM w GROUP BY 1)"""
+#: Which event an event follows: that with its socket, its object, the first command that names the object, or its user.
+CHAINS = f"""{V_EV}, {ROOTS},
+e AS (SELECT *, CASE WHEN process_name <> '' THEN process_pid END AS pid, destination_ip || ':' || destination_port AS sock, CASE WHEN event_type = 'view' THEN 'item-' || k END AS obj, CASE WHEN event_type = 'signup' THEN 'item-' || k END AS word FROM v_ev),
+said AS (SELECT word, min((ts, event_id)) AS at FROM e WHERE word IS NOT NULL GROUP BY 1),
+o AS (SELECT e.*, coalesce(root, pid) AS root, lag(event_id) OVER (PARTITION BY sock ORDER BY ts, event_id) AS by_socket, CASE WHEN obj IS NOT NULL THEN lag(event_id) OVER (PARTITION BY obj ORDER BY ts, event_id) END AS by_object,
+    CASE WHEN said.at < (ts, event_id) THEN said.at[2] END AS by_word, lag(event_id) OVER (PARTITION BY subject_name ORDER BY ts, event_id) AS by_user
+  FROM e LEFT JOIN roots ON id = pid LEFT JOIN said ON said.word = obj),
+nx AS (SELECT *, CASE WHEN root IS NULL THEN coalesce(by_socket, by_object, by_word, by_user) END AS nxt,
+    CASE WHEN root IS NOT NULL THEN 'ancestry' WHEN by_socket IS NOT NULL THEN 'socket' WHEN coalesce(by_object, by_word) IS NOT NULL THEN 'object' ELSE 'time' END AS how FROM o),
+climb AS (SELECT event_id, event_id AS cur FROM nx UNION ALL SELECT climb.event_id, nx.nxt FROM climb JOIN nx ON nx.event_id = climb.cur WHERE nx.nxt IS NOT NULL),
+chains AS (SELECT climb.event_id, CASE WHEN nx.root IS NOT NULL THEN 'proc:' || nx.root ELSE 'user:' || nx.subject_name END AS chain_id FROM climb JOIN nx ON nx.event_id = climb.cur WHERE nx.nxt IS NULL)"""
+
+
+@query(f"WITH RECURSIVE {ROOTS} SELECT id, root FROM roots")
 def chain_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chain_inputs(spark, sf_dir)[1].select("id", "root")
 
 
-@query()
-def event_chains_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, roots = _chain_inputs(spark, sf_dir)
-    chains = timeline.build_chains(e, roots)
-    found = timeline.chain_summary(chains, e)
-    return found.drop("host_id").withColumn("start", stamp("start")).withColumn("end", stamp("end"))
+@query("""WITH RECURSIVE t AS (SELECT event_id AS id, CASE WHEN event_id % 4000 = 1 AND event_id < 8000 THEN event_id + 40 ELSE event_id - 1 END AS up FROM events WHERE event_id % 4000 <> 0),
+s AS (SELECT id, up FROM t WHERE up % 1999 <> 0 AND up IN (SELECT id FROM t)),
+ring AS (SELECT id AS start, id, up, 1 AS n FROM s WHERE id % 4000 = 1 AND id < 8000 UNION ALL SELECT start, s.id, s.up, n + 1 FROM ring JOIN s ON s.id = ring.up WHERE ring.up <> start),
+tops AS (SELECT id, id AS root FROM t WHERE id NOT IN (SELECT id FROM s) UNION ALL SELECT ring.id, before.id FROM ring JOIN ring AS before ON before.up = ring.id),
+w AS (SELECT id, root FROM tops UNION ALL SELECT s.id, w.root FROM w JOIN s ON s.up = w.id WHERE s.id NOT IN (SELECT id FROM ring))
+SELECT id, root FROM w""")
+def chain_roots_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of thousands of processes; those of the first two groups begin in a cycle of 41."""
+    e = read(spark, sf_dir, "events").where("event_id % 4000 <> 0")
+    up = F.when((F.col("event_id") % 4000 == 1) & (F.col("event_id") < 8000), F.col("event_id") + 40).otherwise(F.col("event_id") - 1)
+    names = read(spark, sf_dir, "events").select(F.lit("h0").alias("host_id"), F.col("event_id").alias("id"), F.when(F.col("event_id") % 1999 == 0, "/usr/bin/zsh").otherwise("app").alias("name"))
+    return timeline.chain_roots(e.select(F.lit("h0").alias("host_id"), F.col("event_id").alias("child"), up.alias("parent")), names).select("id", "root")
 
 
-@query()
+@query(f"WITH RECURSIVE {CHAINS} SELECT event_id, chain_id, how FROM chains JOIN nx USING (event_id)")
 def event_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, roots = _chain_inputs(spark, sf_dir)
+    e, roots, _ = _chain_inputs(spark, sf_dir)
     return timeline.build_chains(e, roots).select("event_id", "chain_id", "how")
 
 
+@query(f"""WITH RECURSIVE {CHAINS},
+r AS (SELECT chain_id, nx.*, (ts, event_id) AS pos FROM chains JOIN nx USING (event_id)),
+x AS (SELECT chain_id, 'pid' AS kind, CAST(pid AS VARCHAR) AS v, pos FROM r WHERE pid IS NOT NULL UNION ALL SELECT chain_id, 'category', event_category, pos FROM r UNION ALL SELECT chain_id, 'action', event_type, pos FROM r
+  UNION ALL SELECT chain_id, 'destination', destination_ip, pos FROM r UNION ALL SELECT chain_id, 'user', subject_name, pos FROM r),
+c AS (SELECT chain_id, kind, v, count(*) AS k, min(pos) AS first FROM x GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY chain_id, kind ORDER BY CASE WHEN kind = 'user' THEN 0 ELSE -k END, first) AS p,
+  coalesce(list_position(['process', 'authentication', 'file', 'network', 'package', 'iam', 'intrusion_detection'], v), 100) AS c FROM c),
+l AS (SELECT chain_id, count(*) FILTER (kind = 'pid') AS n_pids, count(*) FILTER (kind = 'category') AS span, string_agg(v, ', ' ORDER BY c) FILTER (kind = 'category') AS categories, string_agg(v || ':' || k, ', ' ORDER BY c) FILTER (kind = 'category') AS cat_counts,
+  string_agg(v || ':' || k, ', ' ORDER BY p) FILTER (kind = 'action' AND p <= 4) AS actions, string_agg(v || ':' || k, ', ' ORDER BY p) FILTER (kind = 'destination' AND p <= 4) AS destinations, string_agg(v, ', ' ORDER BY p) FILTER (kind = 'user' AND p <= 3) AS users FROM p GROUP BY 1)
+SELECT chain_id, strftime(min(ts), {TIME}) AS start, strftime(max(ts), {TIME}) AS "end", count(*) AS n, max(event_severity) AS severity, {', '.join(f"count(*) FILTER (how = '{h}') AS n_{h}" for h in ('ancestry', 'socket', 'object', 'time'))},
+  any_value(n_pids) AS n_pids, any_value(span) AS span, any_value(categories) AS categories, any_value(cat_counts) AS cat_counts, any_value(actions) AS actions, any_value(destinations) AS destinations, any_value(users) AS users,
+  CASE WHEN chain_id LIKE 'proc:%' THEN chain_id[6:] ELSE '' END AS root_pid, min_by(how, pos) AS how,
+  CASE WHEN chain_id LIKE 'proc:%' AND TRY_CAST(chain_id[6:] AS BIGINT) IN (SELECT p_partkey FROM part) THEN CASE WHEN TRY_CAST(chain_id[6:] AS BIGINT) % 10 = 0 THEN '/bin/bash' ELSE 'app' END
+    ELSE coalesce(nullif(min_by(CASE WHEN event_type = 'signup' THEN 'start' ELSE '' END, pos), ''), nullif(min_by(process_name, pos), ''), chain_id[6:]) END AS title
+FROM r JOIN l USING (chain_id) GROUP BY 1 HAVING count(*) >= 2""")
+def event_chains_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, roots, names = _chain_inputs(spark, sf_dir)
+    found = timeline.chain_summary(timeline.build_chains(e, roots), e, names)
+    return found.drop("host_id").withColumn("start", stamp("start")).withColumn("end", stamp("end"))
+
+
+@query(f"""WITH RECURSIVE {CHAINS}, c AS (SELECT count(*) AS events, {', '.join(f"count(*) FILTER (how = '{h}') AS n_{h}" for h in ('ancestry', 'socket', 'object', 'time'))} FROM chains JOIN nx USING (event_id))
+SELECT *, CAST((n_ancestry + n_socket) * 100 // events AS BIGINT) AS strong_pct, CAST((n_ancestry + n_socket + n_object + n_time) * 100 // events AS BIGINT) AS covered_pct FROM c""")
+def event_chains_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, roots, _ = _chain_inputs(spark, sf_dir)
+    return timeline.chain_coverage(timeline.build_chains(e, roots))
+
+
 @query("SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
 def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.regexp_extract("url", r"^(\w+://[^/]*)", 1)
