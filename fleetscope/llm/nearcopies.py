@@ -50,6 +50,7 @@ SIMILARITY = 4, 5
 STARS = 1, 16
 HOT, BITS, LONGEST = 8, 4, 64
 OFTEN, MOST, FLUSH = 16, 1_000_000, 1 << 22
+MAP_BITS = 27
 BROADCAST_SHINGLES = 4_000_000
 _NOT_SPACE = np.ones(256, dtype=bool)
 _NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
@@ -114,8 +115,18 @@ def _repeated(shingle: int):
     return emit
 
 
-def _first(shingle: int, common):
-    """Each text's first shingles and their places, the common ones last."""
+def _map_of(shared: DataFrame) -> np.ndarray:
+    """Which of the 2^27 leading hash bits some ``h`` has: 16 MB, whatever the corpus."""
+    place = F.shiftrightunsigned("h", 64 - MAP_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words_ = shared.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(1 << (MAP_BITS - 6), dtype=np.uint64)
+    out[words_["word"].to_numpy(np.int64)] = words_["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _first(shingle: int, common, shared=None):
+    """Each text's first shingles and their places, the common ones last; only those that a bit map ``shared`` may have, if there is one."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = common.value
@@ -129,6 +140,9 @@ def _first(shingle: int, common):
                     h = h[np.lexsort((h, np.where(known[at] == h, often[at], 0), who))]
                 place = np.arange(len(h)) - np.repeat(edge[:-1], n) + 1
                 stays = place <= np.repeat(first_ones(n), n)
+                if shared is not None:
+                    at = h >> np.uint64(64 - MAP_BITS)
+                    stays &= (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
                 node = np.asarray(part.column("node"))[who]
                 yield pa.RecordBatch.from_arrays([pa.array(node[stays]), pa.array(n[who][stays]), pa.array(h[stays].view(np.int64)), pa.array(place[stays])], ["node", "n", "h", "place"])
 
@@ -179,6 +193,8 @@ def first_shared(texts: DataFrame, shingle: int = SHINGLE, often: int = OFTEN, m
     common = texts.sparkSession.sparkContext.broadcast((known[order], rows["texts"].to_numpy()[order]))
     first = texts.mapInArrow(_first(shingle, common), "node long, n long, h long, place long")
     shared = checkpointed(first.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("many")).where("a <> b").select("h", "many"))
+    # Most first shingles stand in one text: the bit map keeps them from being moved again.
+    first = texts.mapInArrow(_first(shingle, common, texts.sparkSession.sparkContext.broadcast(_map_of(shared))), "node long, n long, h long, place long")
     return checkpointed(first.join(broadcast_if_small(shared), "h").groupBy("node", "h").agg(*(F.first(c).alias(c) for c in ("n", "place", "many"))))
 
 
