@@ -46,9 +46,9 @@ from pyspark.sql import functions as F
 from fleetscope.llm.common import checkpointed, flat, shards, slices, text_bytes
 
 DEPTH, SPLIT = 6, 3
-BLOCK_BYTES, SHARD_BYTES, LEAST_SHARDS, PAYLOAD_BYTES = 64 << 20, 16 << 20, 12, 1 << 20
-#: N-grams that wait in a block before they are merged.
-WAITING = 1 << 23
+BLOCK_BYTES, SHARD_BYTES, LEAST_SHARDS, PAYLOAD_BYTES = 32 << 20, 16 << 20, 12, 1 << 20
+#: N-grams that wait in a block before they are merged, at least.
+WAITING = 1 << 20
 END = b"\n"
 _HALF = math.log(0.5)
 _TABLE = 1 << 12
@@ -148,7 +148,7 @@ class _Block:
 
     def __init__(self, block: int, depth: int, split: int, n_shards: int):
         self.block, self.depth, self.split, self.n_shards = block, depth, split, n_shards
-        self.parts, self.waiting, self.size, self.words, self.other = [], 0, 0, Counter(), set()
+        self.parts, self.waiting, self.most, self.size, self.words, self.other = [], 0, WAITING, 0, Counter(), set()
 
     def take(self, batch: pa.RecordBatch) -> tuple:
         """Adds a batch of ``doc_id, learns, text``, and gives the row that holds its streams."""
@@ -162,9 +162,10 @@ class _Block:
                 own, n = np.unique(own, return_counts=True)
                 self.parts.append((own, n * factor))
                 self.waiting += len(own)
-        if self.waiting > WAITING:
+        if self.waiting > self.most:
             self.parts = [merged(self.parts)]
             self.waiting = len(self.parts[0][0])
+            self.most = max(WAITING, 2 * self.waiting)
         for s, counts in zip(streams, learns):
             words = s[:-1].split()
             if counts:
@@ -410,15 +411,15 @@ def scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
     counted = checkpointed(word_answers(written.where("words IS NOT NULL").select("block", "shard", "words", "counts")))
     tokens, distinct = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     by_end = math.log10(tokens + 0.5 * (distinct + 1))
-    least = math.log10(1.25)
 
     def score(key, texts: pa.Table, table: pa.Table) -> pa.Table:
         asked, answered, words, counts = (table.column(c).drop_null().to_pylist() for c in ("grams", "logp", "words", "counts"))
         keys = np.concatenate([_opened_keys(x) for x in asked])
         logp = np.concatenate([np.frombuffer(x, dtype=np.float32) for x in answered]).astype(np.float64)
-        known: dict[bytes, float] = {}
+        known: dict[bytes, int] = {}
         for own, n in zip(words, counts):
-            known.update(zip(_opened_words(own), np.log10(_opened(n, np.int64) + 0.5).tolist()))
+            known.update(zip(_opened_words(own), _opened(n, np.int64).tolist()))
+        del asked, answered, words, counts
         places, out = Places(keys), []
         import zstandard
 
@@ -430,7 +431,8 @@ def scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: st
             by_word = [np.array([known[w] for w in s[:-1].split()] + [known[END]]) for s in streams]
             n = np.array([len(x) for x in by_word])
             long = np.diff(offsets)
-            columns = [own.column("doc_id"), own.column("learns"), n, [int((x > least).sum()) for x in by_word], np.full(len(n), tokens), [float(x.sum()) - len(x) * by_end for x in by_word], total, long, -total * math.log2(10) / long]
+            base = [float(np.log10(x + 0.5).sum()) - len(x) * by_end for x in by_word]
+            columns = [own.column("doc_id"), own.column("learns"), n, [int((x > 0).sum()) for x in by_word], np.full(len(n), tokens), base, total, long, -total * math.log2(10) / long]
             out.append(pa.table(columns, names))
         return pa.concat_tables(out).combine_chunks()
 
