@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
@@ -163,19 +164,31 @@ def field_filter(df: DataFrame, **equal) -> Column:
 def templates_hit(df: DataFrame, templates: Sequence[dict]) -> Column:
     """Number of the first noise template that fits, or null.
 
-    A template's fields are sought as parts of the row's, without regard to case;
-    ``match`` is a regular expression over ``message``. One without a criterion never fits.
+    A template's fields are sought as parts of the row's, without regard to case; ``match`` is a regular expression over ``message``.
+    One without a criterion, or whose expression is none, never fits. Templates of the same fields stand together, and their
+    expressions are tried only on rows that have these fields, so a row meets its own module's or provider's expressions.
     """
     service = ("action", "reason", "match", "name")
-    found = None
+    groups: dict[tuple[tuple[str, str], ...], list[tuple[int, str]]] = {}
     for k, t in enumerate(templates):
-        tests = [F.lower(text(df, f)).contains(str(v).lower()) for f, v in t.items() if f not in service and v not in (None, "")]
-        if t.get("match"):
-            tests.append(text(df, "message").rlike(str(t["match"])))
-        if tests:
-            fits = reduce(lambda a, b: a & b, tests)
-            found = F.when(fits, F.lit(k)) if found is None else found.when(fits, F.lit(k))
-    return F.lit(None).cast("int") if found is None else found
+        fields = tuple((f, str(v).lower()) for f, v in t.items() if f not in service and v not in (None, ""))
+        pattern = str(t.get("match") or "")
+        try:
+            re.compile(pattern)
+        except re.error:
+            continue
+        if fields or pattern:
+            groups.setdefault(fields, []).append((k, pattern))
+    firsts = []
+    for fields, own in groups.items():
+        first = None
+        for k, pattern in own:
+            fits = text(df, "message").rlike(pattern) if pattern else F.lit(True)
+            first = F.when(fits, F.lit(k)) if first is None else first.when(fits, F.lit(k))
+        tests = [F.lower(text(df, f)).contains(v) for f, v in fields]
+        firsts.append(F.when(reduce(lambda a, b: a & b, tests), first) if tests else first)
+    firsts += [F.lit(None).cast("int")] * max(0, 2 - len(firsts))
+    return F.least(*firsts)
 
 
 def apply_templates(df: DataFrame, templates: Sequence[dict]) -> DataFrame:

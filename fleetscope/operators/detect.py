@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,32 +85,82 @@ def detect_tumbling(events: DataFrame, rule: Rule) -> DataFrame:
 
 @dataclass(frozen=True)
 class Finding:
-    """A finding: rows of a query, their evidence by a template, a severity."""
+    """A finding: which rows of a table it selects, what is said about each, and in which order.
+
+    ``evidence`` is a template over the table's columns and ``more`` (name, SQL). Rows come by ``number`` descending, then ``newest`` descending,
+    then ``order`` ascending; beyond ``cap`` rows only these count.
+    """
 
     name: str
     title: str
     severity: str
-    sql: str
+    table: str
+    where: str
     evidence: str
-    order: str = "1"
-    time: str | None = None
+    more: tuple[tuple[str, str], ...] = ()
+    number: str = ""
+    newest: str = ""
+    order: tuple[str, ...] = ()
+    cap: int | None = None
+    time: str = ""
+
+
+FINDING_SEVERITIES = {"high": 3, "medium": 2, "low": 1}
+
+
+def _finding_row(view: DataFrame, f: Finding) -> Column:
+    """What the rule says about a row of its table, or null; raises if the table lacks what the rule reads."""
+    cells = {c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in view.columns} | {name: F.coalesce(F.expr(sql).cast("string"), F.lit("")) for name, sql in f.more}
+    text = lambda sql: F.coalesce(F.expr(sql).cast("string"), F.lit("")) if sql else F.lit("")
+    said = F.struct(
+        F.lit(f.name).alias("finding"),
+        (-F.coalesce(F.expr(f.number).cast("double"), F.lit(0.0)) if f.number else F.lit(0.0)).alias("number"),
+        text(f.newest).alias("newest"),
+        F.array(*map(text, f.order)).cast("array<string>").alias("order"),
+        F.trim(template(f.evidence, cells)).alias("line"),
+        text(f.time).alias("time"),
+    )
+    found = F.when(F.expr(f.where), said)
+    view.select(found)  # analysed here, so that a bad rule shows itself alone
+    return found
 
 
 def run_findings(spark: SparkSession, findings: Sequence[Finding], views: dict[str, DataFrame], most: int = 12) -> DataFrame:
-    """``finding, title, severity, n, latest, evidence``: one row for each finding with rows; views are registered under their names."""
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    out = None
+    """``finding, title, severity, n, when, evidence, error``: a row for each finding that has rows, and for each rule that can't be read.
+
+    All rules of a table are evaluated in one scan of it: a row goes on once for each rule that it fits. Each rule is analysed by itself; one
+    whose table or columns are missing, or that isn't SQL, has its error's condition and doesn't stop the others. The evidence is
+    that of the first ``most`` rows, which each task selects before anything is moved. Severe findings come first, then those of many rows.
+    """
+    by_table: dict[str, list[Column]] = {}
+    errors: list[tuple[str, str]] = []
     for f in findings:
-        rows = spark.sql(f.sql)
-        line = template(f.evidence, {c: F.col(c) for c in rows.columns})
-        keyed = rows.select(line.alias("line"), F.expr(f.order).alias("rank"), (F.col(f.time).cast("string") if f.time else F.lit("")).alias("time"))
-        top = keyed.orderBy("rank", "line").limit(most).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "; ").alias("evidence"))
-        whole = keyed.agg(F.count(F.lit(1)).alias("n"), F.max("time").alias("latest"))
-        row = whole.join(F.broadcast(top), F.lit(True)).where("n > 0").select(F.lit(f.name).alias("finding"), F.lit(f.title).alias("title"), F.lit(f.severity).alias("severity"), "n", F.coalesce("latest", F.lit("")).alias("latest"), "evidence")
-        out = row if out is None else out.unionByName(row)
-    order = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).otherwise(3)
-    return out.orderBy(order, F.desc("n"), "finding")
+        if f.table not in views:
+            errors.append((f.name, "TABLE_OR_VIEW_NOT_FOUND"))
+            continue
+        try:
+            by_table.setdefault(f.table, []).append(_finding_row(views[f.table], f))
+        except AnalysisException as error:
+            errors.append((f.name, (error.getCondition() or "ANALYSIS_ERROR").split(".")[0]))
+    about = spark.createDataFrame([(f.name, f.title, f.severity, f.cap, FINDING_SEVERITIES.get(f.severity, 0)) for f in findings], "finding string, title string, severity string, cap long, weight int")
+    wrong = spark.createDataFrame(errors, "finding string, error string")
+    out = wrong.select("finding", F.lit(0).cast("long").alias("n"), F.lit("").alias("when"), F.lit("").alias("evidence"), "error")
+    rows = [views[t].select(F.explode(F.array_compact(F.array(*said))).alias("x")).select("x.*") for t, said in by_table.items() if said]
+    if rows:
+        rows = reduce(DataFrame.unionByName, rows)
+        place = F.row_number().over(Window.partitionBy("finding").orderBy("number", F.desc("newest"), "order", "line"))
+        first = rows.withColumn("_r", place).where(F.col("_r") <= most)
+        first = first.groupBy("finding").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "line"))), lambda x: x["line"]), "; ").alias("evidence"))
+        whole = rows.groupBy("finding").agg(F.count(F.lit(1)).alias("n"), F.max("time").alias("when"))
+        out = out.unionByName(whole.join(first, "finding").withColumn("error", F.lit("")))
+    out = out.join(F.broadcast(about), "finding").withColumn("n", F.least("n", "cap"))
+    return out.orderBy(F.desc("weight"), F.desc("n"), "finding").select("finding", "title", "severity", "n", "when", "evidence", "error")
+
+
+def findings_total(report: DataFrame, rules: int) -> DataFrame:
+    """One row: rows and findings by severity, and how many rules there are and how many failed."""
+    good = F.col("error") == ""
+    return report.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), *(F.count_if(good & (F.col("severity") == s)).alias(s) for s in FINDING_SEVERITIES), F.lit(rules).cast("long").alias("rules"), F.count_if(~good).alias("errors"))
 
 
 def marker_score(c: Column, markers: Sequence[tuple[str, int, str]]) -> tuple[Column, Column]:
@@ -124,39 +177,65 @@ def risk_level(score: Column) -> Column:
     return F.when(score >= 5, "high").when(score >= 3, "medium").when(score > 0, "low").otherwise("")
 
 
-def command_risk(processes: DataFrame, markers: Sequence[tuple[str, int, str]], shells: Sequence[str]) -> DataFrame:
-    """``cmd_score, cmd_flags, cmd_risk`` of each process: markers in the command, no package +2, root +1, a shell as parent +1."""
-    parents = processes.select("host_id", F.col("pid").alias("ppid"), F.substring_index(F.col("exe"), "/", -1).alias("_parent"))
-    score, flags = marker_score(F.col("command"), markers)
-    context = F.when(F.coalesce(F.col("package"), F.lit("")) == "", 2).otherwise(0) + F.when(F.col("user") == "root", 1).otherwise(0) + F.when(F.col("_parent").isin(list(shells)), 1).otherwise(0)
-    out = processes.join(parents, ["host_id", "ppid"], "left").withColumn("_m", score).withColumn("cmd_flags", flags)
-    out = out.withColumn("cmd_score", F.when(F.col("_m") > 0, F.col("_m") + context).otherwise(0))
+def _first_word(c: Column) -> Column:
+    return F.substring_index(F.split_part(F.trim(F.coalesce(c, F.lit(""))), F.lit(" "), F.lit(1)), "/", -1)
+
+
+def command_risk(processes: DataFrame, markers: Sequence[tuple[str, str, int]], parents: Sequence[str], by: Sequence[str] = ("host_id",)) -> DataFrame:
+    """``cmd_score, cmd_flags, cmd_risk`` of each process: marks in the command, and what makes them worse: no purpose known from a package +2, root +1, one of ``parents`` as parent +1.
+
+    Without a mark there is neither flag nor risk. Flags are the marks by name, then what makes them worse.
+    """
+    above = processes.groupBy(*by, F.col("pid").alias("ppid")).agg(F.min(_first_word(F.col("command"))).alias("_parent"))
+    command = F.coalesce(F.col("command"), F.lit(""))
+    hits = [(command.rlike(pattern), name, weight) for pattern, name, weight in markers]
+    score = sum((F.when(h, w).otherwise(0) for h, _, w in hits), F.lit(0))
+    marks = F.array_sort(F.array_compact(F.array(*(F.when(h, F.lit(name)) for h, name, _ in hits))))
+    outside, root, started = F.coalesce(F.col("purpose"), F.lit("")) == "", F.coalesce(F.col("user"), F.lit("")) == "root", F.coalesce(F.col("_parent").isin(list(parents)), F.lit(False))
+    worse = F.array_compact(F.array(F.when(outside, "not from a package"), F.when(root, "root"), F.when(started, F.concat(F.lit("started from "), "_parent"))))
+    weight = F.when(outside, 2).otherwise(0) + F.when(root, 1).otherwise(0) + F.when(started, 1).otherwise(0)
+    out = processes.join(above, [*by, "ppid"], "left").withColumn("_m", score)
+    out = out.withColumn("cmd_flags", F.when(F.col("_m") > 0, F.array_join(F.concat(marks, worse), ", ")).otherwise("")).withColumn("cmd_score", F.when(F.col("_m") > 0, F.col("_m") + weight).otherwise(0))
     return out.withColumn("cmd_risk", risk_level(F.col("cmd_score"))).drop("_m", "_parent")
 
 
-def process_risk(processes: DataFrame, sockets: DataFrame) -> DataFrame:
-    """``risk`` and ``reasons``: temporary directory 3, home 2, deleted executable 3, no package 2, exposed port 3, external connection 2, root 1, name that isn't the executable's 1; kernel threads 0."""
-    net = sockets.groupBy("host_id", "pid").agg(F.max(F.col("exposure").startswith("OPEN")).alias("_exposed"), F.max(F.col("external") == "yes").alias("_external"))
-    rows = processes.join(net, ["host_id", "pid"], "left")
-    exe = F.coalesce(F.col("exe"), F.lit(""))
-    name = F.substring_index(F.split("command", " ")[0], "/", -1)
-    kernel = (exe == "") & F.col("command").startswith("[")
+#: Where temporary programs lie, and the beginnings of addresses that are not outside.
+TEMPORARY = ("/tmp/", "/dev/shm/", "/var/tmp/", "/run/user/")
+INSIDE = ("10.", "192.168.", "127.", "172.16.", "172.17.", "172.18.", "172.19.", "::1")
+
+
+def process_risk(processes: DataFrame, sockets: DataFrame, files: DataFrame, packages: DataFrame, home: str = "/home/", by: Sequence[str] = ("host_id",)) -> DataFrame:
+    """``risk`` and ``reasons`` of each process; kernel threads (commands in brackets) have 0.
+
+    An executable in a temporary directory or cache 3, below ``home`` but not in its ``.local/bin`` 2, deleted 3, neither a packaged file (``files``: ``path``) nor named
+    like a package (``packages``: ``name``) 2; a socket (``exposure, remote``) open to the network 3, or with an outside address 2; root 1; a command that names another program 1.
+    """
+    address = F.trim(F.expr("CASE WHEN contains(remote, ':') THEN substr(remote, 1, length(remote) - length(substring_index(remote, ':', -1)) - 1) ELSE remote END"))
+    address = F.regexp_replace(F.coalesce(address, F.lit("")), r"^[\[\]]+|[\[\]]+$", "")
+    outside = (address != "") & ~reduce(or_, (address.startswith(x) for x in INSIDE))
+    net = sockets.groupBy(*by, "pid").agg(F.max(F.col("exposure") == "OPEN (exposed)").alias("_exposed"), F.max(outside).alias("_external"))
+    exe, command = F.coalesce(F.col("exe"), F.lit("")), F.trim(F.coalesce(F.col("command"), F.lit("")))
+    named = F.when(exe != "", F.substring_index(exe, "/", -1)).otherwise(_first_word(F.col("command")))
+    rows = processes.withColumn("_exe", exe).withColumn("_base", F.lower(named)).join(net, [*by, "pid"], "left")
+    rows = rows.join(files.select(*by, F.col("path").alias("_exe"), F.lit(True).alias("_file")).distinct(), [*by, "_exe"], "left")
+    rows = rows.join(packages.select(*by, F.lower("name").alias("_base"), F.lit(True).alias("_package")).distinct(), [*by, "_base"], "left")
+    has = exe != ""
     tests = [
-        (exe.rlike(r"^/(tmp|var/tmp|dev/shm)/"), 3, "runs from a temporary directory"),
-        (exe.rlike(r"^/home/"), 2, "runs from a home directory"),
-        (exe.endswith(" (deleted)"), 3, "executable deleted"),
-        (F.coalesce(F.col("package"), F.lit("")) == "", 2, "no package"),
-        (F.coalesce(F.col("_exposed"), F.lit(False)), 3, "port exposed"),
-        (F.coalesce(F.col("_external"), F.lit(False)), 2, "external connection"),
+        (has & (reduce(or_, (exe.startswith(x) for x in TEMPORARY)) | exe.contains("/.cache/")), 3, "runs from temp dir"),
+        (has & exe.startswith(home) & ~exe.contains("/.local/bin"), 2, "binary in home"),
+        (has & F.coalesce(F.col("command"), F.lit("")).contains("(deleted)"), 3, "binary deleted"),
+        (has & F.col("_file").isNull() & F.col("_package").isNull(), 2, "not from a package"),
+        (F.col("_exposed"), 3, "listening exposed"),
+        (F.col("_external"), 2, "external connection"),
         (F.col("user") == "root", 1, "root"),
-        ((exe != "") & (name != F.substring_index(F.regexp_replace(exe, r" \(deleted\)$", ""), "/", -1)), 1, "name differs from executable"),
+        ((named != "") & (command != "") & (named != _first_word(F.col("command"))), 1, "name/exe mismatch"),
     ]
     score, reasons = F.lit(0), []
     for hit, weight, reason in tests:
-        hit = F.coalesce(hit, F.lit(False)) & ~kernel
+        hit = F.coalesce(hit, F.lit(False)) & ~command.startswith("[")
         score = score + F.when(hit, weight).otherwise(0)
         reasons.append(F.when(hit, F.lit(reason)))
-    return rows.withColumn("risk", score).withColumn("reasons", F.array_join(F.array_compact(F.array(*reasons)), ", ")).drop("_exposed", "_external")
+    return rows.withColumn("risk", score).withColumn("reasons", F.array_join(F.array_compact(F.array(*reasons)), ", ")).drop("_exposed", "_external", "_exe", "_base", "_file", "_package")
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

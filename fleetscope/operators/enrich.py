@@ -17,34 +17,31 @@ def one_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Data
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def lookup(df: DataFrame, table: DataFrame, from_col: str, key: str, add: dict[str, str], extract: str | None = None, by: Sequence[str] = (), order: str | None = None, last: bool = True) -> DataFrame:
+def lookup(df: DataFrame, table: DataFrame, from_col: str, key: str, add: dict[str, str], order: str, extract: str | None = None, by: Sequence[str] = (), last: bool = True) -> DataFrame:
     """Columns ``add`` (new: source) from the row of ``table`` whose ``key`` equals ``from_col`` or what ``extract`` finds in it; a miss is empty text. Of rows with one key the last by ``order`` counts (or the first)."""
     value = F.coalesce(F.col(from_col).cast("string"), F.lit(""))
     value = F.regexp_extract(value, extract, 1) if extract else value
-    small = table.select(*by, F.col(key).cast("string").alias("_key"), *(F.col(s).cast("string").alias(f"_add_{n}") for n, s in add.items()), *([F.col(order).alias("_order")] if order else []))
-    if order:
-        small = one_row(small, [*by, "_key"], [F.desc("_order") if last else F.asc("_order")]).drop("_order")
-    else:
-        small = small.dropDuplicates([*by, "_key"])
-    out = df.withColumn("_key", F.nullif(value, F.lit(""))).join(small, [*by, "_key"], "left")
-    return out.select(*df.columns, *(F.coalesce(F.col(f"_add_{n}"), F.lit("")).alias(n) for n in add))
-
-
-def first_hit(df: DataFrame, row_keys: Sequence[str], candidates: Sequence[tuple[Column, DataFrame]], value: str, by: Sequence[str] = ()) -> DataFrame:
-    """``row_keys…, value``: what the first candidate finds. A candidate is a Column and a table with ``key`` and ``value``; their order is the order of preference."""
-    found = None
-    for rank, (cell, table) in enumerate(candidates):
-        keyed = df.select(*row_keys, *by, cell.cast("string").alias("_key")).where(~blank(F.col("_key")))
-        small = table.select(*by, F.col("key").cast("string").alias("_key"), F.col("value").alias("_value")).groupBy(*by, "_key").agg(F.min("_value").alias("_value"))
-        hit = keyed.join(small, [*by, "_key"]).select(*row_keys, F.lit(rank).alias("_rank"), "_value")
-        found = hit if found is None else found.unionByName(hit)
-    return found.groupBy(*row_keys).agg(F.min_by("_value", "_rank").alias(value))
+    cells = F.struct(*(F.col(s).cast("string").alias(n) for n, s in add.items()))
+    pick = F.max_by if last else F.min_by
+    small = table.groupBy(*by, F.col(key).cast("string").alias("_key")).agg(pick(cells, F.col(order)).alias("_add"))
+    out = df.withColumn("_key", value).join(small, [*by, "_key"], "left")
+    found = F.col("_key") != ""
+    return out.select(*df.columns, *(F.when(found, F.coalesce(F.col(f"_add.{n}"), F.lit(""))).otherwise("").alias(n) for n in add))
 
 
 def attach_first_hit(df: DataFrame, row_keys: Sequence[str], candidates: Sequence[tuple[Column, DataFrame]], value: str, by: Sequence[str] = ()) -> DataFrame:
-    """``df`` with column ``value``, empty where no candidate finds anything."""
-    hits = first_hit(df, row_keys, candidates, f"_{value}", by)
-    return df.join(hits, list(row_keys), "left").withColumn(value, F.coalesce(f"_{value}", F.lit(""))).drop(f"_{value}")
+    """``df`` with column ``value``, empty where no candidate finds anything.
+
+    Each table has one row a key and is joined in turn, by rows that have found nothing yet; the others have keys of their own that nothing
+    has, so that they are neither looked up nor gathered in one task.
+    """
+    out = df.withColumn("_hit", F.lit(None).cast("string"))
+    for cell, table in candidates:
+        small = table.groupBy(*by, F.col("key").cast("string").alias("_key")).agg(F.min(F.col("value").cast("string")).alias("_found"))
+        text = cell.cast("string")
+        out = out.withColumn("_key", F.when(F.col("_hit").isNull() & ~blank(text), text).otherwise(F.concat(F.lit("\0"), F.xxhash64(*row_keys).cast("string"))))
+        out = out.join(small, [*by, "_key"], "left").withColumn("_hit", F.coalesce("_hit", "_found")).drop("_key", "_found")
+    return out.select(*df.columns, F.coalesce("_hit", F.lit("")).alias(value))
 
 
 def attach_package(df: DataFrame, files: DataFrame, row_keys: Sequence[str], path_cols: Sequence[str], unit_col: str | None = None, module_col: str | None = None) -> DataFrame:

@@ -478,14 +478,27 @@ def block_devices(df: DataFrame) -> DataFrame:
 
 
 def ssh_keys(lines: DataFrame) -> DataFrame:
-    """One row a file (``path, line``): private, private under a public name, or public; types and how many; short RSA keys are weak."""
-    rows = lines.groupBy("host_id", "path").agg(F.collect_list("line").alias("l"))
-    private = F.exists("l", lambda x: x.contains("PRIVATE KEY"))
-    public = F.filter("l", lambda x: x.rlike(r"^(ssh-|ecdsa-|sk-)"))
-    types = F.array_sort(F.array_distinct(F.transform(public, lambda x: F.split(x, " ")[0])))
-    weak = F.exists(public, lambda x: x.startswith("ssh-rsa") & (F.length(F.split(x, " ")[1]) < 360)) | F.exists(public, lambda x: x.startswith("ssh-dss"))
-    kind = F.when(private & F.col("path").endswith(".pub"), "private-as-pub").when(private, "private").when(F.size(public) > 0, "public").otherwise("other")
-    return rows.select("host_id", "path", kind.alias("kind"), F.array_join(types, ", ").alias("types"), F.size(public).cast("long").alias("count"), F.when(weak, "yes").otherwise("").alias("weak"))
+    """One row a file (``path, line_no, line``): whether it is private, under which name, its public keys' algorithms and owners, and which of them are weak.
+
+    A file whose whole text is ``PRIVATE`` is a private key; one with a private key's heading is one stored as a public one. Otherwise
+    algorithms and comments (six at most) come in order of appearance; an ``ssh-rsa`` key below 2 048 bits, at 4.5 bits for each character, is weak.
+    """
+    rows = lines.where("path <> ''").groupBy("host_id", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("l"))
+    content = F.array_join("l", "\n")
+    parts = F.filter(F.transform("l", lambda x: F.split(F.trim(x), " ", 3)), lambda p: F.get(p, F.lit(0)).rlike("^(ssh-|ecdsa|sk-)"))
+    types = F.array_join(F.array_distinct(F.transform(parts, lambda p: F.get(p, F.lit(0)))), " ")
+    owners = F.array_distinct(F.filter(F.transform(parts, lambda p: F.trim(F.coalesce(F.get(p, F.lit(2)), F.lit("")))), lambda c: c != ""))
+    bits = F.transform(F.filter(parts, lambda p: (F.get(p, F.lit(0)) == "ssh-rsa") & (F.size(p) > 1)), lambda p: F.floor(F.length(F.get(p, F.lit(1))) * 4.5))
+    weak = F.array_join(F.transform(F.filter(bits, lambda n: (n > 0) & (n < 2048)), lambda n: F.concat(F.lit("ssh-rsa ~"), n.cast("string"), F.lit(" bits"))), ", ")
+    plain, hidden = F.col("content") == "PRIVATE", F.col("content").contains("PRIVATE KEY")
+    private = plain | hidden
+    kind = F.when(types != "", types).otherwise("key")
+    out = rows.withColumn("content", content)
+    return out.select(
+        "host_id", "path", F.when(private, "private").otherwise("public").alias("kind"), F.when(private, "private").otherwise(kind).alias("type"), F.when(private, "").otherwise(F.array_join(F.slice(owners, 1, 6), ", ")).alias("comment"),
+        F.when(private, "").otherwise(weak).alias("weak"), F.when(plain, "private key").when(hidden, "private key stored as .pub (!)").otherwise(kind).alias("types"),
+        F.when(private, 1).otherwise(F.size("l")).cast("long").alias("count"), F.when(private, "").otherwise(F.col("content")).alias("key"),
+    )
 
 
 def services(units: DataFrame, enabled: DataFrame, files: DataFrame) -> DataFrame:

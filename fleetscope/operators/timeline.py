@@ -67,7 +67,11 @@ def chain_roots(edges: DataFrame, names: DataFrame, shells: Sequence[str] = SHEL
 
 
 TOKENS_LEFT_OUT = ("sudo", "install", "remove", "update")
-CHAIN_FIELDS = ("event_id", "ts", "root", "socket", "object", "command", "user", "module")
+
+
+def command_words(command: str) -> list[str]:
+    """The words of a command line that may name an object."""
+    return [w for w in (w.strip("\"'`") for w in command.split()) if len(w) > 3 and w[0] != "-" and "/" not in w and w not in TOKENS_LEFT_OUT]
 
 
 class ChainState:
@@ -94,9 +98,8 @@ class ChainState:
             self.sockets[socket] = chain
         if thing:
             self.objects[thing] = chain
-        for word in (w.strip("\"'`") for w in command.split()):
-            if len(word) > 3 and word[0] != "-" and "/" not in word and word not in TOKENS_LEFT_OUT:
-                self.objects.setdefault(word, chain)
+        for word in command_words(command):
+            self.objects.setdefault(word, chain)
         if user:
             self.users[user] = chain
         return chain, how

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions import predicates as P
 from fleetscope.functions.scalars import cvss_rating, cvss_score, hex_text
-from fleetscope.operators import detect, enrich, stats
+from fleetscope.operators import enrich, stats
 from fleetscope.plans.registry import query, stamp
 from fleetscope.plans.rules import SAVED_QUERIES
 from fleetscope.plans.views import V_EV, read, v_ev
@@ -298,18 +298,6 @@ def age_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", F.col("age_days").cast("long").alias("age_days"), "recent")
 
 
-MARKERS = ((r"@", 1, "address"), (r"(?i)licen[cs]e", 3, "licence"), (r"[A-Za-z0-9]{20,}", 4, "token"))
-
-
-@query("""WITH m AS (SELECT doc_id, CASE WHEN contains(text, '@') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)licen[cs]e') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(text, '[A-Za-z0-9]{20,}') THEN 4 ELSE 0 END AS s,
-  concat_ws(', ', CASE WHEN contains(text, '@') THEN 'address' END, CASE WHEN regexp_matches(text, '(?i)licen[cs]e') THEN 'licence' END, CASE WHEN regexp_matches(text, '[A-Za-z0-9]{20,}') THEN 'token' END) AS flags FROM documents)
-SELECT doc_id, CAST(s AS BIGINT) AS score, flags, CASE WHEN s >= 5 THEN 'high' WHEN s >= 3 THEN 'medium' WHEN s > 0 THEN 'low' ELSE '' END AS level FROM m""")
-def command_risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score, flags = detect.marker_score(F.col("text"), MARKERS)
-    rows = read(spark, sf_dir, "documents").select("doc_id", score.cast("long").alias("score"), flags.alias("flags"))
-    return rows.withColumn("level", detect.risk_level(F.col("score")))
-
-
 @query("""WITH k AS (SELECT event_id, list_sort([k FOR k IN json_keys(props) IF k <> 'event_id']) AS names FROM events)
 SELECT event_id, array_to_string(names[1:20], ', ') || CASE WHEN len(names) > 20 THEN ' (+' || (len(names) - 20) || ')' ELSE '' END AS not_normalized FROM k""")
 def unmapped_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

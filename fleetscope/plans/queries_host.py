@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscope.functions import scalars as SC
-from fleetscope.operators import detect, enrich, entities, graph, parse, stats, timeline
+from fleetscope.operators import enrich, entities, graph, parse, stats, timeline
 from fleetscope.plans.registry import query, stamp
 from fleetscope.plans.views import V_EV, V_TREE, read, v_edges, v_ev, v_tree
 from fleetscope.sources import lines as LN
@@ -222,14 +222,6 @@ def advisory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.advisory_counts(rows)
 
 
-@query("""SELECT p_partkey, CAST(CASE WHEN p_size % 5 = 0 THEN 3 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) THEN 3 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS risk FROM part""")
-def process_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("p_size")
-    procs = read(spark, sf_dir, "part").select(_host(), F.col("p_partkey").alias("pid"), F.when(s % 5 == 0, "/tmp/x").otherwise("/usr/bin/x").alias("exe"), F.lit("x -v").alias("command"), F.when(s % 3 == 0, "").otherwise("p").alias("package"), F.when(s % 2 == 0, "root").otherwise("u").alias("user"))
-    socks = read(spark, sf_dir, "lineitem").where("l_quantity = 50").select(_host(), F.col("l_partkey").alias("pid"), F.lit("OPEN (exposed)").alias("exposure"), F.lit("no").alias("external"))
-    return detect.process_risk(procs, socks).select(F.col("pid").alias("p_partkey"), F.col("risk").cast("long").alias("risk"))
-
-
 @query("""SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 2 ELSE 0 END + 1 + CASE WHEN p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) THEN 1 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS score,
 CASE WHEN p_size % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 2 ELSE 0 END + 1 + CASE WHEN p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) THEN 1 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END >= 4 AS is_program FROM part""")
 def program_classification(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from fleetscope.plans.registry import query, stamp
 from fleetscope.plans.views import V_DEP, V_EV, V_IV, V_STATE, V_TREE, read, v_dep, v_edges, v_ev, v_iv, v_new, v_old, v_strs, v_tree
 from fleetscope.sources import events as E
 from fleetscope.sources import state as S
+from fleetscope.sources.checkpoints import shared_folder
 
 BY = ["host_id"]
 TIME = "'%Y-%m-%d %H:%M:%S'"
@@ -56,6 +59,17 @@ def append_new_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.append_dedup(e.where("event_id % 3 = 0"), e.unionByName(e), ["event_id"]).select("event_id", "event_type")
 
 
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, event_type FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-10' AND event_id % 3 <> 0 AND NOT (event_id % 5 = 0 AND CAST(ts AS DATE) < DATE '2024-01-20')")
+def append_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has the first days and, up to the 20th, some later events; all events come in, each twice, one in three without a key that counts."""
+    path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    e = v_ev(spark, sf_dir).select("host_id", "event_id", "ts", "event_type")
+    E.append_by_day(e.where("ts < '2024-01-10' OR (event_id % 5 = 0 AND ts < '2024-01-20')"), path)
+    E.append_by_day(e.where("event_id % 3 = 0"), path)
+    rows = E.append_by_day(e.unionByName(e), path)
+    return rows.select("event_id", F.col("event_date").cast("string").alias("day"), "event_type")
+
+
 @query("SELECT count(*) AS n_rows, true AS equal, false AS equal_after_change FROM customer")
 def set_fingerprint_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
@@ -66,24 +80,26 @@ def set_fingerprint_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHANGES = f"""WITH {V_STATE},
-d AS (SELECT area, 'key' AS k, key, change, o_acctbal, n_acctbal, o_segment, n_segment FROM diff WHERE change IS NOT NULL),
-c AS (SELECT area, count(*) AS n, count(*) FILTER (change = 'added') AS a, count(*) FILTER (change = 'removed') AS r, count(*) FILTER (change = 'changed') AS c FROM d GROUP BY 1)"""
+d AS (SELECT area, key, change, o_acctbal, n_acctbal, o_segment, n_segment FROM diff WHERE change IS NOT NULL),
+c AS (SELECT area, count(*) AS n, count(*) FILTER (change = 'added') AS a, count(*) FILTER (change = 'removed') AS r, count(*) FILTER (change = 'changed') AS c FROM d GROUP BY 1),
+x AS (SELECT area, string_agg(CAST(key AS VARCHAR), '; ' ORDER BY r) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY CASE change WHEN 'added' THEN 0 WHEN 'removed' THEN 1 ELSE 2 END, CAST(key AS VARCHAR)) AS r FROM d) WHERE r <= 8 GROUP BY 1)"""
+BULK = "'bulk change ''customer'': ' || a || ' added, ' || r || ' removed, ' || c || ' changed. Examples: ' || examples || ' (summarised — more than {} records)'"
 
 
-@query(CHANGES + """
-SELECT area, 'state_' || change AS event_action, CAST(key AS VARCHAR) AS object_name, '' AS change_field, 'state:customer:state_' || change || ':' || key || ':m' AS event_id FROM d JOIN c USING (area) WHERE n <= 150 AND change <> 'changed' UNION ALL
-SELECT area, 'state_changed', CAST(key AS VARCHAR), 'acctbal', 'state:customer:state_changed:' || key || ':acctbal' FROM d JOIN c USING (area) WHERE n <= 150 AND change = 'changed' AND o_acctbal <> n_acctbal UNION ALL
-SELECT area, 'state_changed', CAST(key AS VARCHAR), 'segment', 'state:customer:state_changed:' || key || ':segment' FROM d JOIN c USING (area) WHERE n <= 150 AND change = 'changed' AND o_segment <> n_segment UNION ALL
-SELECT area, 'state_bulk_change', 'customer', '', 'state:customer:state_bulk_change:customer:m' FROM c WHERE n > 150""")
+@query(CHANGES + f"""
+SELECT area, 'state_' || change AS event_action, 'customer' AS change_table, CAST(key AS VARCHAR) AS change_row, '' AS change_field, '' AS change_old, '' AS change_new, change || ' in «customer»: ' || key AS message, 'state:customer:state_' || change || ':' || key || ':m' AS event_id FROM d JOIN c USING (area) WHERE n <= 150 AND change <> 'changed' UNION ALL
+SELECT area, 'state_changed', 'customer', CAST(key AS VARCHAR), 'acctbal', o_acctbal, n_acctbal, 'customer / ' || key || ' - acctbal: ' || o_acctbal || ' -> ' || n_acctbal, 'state:customer:state_changed:' || key || ':acctbal' FROM d JOIN c USING (area) WHERE n <= 150 AND change = 'changed' AND o_acctbal <> n_acctbal UNION ALL
+SELECT area, 'state_changed', 'customer', CAST(key AS VARCHAR), 'segment', o_segment, n_segment, 'customer / ' || key || ' - segment: ' || o_segment || ' -> ' || n_segment, 'state:customer:state_changed:' || key || ':segment' FROM d JOIN c USING (area) WHERE n <= 150 AND change = 'changed' AND o_segment <> n_segment UNION ALL
+SELECT area, 'state_bulk_change', 'customer', '', '', '', '', {BULK.format(150)}, 'state:customer:state_bulk_change:customer:m' FROM c JOIN x USING (area) WHERE n > 150""")
 def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     diff = S.state_diff(v_old(spark, sf_dir), v_new(spark, sf_dir), ["host_id", "key"])
     areas = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("area"))
     found = S.change_events(diff.join(areas, "key"), ["key"], "customer", by=["area"], minute=F.lit("m"))
-    return found.select("area", "event_action", "object_name", "change_field", "event_id")
+    return found.select("area", "event_action", "change_table", "change_row", "change_field", "change_old", "change_new", "message", "event_id")
 
 
-@query(CHANGES.replace("SELECT area, 'key' AS k", "SELECT src AS area, 'key' AS k") + """
-SELECT area AS writer, 'state_bulk_change' AS event_action, 'bulk change ''customer'': ' || a || ' added, ' || r || ' removed, ' || c || ' changed (summarised — more than 20 records)' AS message FROM c WHERE n > 20""")
+@query(CHANGES.replace("SELECT area, key, change", "SELECT src AS area, key, change") + f"""
+SELECT area AS writer, 'state_bulk_change' AS event_action, {BULK.format(20)} AS message FROM c JOIN x USING (area) WHERE n > 20""")
 def bulk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     diff = S.state_diff(v_old(spark, sf_dir), v_new(spark, sf_dir), ["host_id", "key"])
     writers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.concat(F.lit("w"), (F.col("c_nationkey") % 2).cast("string")).alias("writer"))
@@ -91,6 +107,17 @@ def bulk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("event_action = 'state_bulk_change'").select("writer", "event_action", "message")
 
 
+@query(f"""WITH {V_STATE},
+n AS (SELECT * REPLACE (CASE WHEN key % 400 = 7 THEN 'other' ELSE segment END AS segment) FROM v_old WHERE key % 500 <> 8 UNION ALL SELECT key + 10000000, c_name, acctbal, segment, area, src FROM v_old WHERE key % 300 = 1)
+SELECT coalesce(n.key, o.key) AS key, CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'removed' ELSE 'changed' END AS change FROM v_old o FULL JOIN n ON o.key = n.key WHERE o.key IS NULL OR n.key IS NULL OR o.segment <> n.segment""")
+def state_diff_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, folder = v_old(spark, sf_dir), f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    new = old.where("key % 500 <> 8").withColumn("segment", F.when(F.col("key") % 400 == 7, "other").otherwise(F.col("segment"))).unionByName(old.where("key % 300 = 1").withColumn("key", F.col("key") + 10_000_000))
+    for name, df in (("old", old), ("new", new)):
+        S.write_version(df, f"{folder}/{name}", ["host_id", "key"], 64)
+    return S.versions_diff(spark, f"{folder}/old", f"{folder}/new", ["host_id", "key"]).select("key", "change")
+
+
 @query("""WITH s AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events),
 r AS (SELECT day, lag(day) OVER (ORDER BY day) AS prev, lead(day) OVER (ORDER BY day) AS next FROM (SELECT DISTINCT day FROM s))
 SELECT CAST(s.day AS VARCHAR) AS day, s.user_id, 'appeared' AS action FROM s JOIN r ON r.day = s.day WHERE prev IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s o WHERE o.day = r.prev AND o.user_id = s.user_id) UNION ALL
@@ -111,7 +138,9 @@ def retention_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE coalesce(c_name, '') END AS owner, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE coalesce(c_mktsegment, '') END AS segment FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
 def lookup_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, "nobody").otherwise(F.concat(F.lit("x ("), F.col("o_custkey").cast("string"), F.lit(")"))).alias("process"))
-    found = enrich.lookup(o, read(spark, sf_dir, "customer"), "process", "c_custkey", {"owner": "c_name", "segment": "c_mktsegment"}, extract=r"\((\d+)\)")
+    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.lit(2).alias("seq"))
+    older = customer.where("c_custkey % 2 = 0").select("c_custkey", F.lit("zz older").alias("c_name"), F.lit("A").alias("c_mktsegment"), F.lit(1).alias("seq"))
+    found = enrich.lookup(o, customer.unionByName(older), "process", "c_custkey", {"owner": "c_name", "segment": "c_mktsegment"}, order="seq", extract=r"\((\d+)\)")
     return found.select("o_orderkey", "owner", "segment")
 
 
@@ -279,26 +308,38 @@ def detect_exec_temp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FINDINGS = (
-    detect.Finding("urgent_open", "Open urgent orders", "high", "SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority LIKE '1%'", "order {o_orderkey} of {o_custkey} {nowhere}", "o_orderkey", "o_orderdate"),
-    detect.Finding("in_debt", "Customers in debt", "medium", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 0", "{c_name}", "c_custkey"),
-    detect.Finding("large_parts", "Large parts", "low", "SELECT p_partkey, p_size FROM part WHERE p_size > 40", "part {p_partkey}: {p_size}", "p_partkey"),
-    detect.Finding("nothing", "Nothing", "critical", "SELECT s_suppkey FROM supplier WHERE s_suppkey < 0", "{s_suppkey}", "s_suppkey"),
+    detect.Finding("urgent_open", "Open urgent orders", "high", "orders", "o_orderstatus = 'O' AND o_orderpriority LIKE '1%'", "order {o_orderkey} of {o_custkey} {nowhere}", number="-o_orderkey", time="o_orderdate"),
+    detect.Finding("in_debt", "Customers in debt", "medium", "customer", "c_acctbal < 0", "{c_name}", number="-c_custkey"),
+    detect.Finding("large_parts", "Large parts", "low", "part", "p_size > 40", "part {p_partkey}: {p_size}", number="-p_partkey"),
+    detect.Finding("nothing", "Nothing", "high", "supplier", "s_suppkey < 0", "{s_suppkey}"),
+    detect.Finding("bad_column", "A column that isn't there", "low", "part", "no_such_column > 1", "{p_partkey}"),
+    detect.Finding("bad_table", "A table that isn't there", "medium", "no_such_table", "TRUE", ""),
+    detect.Finding("bad_sql", "No SQL", "low", "part", "p_size >", ""),
 )
 
 
 def _finding_sql(name: str, title: str, severity: str, table: str, where: str, key: str, line: str, latest: str = "''") -> str:
-    return f"""SELECT '{name}' AS finding, '{title}' AS title, '{severity}' AS severity, count(*) AS n, {latest} AS latest, (SELECT string_agg(l, '; ' ORDER BY k) FROM (SELECT {line} AS l, {key} AS k FROM {table} WHERE {where} ORDER BY {key} LIMIT 12)) AS evidence FROM {table} WHERE {where} HAVING count(*) > 0"""
+    return f"""SELECT '{name}' AS finding, '{title}' AS title, '{severity}' AS severity, count(*) AS n, {latest} AS "when", (SELECT string_agg(l, '; ' ORDER BY k) FROM (SELECT {line} AS l, {key} AS k FROM {table} WHERE {where} ORDER BY {key} LIMIT 12)) AS evidence, '' AS error FROM {table} WHERE {where} HAVING count(*) > 0"""
 
 
-@query(" UNION ALL ".join([
+FINDINGS_SQL = " UNION ALL ".join([
     _finding_sql("urgent_open", "Open urgent orders", "high", "orders", "o_orderstatus = 'O' AND o_orderpriority LIKE '1%'", "o_orderkey", "'order ' || o_orderkey || ' of ' || o_custkey || ' {nowhere}'", f"strftime(max(o_orderdate), {TIME})"),
     _finding_sql("in_debt", "Customers in debt", "medium", "customer", "c_acctbal < 0", "c_custkey", "c_name"),
     _finding_sql("large_parts", "Large parts", "low", "part", "p_size > 40", "p_partkey", "'part ' || p_partkey || ': ' || p_size"),
-]))
+    "SELECT 'bad_column', 'A column that isn''t there', 'low', 0, '', '', 'UNRESOLVED_COLUMN'", "SELECT 'bad_table', 'A table that isn''t there', 'medium', 0, '', '', 'TABLE_OR_VIEW_NOT_FOUND'", "SELECT 'bad_sql', 'No SQL', 'low', 0, '', '', 'PARSE_SYNTAX_ERROR'",
+])
+
+
+@query(FINDINGS_SQL)
 def findings_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.run_findings(spark, FINDINGS, {t: read(spark, sf_dir, t) for t in ("orders", "customer", "part", "supplier")})
 
 
+@query(f"WITH f AS ({FINDINGS_SQL}) SELECT CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (error = '' AND severity = 'high') AS high, count(*) FILTER (error = '' AND severity = 'medium') AS medium, count(*) FILTER (error = '' AND severity = 'low') AS low, CAST(7 AS BIGINT) AS rules, count(*) FILTER (error <> '') AS errors FROM f")
+def findings_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.findings_total(findings_report(spark, sf_dir), len(FINDINGS))
+
+
 # Hierarchies -----------------------------------------------------------------------------------------------------------
 
 

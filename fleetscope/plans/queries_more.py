@@ -105,11 +105,3 @@ def capability_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conform_to_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select(_text("event_id").alias("event_id"), F.col("user_id").alias("process_pid"), F.when(F.col("event_id") % 2 == 1, "x").otherwise("").alias("odd_field"))
     return E.conform(e).select(F.col("event_id").cast("long").alias("event_id"), "not_normalized", "process_pid")
-
-
-@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'private' WHEN 1 THEN 'public' WHEN 2 THEN 'private-as-pub' ELSE 'other' END AS kind FROM part""")
-def ssh_key_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("p_size") % 4
-    path = F.concat(F.lit("/k/"), _text("p_partkey"), F.when(s.isin(1, 2), ".pub").otherwise(""))
-    lines = read(spark, sf_dir, "part").select(_host(), path.alias("path"), F.when(s.isin(0, 2), "-----BEGIN RSA PRIVATE KEY-----").when(s == 1, "ssh-ed25519 AAAA me").otherwise("text").alias("line"))
-    return parse.ssh_keys(lines).select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("p_partkey"), "kind")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
+from fleetscope.sources.checkpoints import checkpointed
+
 #: Event fields by group; fixed values of the taxonomy that events are read and written in.
 GROUPS = {
     "event": "ts ingested event_id event_kind event_category event_type event_action event_outcome event_severity event_module event_dataset event_provider message raw not_normalized tags subject_type subject_name object_type object_name",
@@ -66,6 +69,36 @@ def append_dedup(stored: DataFrame, incoming: DataFrame, keys: Sequence[str] = (
     return first_wins(incoming, keys, order).join(stored.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def stored_days(spark: SparkSession, path: str, days: Sequence, columns: Sequence[str], date: str = "event_date") -> DataFrame | None:
+    """The given columns of a stored table's days, or None if there is no table yet; other days' folders aren't read."""
+    try:
+        return spark.read.parquet(path).where(F.col(date).isin(list(days))).select(*columns, date)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def append_by_day(incoming: DataFrame, path: str, keys: Sequence[str] = ("host_id", "event_id"), order: Sequence[str] = ("ts",), ts: str = "ts", date: str = "event_date", small: int = 1_000_000) -> DataFrame:
+    """Appends to a table by date what it lacks: the first row of each key; returns these rows as written.
+
+    A key belongs to the day of its event, so the keys that are compared are those of the incoming rows' days: two columns of these days'
+    folders, whatever else the table holds. Of them only keys that come in again go on; the incoming keys are sent to the store's
+    side if they are at most ``small``. A row that comes late has its own, old day and meets its first copy there. Null keys are always new.
+    """
+    spark = incoming.sparkSession
+    rows = checkpointed(first_wins(incoming.withColumn(date, F.to_date(ts)), [*keys, date], order))
+    days = [x[date] for x in rows.select(date).distinct().collect()]
+    stored = stored_days(spark, path, days, keys, date)
+    if stored is not None:
+        on = [*keys, date]
+        mine = rows.select(*on).distinct()
+        again = stored.join(F.broadcast(mine) if mine.count() <= small else mine, on, "left_semi").distinct()
+        rows = checkpointed(rows.join(again, on, "left_anti"))
+    rows.repartition(date).write.mode("append").partitionBy(date).parquet(path)
+    return rows
+
+
 def retain_newest(df: DataFrame, n: int = 300_000, order: str = "_seq") -> DataFrame:
     """The newest ``n`` rows by ``order``.
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHANGE_CAP, FIELDS_PER_ROW, BULK_EXAMPLES = 150, 6, 8
@@ -96,7 +96,7 @@ def change_events(diff: DataFrame, keys: Sequence[str], table: str, title: str |
     items = diff.withColumn("fields", real).where("change <> 'changed' OR size(fields) > 0").where(F.lit(not first_inventory))
     items = items.withColumn("name", F.concat_ws(" / ", *keys))
     group = [F.col(c) for c in by]
-    n = items.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("change") == c).alias(f"n_{c}") for c in SEVERITY), F.slice(F.array_sort(F.collect_set(F.when(F.col("name").isNotNull(), F.col("name")))), 1, BULK_EXAMPLES).alias("examples")) if by else items.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("change") == c).alias(f"n_{c}") for c in SEVERITY))
+    n = items.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("change") == c).alias(f"n_{c}") for c in SEVERITY))
     counts = items.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     marked = items.join(counts, list(by)) if by else items.join(F.broadcast(counts), F.lit(True))
     small = marked.where(F.col("_n") <= cap)
@@ -105,13 +105,42 @@ def change_events(diff: DataFrame, keys: Sequence[str], table: str, title: str |
     show = lambda c: F.substring(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("empty")), 1, 60)
     message = F.when(F.col("change") == "changed", F.concat(F.lit(f"{title} / "), "name", F.lit(" - "), "field", F.lit(": "), show("old"), F.lit(" -> "), show("new"))).otherwise(F.concat("change", F.lit(f" in «{title}»: "), "name"))
     severity = F.when(F.col("change") == "changed", SEVERITY["changed"]).otherwise(SEVERITY["added"])
-    rows = each.select(*by, F.concat(F.lit("state_"), "change").alias("event_action"), severity.cast("long").alias("event_severity"), F.col("name").alias("object_name"), F.concat_ws(":", F.lit("state"), F.lit(table), F.concat(F.lit("state_"), "change"), "name", F.when(F.col("field") != "", F.col("field")).otherwise(minute)).alias("event_id"), message.alias("message"), F.col("field").alias("change_field"), F.col("old").alias("change_old"), F.col("new").alias("change_new"))
+    rows = each.select(*by, F.concat(F.lit("state_"), "change").alias("event_action"), severity.cast("long").alias("event_severity"), F.col("name").alias("object_name"), F.concat_ws(":", F.lit("state"), F.lit(table), F.concat(F.lit("state_"), "change"), "name", F.when(F.col("field") != "", F.col("field")).otherwise(minute)).alias("event_id"), message.alias("message"), F.lit(table).alias("change_table"), F.col("name").alias("change_row"), F.col("field").alias("change_field"), F.col("old").alias("change_old"), F.col("new").alias("change_new"))
     most = F.col("n") > cap
-    text = F.concat(F.lit(f"bulk change '{title}': "), "n_added", F.lit(" added, "), "n_removed", F.lit(" removed, "), "n_changed", F.lit(f" changed (summarised — more than {cap} records)"))
-    bulk = n.where(most).select(*group, F.lit("state_bulk_change").alias("event_action"), F.lit(35).cast("long").alias("event_severity"), F.lit(title).alias("object_name"), F.concat_ws(":", F.lit("state"), F.lit(table), F.lit("state_bulk_change"), F.lit(title), minute).alias("event_id"), text.alias("message"), *(F.lit("").alias(c) for c in ("change_field", "change_old", "change_new")))
+    # The first names of each group that is too large: added, then removed, then changed ones, by name. Tasks keep that many before anything moves.
+    kind = F.when(F.col("change") == "added", 0).when(F.col("change") == "removed", 1).otherwise(2)
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(kind, "name") if by else Window.partitionBy(F.lit(1)).orderBy(kind, "name"))
+    named = items.withColumn("_r", place).where(F.col("_r") <= BULK_EXAMPLES).groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "name"))), lambda x: x["name"]), "; ").alias("_examples"))
+    told = n.where(most).join(named, list(by)) if by else n.where(most).join(F.broadcast(named), F.lit(True))
+    text = F.concat(F.lit(f"bulk change '{title}': "), "n_added", F.lit(" added, "), "n_removed", F.lit(" removed, "), "n_changed", F.lit(" changed. Examples: "), "_examples", F.lit(f" (summarised — more than {cap} records)"))
+    bulk = told.select(*group, F.lit("state_bulk_change").alias("event_action"), F.lit(35).cast("long").alias("event_severity"), F.lit(title).alias("object_name"), F.concat_ws(":", F.lit("state"), F.lit(table), F.lit("state_bulk_change"), F.lit(title), minute).alias("event_id"), text.alias("message"), F.lit(table).alias("change_table"), *(F.lit("").alias(c) for c in ("change_row", "change_field", "change_old", "change_new")))
     return rows.unionByName(bulk)
 
 
+BUCKETS = 1024
+
+
+def bucket_hashes(df: DataFrame) -> DataFrame:
+    """``_bucket, n, x, total``: how many rows each bucket has, and two sums of their hashes that no order changes; equal rows don't cancel out in the second."""
+    row = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(df.columns) if c != "_bucket"))
+    return df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("x"), F.sum(F.pmod(row, F.lit((1 << 31) - 1))).alias("total"))
+
+
+def write_version(df: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
+    """A version of a state table: its rows by bucket of their key, and the buckets' hashes. All versions of a table have the same number of buckets."""
+    spark, key = df.sparkSession, F.xxhash64(*(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
+    df.withColumn("_bucket", F.pmod(key, F.lit(buckets)).cast("int")).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/rows")
+    bucket_hashes(spark.read.parquet(f"{path}/rows")).coalesce(1).write.parquet(f"{path}/hashes")
+
+
+def versions_diff(spark: SparkSession, old: str, new: str, keys: Sequence[str], src: str | None = None, src_col: str = "_src") -> DataFrame:
+    """``state_diff`` of two written versions; only buckets whose hashes differ are read: their numbers (at most as many as there are buckets) prune both tables' folders."""
+    a, b = (spark.read.parquet(f"{p}/hashes").select("_bucket", F.struct("n", "x", "total").alias(name)) for p, name in ((old, "_a"), (new, "_b")))
+    changed = [x["_bucket"] for x in a.join(b, "_bucket", "full_outer").where("NOT (_a <=> _b)").select("_bucket").collect()]
+    rows = [spark.read.parquet(f"{p}/rows").where(F.col("_bucket").isin(changed)).drop("_bucket") for p in (old, new)]
+    return state_diff(*rows, keys, src, src_col)
+
+
 def snapshot_sequence_events(snaps: DataFrame, keys: Sequence[str], order: str, by: Sequence[str] = ("host_id",), epoch: str | None = None) -> DataFrame:
     """Appearances and disappearances between consecutive snapshots: ``by…, order, keys…, action``.
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -34,10 +35,53 @@ def test_derived_only_changes_and_first_inventory_are_silent(spark):
 
 
 def test_many_changes_become_one_summary(spark):
-    old = spark.range(0).select(F.col("id").cast("string").alias("k"))
-    new = spark.range(151).select(F.col("id").cast("string").alias("k"))
-    rows = S.change_events(S.state_diff(old, new, ["k"]), ["k"], "t").collect()
-    assert [r.event_action for r in rows] == ["state_bulk_change"] and "151 added" in rows[0].message
+    old = spark.range(2).select(F.concat(F.lit("gone"), "id").alias("k"))
+    new = spark.range(151).select(F.lpad("id", 3, "0").alias("k"))
+    rows = S.change_events(S.state_diff(old, new, ["k"]), ["k"], "t", "T").collect()
+    assert [(r.event_action, r.change_table, r.change_row) for r in rows] == [("state_bulk_change", "t", "")]
+    assert rows[0].message == "bulk change 'T': 151 added, 2 removed, 0 changed. Examples: 000; 001; 002; 003; 004; 005; 006; 007 (summarised — more than 150 records)"
+
+
+def test_versions_that_differ_in_a_few_buckets_read_those(spark, tmp_path):
+    old = spark.range(20_000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 7).cast("string").alias("v"), F.lit("w").alias("_src"))
+    new = old.where("k <> '5'").withColumn("v", F.when(F.col("k") == "77", "x").otherwise(F.col("v"))).unionByName(spark.createDataFrame([("new", None, "w")], old.schema))
+    for name, df in (("a", old), ("b", new), ("c", old.unionByName(old.where("k = '9'")).repartition(3))):
+        S.write_version(df, f"{tmp_path}/{name}", ["k"], 200)
+    diff = S.versions_diff(spark, f"{tmp_path}/a", f"{tmp_path}/b", ["k"])
+    assert {(r.k, r.change) for r in diff.collect()} == {("5", "removed"), ("77", "changed"), ("new", "added")}
+    buckets = lambda df: {re.search(r"_bucket=(\d+)", f)[1] for f in df.inputFiles()}
+    every = spark.read.parquet(f"{tmp_path}/a/rows")
+    assert len(buckets(every)) == 200 and "PartitionFilters: [_bucket" in diff._jdf.queryExecution().executedPlan().toString()
+    read = re.findall(r"_bucket#\d+ (?:IN|INSET) \(?([\d, ]+)", diff._jdf.queryExecution().optimizedPlan().toString())
+    assert read and all(len(x.split(",")) <= 3 for x in read)
+    assert S.versions_diff(spark, f"{tmp_path}/a", f"{tmp_path}/a", ["k"]).count() == 0
+    # A row that is there twice is no difference by key, but the buckets' sums see it.
+    a, c = (S.bucket_hashes(spark.read.parquet(f"{tmp_path}/{x}/rows")) for x in "ac")
+    assert a.exceptAll(c).count() == 1 and S.versions_diff(spark, f"{tmp_path}/a", f"{tmp_path}/c", ["k"]).count() == 0
+
+
+def test_append_reads_the_days_of_what_comes_in(spark, tmp_path):
+    day = lambda k: dt.datetime(2026, 1, 1 + k, 12)
+    row = lambda k, e: ("h", e, day(k))
+    schema, path = "host_id string, event_id string, ts timestamp", f"{tmp_path}/t"
+    put = lambda rows: sorted(str(r.event_id) for r in E.append_by_day(spark.createDataFrame(rows, schema), path).collect())
+    assert put([row(0, "a"), row(0, "a"), row(1, "b"), row(5, "z"), row(2, None), row(2, None)]) == ["None", "None", "a", "b", "z"]
+    assert put([row(1, "b"), row(1, "c"), row(0, "a")]) == ["c"]
+    assert put([row(2, None), row(0, "d")]) == ["None", "d"]
+    stored = E.stored_days(spark, path, [day(1).date()], ["event_id"])
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert {r.event_id for r in stored.collect()} == {"b", "c"} and "PartitionFilters: [isnotnull(event_date" in plan and "ReadSchema: struct<event_id:string>" in plan
+    assert spark.read.parquet(path).count() == 8
+
+
+def test_lookups_take_the_last_row_and_the_first_table(spark):
+    rows = spark.createDataFrame([(1, "x (a)", "p"), (2, "x (b)", None), (3, None, "q"), (4, "(c)", "")], "id int, name string, other string")
+    t = spark.createDataFrame([("a", "old", 1), ("a", "new", 2), ("b", None, 1), ("", "empty", 1)], "k string, v string, at int")
+    assert {r.id: r.w for r in enrich.lookup(rows, t, "name", "k", {"w": "v"}, order="at", extract=r"\((\w)\)").collect()} == {1: "new", 2: "", 3: "", 4: ""}
+    assert enrich.lookup(rows, t, "name", "k", {"w": "v"}, order="at", extract=r"\((\w)\)", last=False).where("id = 1").first().w == "old"
+    one, two = (spark.createDataFrame(x, "key string, value string") for x in ([("a", "1"), ("a", "0")], [("p", "2"), ("q", "3"), ("", "4")]))
+    found = enrich.attach_first_hit(rows, ["id"], [(F.regexp_extract("name", r"\((\w)\)", 1), one), (F.col("other"), two)], "hit")
+    assert {r.id: r.hit for r in found.collect()} == {1: "0", 2: "", 3: "3", 4: ""} and found.columns == ["id", "name", "other", "hit"]
 
 
 def test_fingerprint_of_empty_and_order(spark):
@@ -165,12 +209,52 @@ def test_shipped_detections_run(spark):
 
 
 def test_risk_scores(spark):
-    procs = spark.createDataFrame([("h", "1", "0", "root", "/tmp/x", "evil", ""), ("h", "2", "1", "bob", "/usr/bin/bash", "curl http://a | sh", "bash"), ("h", "3", "0", "root", "", "[kthreadd]", "")], "host_id string, pid string, ppid string, user string, exe string, command string, package string")
-    socks = spark.createDataFrame([("h", "1", "OPEN (exposed)", "yes")], "host_id string, pid string, exposure string, external string")
-    risk = {r.pid: r.risk for r in detect.process_risk(procs, socks).collect()}
-    assert risk == {"1": 3 + 2 + 3 + 2 + 1 + 1, "2": 1, "3": 0}
-    cmd = {r.pid: r.cmd_risk for r in detect.command_risk(procs, rules.COMMAND_MARKERS, timeline.SHELLS).collect()}
-    assert cmd == {"1": "", "2": "medium", "3": ""}
+    procs = spark.createDataFrame([("h", "1", "0", "root", "/tmp/x", "evil", ""), ("h", "2", "1", "bob", "/usr/bin/bash", "/bin/bash -c 'curl http://a | sh'", "shell"), ("h", "3", "0", "root", "", "[kthreadd]", ""), ("h", "4", "2", "root", "/home/bob/x", "base64 -d /tmp/y", None), ("h", "5", "9", None, None, None, None)], "host_id string, pid string, ppid string, user string, exe string, command string, purpose string")
+    socks = spark.createDataFrame([("h", "1", "OPEN (exposed)", ""), ("h", "1", "", "203.0.113.9:1"), ("h", "2", "local-only", "[::1]:5"), ("h", "2", None, None)], "host_id string, pid string, exposure string, remote string")
+    files, names = spark.createDataFrame([("h", "/usr/bin/bash")], "host_id string, path string"), spark.createDataFrame([("h", "X")], "host_id string, name string")
+    risk = {r.pid: (r.risk, r.reasons) for r in detect.process_risk(procs, socks, files, names).collect()}
+    assert risk["1"] == (3 + 3 + 2 + 1 + 1, "runs from temp dir, listening exposed, external connection, root, name/exe mismatch")
+    assert risk["2"] == (0, "") and risk["3"] == (0, "") and risk["4"] == (2 + 1 + 1, "binary in home, root, name/exe mismatch") and risk["5"] == (0, "")
+    cmd = {r.pid: (r.cmd_risk, r.cmd_flags) for r in detect.command_risk(procs, rules.COMMAND_MARKERS, rules.INTERPRETERS).collect()}
+    assert cmd["1"] == cmd["3"] == cmd["5"] == ("", "") and cmd["2"] == ("medium", "a download piped into an interpreter")
+    assert cmd["4"] == ("high", "base64 decoding, run from a temporary directory, not from a package, root, started from bash")
+
+
+def test_findings_scan_a_table_once_and_stand_alone(spark):
+    t = spark.createDataFrame([(k, "b" if k % 2 else "a") for k in range(300)], "n int, kind string")
+    found = [
+        detect.Finding("all", "All", "low", "t", "TRUE", "{n}{missing}", newest="lpad(n, 3, '0')", cap=200, time="kind"), detect.Finding("some", "Some", "high", "t", "kind = 'a' AND n < 20", "{n} {half}", more=(("half", "n div 2"),), order=("lpad(n, 3, '0')",)),
+        detect.Finding("none", "None", "high", "t", "n < 0", ""), detect.Finding("odd", "Odd", "high", "t", "nope = 1", ""), detect.Finding("gone", "Gone", "low", "u", "TRUE", ""),
+    ]
+    report = detect.run_findings(spark, found, {"t": t})
+    got = [(r.finding, r.n, r.when, r.evidence, r.error) for r in report.collect()]
+    assert got == [
+        ("some", 10, "", "; ".join(f"{n} {n // 2}" for n in range(0, 20, 2)), ""), ("odd", 0, "", "", "UNRESOLVED_COLUMN"),
+        ("all", 200, "b", "; ".join(f"{n}{{missing}}" for n in range(299, 287, -1)), ""), ("gone", 0, "", "", "TABLE_OR_VIEW_NOT_FOUND"),
+    ]
+    assert tuple(detect.findings_total(report, 5).first()) == (210, 1, 0, 1, 5, 2)
+
+
+def test_shipped_noise_templates_equal_a_loop(spark):
+    bits = [("", "", "")] + [(t.get("event_module", "x"), t.get("event_provider", ""), m) for t in rules.NOISE for m in ("CMD (", "op=PAM:setcred", "ps -eo pid=,ppid=,user=", "TypeError", "started [k]", "is marked executable", "mount", 'comm="rpm"', " ", "xrun not found", "127.0.0.1:5 -> 127.0.0.1:6", "pam_unix(sudo:session)", "SYSCALL x", re.sub(r"\\[bSs]|[\\^$*+?()\[\]]", "", t["match"].split("|")[0]))]
+    rows = [(k, m.upper() if k % 3 == 0 else m, f"my-{p}" if k % 2 else p, "log", s, "old" if k % 5 == 0 else "") for k, (m, p, s) in enumerate(sorted(set(bits)))]
+    df = spark.createDataFrame(rows, "id int, event_module string, event_provider string, event_action string, message string, tags string")
+
+    def first(row):
+        for t in rules.NOISE:
+            if all(t[f].lower() in str(row[i]).lower() for f, i in (("event_module", 1), ("event_provider", 2), ("event_action", 3)) if f in t) and re.search(t["match"], row[4]):
+                return t
+        return None
+
+    want = {}
+    for row in rows:
+        t = first(row)
+        if t is None or t["action"] == "tag":
+            want[row[0]] = ",".join(x for x in (row[5], t and "noise:" + t["reason"]) if x)
+    assert {r.id: r.tags for r in PR.apply_templates(df, rules.NOISE).collect()} == want
+    assert len({first(r)["name"] for r in rows if first(r)}) > 40
+    broken = PR.apply_templates(df, [{"event_module": "audit", "match": "(", "action": "drop"}, {"action": "drop"}])
+    assert broken.count() == len(rows)
 
 
 def test_entities_adopt_their_ancestor(spark):

@@ -125,8 +125,9 @@ def test_other_parsers(lines, spark):
     assert (s["0.0.0.0:22"].port, s["0.0.0.0:22"].external, s["0.0.0.0:22"].remote) == ("22", "yes", "")
     f = {r.fd: (r.kind, r.deleted, r.dir) for r in P.open_files(lines("1\ta\t3\t/home/x/f (deleted)\n1\ta\t4\tsocket:[5]")).collect()}
     assert f == {"3": ("file", "yes", "/home/x"), "4": ("socket", "", "")}
-    keys = spark.createDataFrame([("h", "/k/id", "-----BEGIN OPENSSH PRIVATE KEY-----"), ("h", "/k/id.pub", "ssh-ed25519 AAAA me"), ("h", "/k/bad.pub", "-----BEGIN RSA PRIVATE KEY-----")], "host_id string, path string, line string")
-    assert {r.path: r.kind for r in P.ssh_keys(keys).collect()} == {"/k/id": "private", "/k/id.pub": "public", "/k/bad.pub": "private-as-pub"}
+    keys = spark.createDataFrame([("h", "/k/id", 0, "PRIVATE"), ("h", "/k/id.pub", 0, "ssh-rsa AAAA me at home"), ("h", "/k/id.pub", 1, "note"), ("h", "/k/bad.pub", 0, "-----BEGIN RSA PRIVATE KEY-----"), ("h", "/k/odd", 0, "")], "host_id string, path string, line_no int, line string")
+    k = {r.path: (r.kind, r.types, r.comment, r.weak, r["count"]) for r in P.ssh_keys(keys).collect()}
+    assert k == {"/k/id": ("private", "private key", "", "", 1), "/k/id.pub": ("public", "ssh-rsa", "me at home", "ssh-rsa ~18 bits", 2), "/k/bad.pub": ("private", "private key stored as .pub (!)", "", "", 1), "/k/odd": ("public", "key", "", "", 1)}
     x = spark.createDataFrame([("h", '<action id="a.b"><description>T</description><defaults><allow_any>no</allow_any><allow_active>yes</allow_active></defaults></action>')], "host_id string, text string")
     assert one(P.polkit_actions(x))["risk"] == "high"
     e = P.carry_stamps(lines("#1700000000\nls\npwd\n: 1700000100:0;make"), ["host_id", "run_id"]).orderBy("line_no").collect()
