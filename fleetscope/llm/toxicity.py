@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import id_text, slices, text_bytes
+from fleetscope.llm.common import checkpointed, id_text, slices, text_bytes
 from fleetscope.llm.ngrams import WORD_BYTES, hashed, laid_out
 
-SAMPLE = 10_000
+SAMPLE, SAMPLE_BYTES = 10_000, 192 << 20
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 16
 WIDTH = 8
@@ -119,27 +119,32 @@ class SubwordSoftmax:
         return 1 / (1 + np.exp(-np.clip(np.where(n > 0, z, self.empty), -30, 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, learn_from, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> SubwordSoftmax | None:
-    """The model from labelled rows where ``learn_from`` holds, at most ``sample`` of them, chosen by a hash of the id."""
-    known = labels.where(F.col(label_col).isNotNull() & learn_from).select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    known = known.groupBy("_id").agg(F.max("_label").alias("_label"))
-    share = min(1.0, 0.95 * sample / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    chosen = docs.join(known, docs[id_col].cast("long") == known["_id"]).select("_id", "_label", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def learn(docs: DataFrame, labels: DataFrame, learn_from, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_bytes: int = SAMPLE_BYTES) -> SubwordSoftmax | None:
+    """The model from labelled rows where ``learn_from`` holds: those whose ids have the least hashes, at most ``sample`` rows and ``most_bytes`` of subword bags.
+
+    Of rows that share an id, the largest label and the least text count.
+    """
+    known = labels.where(F.col(label_col).isNotNull() & learn_from).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL")
+    known = known.groupBy("id").agg(F.max("label").alias("label")).withColumn("rank", F.xxhash64("id", F.lit(5))).orderBy("rank", "id").limit(sample)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    chosen = texts.join(F.broadcast(known), "id").groupBy("id", "label", "rank").agg(F.min("text").alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=1 << 18):
                 own = bags(text_bytes(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_label"), pa.array([x.tobytes() for x, _ in own], pa.binary()), pa.array([w.astype(np.float16).tobytes() for _, w in own], pa.binary())], ["_id", "_label", "at", "weight"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "label", "rank")), pa.array([x.tobytes() for x, _ in own], pa.binary()), pa.array([w.astype(np.float16).tobytes() for _, w in own], pa.binary())], ["id", "label", "rank", "at", "weight"])
 
-    found = []
-    for row in chosen.mapInArrow(vectors, "_id long, _label int, at binary, weight binary").toLocalIterator():
-        if len(found) < sample:
-            found.append((row["_id"], int(row["_label"] > 0), np.frombuffer(bytes(row["at"]), np.uint16), np.frombuffer(bytes(row["weight"]), np.float16).astype(np.float32)))
-    if not found:
+    rows = checkpointed(chosen.mapInArrow(vectors, "id long, label int, rank long, at binary, weight binary"))
+    sizes = sorted((x["rank"], x["id"], x["size"]) for x in rows.select("rank", "id", (F.length("at") + F.length("weight")).alias("size")).collect())
+    upto = int(np.searchsorted(np.cumsum([x[2] for x in sizes]), most_bytes, side="right"))
+    if not upto:
         return None
-    found.sort(key=lambda x: (x[0], len(x[2])))
+    rank, last, _ = sizes[upto - 1]
+    found = []
+    for row in rows.where(F.struct("rank", "id") <= F.struct(F.lit(rank).cast("long").alias("rank"), F.lit(last).cast("long").alias("id"))).toLocalIterator():
+        found.append((row["id"], int(row["label"] > 0), np.frombuffer(bytes(row["at"]), np.uint16), np.frombuffer(bytes(row["weight"]), np.float16).astype(np.float32)))
+    found.sort(key=lambda x: x[0])
     return SubwordSoftmax([(x[2], x[3]) for x in found], np.array([x[1] for x in found]))
 
 

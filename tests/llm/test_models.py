@@ -50,6 +50,13 @@ def test_toxicity_learns_and_shares_subwords(spark):
     odd = T.score(spark.createDataFrame([(1, None), (None, ""), (3, "... !!")], "doc_id long, text string"), model).collect()
     assert all(0 < r.score < 0.5 for r in odd)
     assert T.learn(docs, marks.limit(0), F.lit(True)) is None
+    # Names that clash, ids that repeat, and bounds that choose by the id's hash whatever the order of rows.
+    odd = docs.selectExpr("doc_id", "text", "1 AS id", "2 AS label", "3 AS _id", "4 AS rank")
+    few = T.learn(odd.unionByName(odd.limit(50)).repartition(7), marks.unionByName(marks.limit(9)), F.lit(True), sample=200)
+    again = T.learn(docs.orderBy(F.desc("doc_id")).coalesce(1), marks, F.lit(True), sample=200)
+    texts = [r.text.encode() for r in docs.limit(20).collect()]
+    assert np.allclose(few.scores(texts), again.scores(texts))
+    assert T.learn(docs, marks, F.lit(True), most_bytes=30_000) is not None and T.learn(docs, marks, F.lit(True), most_bytes=10) is None
     assert T.score(docs.limit(1), None).first().score == 0.0
 
 
