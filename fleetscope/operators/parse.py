@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions.predicates import is_private_ip
 from fleetscope.functions.scalars import basename, blank, cvss_rating, cvss_score, dirname, extension, filled, hex_text, sockaddr, unit_seconds
+from fleetscope.operators import records
 
 KEEP = ("host_id", "run_id", "line_no")
 KV = r"""([A-Za-z_][A-Za-z0-9_.-]*)=("[^"]*"|'[^']*'|\S*)"""
@@ -49,23 +50,23 @@ DELIMITED = {
     "app_config": ("\t", "app path scope kind entries origin changed", 2),
     "unpackaged_config": ("\t", "path owner group mode changed", 2),
     "kmods": ("\t", "module size used by description signer", 2),
-    "autostart": ("\t", "name path exec enabled", 2),
-    "cron": ("\t", "source schedule user command", 3),
     "config_files": ("\t", "path owner group mode changed", 2),
-    "dns": (r"\s+", "item value", 2),
     "failed_units": (r"\s+", "unit load active sub description", 4),
-    "firewall": ("\t", "zone kind value", 3),
     "net_config": ("\t", "item value", 2),
-    "network": ("\t", "interface family address state", 2),
     "pam_config": (r"\s+", "service type control module", 3),
     "pkg_history": (r"\s*\|\s*", "id command time action altered", 4),
-    "vms": (r"\s+", "id name state", 3),
     "audit": (r"\s*:\s*", "item value", 2),
 }
 
 
+#: Sources whose records span lines.
+RECORDS = {"autostart": records.autostart, "cron": records.cron, "dns": records.dns, "firewall": records.firewall, "network": records.network, "vms": records.virtual_machines}
+
+
 def parse_source(lines: DataFrame, source: str) -> DataFrame:
-    """A source of one record a line."""
+    """A source by its name: one record a line, or records of several lines."""
+    if source in RECORDS:
+        return RECORDS[source](lines)
     sep, columns, least = DELIMITED[source]
     out = delimited(lines, columns.split(), sep, least)
     if source == "kmods":
