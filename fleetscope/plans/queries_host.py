@@ -222,15 +222,32 @@ def advisory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.advisory_counts(rows)
 
 
-@query("""SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 2 ELSE 0 END + 1 + CASE WHEN p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) THEN 1 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS score,
-CASE WHEN p_size % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 2 ELSE 0 END + 1 + CASE WHEN p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) THEN 1 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END >= 4 AS is_program FROM part""")
+KINDS = ("rpm", "rpm", "rpm", "flatpak", "flatpak-runtime", "pip", "bin", "npm")
+PREFIXES, SUFFIXES = ("", "lib", "python3-", "", "glibc-", "gcc", "perl-", ""), ("", "", "", "-devel", "", "", "", "-langpack-de")
+
+
+@query(f"""WITH b AS (SELECT p_partkey AS k, p_size AS s, {list(KINDS)}[p_partkey % 8 + 1] AS kind, CASE WHEN p_partkey = 8 THEN 'bash' ELSE {list(PREFIXES)}[(p_partkey // 8) % 8 + 1] || 'p' || p_partkey || {list(SUFFIXES)}[(p_partkey // 8) % 8 + 1] END AS name FROM part),
+needed AS (SELECT DISTINCT l_partkey AS k FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45 AND l_partkey <> l_suppkey AND l_suppkey IN (SELECT p_partkey FROM part)),
+f AS (SELECT b.*, s % 2 = 0 AS u, s % 3 = 0 AS d, s % 4 <> 1 AS bin, s % 7 = 0 AS leaf, s % 5 = 0 AS run, b.k IN (SELECT k FROM needed) AS need,
+  name LIKE 'lib%' OR name LIKE 'python3-%' OR name LIKE '%-devel' OR name LIKE 'glibc%' OR name LIKE 'gcc%' OR name LIKE 'perl-%' OR name LIKE '%-langpack-de' AS noise FROM b),
+x AS (SELECT *, CASE WHEN u THEN 2 ELSE 0 END + CASE WHEN d THEN 2 ELSE 0 END + CASE WHEN bin THEN 1 ELSE 0 END + CASE WHEN leaf THEN 1 ELSE 0 END + CASE WHEN run THEN 1 ELSE 0 END - CASE WHEN noise AND NOT d THEN 2 ELSE 0 END AS score,
+  kind = 'flatpak-runtime' OR need AS served FROM f)
+SELECT k, CASE WHEN kind = 'rpm' THEN CASE WHEN score >= 4 AND name <> 'bash' THEN 'program' ELSE 'dependency' END WHEN served OR (kind IN ('pip', 'npm') AND NOT run) THEN 'dependency' ELSE 'program' END AS role,
+  CASE WHEN kind = 'rpm' THEN d ELSE kind = 'flatpak' END AS gui, run AS running, CASE WHEN kind = 'rpm' THEN concat_ws(',', CASE WHEN u THEN 'user' END, CASE WHEN d THEN 'desktop' END, CASE WHEN bin THEN 'path-bin' END, CASE WHEN leaf THEN 'leaf' END, CASE WHEN run THEN 'running' END)
+    WHEN kind IN ('pip', 'npm') AND NOT served AND NOT run THEN kind || ',library' ELSE kind END AS reasons, CAST(CASE WHEN kind = 'rpm' THEN score ELSE 0 END AS BIGINT) AS score FROM x""")
 def program_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part")
-    apps = part.select(_host(), F.lit("rpm").alias("kind"), F.concat(F.lit("p"), _text("p_partkey")).alias("name"), F.lit("/usr/bin/x").alias("path"))
-    of = lambda cond: part.where(cond).select(_host(), F.concat(F.lit("p"), _text("p_partkey")).alias("name"))
-    required = read(spark, sf_dir, "lineitem").where("l_quantity > 45").select(_host(), F.concat(F.lit("p"), _text("l_partkey")).alias("name"))
-    found = entities.classify_programs(apps, of("p_size % 2 = 0"), of("false"), of("p_size % 5 = 0"), of("p_size % 3 = 0"), required)
-    return found.select(F.substring("name", 2, 20).cast("long").alias("p_partkey"), F.col("score").cast("long").alias("score"), "is_program")
+    part, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    pick = lambda texts: F.element_at(F.array(*map(F.lit, texts)), (F.floor(k / 8) % 8 + 1).cast("int"))
+    own = F.when(k == 8, "bash").otherwise(F.concat(pick(PREFIXES), F.lit("p"), k.cast("string"), pick(SUFFIXES)))
+    rows = part.withColumn("name", own).withColumn("kind", F.element_at(F.array(*map(F.lit, KINDS)), (k % 8 + 1).cast("int")))
+    of = lambda cond, *more: rows.where(cond).select(_host(), "name", *more)
+    needs = read(spark, sf_dir, "lineitem").where("l_quantity > 45 AND l_partkey <> l_suppkey").select(F.col("l_suppkey").alias("p_partkey"), F.col("l_partkey").alias("needs"))
+    needs = needs.join(rows.select(F.col("p_partkey").alias("needs"), F.concat(F.lit("id."), F.col("name")).alias("id")), "needs").groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat("id", F.lit("/x86_64/stable")))), ", ").alias("depends"))
+    apps = rows.join(needs, "p_partkey", "left").select(_host(), "kind", "name", F.lit("1").alias("version"), F.lit("").alias("path"), F.concat(F.lit("id."), "name").alias("app_id"), F.concat_ws(" ", F.lit("perl(x) nobody"), "depends").alias("depends"))
+    files = of("p_size % 4 <> 1", F.lit("/usr/bin/x").alias("path")).unionByName(of("p_size % 3 = 0", F.lit("/usr/share/applications/x.desktop").alias("path"))).withColumnRenamed("name", "package")
+    procs = of("p_size % 5 = 0", F.concat(F.lit("/usr/sbin/"), "name", F.lit(": worker -x")).alias("command"))
+    found = entities.classify_programs(apps, of("p_size % 2 = 0"), of("p_size % 7 = 0"), files, procs)
+    return found.join(rows.select("name", F.col("p_partkey").alias("k")), "name").select("k", "role", "gui", "running", "reasons", F.col("score").cast("long").alias("score"))
 
 
 @query(f"""WITH RECURSIVE {V_TREE}, {V_EV},
