@@ -332,6 +332,37 @@ def under_directories(rows: DataFrame, dirs: DataFrame, path: str = "path", by:
     return rows.join(best, [*by, path], "left")
 
 
+def containing(rows: DataFrame, tokens: DataFrame, text: str, token: str, least: int = 4, by: Sequence[str] = ("host_id",)) -> DataFrame:
+    """``by…, text, token``: which texts hold which tokens of at least ``least`` characters, anywhere and in the same case.
+
+    Instead of comparing all texts with all tokens, both meet at a piece of ``least`` characters: each token at that of its own which the fewest texts
+    have, so that a piece that most texts share leads to nobody it needn't; whatever meets is compared in whole.
+    """
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - least + 1, F.lit(1))), lambda k: F.substring(c, k, F.lit(least))))
+    texts = rows.select(*by, text).where(F.length(text) >= least).distinct()
+    wanted = tokens.select(*by, token).where(F.length(token) >= least).distinct()
+    inside = wanted.select(*by, token, F.explode(pieces(F.col(token))).alias("_piece"))
+    held = texts.select(*by, text, F.explode(pieces(F.col(text))).alias("_piece")).join(inside.select(*by, "_piece").distinct(), [*by, "_piece"], "left_semi")
+    often = held.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    # A token with a piece that no text has, is in none.
+    rare = inside.join(often, [*by, "_piece"], "left").groupBy(*by, token).agg(F.min_by("_piece", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_piece").alias("p"))).alias("_piece"))
+    return held.join(rare, [*by, "_piece"]).where(F.contains(F.col(text), F.col(token))).select(*by, text, token)
+
+
+def entity_files(rows: DataFrame, entities: DataFrame, path: str = "path", by: Sequence[str] = ("host_id",)) -> DataFrame:
+    """``by…, path, entity``: which entities (``entity, dir, token``) a file or its description belongs to: it lies below the entity's directory, or holds its name."""
+    below = under_all(rows, entities.where("dir <> ''").select(*by, "dir", "entity"), path, by)
+    named = containing(rows, entities.select(*by, "token"), path, "token", by=by).join(entities.select(*by, "token", "entity").distinct(), [*by, "token"]).select(*by, path, "entity")
+    return below.unionByName(named).distinct()
+
+
+def under_all(rows: DataFrame, dirs: DataFrame, path: str = "path", by: Sequence[str] = ("host_id",)) -> DataFrame:
+    """``by…, path, entity`` for every directory of ``dirs`` (``dir, entity``) above a path."""
+    parts = F.split(path, "/")
+    ups = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return rows.select(*by, path, F.explode(F.array_distinct(ups)).alias("dir")).where("dir <> ''").join(dirs.distinct(), [*by, "dir"]).select(*by, path, "entity").distinct()
+
+
 def range_exposure(ports: DataFrame, ranges: DataFrame, port: str = "port", external: Column | None = None) -> DataFrame:
     """``exposure``: OPEN where the address is external and an allowed range holds the port, filtered where none does, else local-only.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,17 +69,98 @@ def top_counts(df: DataFrame, field: str, limit: int | None, blank: str = "") ->
     return rows if limit is None else rows.limit(limit)
 
 
-def file_activity(events: DataFrame) -> dict[str, DataFrame]:
-    """Counts of file events by action, directory, package and author, and by hour."""
-    files = events.where("event_category = 'file'")
-    by_package = files.groupBy(F.coalesce("package_name", F.lit("(no package)")).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(12)
-    return {
-        "by_action": top_counts(files, "event_action", None),
-        "by_dir": top_counts(files.withColumn("_dir", dirname(F.col("file_path"))), "_dir", 15),
-        "by_package": by_package,
-        "by_who": top_counts(files, "subject_name", 12, "(unknown)"),
-        "by_hour": hourly(files, buckets=48),
-    }
+@dataclass(frozen=True)
+class Panel:
+    """A list of a field's values among the rows that ``where`` selects: the ``limit`` most frequent, or the ``limit`` largest (``newest``) in ascending order."""
+
+    name: str
+    where: str
+    value: str
+    limit: int | None = None
+    newest: bool = False
+
+
+def panels(events: DataFrame, wanted: Sequence[Panel], ts: str = "ts", distinct: str = "NULL", largest: str = "NULL") -> DataFrame:
+    """``panel, rank, value, n, distinct_n, largest, last_ts`` of all panels from one scan and one exchange of counts.
+
+    A row goes on once for each panel that it belongs to; ``distinct`` and ``largest`` are SQL, whose distinct values and maximum are taken for each value.
+    """
+    said = [F.when(F.expr(p.where), F.struct(F.lit(p.name).alias("panel"), F.expr(p.value).cast("string").alias("value"))) for p in wanted]
+    rows = events.select(F.explode(F.array_compact(F.array(*said))).alias("x"), F.expr(distinct).cast("string").alias("_d"), F.expr(largest).cast("string").alias("largest"), F.col(ts).alias("_ts"))
+    counts = rows.groupBy("x.panel", "x.value", "_d").agg(F.count(F.lit(1)).alias("n"), F.max("largest").alias("largest"), F.max("_ts").alias("last_ts"))
+    counts = counts.groupBy("panel", "value").agg(F.sum("n").alias("n"), F.count("_d").alias("distinct_n"), F.max("largest").alias("largest"), F.max("last_ts").alias("last_ts"))
+    newest = F.col("panel").isin([p.name for p in wanted if p.newest])
+    limit = F.coalesce(F.create_map(*(F.lit(x) for p in wanted for x in (p.name, p.limit if p.limit is not None else -1)))[F.col("panel")], F.lit(-1))
+    best = Window.partitionBy("panel").orderBy(F.when(newest, F.lit(0)).otherwise(-F.col("n")), F.when(newest, F.col("value")).desc(), "value")
+    most = max((p.limit for p in wanted if p.limit is not None), default=None)
+    ranked = counts.withColumn("rank", F.row_number().over(best))
+    if most is not None and all(p.limit is not None for p in wanted):
+        ranked = ranked.where(F.col("rank") <= most)
+    ranked = ranked.where((limit < 0) | (F.col("rank") <= limit))
+    again = Window.partitionBy("panel").orderBy("value")
+    return ranked.withColumn("rank", F.when(newest, F.row_number().over(again)).otherwise(F.col("rank"))).select("panel", "rank", "value", "n", "distinct_n", "largest", "last_ts")
+
+
+_NAMED = "coalesce(file_path, '') <> ''"
+FILE_PANELS = (
+    Panel("by_action", "event_category = 'file'", "coalesce(event_action, '')"),
+    Panel("by_dir", "event_category = 'file' AND coalesce(file_directory, '') <> ''", "file_directory", 15),
+    Panel("by_package", "event_category = 'file'", "coalesce(package_name, '(unpackaged)')", 12),
+    Panel("by_who", _NAMED, "coalesce(nullif(subject_name, ''), '(not recorded)')", 12),
+    Panel("series", "event_category = 'file'", "date_format(ts, \"yyyy-MM-dd'T'HH\")", 48, True),
+)
+PRIVILEGE_PANELS = (
+    Panel("auth_failures", "event_category = 'authentication' AND event_outcome = 'failure'", "coalesce(subject_name, '?')", 10),
+    Panel("sudo_commands", "event_action = 'user_command' AND coalesce(process_command_line, '') <> ''", "process_command_line", 15),
+)
+NETWORK_PANELS = (
+    Panel("dns", "coalesce(destination_domain, '') <> ''", "destination_domain", 25),
+    Panel("by_asn", "event_category = 'network' AND coalesce(destination_ip, '') <> ''", "coalesce(destination_as_org, '(unknown)')", 15),
+    Panel("by_process", "event_category = 'network'", "coalesce(nullif(process_name, ''), '(owner unknown)')", 15),
+)
+
+
+def file_activity(events: DataFrame) -> DataFrame:
+    """File events by action, directory, package and author, and by hour, as ``panels``."""
+    return panels(events, FILE_PANELS)
+
+
+def network_activity(events: DataFrame) -> DataFrame:
+    """Names asked for, networks and processes of network events, with their distinct addresses and the largest, as ``panels``."""
+    return panels(events, NETWORK_PANELS, distinct="nullif(destination_ip, '')", largest="destination_ip")
+
+
+def privilege_activity(events: DataFrame) -> DataFrame:
+    """Failed authentications by subject and commands run as another user, as ``panels``."""
+    return panels(events, PRIVILEGE_PANELS)
+
+
+def privilege_standing(vectors: DataFrame, suid: DataFrame, users: DataFrame, polkit: DataFrame, by: Sequence[str] = ("host_id",)) -> DataFrame:
+    """``by…, panel, rank, name, detail``: of each host the newest 200 ways to more privileges (then by risk), 200 setuid files, all users with administrators' groups, and 60 high-risk actions."""
+    desc = lambda c: F.desc(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    sides = (
+        ("vectors", vectors, F.lit(True), F.concat_ws(": ", "kind", "name"), F.col("detail"), (desc("changed"), desc("risk"), "name"), 200),
+        ("suid", suid, F.lit(True), F.col("path"), F.concat_ws(" ", "owner", "perms"), ("path",), 200),
+        ("admins", users, F.coalesce(F.col("admin_groups"), F.lit("")) != "", F.col("name"), F.concat_ws(" ", "privilege", "admin_groups"), ("name",), None),
+        ("polkit", polkit, F.col("risk") == "high", F.col("action"), F.concat_ws(" ", "title", "allow_active"), ("action",), 60),
+    )
+    out = []
+    for panel, df, where, name, detail, order, limit in sides:
+        rows = df.where(where).withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        out.append((rows if limit is None else rows.where(F.col("rank") <= limit)).select(*by, F.lit(panel).alias("panel"), "rank", name.alias("name"), detail.alias("detail")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def day_sketches(events: DataFrame, fields: Sequence[str], ts: str = "ts", bits: int = 14) -> DataFrame:
+    """``day, field, n, sketch``: for each day and field how many cells are filled and a HyperLogLog sketch of their values, to be kept and merged."""
+    long = events.select(F.to_date(ts).alias("day"), *(F.nullif(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields)).unpivot("day", list(fields), "field", "value").where("value IS NOT NULL")
+    return long.groupBy("day", "field").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("value", bits).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, first: Column, last: Column) -> DataFrame:
+    """``field, n, distinct_n``: counts and estimated distinct values of the days from ``first`` to ``last``, from their sketches alone. With 14 bits the standard error is 0.8 %."""
+    rows = sketches.where(F.col("day").between(first, last))
+    return rows.groupBy("field").agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_n"))
 
 
 def who_changed(files: DataFrame, others: DataFrame, path: str, attributes: Sequence[str]) -> DataFrame:
@@ -128,17 +211,6 @@ def sessions_by(events: DataFrame, keys: Sequence[str], blank: str = "(owner unk
     return events.groupBy(*cells).agg(F.count(F.lit(1)).alias("sessions"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def privilege_activity(events: DataFrame) -> dict[str, DataFrame]:
-    """Authentication and account events: counts, failures by subject, sudo commands."""
-    rows = events.where(F.col("event_category").isin("iam", "authentication"))
-    sudo = rows.where("event_action = 'sudo'")
-    return {
-        "by_category": top_counts(rows, "event_category", 10),
-        "failures": top_counts(rows.where("event_outcome = 'failure'"), "subject_name", 10),
-        "sudo": top_counts(sudo, "process_command_line", 15),
-    }
-
-
 def ranked(df: DataFrame, ranks: dict[str, int], field: str, *then: Column) -> DataFrame:
     """Rows by the rank of a field's value (unknown values last), then by other columns."""
     rank = None
@@ -174,20 +246,8 @@ def open_file_counts(open_files: DataFrame) -> DataFrame:
 
 
 def files_by_directory(open_files: DataFrame, by: Sequence[str] = ("host_id", "pid"), names: int = 4) -> DataFrame:
-    """Files of each process by directory: how many, how many deleted, the first names."""
-    return open_files.groupBy(*by, dirname(F.col("path")).alias("dir")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("deleted") == "yes").alias("n_deleted"), F.array_join(F.slice(F.array_sort(F.collect_set(basename(F.col("path")))), 1, names), ", ").alias("names"))
-
-
-def per_key_counts(tables: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Rows of each table for each key, 0 where a table has none."""
-    out = None
-    for name, df in tables.items():
-        n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-        out = n if out is None else out.join(n, list(keys), "full_outer")
-    return out.fillna(0, list(tables))
-
-
-def share_of_total(df: DataFrame, value: str, by: Sequence[str], digits: int = 1) -> DataFrame:
-    """``share_pct``: the row's part of its group's sum. The sums are aggregated before they are joined, so a large group meets in no task."""
-    total = df.groupBy(*by).agg(F.sum(value).alias("_total"))
-    return df.join(total, list(by)).withColumn("share_pct", F.round(F.lit(100) * F.col(value) / F.nullif(F.col("_total"), F.lit(0)), digits)).drop("_total")
+    """Files of each process by directory: how many, how many deleted, the first names. Of the names only as many as are shown are gathered."""
+    each = open_files.groupBy(*by, dirname(F.col("path")).alias("dir"), basename(F.col("path")).alias("_name")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("deleted") == "yes").alias("n_deleted"))
+    place = F.row_number().over(Window.partitionBy(*by, "dir").orderBy("_name"))
+    shown = F.when(F.col("_r") <= names, F.col("_name"))
+    return each.withColumn("_r", place).groupBy(*by, "dir").agg(F.sum("n").alias("n"), F.sum("n_deleted").alias("n_deleted"), F.array_join(F.array_sort(F.collect_list(shown)), ", ").alias("names"))

@@ -19,14 +19,35 @@ def activity_history(events: DataFrame, cap: int = 500, by: Sequence[str] = ("ho
     return own.unionByName(child).withColumn("_r", rank).where(F.col("_r") <= cap).drop("_r")
 
 
-def activity_kind(category: Column, action: Column, role: Column) -> Column:
-    """started, launched, network, file, auth or other."""
-    return F.when((action == "process_started") & (role == "own"), "started").when((action == "process_started") & (role == "child"), "launched").when(category == "network", "network").when(category == "file", "file").when(category.isin("authentication", "iam"), "auth").otherwise("other")
-
-
-def by_day(history: DataFrame, by: Sequence[str] = ("host_id", "pid"), ts: str = "ts") -> DataFrame:
-    """``day, n, first_ts, last_ts`` of each process."""
-    return history.groupBy(*by, F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+def activity_told(history: DataFrame) -> DataFrame:
+    """``kind, target, child_pid`` of each row of a history: what was done and to what, and which process a command became."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in history.columns else F.lit("")
+    first = lambda *names: F.coalesce(*(F.nullif(text(c), F.lit("")) for c in names), F.lit(""))
+    began, own, category = text("event_action") == "process_started", F.col("role") == "own", text("event_category")
+    kind = F.when(began & own, "started").when(began, "launched").when(category == "network", "network").when(category == "file", "file").when(category == "authentication", "auth").otherwise(F.coalesce(F.nullif(category, F.lit("")), F.lit("event")))
+    address = F.when(text("destination_ip") != "", F.concat_ws(":", text("destination_ip"), F.nullif(text("destination_port"), F.lit("")))).otherwise(text("object_name"))
+    network = F.concat(address, F.when(text("destination_as_org") != "", F.concat(F.lit("  ("), text("destination_as_org"), F.lit(")"))).otherwise(""))
+    started = ("process_command_line", "process_executable", "process_name")
+    target = F.when(began & own, first(*started)).when(began, first(*started, "message")).when(category == "network", network).when(category == "file", first("file_path", "object_name")).otherwise(first("object_name", "message"))
+    return history.withColumn("kind", kind).withColumn("target", F.substring(target, 1, 140)).withColumn("child_pid", F.when(began & ~own, text("process_pid")).otherwise(""))
+
+
+#: What a section's line begins with; other kinds begin with their own name.
+VERBS = {"started": "started", "launched": "launched", "network": "→", "file": "changed", "auth": "auth", "event": ""}
+
+
+def by_day(history: DataFrame, by: Sequence[str] = ("host_id", "pid"), ts: str = "ts", cap: int = 500) -> DataFrame:
+    """``day, n, first_ts, last_ts, lines`` of each process: the lines (``at``, ``told``) of a day in order of time; a day has at most ``cap`` of them, the newest."""
+    told = activity_told(history)
+    verb = F.coalesce(F.create_map(*(F.lit(x) for kv in VERBS.items() for x in kv))[F.col("kind")], F.col("kind"))
+    line = F.trim(F.concat_ws(" ", F.nullif(verb, F.lit("")), F.nullif("target", F.lit(""))))
+    message = F.coalesce(F.col("message"), F.lit("")) if "message" in history.columns else F.lit("")
+    line = F.concat(F.when(line == "", message).otherwise(line), F.when(F.col("child_pid") != "", F.concat(F.lit("  [pid "), "child_pid", F.lit("]"))).otherwise(""))
+    rows = told.select(*by, F.to_date(ts).alias("day"), F.col(ts).alias("_ts"), F.col("event_id").alias("_id"), line.alias("_line"))
+    place = F.row_number().over(Window.partitionBy(*by, "day").orderBy(F.desc("_ts"), F.desc("_id")))
+    newest = F.when(F.col("_r") <= cap, F.struct("_ts", "_id", F.date_format("_ts", "HH:mm:ss").alias("at"), F.col("_line").alias("told")))
+    days = rows.withColumn("_r", place).groupBy(*by, "day").agg(F.count(F.lit(1)).alias("n"), F.min("_ts").alias("first_ts"), F.max("_ts").alias("last_ts"), F.array_sort(F.collect_list(newest)).alias("_lines"))
+    return days.withColumn("lines", F.transform("_lines", lambda x: F.struct(x["at"], x["told"]))).drop("_lines")
 
 
 def process_detail(processes: DataFrame, closure: DataFrame, sockets: DataFrame, open_files: DataFrame, events: DataFrame, children: int = 25) -> DataFrame:

@@ -216,11 +216,6 @@ def who_changed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "k", "who_subject_name", "who_process_name", stamp("who_ts").alias("who_ts"), "who_source")
 
 
-@query(f"""WITH {V_EV} SELECT subject_name AS value, count(*) AS n FROM v_ev WHERE event_category IN ('iam', 'authentication') AND event_outcome = 'failure' GROUP BY 1 ORDER BY n DESC, value LIMIT 10""")
-def privilege_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.privilege_activity(v_ev(spark, sf_dir).withColumn("event_action", F.lit("")).withColumn("process_command_line", F.lit("")))["failures"]
-
-
 FLOWS = f"""WITH {V_EV},
 flows AS (SELECT destination_ip, count(*) AS sessions, count(DISTINCT destination_port) AS ports, min(ts) AS a, max(ts) AS b, count(DISTINCT date_trunc('hour', ts)) AS hours, max(process_name) AS process_name, max(subject_name) AS subject_name
   FROM v_ev WHERE event_category = 'network' GROUP BY 1)"""

@@ -463,11 +463,31 @@ def activity_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.activity_history(v_ev(spark, sf_dir)).select("pid", "role", "event_id")
 
 
-@query(f"""WITH {V_EV}, b AS (SELECT process_pid AS pid, ts FROM v_ev UNION ALL SELECT parent_pid, ts FROM v_ev WHERE parent_pid <> process_pid)
-SELECT pid, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, strftime(min(ts), {TIME}) AS first_ts, strftime(max(ts), {TIME}) AS last_ts FROM b GROUP BY 1, 2""")
+ACTIVITY = f"""{V_EV}, a AS (SELECT *, CASE WHEN event_type = 'signup' THEN 'process_started' ELSE event_type END AS act, CASE WHEN event_type = 'view' THEN '/f/' || k ELSE '' END AS path, CASE WHEN k % 3 = 0 THEN 'org' || (k % 5) ELSE '' END AS org FROM v_ev),
+b AS (SELECT *, process_pid AS pid, 'own' AS role FROM a UNION ALL SELECT *, parent_pid, 'child' FROM a WHERE parent_pid <> process_pid),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY ts DESC, event_id DESC) AS r FROM b) WHERE r <= 500),
+t AS (SELECT *, CASE WHEN act = 'process_started' THEN CASE role WHEN 'own' THEN 'started' ELSE 'launched' END WHEN event_category = 'authentication' THEN 'auth' ELSE event_category END AS kind,
+  CASE WHEN act = 'process_started' THEN process_name WHEN event_category = 'network' THEN destination_ip || ':' || destination_port || CASE WHEN org <> '' THEN '  (' || org || ')' ELSE '' END WHEN event_category = 'file' THEN path ELSE 'm' || k END AS target FROM h)"""
+
+
+def _activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k").cast("string")
+    e = v_ev(spark, sf_dir).withColumn("event_action", F.when(F.col("event_type") == "signup", "process_started").otherwise(F.col("event_type"))).withColumn("file_path", F.when(F.col("event_type") == "view", F.concat(F.lit("/f/"), k)).otherwise(""))
+    e = e.withColumn("destination_as_org", F.when(F.col("k") % 3 == 0, F.concat(F.lit("org"), (F.col("k") % 5).cast("string"))).otherwise("")).withColumn("message", F.when(F.col("event_type") == "signup", "").otherwise(F.concat(F.lit("m"), k)))
+    return timeline.activity_history(e)
+
+
+@query(f"WITH {ACTIVITY} SELECT pid, event_id, role, kind, target, CASE WHEN kind = 'launched' THEN CAST(process_pid AS VARCHAR) ELSE '' END AS child_pid FROM t")
+def activity_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.activity_told(_activity(spark, sf_dir)).select("pid", "event_id", "role", "kind", "target", "child_pid")
+
+
+@query(f"""WITH {ACTIVITY}, l AS (SELECT *, trim(CASE kind WHEN 'network' THEN '→' WHEN 'file' THEN 'changed' ELSE kind END || ' ' || target) || CASE WHEN kind = 'launched' THEN '  [pid ' || process_pid || ']' ELSE '' END AS line FROM t)
+SELECT pid, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, strftime(min(ts), {TIME}) AS first_ts, strftime(max(ts), {TIME}) AS last_ts, string_agg(strftime(ts, '%H:%M:%S') || ' ' || line, chr(10) ORDER BY ts, event_id) AS lines FROM l GROUP BY 1, 2""")
 def activity_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = timeline.activity_history(v_ev(spark, sf_dir), cap=1 << 40)
-    return timeline.by_day(history).select("pid", F.col("day").cast("string").alias("day"), "n", stamp("first_ts").alias("first_ts"), stamp("last_ts").alias("last_ts"))
+    found = timeline.by_day(_activity(spark, sf_dir))
+    lines = F.array_join(F.transform("lines", lambda x: F.concat_ws(" ", x["at"], x["told"])), "\n")
+    return found.select("pid", F.col("day").cast("string").alias("day"), "n", stamp("first_ts").alias("first_ts"), stamp("last_ts").alias("last_ts"), lines.alias("lines"))
 
 
 def _chain_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
