@@ -510,19 +510,6 @@ def services(units: DataFrame, enabled: DataFrame, files: DataFrame) -> DataFram
     return units.join(e, keys, "left").join(t, keys, "left").fillna("", ["enabled", "content"])
 
 
-RISKY_CAPABILITIES = ("cap_setuid", "cap_setgid", "cap_sys_admin", "cap_dac_override", "cap_dac_read_search", "cap_sys_ptrace", "cap_sys_module", "cap_chown", "cap_fowner")
-
-
-def privilege_vectors(rows: DataFrame, changed: DataFrame, as_of: Column) -> DataFrame:
-    """Capabilities, sudo rules and setuid files with their risk, whether they need no password, and their age in days."""
-    at = changed.groupBy("host_id", F.col("path").alias("name")).agg(F.max("changed").alias("changed"))
-    risky = F.lower("detail").rlike("|".join(RISKY_CAPABILITIES))
-    free = F.col("detail").contains("NOPASSWD")
-    out = rows.join(at, ["host_id", "name"], "left")
-    risk = F.when((F.col("kind") == "capability") & risky, "high").when((F.col("kind") == "sudo") & free, "high").when(F.col("kind") == "suid", "medium").otherwise("low")
-    return out.withColumns({"risk": risk, "nopasswd": F.when(free, "yes").otherwise(""), "age_days": F.datediff(as_of, F.col("changed").try_cast("timestamp"))})
-
-
 def boot_times(lines: DataFrame) -> DataFrame:
     """Seconds a unit took at boot, and its impact: high from 10 s, medium from 3 s."""
     p = r"^\s*((?:\d+min\s+)?[\d.]+m?s)\s+(\S+)\s*$"

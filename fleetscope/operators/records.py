@@ -117,3 +117,38 @@ def network(lines: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
     found = links.unionByName(addrs).groupBy(*by, "iface").agg(F.max_by("about", F.when(F.col("about").isNotNull(), F.col("line_no"))).alias("about"), F.max(F.when(F.col("about").isNotNull(), F.col("line_no"))).alias("since"), F.array_sort(F.collect_list("addr")).alias("addrs")).where("since IS NOT NULL")
     listed = lambda six: F.array_join(F.transform(F.filter("addrs", lambda x: (x["no"] > F.col("since")) & (x["six"] == six)), lambda x: x["ip"]), " ")
     return found.select(*by, "iface", "about.*", listed(False).alias("ipv4"), listed(True).alias("ipv6"))
+
+
+#: Capabilities that give root in effect (fixed values).
+RISKY_CAPABILITIES = (
+    "cap_setuid", "cap_setgid", "cap_dac_override", "cap_dac_read_search", "cap_sys_admin", "cap_sys_ptrace", "cap_sys_module", "cap_sys_rawio", "cap_net_admin", "cap_bpf", "cap_perfmon", "cap_setfcap", "cap_chown", "cap_fowner",
+)
+
+
+def privilege_vectors(lines: DataFrame, as_of: Column, by: Sequence[str] = RUN) -> DataFrame:
+    """``kind, name, detail, risk, nopasswd, source, changed, age_days``: file capabilities, rules that ``sudo -l`` lists and rules of sudoers files, from sections ``===CAPS===``, ``===SUDO===``, ``===SUDOERS===`` and, for when their carriers changed, ``===MTIME===``.
+
+    A rule of ``sudo -l`` has the newest time of any sudoers file. Risk is high for risky capabilities and rules without a password, else info.
+    """
+    trimmed = F.trim("line")
+    head = F.when(trimmed.isin("===CAPS===", "===SUDO===", "===SUDOERS===", "===MTIME==="), F.regexp_replace(trimmed, "=", ""))
+    rows = segments(lines, head, by).where(head.isNull() & (trimmed != "")).select(*by, "line_no", F.col("head").alias("section"), "line", trimmed.alias("s"))
+    times = rows.where((F.col("section") == "MTIME") & F.col("line").contains("\t")).select(*by, "line_no", F.trim(F.split("line", "\t", 2)[1]).alias("source"), F.substring(F.trim(F.split("line", "\t", 2)[0]), 1, 19).alias("at"))
+    times = times.groupBy(*by, "source").agg(F.max_by("at", "line_no").alias("at"))
+    newest = times.where(F.col("source").startswith("/etc/sudoers")).groupBy(*by).agg(F.max("at").alias("newest"))
+    last, rule, tab = F.substring_index("s", " ", -1), r"\(([^)]*)\)\s*(.+)$", F.split("s", "\t", 2)
+    risky = F.lit(False)
+    for c in RISKY_CAPABILITIES:
+        risky = risky | F.col("detail").contains(c)
+    free = lambda c: F.when(c.contains("NOPASSWD"), "yes").otherwise("")
+    spaced = F.col("s").contains(" ")
+    caps = rows.where("section = 'CAPS'").select(*by, "line_no", F.lit("capability").alias("kind"), F.when(spaced, F.expr("substr(s, 1, length(s) - length(substring_index(s, ' ', -1)) - 1)")).otherwise(F.col("s")).alias("name"), F.when(spaced, last).otherwise("").alias("detail"), F.lit("").alias("nopasswd"), F.lit("getcap").alias("source"))
+    caps = caps.withColumn("carrier", F.col("name")).withColumn("risk", F.when(risky, "high").otherwise("info"))
+    said = F.regexp_extract("s", rule, 2)
+    live = rows.where((F.col("section") == "SUDO") & F.col("s").rlike(rule)).select(*by, "line_no", F.lit("sudo").alias("kind"), F.trim(F.regexp_replace(said, r"^\s*(NOPASSWD|PASSWD|SETENV|NOEXEC|EXEC)\s*:\s*", "")).alias("name"), F.concat(F.lit("runas "), F.regexp_extract("s", rule, 1)).alias("detail"), free(said).alias("nopasswd"), F.lit("sudo -l").alias("source"), F.lit("").alias("carrier"))
+    kept = rows.where((F.col("section") == "SUDOERS") & F.col("s").contains("\t")).select(*by, "line_no", F.lit("sudoers").alias("kind"), F.trim(tab[1]).alias("name"), F.lit("").alias("detail"), free(tab[1]).alias("nopasswd"), tab[0].alias("source"), tab[0].alias("carrier"))
+    ruled = live.unionByName(kept).withColumn("risk", F.when(F.col("nopasswd") != "", "high").otherwise("info"))
+    out = caps.unionByName(ruled).join(times.withColumnRenamed("source", "carrier"), [*by, "carrier"], "left").join(newest, list(by), "left")
+    changed = F.coalesce(F.when(F.col("kind") == "sudo", F.col("newest")).otherwise(F.col("at")), F.lit(""))
+    age = F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(F.try_to_timestamp("changed", F.lit("yyyy-MM-dd HH:mm:ss")))) / 86400)
+    return out.withColumn("changed", changed).withColumn("age_days", age).select(*by, "kind", "name", "detail", "risk", "nopasswd", "source", "changed", "age_days")

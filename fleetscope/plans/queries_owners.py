@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.operators import entities, graph, parse, stats
+from fleetscope.operators import entities, graph, parse, records, stats
 from fleetscope.operators.enrich import owner_pid
 from fleetscope.plans.registry import query
 from fleetscope.plans.views import read
@@ -78,15 +78,26 @@ def journal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.journal_events(rows).select("event_id", "event_action", "event_category", "service_name", "event_outcome", "event_severity", "source_ip")
 
 
-@query("""SELECT s_name AS name, CASE s_suppkey % 3 WHEN 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'high' ELSE 'low' END WHEN 1 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'high' ELSE 'low' END ELSE 'medium' END AS risk, CASE WHEN s_suppkey % 3 = 1 AND s_suppkey % 2 = 0 THEN 'yes' ELSE '' END AS nopasswd,
-CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey % 5 END AS age_days FROM supplier""")
+@query("""WITH m AS (SELECT s_nationkey AS run, max(strftime(DATE '2026-01-10' - CAST(s_suppkey % 50 AS INTEGER), '%Y-%m-%d') || ' 06:00:00') AS newest FROM supplier WHERE s_suppkey % 4 = 2 GROUP BY 1)
+SELECT s_nationkey AS run, CASE s_suppkey % 4 WHEN 0 THEN 'capability' WHEN 1 THEN 'sudo' ELSE 'sudoers' END AS kind, CASE s_suppkey % 4 WHEN 0 THEN '/usr/bin/' || s_name WHEN 1 THEN '/bin/x ' || s_suppkey ELSE 'u ALL=(root) ' || CASE WHEN s_suppkey % 3 = 0 THEN 'NOPASSWD: ' ELSE '' END || s_suppkey END AS name,
+  CASE s_suppkey % 4 WHEN 0 THEN CASE WHEN s_suppkey % 3 = 0 THEN 'cap_bpf,cap_net_raw=ep' ELSE 'cap_net_raw=ep' END WHEN 1 THEN 'runas root' ELSE '' END AS detail, CASE WHEN s_suppkey % 3 = 0 THEN 'high' ELSE 'info' END AS risk, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 4 > 0 THEN 'yes' ELSE '' END AS nopasswd,
+  CASE s_suppkey % 4 WHEN 0 THEN 'getcap' WHEN 1 THEN 'sudo -l' ELSE '/etc/sudoers.d/' || s_suppkey END AS source, CASE s_suppkey % 4 WHEN 0 THEN strftime(DATE '2026-01-10' - CAST(s_suppkey % 50 AS INTEGER), '%Y-%m-%d') || ' 06:00:00' WHEN 1 THEN coalesce(newest, '') WHEN 2 THEN strftime(DATE '2026-01-10' - CAST(s_suppkey % 50 AS INTEGER), '%Y-%m-%d') || ' 06:00:00' ELSE '' END AS changed,
+  CASE s_suppkey % 4 WHEN 1 THEN datediff('day', CAST(newest[:10] AS DATE), DATE '2026-01-10') WHEN 3 THEN NULL ELSE s_suppkey % 50 END AS age_days
+FROM supplier LEFT JOIN m ON run = s_nationkey""")
 def privilege_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, k = read(spark, sf_dir, "supplier"), F.col("s_suppkey")
-    kind = F.when(k % 3 == 0, "capability").when(k % 3 == 1, "sudo").otherwise("suid")
-    detail = F.when((k % 3 == 0) & (k % 2 == 0), "CAP_SETUID+ep").when(k % 3 == 0, "cap_net_raw=ep").when((k % 3 == 1) & (k % 2 == 0), "NOPASSWD: ALL").otherwise("ALL")
-    rows = s.select(_host(), F.col("s_name").alias("name"), kind.alias("kind"), detail.alias("detail"))
-    changed = s.where("s_suppkey % 5 > 0").select(_host(), F.col("s_name").alias("path"), F.expr("cast(date_sub(date'2026-01-10', cast(s_suppkey % 5 as int)) as string)").alias("changed"))
-    return parse.privilege_vectors(rows, changed, F.lit("2026-01-10").cast("date")).select("name", "risk", "nopasswd", "age_days")
+    s, k = read(spark, sf_dir, "supplier").select(_host(), _text("s_nationkey").alias("run_id"), "s_suppkey", "s_name"), F.col("s_suppkey")
+    number, free = _text("s_suppkey"), F.when(k % 3 == 0, "NOPASSWD: ").otherwise("")
+    caps = F.concat(F.lit("/usr/bin/"), "s_name", F.lit(" "), F.when(k % 3 == 0, "cap_bpf,cap_net_raw=ep").otherwise("cap_net_raw=ep"))
+    sudo = F.concat(F.lit("    (root) "), free, F.lit("/bin/x "), number)
+    rule = F.concat(F.lit("/etc/sudoers.d/"), number, F.lit("\tu ALL=(root) "), free, number)
+    at = F.concat(F.expr("cast(date_sub(date'2026-01-10', cast(s_suppkey % 50 as int)) as string)"), F.lit(" 06:00:00.5\t"), F.when(k % 4 == 0, F.concat(F.lit("/usr/bin/"), "s_name")).otherwise(F.concat(F.lit("/etc/sudoers.d/"), number)))
+    parts = ((0, "CAPS", k % 4 == 0, caps), (1, "SUDO", k % 4 == 1, sudo), (2, "SUDOERS", k % 4 >= 2, rule), (3, "MTIME", (k % 4 == 0) | (k % 4 == 2), at))
+    lines = None
+    for place, name, where, line in parts:
+        piece = s.where(where).select("host_id", "run_id", (k + place * 10**9 + 1).alias("line_no"), line.alias("line")).unionByName(s.select("host_id", "run_id", F.lit(place * 10**9).cast("long").alias("line_no"), F.lit(f"==={name}===").alias("line")).distinct())
+        lines = piece if lines is None else lines.unionByName(piece)
+    found = records.privilege_vectors(lines, F.lit("2026-01-10 12:00:00").cast("timestamp"))
+    return found.select(F.col("run_id").cast("int").alias("run"), "kind", "name", "detail", "risk", "nopasswd", "source", "changed", "age_days")
 
 
 @query("""WITH RECURSIVE p AS (SELECT p_partkey AS pid, p_partkey // 8 AS ppid, p_size, p_brand, CASE p_size % 5 WHEN 0 THEN 'vendor' WHEN 1 THEN 'product' WHEN 2 THEN 'package' WHEN 3 THEN 'kernel' ELSE 'exe' END AS tier,
