@@ -61,12 +61,48 @@ def test_toxicity_learns_and_shares_subwords(spark):
 
 
 def test_licences(spark):
-    lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "All rights reserved.", "The licence of poets is well known to all readers of verse.", "He was released under bail by the court."]
-    docs = spark.createDataFrame([(k, f"some words here\n{x}\nmore words") for k, x in enumerate(lines)] + [(50, None), (None, ""), (51, "plain " * 9999)], "doc_id long, text string")
+    lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "All rights reserved.", "// SPDX-License-Identifier: Apache-2.0", "# SPDX-License-Identifier: MIT", "The licence of poets is well known to all readers of verse.", "He was released under bail by the court.", "his driver's licence was taken away"]
+    header = "some words here\n\n * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted, provided that the above\n * copyright notice and this permission notice appear in all copies.\n\nend"
+    docs = spark.createDataFrame([(k, f"some words here\n{x}\nmore words", 1, 2) for k, x in enumerate(lines)] + [(50, None, 1, 2), (None, "", 1, 2), (51, "plain " * 99_999, 1, 2), (52, header, 1, 2), (52, header, 1, 2)], "doc_id long, text string, findings int, unit int")
     corpus = spark.read.parquet(f"{SF}/documents.parquet")
-    found = {r.doc_id: [(x.line, x.family) for x in r.findings if x.confirmed] for r in C.scan(docs, C.train(corpus, 500)).collect()}
-    assert [found[k] for k in range(5)] == [[(1, f)] for f in ("mit", "cc-by-nc", "apache-2.0", "gpl", "proprietary")]
-    assert not any(found[k] for k in (5, 6, 50, None, 51))
+    model = C.train(corpus, 500)
+    found = [(r.doc_id, [(x.line, x["last"], x.family) for x in r.findings if x.confirmed]) for r in C.scan(docs, model).collect()]
+    by_id = dict(found)
+    assert [by_id[k] for k in range(7)] == [[(1, 1, f)] for f in ("mit", "cc-by-nc", "apache-2.0", "gpl", "proprietary", "apache-2.0", "mit")]
+    assert not any(by_id[k] for k in (7, 8, 9, 50, None, 51)) and len(found) == 15
+    assert [x for k, x in found if k == 52] == [[(2, 4, "isc")]] * 2
+    assert C.scan(docs.limit(0), model).count() == 0
+    assert C.train(docs.limit(0)).classes[0] == C.UNKNOWN
+
+
+def test_licence_bound_leaves_nothing_out_and_recall(spark):
+    import textwrap
+
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()]
+    model = C.Classifier(sorted({x.split("\n")[0][:400] for x in texts if not C.MARKS.search(x)}))
+    # The bound never hides a unit that all classes' numbers would accept.
+    units = C.Units([x.encode() for x in texts] + [t.encode() for own in C.TEXTS.values() for t in own])
+    z = model.logits(units) / model.temperature
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    every = np.flatnonzero((p.argmax(1) > 0) & (p.max(1) >= C.LEAST))
+    assert set(every) == set(model.classify(units)[0])
+    # Headers broken at other widths than any that was trained on, set among other lines.
+    rng, hit, n = random.Random(5), 0, 0
+    for family, own in C.TEXTS.items():
+        for text in own:
+            for width in (48, 66, 80):
+                lines = textwrap.wrap(text, width)
+                at = rng.randrange(max(1, len(lines) - 5))
+                doc = "\n".join([rng.choice(texts).split("\n")[0][:200], *(f" * {x}" for x in lines[at : at + 6]), "the end of it"])
+                hit += any(x["family"] == family and x["confirmed"] for x in C.find(model, [doc.encode()])[0])
+                n += 1
+    assert hit >= 0.95 * n
+    # Of the corpus nothing is confirmed but lines that name a licence, and of these each is told.
+    for text, own in zip(texts, C.find(model, [x.encode() for x in texts])):
+        rows = text.split("\n")
+        assert all(C.MARKS.search("\n".join(rows[x["line"] : x["last"] + 1])) for x in own if x["confirmed"])
+        assert {k for k, row in enumerate(rows) if C.MARKS.search(row)} <= {k for x in own for k in range(x["line"], x["last"] + 1)}
 
 
 PAGE = """<html><body><div class="top-bar"><a href=x>Home</a></div><header><h1>Site</h1></header><div id="sidebar"><p>Side text, long and wide</p></div>
