@@ -195,7 +195,8 @@ def first_shared(texts: DataFrame, shingle: int = SHINGLE, often: int = OFTEN, m
     shared = checkpointed(first.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("many")).where("a <> b").select("h", "many"))
     # Most first shingles stand in one text: the bit map keeps them from being moved again.
     first = texts.mapInArrow(_first(shingle, common, texts.sparkSession.sparkContext.broadcast(_map_of(shared))), "node long, n long, h long, place long")
-    return checkpointed(first.join(broadcast_if_small(shared), "h").groupBy("node", "h").agg(*(F.first(c).alias(c) for c in ("n", "place", "many"))))
+    # Rows of a text lie together from here on, so that sums by text are made before they are moved.
+    return checkpointed(first.join(broadcast_if_small(shared), "h").repartition("node").groupBy("node", "h").agg(*(F.first(c).alias(c) for c in ("n", "place", "many"))))
 
 
 def _similar(shared: Column, n: Column, m: Column) -> Column:
