@@ -189,16 +189,20 @@ def event_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.event_stats(read(spark, sf_dir, "events").withColumn("ts", stamp("ts")), ["event_type"])
 
 
-@query("""WITH hits AS (
-SELECT 'nation' AS tab, count(*) AS n FROM nation WHERE contains(CAST(n_nationkey AS VARCHAR), '1') OR contains(lower(n_name), '1') OR contains(CAST(n_regionkey AS VARCHAR), '1') UNION ALL
-SELECT 'region', count(*) FROM region WHERE contains(CAST(r_regionkey AS VARCHAR), '1') OR contains(lower(r_name), '1') UNION ALL
-SELECT 'supplier', count(*) FROM supplier WHERE contains(CAST(s_suppkey AS VARCHAR), '1') OR contains(lower(s_name), '1') UNION ALL
-SELECT 'customer', count(*) FROM customer WHERE contains(CAST(c_custkey AS VARCHAR), '1') OR contains(lower(c_name), '1') OR contains(lower(c_mktsegment), '1'))
-SELECT tab, n FROM hits WHERE n > 0""")
+SEARCHED = {"nation": ("n_nationkey", "n_name", "n_regionkey"), "region": ("r_regionkey", "r_name"), "supplier": ("s_suppkey", "s_name"), "customer": ("c_custkey", "c_name", "c_mktsegment")}
+
+
+def _search_sql(table: str, columns: tuple[str, ...], term: str) -> str:
+    hit = {c: f"contains(lower(CAST({c} AS VARCHAR)), '{term}')" for c in sorted(columns)}
+    named = ", ".join(f"CASE WHEN bool_or({h}) THEN '{c}' END" for c, h in hit.items())
+    least = ", ".join(f"min(CASE WHEN {h} THEN CAST({c} AS VARCHAR) END)" for c, h in hit.items())
+    return f"SELECT '{table}' AS tab, count(*) AS n, concat_ws(',', {named}) AS columns, array_to_string(list_sort(list_distinct([{least}]))[1:3], ' · ') AS samples FROM {table} WHERE {' OR '.join(hit.values())} HAVING count(*) > 0"
+
+
+@query(" UNION ALL ".join(_search_sql(t, c, "1") for t, c in SEARCHED.items()))
 def cross_table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "region": ["r_regionkey", "r_name"], "supplier": ["s_suppkey", "s_name"], "customer": ["c_custkey", "c_name", "c_mktsegment"]}
-    found = search_tables({t: read(spark, sf_dir, t).select(*c) for t, c in columns.items()}, "1")
-    return found.select(F.col("table").alias("tab"), "n")
+    found = search_tables({t: read(spark, sf_dir, t).select(*c) for t, c in SEARCHED.items()}, "1")
+    return found.select(F.col("table").alias("tab"), "n", "columns", "samples")
 
 
 @query(f"""WITH {V_EV} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n FROM v_ev WHERE event_category = 'file' GROUP BY 1 ORDER BY 1 DESC LIMIT 48""")

@@ -180,18 +180,21 @@ def argument_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.argument_files(procs, known).select(F.col("pid").alias("o_orderkey"), "arg_files")
 
 
-@query(f"""WITH {V_EV}, c AS (SELECT p_name AS k, CASE WHEN count(DISTINCT p_partkey) = 1 THEN min(p_partkey) END AS pid FROM part GROUP BY 1)
-SELECT event_id, CASE WHEN v_ev.event_type = 'view' THEN process_pid ELSE c.pid END AS pid, CASE WHEN v_ev.event_type <> 'view' AND c.pid IS NOT NULL THEN 'matched by name' ELSE '' END AS source,
-CASE WHEN v_ev.event_type = 'view' THEN CASE WHEN process_pid IN (SELECT p_partkey FROM part) THEN 'yes' ELSE 'no' END WHEN c.pid IS NOT NULL THEN 'yes' ELSE '' END AS alive
-FROM v_ev LEFT JOIN (SELECT p_partkey, p_name FROM part) n ON n.p_partkey = v_ev.k LEFT JOIN c ON c.k = n.p_name""")
+@query(f"""WITH {V_EV}, c AS (SELECT p_name AS k, CASE WHEN count(DISTINCT p_partkey) = 1 THEN min(p_partkey) END AS pid FROM part GROUP BY 1),
+s AS (SELECT a AS k, CASE WHEN count(DISTINCT user_id) = 1 THEN min(user_id) END AS pid FROM (SELECT user_id, destination_ip || ':' || destination_port AS a FROM v_ev WHERE event_type = 'click' AND event_id % 7 = 0) GROUP BY 1),
+x AS (SELECT event_id, process_pid AS own, CASE WHEN v_ev.event_type = 'view' THEN NULL WHEN event_id % 2 = 0 THEN c.pid END AS named, CASE WHEN event_id % 3 > 0 THEN s.pid END AS bysock, v_ev.event_type = 'view' AS has
+  FROM v_ev LEFT JOIN (SELECT p_partkey, p_name FROM part) n ON n.p_partkey = v_ev.k LEFT JOIN c ON c.k = n.p_name LEFT JOIN s ON s.k = destination_ip || ':' || destination_port),
+y AS (SELECT event_id, CASE WHEN has THEN own ELSE coalesce(named, bysock) END AS pid, CASE WHEN has THEN '' WHEN named IS NOT NULL THEN 'matched by name' WHEN bysock IS NOT NULL THEN 'matched by socket' ELSE '' END AS source FROM x)
+SELECT event_id, pid, source, CASE WHEN pid IS NULL THEN '' WHEN pid IN (SELECT p_partkey FROM part) THEN 'yes' ELSE 'no' END AS alive FROM y""")
 def event_process_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part")
+    part, ev = read(spark, sf_dir, "part"), v_ev(spark, sf_dir)
     procs = part.select(_host(), _text("p_partkey").alias("pid"), F.regexp_replace("p_name", " ", "_").alias("command"), F.lit("u").alias("user"), F.lit("").alias("package"))
     names = part.select(F.col("p_partkey").alias("k"), F.regexp_replace("p_name", " ", "_").alias("process_name"))
-    e = v_ev(spark, sf_dir).drop("process_name").join(names, "k", "left")
-    e = e.select("host_id", "event_id", F.when(F.col("event_type") == "view", F.col("process_pid")).alias("process_pid"), F.lit("").alias("process_executable"), F.coalesce("process_name", F.lit("")).alias("process_name"), F.lit("").alias("object_name"), F.lit("").alias("destination_ip"), F.lit(None).cast("long").alias("destination_port"))
-    none = procs.limit(0).select("host_id", F.lit("").alias("remote"), F.lit("").alias("local"), "pid")
-    found = enrich.link_events(e, procs, none)
+    ports = ev.where("event_type = 'click' AND event_id % 7 = 0").select(_host(), F.concat_ws(":", "destination_ip", _text("destination_port")).alias("remote"), F.lit("").alias("local"), _text("user_id").alias("pid"))
+    e = ev.drop("process_name").join(names, "k", "left")
+    sees, i = F.col("event_type") == "view", F.col("event_id")
+    e = e.select("host_id", "event_id", F.when(sees, F.col("process_pid")).alias("process_pid"), F.lit("").alias("process_executable"), F.when(i % 2 == 0, F.coalesce("process_name", F.lit(""))).otherwise("").alias("process_name"), F.lit("").alias("object_name"), F.when(i % 3 > 0, F.col("destination_ip")).otherwise("").alias("destination_ip"), F.when(i % 3 > 0, F.col("destination_port")).alias("destination_port"))
+    found = enrich.link_events(e, procs, ports)
     return found.select("event_id", F.col("process_pid").alias("pid"), F.coalesce("process_source", F.lit("")).alias("source"), F.col("process_alive").alias("alive"))
 
 
@@ -253,23 +256,25 @@ def program_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {V_TREE}, {V_EV},
 up AS (SELECT id, string_agg(ancestor, ' ← ' ORDER BY depth) AS s FROM closure GROUP BY 1), down AS (SELECT ppid AS id, count(*) AS n FROM v_tree WHERE pid <> ppid GROUP BY 1),
 ev AS (SELECT process_pid AS id, count(*) AS n FROM v_ev GROUP BY 1), ord AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1)
-SELECT pid, coalesce(up.s, '') AS ancestors, least(coalesce(down.n, 0), 25) AS n_children, coalesce(ord.n, 0) AS n_sockets, coalesce(ev.n, 0) AS n_events FROM v_tree LEFT JOIN up ON up.id = pid LEFT JOIN down ON down.id = pid LEFT JOIN ev ON ev.id = pid LEFT JOIN ord ON ord.id = pid""")
+SELECT pid, coalesce(up.s, '') AS ancestors, least(coalesce(down.n, 0), 25) AS n_children, coalesce(kids, '') AS children, coalesce(ord.n, 0) AS n_sockets, coalesce(files.n, 0) AS n_files, coalesce(ev.n, 0) AS n_events FROM v_tree LEFT JOIN up ON up.id = pid LEFT JOIN down ON down.id = pid LEFT JOIN ev ON ev.id = pid LEFT JOIN ord ON ord.id = pid
+  LEFT JOIN (SELECT l_partkey AS id, count(*) AS n FROM lineitem GROUP BY 1) files ON files.id = pid LEFT JOIN (SELECT ppid AS id, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY CAST(pid AS VARCHAR)) AS kids FROM v_tree WHERE pid <> ppid GROUP BY 1) ch ON ch.id = pid""")
 def process_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetscope.operators import hierarchy
 
     socks = read(spark, sf_dir, "orders").select(_host(), F.col("o_custkey").alias("pid"))
     closure = hierarchy.ancestors(v_edges(spark, sf_dir), 12)
-    found = timeline.process_detail(v_tree(spark, sf_dir), closure, socks, socks.limit(0), v_ev(spark, sf_dir))
-    return found.select("pid", "ancestors", "n_children", "n_sockets", "n_events")
+    files = read(spark, sf_dir, "lineitem").select(_host(), F.col("l_partkey").alias("pid"))
+    found = timeline.process_detail(v_tree(spark, sf_dir), closure, socks, files, v_ev(spark, sf_dir))
+    return found.select("pid", "ancestors", "n_children", "children", "n_sockets", "n_files", "n_events")
 
 
-@query(f"""WITH {V_EV}, n AS (SELECT DISTINCT destination_ip AS node FROM v_ev WHERE event_category = 'network' AND k < 10),
+@query(f"""WITH {V_EV}, n AS (SELECT DISTINCT destination_ip AS node FROM v_ev WHERE event_category = 'network'),
 e AS (SELECT node, event_id, event_type AS line, row_number() OVER (PARTITION BY node ORDER BY ts DESC, event_id) AS r FROM n JOIN v_ev ON destination_ip = node)
 SELECT node, 'event' AS kind, line FROM e WHERE r <= 8 UNION ALL
 SELECT node, 'related: procs', process_name FROM (SELECT node, process_name, row_number() OVER (PARTITION BY node ORDER BY process_name) AS r FROM (SELECT DISTINCT node, process_name FROM n JOIN v_ev ON destination_ip = node)) WHERE r <= 6""")
 def node_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = v_ev(spark, sf_dir)
-    nodes = e.where("event_category = 'network' AND k < 10").select(F.col("destination_ip").alias("node")).distinct()
+    nodes = e.where("event_category = 'network'").select(F.col("destination_ip").alias("node")).distinct()
     return graph.node_detail(nodes, {"procs": (e, "destination_ip", "process_name")}, e.withColumn("message", F.col("event_type")), ["destination_ip"])
 
 
