@@ -170,7 +170,7 @@ def who_changed(files: DataFrame, others: DataFrame, path: str, attributes: Sequ
     """
     known = others.where(F.coalesce(F.col(path).cast("string"), F.lit("")) != "").groupBy(path).agg(*(F.max(a).alias(f"who_{a}") for a in attributes), F.max("ts").alias("who_ts"))
     out = files.join(known, path, "left")
-    return out.withColumn("who_source", F.when(F.col("who_ts").isNull(), F.lit("unknown")).otherwise(F.lit("other event of the file")))
+    return out.withColumn("who_source", F.when(F.col("who_ts").isNull(), F.lit("rpm -Va: the editor is not recorded")).otherwise(F.lit("kernel audit")))
 
 
 def network_flows(events: DataFrame, key: str, attributes: Sequence[str], port: str, ts: str = "ts") -> DataFrame:
@@ -191,8 +191,8 @@ def rare_sessions(flows: DataFrame, external: Column, owner: Column, threat: Col
     marks = F.array_compact(F.array(
         F.when(external & (F.col("sessions") <= 3), F.lit("few sessions")),
         F.when(unknown, F.lit("owner unknown")),
-        F.when(external & (F.col("hours") <= 1), F.lit("one active hour")),
-        F.when(F.coalesce(threat, F.lit("")) != "", F.lit("threat")) if threat is not None else F.lit(None).cast("string"),
+        F.when(external & (F.col("hours") <= 1), F.lit("narrow time window")),
+        F.when(F.coalesce(threat, F.lit("")) != "", F.lit("matched a threat feed")) if threat is not None else F.lit(None).cast("string"),
     ))
     return flows.withColumn("marks", F.array_join(marks, ", ")).withColumn("rare", F.size(marks) >= 2)
 
@@ -205,6 +205,46 @@ def flow_detail(events: DataFrame, ip_fields: Sequence[str] = ("source_ip", "des
     return both.withColumn("_r", rank).where(F.col("_r") <= cap).drop("_r")
 
 
+def flow_participants(events: DataFrame, by: Sequence[str] = ("host_id",), ip: str = "destination_ip") -> DataFrame:
+    """``by…, ip, name, pid, how, sessions, first_ts, last_ts``: which processes talked to each address, unknown ones being one."""
+    text = lambda c: F.max(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in events.columns else F.lit("")
+    name = F.coalesce(F.nullif(F.col("process_name"), F.lit("")), F.lit("(unknown)"))
+    rows = events.where(F.coalesce(F.col(ip), F.lit("")) != "")
+    return rows.groupBy(*by, F.col(ip).alias("ip"), name.alias("name")).agg(text("process_pid").alias("pid"), text("process_source").alias("how"), F.count(F.lit(1)).alias("sessions"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def flow_live(participants: DataFrame, ports: DataFrame, processes: DataFrame, by: Sequence[str] = ("host_id",), most: int = 10) -> DataFrame:
+    """``by…, ip, kind, name, detail``: the sockets that are open to each address of ``participants`` now, and of its first ``most`` known programs by name the processes that run them.
+
+    A socket's address is what stands before its last colon, so addresses are joined and no pattern is tried on every pair.
+    """
+    address = F.expr("substr(remote, 1, length(remote) - length(substring_index(remote, ':', -1)) - 1)")
+    ips = participants.select(*by, "ip").distinct()
+    sockets = ports.where("remote LIKE '%:%'").withColumn("ip", address).join(ips, [*by, "ip"]).select(*by, "ip", F.lit("socket").alias("kind"), F.col("process").alias("name"), F.concat_ws(" ", "proto", "local", "remote", "exposure").alias("detail"))
+    place = F.row_number().over(Window.partitionBy(*by, "ip").orderBy("name"))
+    named = participants.where("name <> '(unknown)'").select(*by, "ip", "name").distinct().withColumn("_r", place).where(F.col("_r") <= most).drop("_r")
+    program = F.substring_index(F.split_part(F.trim("command"), F.lit(" "), F.lit(1)), "/", -1)
+    running = processes.withColumn("name", program).join(named, [*by, "name"]).select(*by, "ip", F.lit("process").alias("kind"), "name", F.concat_ws(" ", F.col("pid").cast("string"), "user", "package", "purpose").alias("detail"))
+    return sockets.unionByName(running)
+
+
+def top_lists(processes: DataFrame, events: DataFrame, programs: DataFrame, ports: DataFrame, n: int = 10) -> DataFrame:
+    """``panel, rank, name, detail, value``: the processes with most memory and processor time, the programs with most components, the most frequent destinations, and how many sockets have each exposure."""
+    number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
+    program = F.substring_index(F.split_part(F.trim(F.coalesce("command", F.lit(""))), F.lit(" "), F.lit(1)), "/", -1)
+    heavy = lambda panel, c: processes.select(F.lit(panel).alias("panel"), program.alias("name"), F.concat_ws(" ", F.col("pid").cast("string"), "user").alias("detail"), F.round(number(c), 1).alias("value"))
+    seen = events.where(F.coalesce(F.col("destination_ip"), F.lit("")) != "").groupBy(F.col("destination_ip").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value"), *(F.coalesce(F.max(c), F.lit("")).alias(c) for c in ("destination_as_org", "destination_geo_country")))
+    lists = [
+        heavy("rss", "rss_mb"), heavy("cpu", "cpu").where("value > 0"),
+        programs.where("components > 0").select(F.lit("deps").alias("panel"), "name", F.col("kind").alias("detail"), F.col("components").cast("double").alias("value")),
+        seen.select(F.lit("destinations").alias("panel"), "name", F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in ("destination_as_org", "destination_geo_country"))).alias("detail"), "value"),
+    ]
+    first = [x.orderBy(F.desc("value"), "name", "detail").limit(n) for x in lists]
+    exposed = ports.groupBy(F.coalesce("exposure", F.lit("")).alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("exposure").alias("panel"), "name", F.lit("").alias("detail"), "value")
+    rows = reduce(DataFrame.unionByName, [*first, exposed])
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("panel").orderBy(F.desc("value"), "name", "detail")))
+
+
 def sessions_by(events: DataFrame, keys: Sequence[str], blank: str = "(owner unknown)") -> DataFrame:
     """Sessions by address and process, unknown owners being one."""
     cells = [F.coalesce(F.nullif(F.col(k).cast("string"), F.lit("")), F.lit(blank)).alias(k) for k in keys]

@@ -212,7 +212,7 @@ def file_activity_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {V_EV},
 o AS (SELECT k, max(subject_name) AS who, max(process_name) AS proc, max(ts) AS at FROM v_ev WHERE event_category <> 'file' GROUP BY k)
-SELECT f.event_id, f.k, o.who AS who_subject_name, o.proc AS who_process_name, strftime(o.at, '%Y-%m-%d %H:%M:%S') AS who_ts, CASE WHEN o.at IS NULL THEN 'unknown' ELSE 'other event of the file' END AS who_source
+SELECT f.event_id, f.k, o.who AS who_subject_name, o.proc AS who_process_name, strftime(o.at, '%Y-%m-%d %H:%M:%S') AS who_ts, CASE WHEN o.at IS NULL THEN 'rpm -Va: the editor is not recorded' ELSE 'kernel audit' END AS who_source
 FROM v_ev f LEFT JOIN o ON o.k = f.k WHERE f.event_category = 'file'""")
 def who_changed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = v_ev(spark, sf_dir)
@@ -235,7 +235,7 @@ def network_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(FLOWS + """, m AS (SELECT destination_ip, sessions, NOT destination_ip LIKE '10.%' AS ext, process_name = '' AS unknown, hours FROM flows)
-SELECT destination_ip, sessions, concat_ws(', ', CASE WHEN ext AND sessions <= 3 THEN 'few sessions' END, CASE WHEN unknown THEN 'owner unknown' END, CASE WHEN ext AND hours <= 1 THEN 'one active hour' END) AS marks,
+SELECT destination_ip, sessions, concat_ws(', ', CASE WHEN ext AND sessions <= 3 THEN 'few sessions' END, CASE WHEN unknown THEN 'owner unknown' END, CASE WHEN ext AND hours <= 1 THEN 'narrow time window' END) AS marks,
   (CASE WHEN ext AND sessions <= 3 THEN 1 ELSE 0 END + CASE WHEN unknown THEN 1 ELSE 0 END + CASE WHEN ext AND hours <= 1 THEN 1 ELSE 0 END) >= 2 AS rare FROM m""")
 def rare_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _flows(spark, sf_dir)
@@ -265,9 +265,41 @@ def flow_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.flow_detail(v_ev(spark, sf_dir), ["destination_ip"], cap=5).select("ip", "event_id")
 
 
-@query("SELECT p_partkey, p_name, round(p_retailprice, 2) AS price FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10")
+def _ranked(panel: str, rows: str, limit: str = "LIMIT 10") -> str:
+    return f"SELECT '{panel}' AS panel, CAST(row_number() OVER (ORDER BY value DESC, name, detail) AS INTEGER) AS rank, name, detail, value FROM ({rows} ORDER BY value DESC, name, detail {limit})"
+
+
+@query(f"WITH {V_EV} " + " UNION ALL ".join([
+    _ranked("rss", "SELECT 'p' || p_size AS name, p_partkey || ' u' AS detail, round(p_retailprice, 1) AS value FROM part"), _ranked("cpu", "SELECT 'p' || p_size AS name, p_partkey || ' u' AS detail, CAST(p_size % 7 AS DOUBLE) AS value FROM part WHERE p_size % 7 > 0"),
+    _ranked("deps", "SELECT 'c' || o_custkey AS name, 'rpm' AS detail, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY o_custkey"), _ranked("destinations", "SELECT destination_ip AS name, concat_ws(' ', nullif(max(CASE WHEN k % 2 = 0 THEN 'org' || k ELSE '' END), ''), 'NL') AS detail, CAST(count(*) AS DOUBLE) AS value FROM v_ev GROUP BY 1"),
+    _ranked("exposure", "SELECT CASE o_orderstatus WHEN 'F' THEN 'OPEN (exposed)' WHEN 'O' THEN 'local-only' ELSE '' END AS name, '' AS detail, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1", ""),
+]))
 def top_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(10).select("p_partkey", "p_name", F.round("p_retailprice", 2).alias("price"))
+    part, orders = read(spark, sf_dir, "part"), read(spark, sf_dir, "orders")
+    procs = part.select(F.concat(F.lit("/usr/bin/p"), F.col("p_size").cast("string"), F.lit(" -x")).alias("command"), F.col("p_partkey").alias("pid"), F.lit("u").alias("user"), F.col("p_retailprice").cast("string").alias("rss_mb"), F.when(F.col("p_size") % 7 == 0, "n/a").otherwise((F.col("p_size") % 7).cast("string")).alias("cpu"))
+    programs = orders.groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("name")).agg(F.count(F.lit(1)).alias("components")).withColumn("kind", F.lit("rpm"))
+    ports = orders.select(F.when(F.col("o_orderstatus") == "F", "OPEN (exposed)").when(F.col("o_orderstatus") == "O", "local-only").alias("exposure"))
+    e = v_ev(spark, sf_dir).withColumn("destination_as_org", F.when(F.col("k") % 2 == 0, F.concat(F.lit("org"), F.col("k").cast("string"))).otherwise("")).withColumn("destination_geo_country", F.lit("NL"))
+    return stats.top_lists(procs, e, programs, ports).select("panel", "rank", "name", "detail", "value")
+
+
+PARTICIPANTS = f"""{V_EV}, p AS (SELECT destination_ip AS ip, CASE WHEN process_name = '' THEN '(unknown)' ELSE process_name END AS name, max(CAST(process_pid AS VARCHAR)) AS pid, count(*) AS sessions, min(ts) AS a, max(ts) AS b FROM v_ev GROUP BY 1, 2)"""
+
+
+@query(f"WITH {PARTICIPANTS} SELECT ip, name, pid, sessions, strftime(a, '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(b, '%Y-%m-%d %H:%M:%S') AS last_ts FROM p")
+def flow_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.flow_participants(v_ev(spark, sf_dir))
+    return found.select("ip", "name", "pid", "sessions", stamp("first_ts").alias("first_ts"), stamp("last_ts").alias("last_ts"))
+
+
+@query(f"""WITH {PARTICIPANTS}, n AS (SELECT ip, name FROM (SELECT ip, name, row_number() OVER (PARTITION BY ip ORDER BY name) AS r FROM p WHERE name <> '(unknown)') WHERE r <= 10)
+SELECT destination_ip AS ip, 'socket' AS kind, 's' || event_id AS name, 'tcp l ' || destination_ip || ':' || destination_port || ' x' AS detail FROM v_ev WHERE event_type = 'click' UNION ALL
+SELECT ip, 'process', name, p_partkey || ' u pk pu' FROM n JOIN part ON name = 'p' || (p_partkey % 40)""")
+def flow_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, host = v_ev(spark, sf_dir), F.lit("h0").alias("host_id")
+    ports = e.where("event_type = 'click'").select("host_id", F.concat_ws(":", "destination_ip", F.col("destination_port").cast("string")).alias("remote"), F.lit("tcp").alias("proto"), F.lit("l").alias("local"), F.lit("x").alias("exposure"), F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("process"))
+    procs = read(spark, sf_dir, "part").select(host, F.concat(F.lit("/usr/bin/p"), (F.col("p_partkey") % 40).cast("string"), F.lit(" -x")).alias("command"), F.col("p_partkey").alias("pid"), F.lit("u").alias("user"), F.lit("pk").alias("package"), F.lit("pu").alias("purpose"))
+    return stats.flow_live(stats.flow_participants(e), ports, procs).select("ip", "kind", "name", "detail")
 
 
 @query("""SELECT o_orderkey, o_orderpriority, CASE lower(o_orderpriority) WHEN '1-urgent' THEN 0 WHEN '2-high' THEN 1 WHEN '3-medium' THEN 2 ELSE 3 END AS rank FROM orders
