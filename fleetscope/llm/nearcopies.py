@@ -14,8 +14,9 @@ so that it joins nobody. Shingles count as common if they stand in two texts of
 part of a task's texts and in over ``OFTEN`` in all such parts; beyond ``MOST`` of them
 only the more frequent ones. The order changes the work and never the result. Pairs that
 cannot reach the similarity, by their sizes and the places of the shared shingle, are
-left out, and the rest is verified on the whole sets, which are made anew from the texts,
-as storing them would take more room than the texts.
+left out. Of the others, bit maps of a sixteenth to an eighth of the sets' size leave out
+those that they show to be less similar, and only the rest is verified on the whole sets. All
+are made anew from the texts, as storing the sets would take more room than the texts.
 
 A large group is not compared pair by pair. In each round of ``STARS``, each text goes to
 one of its shingles, and the texts under a shingle are compared with that many of them, first the least changed one, then by turns any one and one of the least changed, if
@@ -49,6 +50,8 @@ SHINGLE = 5
 SIMILARITY = 4, 5
 STARS = 1, 16
 HOT, BITS, LONGEST = 8, 4, 64
+#: Bit maps that are moved once a pair may have so many longs.
+LONGEST_OF_PAIR = 1 << 13
 OFTEN, MOST, FLUSH = 16, 1_000_000, 1 << 22
 MAP_BITS = 27
 BROADCAST_SHINGLES = 4_000_000
@@ -162,20 +165,21 @@ def _whole(shingle: int, names: list[str]):
     return emit
 
 
-def _maps(shingle: int):
-    """Each text's bit map; its number of longs is a power of two, and a map of half the size is that of both halves' common bits set."""
+def _maps(shingle: int, names: list[str], longest: int = LONGEST):
+    """The rows' columns ``names``, the size of the text's set and its bit map; the map's number of longs is a power of two, and a map of half the size has a bit wherever one of both halves has it."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 h, edge = shingle_sets(text_bytes(part.column("text")), shingle)
                 n = np.diff(edge)
-                longs = np.minimum(1 << np.ceil(np.log2(np.maximum(BITS * n / 64, 1))).astype(np.int64), LONGEST)
+                longs = np.minimum(1 << np.ceil(np.log2(np.maximum(BITS * n / 64, 1))).astype(np.int64), longest)
                 start = np.r_[0, np.cumsum(longs)]
                 place = (((h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) & np.repeat(longs * 64 - 1, n).astype(np.uint64)
                 bits = np.zeros(start[-1], dtype=np.uint64)
                 np.bitwise_or.at(bits, np.repeat(start[:-1], n) + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(bits.view(np.int64)))], ["node", "map"])
+                map_ = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(bits.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(n), map_], [*names, "size", "map"])
 
     return emit
 
@@ -224,20 +228,38 @@ def _side(rows: DataFrame, no: int, *more: str) -> DataFrame:
     return rows.select("h", *(F.col(c).alias(f"{c}{no}") for c in ("node", "n", "place", "root", *more)))
 
 
+def _sides(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, text`` of the pairs' nodes ``a``, and ``a, b, text`` with the text of each pair's ``b``."""
+    leaders = broadcast_if_small(pairs.select(F.col("a").alias("node")).distinct())
+    both = texts.withColumnRenamed("node", "b").join(broadcast_if_small(pairs), "b").select("a", "b", "text")
+    return texts.join(leaders, "node", "left_semi"), both
+
+
+def _open_pairs(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Those of the pairs that sizes and bit maps of both texts leave open; no similar pair is left out."""
+    one, both = _sides(pairs, texts)
+    one = one.mapInArrow(_maps(shingle, ["node"], LONGEST_OF_PAIR), "node long, size long, map array<long>").groupBy(F.col("node").alias("a")).agg(F.first("size").alias("n1"), F.first("map").alias("map1"))
+    two = both.mapInArrow(_maps(shingle, ["a", "b"], LONGEST_OF_PAIR), "a long, b long, size long, map array<long>").select("a", "b", F.col("size").alias("n2"), F.col("map").alias("map2"))
+    return two.join(one, "a").where(_similar(F.least("n1", "n2"), F.col("n1"), F.col("n2")) & _may_share()).select("a", "b").distinct()
+
+
 def links(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Those of the pairs of nodes ``a, b`` whose whole sets are similar.
 
+    Whole sets are made and moved only for pairs that the bit maps leave open.
     The sets of ``a`` are broadcast if together they are small, and those of ``b`` are made where the texts are.
     """
     pairs = checkpointed(pairs.select("a", "b").distinct())
     if pairs.isEmpty():
         return pairs
-    leaders = broadcast_if_small(pairs.select(F.col("a").alias("node")).distinct())
-    sets = texts.join(leaders, "node", "left_semi").mapInArrow(_whole(shingle, ["node"]), "node long, own array<long>")
+    pairs = checkpointed(_open_pairs(pairs, texts, shingle))
+    if pairs.isEmpty():
+        return pairs
+    sets, both = _sides(pairs, texts)
+    sets = sets.mapInArrow(_whole(shingle, ["node"]), "node long, own array<long>")
     sets = checkpointed(sets.groupBy(F.col("node").alias("a")).agg(F.first("own").alias("own_a")))
     if (sets.agg(F.sum(F.size("own_a"))).first()[0] or 0) <= BROADCAST_SHINGLES:
         sets = F.broadcast(sets)
-    both = texts.withColumnRenamed("node", "b").join(broadcast_if_small(pairs), "b").select("a", "b", "text")
     both = both.mapInArrow(_whole(shingle, ["a", "b"]), "a long, b long, own array<long>").join(sets, "a")
     return checkpointed(both.where(_similar(F.size(F.array_intersect("own_a", "own")), F.size("own_a"), F.size("own"))).select("a", "b").distinct())
 
@@ -295,7 +317,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = broadcast_if_small(heads)
     rows = checkpointed(first.join(heads, "h").join(broadcast_if_small(roots), "node"))
     hot = checkpointed(rows.where("hot").select("node").distinct())
-    maps = texts.join(broadcast_if_small(hot), "node", "left_semi").mapInArrow(_maps(shingle), "node long, map array<long>")
+    maps = texts.join(broadcast_if_small(hot), "node", "left_semi").mapInArrow(_maps(shingle, ["node"]), "node long, size long, map array<long>")
     maps = checkpointed(maps.groupBy("node").agg(F.first("map").alias("map")))
     rows = rows.where("hot").join(maps, "node").unionByName(rows.where("NOT hot").withColumn("map", F.lit(None).cast("array<long>")))
     rows = checkpointed(rows)

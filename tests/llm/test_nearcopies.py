@@ -89,3 +89,40 @@ def test_bit_maps_leave_out_no_link(spark, monkeypatch):
             rows.append((len(rows), " ".join(own)))
     got = N.deduplicate(spark.createDataFrame(rows, DOCS))
     assert sorted(r.doc_id for r in got.collect()) == kept_by_force(rows)
+
+
+def _moved(spark):
+    """Bytes that all stages so far wrote to shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_pairs_that_bit_maps_rule_out_move_no_whole_sets(spark, monkeypatch):
+    monkeypatch.setattr(N, "BROADCAST_SHINGLES", 0)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    # Pairs with half of their words in common, and a few of every degree around the limit.
+    texts, pairs = [], []
+    for k in range(60):
+        base = [word() for _ in range(3000)]
+        other = list(base)
+        if k < 48:
+            other[1500:] = [word() for _ in range(1500)]
+        else:
+            for at in rng.sample(range(3000), 10 * (k - 45)):
+                other[at] = word()
+        pairs.append((2 * k, 2 * k + 1))
+        texts += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    texts += [(200, "one two three four five six"), (201, "ONE two three four five six"), (202, ""), (203, None)]
+    pairs += [(200, 201), (202, 203), (200, 202), (0, 200), (201, 0)]
+    shingles = {i: {" ".join(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} for i, t in texts for w in [(t or "").lower().split()]}
+    expected = sorted((a, b) for a, b in pairs if 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b]))
+    assert 4 < len(expected) < 16
+    docs = spark.createDataFrame(texts, "node long, text string")
+    before = _moved(spark)
+    got = N.links(spark.createDataFrame(pairs, "a long, b long"), docs)
+    assert sorted((r.a, r.b) for r in got.collect()) == expected
+    # One side's whole sets take 60 times 24 KB, its bit maps 60 times 2 KB.
+    assert _moved(spark) - before < 700_000
