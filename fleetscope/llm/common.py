@@ -63,6 +63,26 @@ def flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), dtype=np.uint8), offsets
 
 
+def distinct_counts(parts: list[np.ndarray], repeated: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of all ``parts``, ascending, and how often each occurs; only those that occur more than once if ``repeated``.
+
+    ``parts`` is emptied while its values are copied, and they are sorted in place, so that they are held once.
+    """
+    every, end = np.empty(sum(len(x) for x in parts), dtype=parts[0].dtype), 0
+    while parts:
+        part = parts.pop()
+        every[end : end + len(part)] = part
+        end += len(part)
+    every.sort()
+    new = np.ones(end + 1, dtype=bool)
+    new[1:-1] = every[1:] != every[:-1]
+    first, last = new[:-1], new[1:]
+    if repeated:
+        first, last = first & ~last, last & ~first
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    return every[first], last - first + 1
+
+
 def shards(rows: int, per_shard: int, least: int = 1) -> int:
     """How many shards hold ``rows`` rows at ``per_shard`` each."""
     return max(least, -(-rows // per_shard))

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.llm import simhash
-from fleetscope.llm.common import LEAST_FILES, ROWS_PER_FILE, broadcast_if_small, checkpointed, flat, shards, slices, text_bytes, unused
+from fleetscope.llm.common import LEAST_FILES, ROWS_PER_FILE, broadcast_if_small, checkpointed, distinct_counts, flat, shards, slices, text_bytes, unused
 from fleetscope.llm.components import connected_components
 from fleetscope.llm.decontam import _LOWER, _WORDS, window_hashes, words
 
@@ -95,9 +95,8 @@ def text_nodes(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _often(waiting: list[np.ndarray]) -> pa.RecordBatch:
-    h, texts = np.unique(np.concatenate(waiting), return_counts=True)
-    several = texts > 1
-    return pa.RecordBatch.from_arrays([pa.array(h[several].view(np.int64)), pa.array(texts[several].astype(np.int64))], ["h", "texts"])
+    h, texts = distinct_counts(waiting, repeated=True)
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(texts)], ["h", "texts"])
 
 
 def _repeated(shingle: int):

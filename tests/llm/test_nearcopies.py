@@ -1,8 +1,13 @@
 import random
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from fleetscope.llm import nearcopies as N
+from fleetscope.llm import quality as Q
 
 DOCS = "doc_id long, text string"
 
@@ -126,3 +131,27 @@ def test_pairs_that_bit_maps_rule_out_move_no_whole_sets(spark, monkeypatch):
     assert sorted((r.a, r.b) for r in got.collect()) == expected
     # One side's whole sets take 60 times 24 KB, its bit maps 60 times 2 KB.
     assert _moved(spark) - before < 700_000
+
+
+@pytest.mark.parametrize("count, least", [(N._often, 2), (Q._counted, 1)])
+def test_counts_hold_their_values_once(count, least):
+    rng = np.random.default_rng(7)
+    # Shingles mostly stand alone, and use the highest bit; n-grams of five bytes mostly repeat.
+    high, alone = (64, 20) if least == 2 else (40, 1)
+    some = rng.integers(0, 1 << high, 20_000, dtype=np.uint64)
+    parts = [rng.choice(some, 100_000) for _ in range(30 - alone)] + [rng.integers(0, 1 << high, 100_000, dtype=np.uint64) for _ in range(alone)]
+    parts[0] = np.r_[parts[0], np.uint64(0), np.uint64((1 << high) - 1)]
+    parts[1] = np.r_[parts[1], np.uint64(0)]
+    size = sum(x.nbytes for x in parts)
+    h, n = np.unique(np.concatenate(parts), return_counts=True)
+    expected = dict(zip(h[n >= least].view(np.int64).tolist(), n[n >= least].tolist()))
+    tracemalloc.start()
+    try:
+        got = count(parts)
+        # What is held besides the parts.
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist())) == expected
+    assert peak < 1.8 * size
+    assert count([np.array([5], dtype=np.uint64)]).num_rows == 2 - least
