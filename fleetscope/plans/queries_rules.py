@@ -29,7 +29,8 @@ def _finding_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     views = {name: _made(spark, sf_dir, table, *columns) for name, (table, columns) in FINDING_TABLES.items()}
     root = views["processes"].where("user = 'root'").selectExpr("host_id", "split_part(path_name, '/', 4) AS service", "command AS root_command").distinct()
     config = views["unpackaged_config"].withColumn("service", F.split_part("path", F.lit("/"), F.lit(3)))
-    views["config_services"] = config.join(root, ["host_id", "service"]).withColumn("command", F.col("root_command"))
+    told = F.concat("root_command", F.lit(" (as root)"))  # as the line has it, so that equal beginnings come in the lines' order
+    views["config_services"] = detect.first_partners(config, root, ("host_id", "service"), told).withColumn("command", F.col("root_command"))
     return views
 
 
