@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetscope.operators import parse
@@ -79,8 +79,9 @@ def network_interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     older = _text("link\t2: if", "{p_partkey}", ": <UP> mtu 9000 qdisc x state UNKNOWN link/ether 52:54:00:00:00:01")
     links = _lines(p, "run", F.col("p_partkey"), older, _text("addr\t2: if", "{p_partkey}", "    inet 9.9.9.9/8"), F.concat(_text("link\t2: if", "{p_partkey}", "@if3: <UP> mtu 1500 qdisc x state "), state, F.lit(" link/ether 52:54:00:00:00:02 promiscuity "), mode, kind))
     item = read(spark, sf_dir, "lineitem").withColumn("run", F.col("l_partkey") % 25)
-    address = F.when(F.col("l_linenumber") % 2 == 0, _text(" inet 10.0.", "{l_linenumber}", ".", "{l_suppkey}", "/24")).otherwise(_text(" inet6 fe80::", "{l_suppkey}", "/64"))
-    lines = links.unionByName(_lines(item, "run", (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 4096 + F.col("l_suppkey") + FAR, F.concat(_text("addr\t2: if", "{l_partkey}", "   "), address)))
+    place = F.row_number().over(Window.partitionBy("l_partkey").orderBy(*(F.asc_nulls_last(c) for c in ("l_orderkey", "l_linenumber", "l_suppkey"))))  # an interface's lines only; no number made of keys holds for all of them
+    address = F.when(F.col("l_linenumber") % 2 == 0, _text(" inet 10.0.", "{l_linenumber}", ".", "{l_suppkey}", "/24")).when(F.col("l_linenumber") % 2 == 1, _text(" inet6 fe80::", "{l_suppkey}", "/64"))
+    lines = links.unionByName(_lines(item.withColumn("place", place), "run", F.col("place") + FAR, F.concat(_text("addr\t2: if", "{l_partkey}", "   "), address)))
     return parse.parse_source(lines, "network").select(F.col("run_id").cast("long").alias("run"), "iface", "state", "mtu", "kind", "promisc", "ipv4", "ipv6")
 
 

@@ -1,4 +1,5 @@
 from fleetscope.operators import records as R
+from fleetscope.plans import queries_records
 
 
 def got(df, *names):
@@ -41,3 +42,11 @@ def test_network_interfaces(lines):
     assert got(R.network(lines(text)), "iface", "state", "mac", "mtu", "kind", "promisc", "ipv4", "ipv6") == [
         ("br0", "UP", "52:54:00:00:00:02", "9000", "bridge", "", "", ""), ("lo", "UNKNOWN", "00:00:00:00:00:00", "65536", "loopback", "", "127.0.0.1/8", "::1/128"), ("tun0", "DOWN", "", "1400", "tap", "", "", ""), ("veth1", "UP", "52:54:00:00:00:01", "1500", "veth", "yes", "10.0.0.2/24 10.0.0.3/24", ""),
     ]
+
+
+def test_addresses_come_by_order_line_and_supplier_whatever_the_keys(spark, tmp_path):
+    spark.createDataFrame([(7, 1), (8, 2)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    items = [(1, 7, 50_000, 2), (1, 7, 1, 4), (1, 7, 9_000, 4), (1, 7, 60_000, 1), (1, 7, 2, 5), (10**15, 7, 3, 6), (None, 7, 4, 2), (1, 7, 5, None), (2, 8, 6, 2)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = queries_records.network_interfaces(spark, str(tmp_path))
+    assert got(found, "iface", "ipv4", "ipv6") == [("if7", "10.0.2.50000/24 10.0.4.1/24 10.0.4.9000/24 10.0.6.3/24 10.0.2.4/24", "fe80::60000/64 fe80::2/64"), ("if8", "10.0.2.6/24", "")]
