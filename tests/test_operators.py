@@ -249,6 +249,25 @@ def test_findings_on_pairs_count_all_and_hold_the_first(spark):
     assert sample.groupBy("path").count().agg(F.max("count")).first()[0] == 12
 
 
+def test_services_of_a_common_user_are_paired_in_blocks(spark, monkeypatch):
+    for name, n in (("BLOCK_A", 8), ("BLOCK_B", 16), ("TASK_PAIRS", 100), ("RUN", 4)):
+        monkeypatch.setattr(graph, name, n, raising=False)
+    procs = [("h", k, "u") for k in range(60)] + [("h", 60, "v"), ("h", 60, "v"), ("h", 61, "w"), ("h", 62, None), ("i", 63, "u")]
+    owned = [("h", "user", "u", f"s{k}") for k in range(50)] + [("h", "user", "v", x) for x in ("s", "s", None)] + [("h", "user", None, "n"), ("h", "user", "x", "n"), ("h", "system", "w", "n")]
+    files = spark.createDataFrame([("h", 1, p) for p in ("/a/x", "/a/x", "/a/y", "/z")] + [("h", 2, "/a/x")], "host_id string, pid long, path string").withColumn("deleted", F.lit(""))
+    found = graph.process_edges(
+        spark.createDataFrame(procs, "host_id string, pid long, user string").withColumn("package", F.lit("")).coalesce(1), spark.createDataFrame([], "host_id string, pid long, local string, remote string"),
+        files, spark.createDataFrame(owned, "host_id string, scope string, owner string, unit string").coalesce(1),
+    )
+    pairs = found.where("kind = 'service'")
+    got = sorted((r.pid, r.target or "", r.n) for r in pairs.collect())
+    assert got == sorted((p, x or "", 1) for h, p, u in procs for g, scope, o, x in owned if h == g and scope == "user" and u is not None and u == o) and len(got) == 60 * 50 + 2 * 3
+    assert pairs.select(F.spark_partition_id().alias("p")).groupBy("p").count().where("count < 1500").count() > 4
+    assert sorted((r.pid, r.target, r.n) for r in found.where("kind = 'directory'").collect()) == [(1, "", 1), (1, "/a", 3), (2, "/a", 1)]
+    none = spark.createDataFrame([], "host_id string, scope string, owner string, unit string")
+    assert graph.process_edges(*(spark.createDataFrame([], s) for s in ("host_id string, pid long, user string, package string", "host_id string, pid long, local string, remote string", "host_id string, pid long, path string, deleted string")), none).count() == 0
+
+
 def test_shipped_noise_templates_equal_a_loop(spark):
     bits = [("", "", "")] + [(t.get("event_module", "x"), t.get("event_provider", ""), m) for t in rules.NOISE for m in ("CMD (", "op=PAM:setcred", "ps -eo pid=,ppid=,user=", "TypeError", "started [k]", "is marked executable", "mount", 'comm="rpm"', " ", "xrun not found", "127.0.0.1:5 -> 127.0.0.1:6", "pam_unix(sudo:session)", "SYSCALL x", re.sub(r"\\[bSs]|[\\^$*+?()\[\]]", "", t["match"].split("|")[0]))]
     rows = [(k, m.upper() if k % 3 == 0 else m, f"my-{p}" if k % 2 else p, "log", s, "old" if k % 5 == 0 else "") for k, (m, p, s) in enumerate(sorted(set(bits)))]
